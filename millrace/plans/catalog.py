@@ -103,3 +103,7 @@ def q_d10s(spark, sf):
     p = dd.pairs(docs)
     cm = dd.clusters(docs)
     return dedup_summary(dd.attach_clusters(dd.document_rows(docs), cm), p, cm)
+
+
+# Further registries add themselves to QUERIES / ORACLES on import.
+from millrace.plans import catalog_tokens  # noqa: E402,F401
