@@ -28,18 +28,28 @@ from millrace.session import cut_lineage
 
 def global_positions(df: DataFrame, order_cols: Sequence[str], weight: str | None = None,
                      group_cols: Sequence[str] = (), pos_col: str = "pos",
-                     before_col: str = "cum_before", num_partitions: int | None = None) -> DataFrame:
+                     before_col: str = "cum_before", num_partitions: int | None = None,
+                     agg: str = "sum") -> DataFrame:
     """Adds ``pos`` (0-based index in the order) and, with ``weight``, the
-    exclusive running sum ``cum_before``; both restart for each group.
+    exclusive running aggregate ``cum_before`` (``agg="sum"``: running total;
+    ``agg="min"``: smallest earlier value, null for the first row); both
+    restart for each group.
 
     ``order_cols`` must make the order total (append a unique key).
     """
+    if agg not in ("sum", "min"):
+        raise ValueError(f"unknown agg {agg!r}")
+    is_min = agg == "min"
     spark = df.sparkSession
     group_cols, order_cols = list(group_cols), list(order_cols)
     n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                               df.rdd.getNumPartitions())
-    wcol = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    ranged = (df.withColumn("_w", F.coalesce(wcol, F.lit(0).cast("bigint")))
+    if is_min:
+        wcol = F.coalesce(F.col(weight).cast("double"), F.lit(float("inf")))
+    else:
+        wcol = F.coalesce(F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint"),
+                          F.lit(0).cast("bigint"))
+    ranged = (df.withColumn("_w", wcol)
                 .repartitionByRange(n, *group_cols, *order_cols)
                 .sortWithinPartitions(*group_cols, *order_cols))
     ranged = cut_lineage(ranged)
@@ -47,22 +57,25 @@ def global_positions(df: DataFrame, order_cols: Sequence[str], weight: str | Non
     gkey = F.to_json(F.array(*[F.col(c).cast("string") for c in group_cols])) if group_cols else F.lit("[]")
     ranged = ranged.withColumn("_g", gkey)
     totals = (ranged.groupBy(F.spark_partition_id().alias("_p"), "_g")
-                    .agg(F.count(F.lit(1)).alias("c"), F.sum("_w").alias("w"))
+                    .agg(F.count(F.lit(1)).alias("c"), (F.min if is_min else F.sum)("_w").alias("w"))
                     .collect())                      # one row per (partition, group)
     # Exclusive offsets per (partition, group), walking partitions in order.
+    start = float("inf") if is_min else 0
     run_c: dict[str, int] = {}
-    run_w: dict[str, int] = {}
-    offsets: dict[tuple[int, str], tuple[int, int]] = {}
+    run_w: dict = {}
+    offsets: dict[tuple[int, str], tuple] = {}
     for r in sorted(totals, key=lambda r: r["_p"]):
         g = r["_g"]
-        offsets[(r["_p"], g)] = (run_c.get(g, 0), run_w.get(g, 0))
+        offsets[(r["_p"], g)] = (run_c.get(g, 0), run_w.get(g, start))
         run_c[g] = run_c.get(g, 0) + r["c"]
-        run_w[g] = run_w.get(g, 0) + (r["w"] or 0)
+        w = r["w"] if r["w"] is not None else start
+        run_w[g] = min(run_w.get(g, start), w) if is_min else run_w.get(g, start) + w
 
     out_schema = T.StructType(ranged.schema.fields + [
         T.StructField(pos_col, T.LongType(), False),
-        T.StructField(before_col, T.LongType(), False),
+        T.StructField(before_col, T.DoubleType() if is_min else T.LongType(), is_min),
     ])
+    before_type = pa.float64() if is_min else pa.int64()
 
     def scan(batches):
         from pyspark import TaskContext
@@ -70,21 +83,27 @@ def global_positions(df: DataFrame, order_cols: Sequence[str], weight: str | Non
         state: dict[str, list[int]] = {}
         for batch in batches:
             g = batch.column("_g").to_numpy(zero_copy_only=False)
-            w = batch.column("_w").to_numpy(zero_copy_only=False).astype(np.int64)
+            w = batch.column("_w").to_numpy(zero_copy_only=False).astype(np.float64 if is_min else np.int64)
             pos = np.empty(len(g), dtype=np.int64)
-            before = np.empty(len(g), dtype=np.int64)
+            before = np.empty(len(g), dtype=w.dtype)
             # Rows are sorted by group first, so each group is one run.
             bounds = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
             for s, e in zip(bounds[:-1], bounds[1:]):
                 key = g[s]
-                c0, w0 = state.get(key) or list(offsets.get((pid, key), (0, 0)))
+                c0, w0 = state.get(key) or list(offsets.get((pid, key), (0, start)))
                 pos[s:e] = c0 + np.arange(e - s, dtype=np.int64)
-                cs = np.cumsum(w[s:e])
-                before[s:e] = w0 + cs - w[s:e]
-                state[key] = [c0 + (e - s), w0 + int(cs[-1])]
+                if is_min:
+                    run = np.minimum(np.minimum.accumulate(w[s:e]), w0)
+                    before[s:e] = np.r_[w0, run[:-1]]
+                    state[key] = [c0 + (e - s), float(run[-1])]
+                else:
+                    cs = np.cumsum(w[s:e])
+                    before[s:e] = w0 + cs - w[s:e]
+                    state[key] = [c0 + (e - s), w0 + int(cs[-1])]
+            out = pa.array(before, mask=np.isinf(before)) if is_min else pa.array(before)
             yield pa.RecordBatch.from_arrays(
-                list(batch.columns) + [pa.array(pos), pa.array(before)],
+                list(batch.columns) + [pa.array(pos), out],
                 schema=batch.schema.append(pa.field(pos_col, pa.int64(), False))
-                                   .append(pa.field(before_col, pa.int64(), False)))
+                                   .append(pa.field(before_col, before_type, is_min)))
 
     return ranged.mapInArrow(scan, out_schema).drop("_w", "_g")
