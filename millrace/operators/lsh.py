@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.config import LSHConfig
+from millrace.session import cut_lineage
 
 
 def band_keys(df: DataFrame, cfg: LSHConfig = LSHConfig(), id_col: str = "id") -> DataFrame:
@@ -44,7 +45,12 @@ def bucket_stats(bands: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(bands: DataFrame, cfg: LSHConfig = LSHConfig()) -> DataFrame:
-    """Distinct ``(id1, id2)`` with ``id1 < id2`` (string order)."""
+    """Distinct ``(id1, id2)`` with ``id1 < id2`` (string order).
+
+    The band table feeds both the bucket sizes and the member join, so it is
+    materialised once (reliable checkpoint) instead of re-running MinHash.
+    """
+    bands = cut_lineage(bands)
     stats = bucket_stats(bands)
     members = bands.join(stats, ["band", "key"])          # AQE splits a skewed bucket
     n_pairs = F.col("n") * (F.col("n") - 1) / 2

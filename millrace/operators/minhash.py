@@ -76,7 +76,10 @@ def _arrow_signature(cfg: MinHashConfig):
     def minhash_udf(values: pa.Array) -> pa.Array:
         return batch_signatures(values, a, b)
 
-    return minhash_udf
+    # Marked non-deterministic only so Catalyst never copies the call into a
+    # pushed-down filter (which would run it twice); its output is a pure
+    # function of the input.
+    return minhash_udf.asNondeterministic()
 
 
 def signature_native(base: Column, cfg: MinHashConfig) -> Column:

@@ -108,3 +108,4 @@ def q_d10s(spark, sf):
 # Further registries add themselves to QUERIES / ORACLES on import.
 from millrace.plans import catalog_tokens  # noqa: E402,F401
 from millrace.plans import catalog_runlog  # noqa: E402,F401
+from millrace.plans import catalog_code  # noqa: E402,F401
