@@ -66,7 +66,7 @@ class BPEConfig:
     pad_token: str | None = "<pad>"
     min_frequency: int = 2
     add_prefix_space: bool = True
-    merges_per_round: int = 1
+    merges_per_round: int = 64   # certified-exact merges taken per counting job
 
 
 @dataclass(frozen=True)
