@@ -110,3 +110,4 @@ from millrace.plans import catalog_tokens  # noqa: E402,F401
 from millrace.plans import catalog_runlog  # noqa: E402,F401
 from millrace.plans import catalog_code  # noqa: E402,F401
 from millrace.plans import catalog_bpe  # noqa: E402,F401
+from millrace.plans import catalog_io  # noqa: E402,F401
