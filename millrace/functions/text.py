@@ -49,9 +49,16 @@ def stable_key(columns: Sequence[str], text: Column, id_candidates=("id", "uuid"
     return F.coalesce(*present, text, F.lit(""))
 
 
+ASCII_WS = " \t\n\x0b\x0c\r"
+
+
 def words(text: str | Column) -> Column:
-    """Lower-cased word tokens split on ASCII whitespace, empties dropped."""
-    return F.filter(F.split(F.lower(col_of(text)), WORD_SEP), lambda x: x != F.lit(""))
+    """Lower-cased word tokens split on ASCII whitespace, empties dropped.
+
+    Trimming first leaves empty strings only for an all-blank text, so no
+    per-word lambda is needed."""
+    t = F.btrim(F.lower(col_of(text)), F.lit(ASCII_WS))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, WORD_SEP))
 
 
 def sql_py_strip(expr: str) -> str:
