@@ -238,10 +238,10 @@ def encode(docs: DataFrame, model: BPEModel, cfg: BPEConfig = BPEConfig(), text_
     cut to ``max_len - 1`` before eos, without eos to ``max_len``."""
     keys = list(key_cols)
     occ = docs.select(*keys, F.posexplode(pretokens(F.col(text_col), cfg.add_prefix_space)).alias("i", "raw"))
-    occ = occ.withColumn("piece", byte_level(F.col("raw"))).drop("raw")
-    distinct = occ.select("piece").distinct()
-    coded = encode_pieces(distinct, model, cfg)
-    joined = occ.join(coded, "piece")
+    # Byte mapping and BPE run once per distinct piece, not per occurrence.
+    distinct = occ.select("raw").distinct().withColumn("piece", byte_level(F.col("raw")))
+    coded = encode_pieces(distinct, model, cfg).select("raw", "ids")
+    joined = occ.join(coded, "raw")
     per_doc = joined.groupBy(*keys).agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda s: s["ids"])).alias("ids"))
     out = docs.select(*keys).join(per_doc, keys, "left").withColumn(

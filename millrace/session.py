@@ -61,9 +61,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (materialised in the shared checkpoint folder)."""
+    """Reliable checkpoint (materialised in the shared checkpoint folder).
+
+    The input is persisted around the checkpoint: an eager reliable
+    checkpoint otherwise computes its input twice (once to count, once to
+    write the files)."""
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
