@@ -97,10 +97,14 @@ def train_bpe(counts: DataFrame, cfg: BPEConfig = BPEConfig()) -> BPEModel:
     words = cut_lineage(words.groupBy("w").agg(F.sum("cnt").alias("cnt")))
     merges = []
     rounds = 0
+    stale = None
     while len(tokens) < cfg.vocab_size:
         k = max(1, min(cfg.merges_per_round, cfg.vocab_size - len(tokens)))
         top = (_pairs(words).groupBy("a", "b").agg(F.sum("cnt").alias("c"))
                             .orderBy(F.desc("c"), "a", "b").limit(k).collect())
+        if stale is not None:              # ``words`` is materialised now; drop its parent
+            stale.unpersist()
+            stale = None
         batch = _certified_prefix(top, tokens, ids, cfg.min_frequency)
         if not batch:
             break
@@ -115,12 +119,14 @@ def train_bpe(counts: DataFrame, cfg: BPEConfig = BPEConfig()) -> BPEModel:
             merges.append((len(merges), tokens[a], tokens[b], merged, int(c)))
             w = F.regexp_replace(w, f" {a} {b}(?= )", f" {new_id}")
         rounds += 1
-        previous = words
+        stale = words
         if rounds % 8 == 0:                # short lineage: a reliable checkpoint
             words = cut_lineage(words.withColumn("w", w))
         else:                              # in between, keep the piece table in executor memory
             words = words.withColumn("w", w).persist()
-        previous.unpersist()
+    for cached in (stale, words):          # release the last cached piece tables
+        if cached is not None:
+            cached.unpersist()
     vocab = spark.createDataFrame([(t, i, i < len(specials)) for i, t in enumerate(tokens)],
                                   "token string, id int, special boolean")
     mdf = spark.createDataFrame(merges, "rank int, left string, right string, token string, count bigint")
