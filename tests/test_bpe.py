@@ -72,3 +72,15 @@ def test_zero_texts_is_an_error(spark):
     empty = spark.createDataFrame([], "piece string, cnt long")
     with pytest.raises(ValueError):
         bpe.train_bpe(empty)
+
+
+def test_load_or_train_reuses_saved_model(spark, trained, tmp_path):
+    docs, cfg, model = trained
+    path = str(tmp_path / "tok")
+    counts = bpe.pretoken_counts(docs, "text", cfg)
+    first = bpe.load_or_train(spark, path, counts, cfg)
+    again = bpe.load_or_train(spark, path, None, cfg)          # nothing to train on: must load
+    key = lambda m: [tuple(r) for r in m.merges.orderBy("rank").collect()]
+    assert key(first) == key(again) == key(model)
+    with pytest.raises(ValueError):
+        bpe.load_or_train(spark, str(tmp_path / "missing"), None, cfg)
