@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.functions.hashing import md5_prefix_int
 from millrace.functions.text import py_strip
 from millrace.operators.position import global_positions
 
@@ -114,8 +113,3 @@ def batch_rows(df_with_pos: DataFrame, batch_size: int, drop_last: bool, text_co
     if drop_last:
         out = out.where(F.col("batch_rows") == batch_size)
     return out
-
-
-def split_bucket(key_col: str, seed: int, buckets: int):
-    """Helper: a stable small integer from a key (e.g. for sampling by id)."""
-    return F.pmod(md5_prefix_int(F.concat(F.lit(f"{seed}:"), F.col(key_col).cast("string")), 8), F.lit(buckets))
