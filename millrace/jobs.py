@@ -52,6 +52,7 @@ def run_dedup(spark, args) -> dict:
         tokens, ok = "node_types", "parse_ok"
     else:                                                      # text rows: lower-cased words
         from millrace.functions.text import words
+        rows = rows.withColumn("code_ref", F.col("text"))      # the text competes as the "code" (longest wins)
         canon, m = cs.observed_write(rows.withColumn("tokens", words("text")), f"{out}/stages/01_tokens", "tokens")
         tokens, ok = "tokens", None
     stages.append(m)
