@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import documents
+from millrace.llm import mixing
+from millrace.llm.common import documents, labels, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +30,18 @@ def op7_byte_bpe(spark, sf_dir):
     from millrace.llm.byte_bpe import decode, digests, encode
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     return digests(decode(encode(documents(spark, sf_dir), path, pattern), path, pattern))
+
+
+@_query
+def op8_mixing(spark, sf_dir):
+    from millrace.llm.mixing import mix, quality_weights
+    return mix(documents(spark, sf_dir), quality_weights(labels(spark, sf_dir)))
+
+
+ORACLES["op8_mixing"] = mixing.ORACLE
+
+
+@_query
+def op9_warc(spark, sf_dir):
+    from millrace.llm.warc import round_trip
+    return round_trip(pages(spark, sf_dir)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
