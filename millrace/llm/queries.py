@@ -45,3 +45,15 @@ ORACLES["op8_mixing"] = mixing.ORACLE
 def op9_warc(spark, sf_dir):
     from millrace.llm.warc import round_trip
     return round_trip(pages(spark, sf_dir)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query
+def op3_syncmer_fingerprints(spark, sf_dir):
+    from millrace.llm.syncmers import edited_fingerprints
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
+@_query
+def op4_quality_rules(spark, sf_dir):
+    from millrace.llm.quality import quality_report
+    return quality_report(documents(spark, sf_dir), labels(spark, sf_dir))
