@@ -57,3 +57,9 @@ def op3_syncmer_fingerprints(spark, sf_dir):
 def op4_quality_rules(spark, sf_dir):
     from millrace.llm.quality import quality_report
     return quality_report(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@_query
+def op2_ngram_join(spark, sf_dir):
+    from millrace.llm.ngram_join import near_duplicates
+    return near_duplicates(documents(spark, sf_dir), width=4, num=85, den=100)
