@@ -63,3 +63,9 @@ def op4_quality_rules(spark, sf_dir):
 def op2_ngram_join(spark, sf_dir):
     from millrace.llm.ngram_join import near_duplicates
     return near_duplicates(documents(spark, sf_dir), width=4, num=85, den=100)
+
+
+@_query
+def op10_chunk_dedup(spark, sf_dir):
+    from millrace.llm.chunk_dedup import repeated_passages
+    return repeated_passages(documents(spark, sf_dir)).drop("text_hash")
