@@ -69,3 +69,10 @@ def op2_ngram_join(spark, sf_dir):
 def op10_chunk_dedup(spark, sf_dir):
     from millrace.llm.chunk_dedup import repeated_passages
     return repeated_passages(documents(spark, sf_dir)).drop("text_hash")
+
+
+@_query
+def op6_line_dedup(spark, sf_dir):
+    from millrace.llm.line_dedup import dedup_lines
+    rows = dedup_lines(documents(spark, sf_dir))
+    return rows.select("doc_id", rows["__n_lines"].alias("n_lines"), rows["__n_removed"].alias("n_removed"), "text")
