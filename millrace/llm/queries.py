@@ -76,3 +76,9 @@ def op6_line_dedup(spark, sf_dir):
     from millrace.llm.line_dedup import dedup_lines
     rows = dedup_lines(documents(spark, sf_dir))
     return rows.select("doc_id", rows["__n_lines"].alias("n_lines"), rows["__n_removed"].alias("n_removed"), "text")
+
+
+@_query
+def op5_id_files(spark, sf_dir):
+    from millrace.llm.id_files import round_trip
+    return round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
