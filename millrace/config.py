@@ -17,10 +17,6 @@ class MinHashConfig:
 class LSHConfig:
     k: int = 128
     b: int = 32
-    # Buckets whose all-pairs count stays within this bound emit every pair;
-    # bigger buckets emit a star from their smallest id, which keeps the
-    # connected components exact at linear cost.
-    max_pairs_per_bucket: int = 2000
 
 
 @dataclass(frozen=True)

@@ -61,7 +61,7 @@ def run_dedup(spark, args) -> dict:
     sigs, m = cs.observed_write(apply_minhash(canon.select("id", tokens, *([ok] if ok else [])), tokens, mh, ok),
                                 f"{out}/stages/02_minhash", "minhash")
     stages.append(m)
-    pairs, m = cs.observed_write(candidate_pairs(band_keys(sigs, lsh), lsh), f"{out}/stages/03_pairs", "pairs")
+    pairs, m = cs.observed_write(candidate_pairs(band_keys(sigs, lsh)), f"{out}/stages/03_pairs", "pairs")
     stages.append(m)
     cmap, m = cs.observed_write(cluster_map(pairs), f"{out}/stages/04_cluster_map", "cluster_map")
     stages.append(m)

@@ -1,10 +1,9 @@
 """D3 band keys, D4 bucket sizing, D5 candidate pairs.
 
-Buckets are global (a pair exists iff two ids share a band key), not local
-to an input batch. Pair emission is linear in bucket size beyond a bound:
-a bucket with at most ``max_pairs_per_bucket`` pairs emits all of them, a
-larger one emits a star from its smallest id. Both give the same connected
-components, so the cluster map is exact without any bucket being dropped.
+Buckets are global (two ids meet iff they share a band key), not local to an
+input batch. Each bucket emits a star from its smallest id: one pair per
+further member whatever the bucket's size, with the same connected components
+as all its pairs.
 """
 
 from __future__ import annotations
@@ -44,21 +43,13 @@ def bucket_stats(bands: DataFrame) -> DataFrame:
                  .where(F.col("n") >= 2))
 
 
-def candidate_pairs(bands: DataFrame, cfg: LSHConfig = LSHConfig()) -> DataFrame:
-    """Distinct ``(id1, id2)`` with ``id1 < id2`` (string order).
+def candidate_pairs(bands: DataFrame) -> DataFrame:
+    """Distinct ``(id1, id2)``, ``id1 < id2`` (string order), of every
+    shared bucket's smallest id with each other member.
 
-    The band table feeds both the bucket sizes and the member join, so it is
-    materialised once (reliable checkpoint) instead of re-running MinHash.
-    """
+    The band table feeds both the centers and the member join, so it is
+    materialised once (reliable checkpoint) instead of re-running MinHash."""
     bands = cut_lineage(bands)
-    stats = bucket_stats(bands)
-    members = bands.join(stats, ["band", "key"])          # AQE splits a skewed bucket
-    n_pairs = F.col("n") * (F.col("n") - 1) / 2
-    small = members.where(n_pairs <= cfg.max_pairs_per_bucket)
-    left = small.select("band", "key", F.col("id").alias("id1"))
-    right = small.select("band", "key", F.col("id").alias("id2"))
-    dense = left.join(right, ["band", "key"]).where(F.col("id1") < F.col("id2")).select("id1", "id2")
-    star = (members.where(n_pairs > cfg.max_pairs_per_bucket)
-                   .where(F.col("id") != F.col("center"))
-                   .select(F.col("center").alias("id1"), F.col("id").alias("id2")))
-    return dense.unionByName(star).distinct()
+    centers = bucket_stats(bands).select("band", "key", "center")
+    star = bands.join(centers, ["band", "key"]).where(F.col("id") != F.col("center"))   # AQE splits a skewed bucket
+    return star.select(F.col("center").alias("id1"), F.col("id").alias("id2")).distinct()

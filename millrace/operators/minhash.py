@@ -1,8 +1,7 @@
 """D1 shingles and D2 MinHash signatures.
 
-Shingles and their base hashes are built JVM-side: one regular-expression
-pass over the space-joined tokens yields every n-gram (tokens never hold a
-space, so the split is exact), and ``md5`` gives each distinct shingle a
+Shingles and their base hashes are built JVM-side: slices of the token array
+give every n-gram, and ``md5`` gives each distinct shingle a
 28-bit base value. The 128-way permutation minimum is the only arithmetic
 that Spark's interpreted array lambdas do badly, so by default it runs as an
 Arrow-batched UDF: one NumPy broadcast plus ``minimum.reduceat`` over the
@@ -23,15 +22,13 @@ from millrace.functions.hashing import I64_MAX, MERSENNE31, shingle_base, univer
 _CHUNK = 1 << 15   # shingle values per NumPy block (128 x 32768 int64 = 32 MiB)
 
 
-def ngram_pattern(n: int) -> str:
-    """Zero-width match at every token start, capturing the next n tokens."""
-    return "(?<![^ ])(?=([^ ]+" + "(?: [^ ]+)" * (n - 1) + "))"
-
-
 def shingles(tokens: Column, n: int) -> Column:
-    """Distinct ``|``-joined n-grams of a token array; shorter -> []."""
-    grams = F.regexp_extract_all(F.array_join(tokens, " "), F.lit(ngram_pattern(n)), 1)
-    return F.array_distinct(F.transform(grams, lambda g: F.translate(g, " ", "|")))
+    """Distinct ``|``-joined n-grams of a token array; shorter -> [].
+
+    Built from array slices, so tokens may be empty or hold any character."""
+    m = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    grams = F.arrays_zip(*[F.slice(tokens, k + 1, m).alias(f"t{k}") for k in range(n)])
+    return F.array_distinct(F.transform(grams, lambda g: F.concat_ws("|", *[g[f"t{k}"] for k in range(n)])))
 
 
 def shingle_values(tokens: Column, n: int) -> Column:

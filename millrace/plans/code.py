@@ -60,6 +60,6 @@ def code_snapshot(docs: DataFrame, canon: CanonConfig = CanonConfig(), mh: MinHa
     node types -> LSH pairs -> components -> one row per cluster."""
     rows = canonical_rows(docs, canon)
     sigs = apply_minhash(rows.select("id", "node_types", "parse_ok"), "node_types", mh, ok_col="parse_ok")
-    cmap = cluster_map(candidate_pairs(band_keys(sigs, lsh), lsh), comp)
+    cmap = cluster_map(candidate_pairs(band_keys(sigs, lsh)), comp)
     base = code_rows(docs)
     return snapshot(attach_clusters(base, cmap), snap)

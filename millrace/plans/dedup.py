@@ -62,7 +62,7 @@ def buckets(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
 
 
 def pairs(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
-    return candidate_pairs(bands(docs, cfg), cfg.lsh)
+    return candidate_pairs(bands(docs, cfg))
 
 
 def clusters(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:

@@ -33,12 +33,7 @@ band AS (SELECT id, CAST(i // {r} AS INTEGER) AS band,
 stats AS (SELECT band, key, count(*) AS n, min(id) AS center FROM band
           GROUP BY band, key HAVING count(*) >= 2),
 mem AS (SELECT bd.id, bd.band, bd.key, st.n, st.center FROM band bd JOIN stats st USING (band, key)),
-pairs AS (SELECT l.id AS id1, r.id AS id2 FROM mem l JOIN mem r
-            ON l.band = r.band AND l.key = r.key AND l.id < r.id
-          WHERE l.n * (l.n - 1) / 2 <= {lsh.max_pairs_per_bucket}
-          UNION
-          SELECT center AS id1, id AS id2 FROM mem
-          WHERE n * (n - 1) / 2 > {lsh.max_pairs_per_bucket} AND id <> center),
+pairs AS (SELECT DISTINCT center AS id1, id AS id2 FROM mem WHERE id <> center),
 e AS (SELECT id1 AS a, id2 AS b FROM pairs UNION SELECT id2, id1 FROM pairs),
 c(a, b) AS (SELECT a, a FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a),
 cmap AS (SELECT a AS id, md5(min(b)) AS cluster_id FROM c GROUP BY a),

@@ -12,23 +12,40 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+}
+
+
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "millrace", extra: dict | None = None) -> SparkSession:
-    """A session with AQE on, UTC time, Arrow on and the UI off."""
+    """A session with AQE on, UTC time, Arrow on and the UI off.
+
+    Only settings that the user (spark-submit, spark-defaults, an existing
+    session) has left unset get our defaults; ``shuffle_partitions`` and
+    ``extra`` are explicit and always win. Without ``shuffle_partitions`` the
+    cluster's own value stands."""
+    from pyspark import SparkConf, SparkContext
+    if "PYSPARK_GATEWAY_PORT" in os.environ:       # started by spark-submit: its settings are visible from here on
+        SparkContext._ensure_initialized()
+    active = SparkSession.getActiveSession()
+    given = SparkConf()
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    conf = {
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "16g",
-    }
+    conf = {k: v for k, v in DEFAULTS.items()
+            if not given.contains(k) and (active is None or active.conf.get(k, None) is None)}
+    if (master or given.get("spark.master", "")).startswith("local") and not given.contains("spark.driver.memory"):
+        conf["spark.driver.memory"] = "16g"
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

@@ -19,9 +19,10 @@ def _md5(s):
 
 def test_shingles_edge_cases(spark):
     df = spark.createDataFrame([(["a", "b", "c", "d"],), (["a", "b", "c", "d", "e"],),
-                                (["x"] * 7,), ([],), (["a|b", "c", "d", "e", "f"],)], "t array<string>")
+                                (["x"] * 7,), ([],), (["a|b", "c", "d", "e", "f"],),
+                                (["a", "b c", "d", "e", "f"],), (["", "b", "c", "d", ""],)], "t array<string>")
     got = [r.s for r in df.select(shingles(F.col("t"), 5).alias("s")).collect()]
-    assert got == [[], ["a|b|c|d|e"], ["x|x|x|x|x"], [], ["a|b|c|d|e|f"]]
+    assert got == [[], ["a|b|c|d|e"], ["x|x|x|x|x"], [], ["a|b|c|d|e|f"], ["a|b c|d|e|f"], ["|b|c|d|"]]
 
 
 def _reference_sig(tokens, n=5, k=128, seed=1337):
@@ -88,22 +89,18 @@ def test_components_chain_star_and_string_order(spark):
 
 
 def test_star_edges_keep_components(spark, parts):
-    # One big bucket (skewed) and some small ones: the star fallback must give
-    # the same clusters as all-pairs.
-    sig_big = [1] * 8
-    rows = [(f"b{i:03d}", True, sig_big) for i in range(120)]
+    # Buckets of 63, 64 and 5,000 ids: one pair per further member, and the
+    # components that all pairs would give.
+    sizes = {"a": 63, "b": 64, "c": 5000}
+    rows = [(f"{g}{i:04d}", True, [k] * 8) for k, (g, n) in enumerate(sizes.items()) for i in range(n)]
     rows += [(f"s{i}", True, [i // 2 + 100] * 8) for i in range(20)]
     df = spark.createDataFrame(rows, "id string, sig_ok boolean, sig array<bigint>").repartition(parts)
-    cfg_star = LSHConfig(k=8, b=2, max_pairs_per_bucket=10)
-    cfg_all = LSHConfig(k=8, b=2, max_pairs_per_bucket=10 ** 9)
-    b_star = band_keys(df, cfg_star)
-    p_star = candidate_pairs(b_star, cfg_star)
-    p_all = candidate_pairs(band_keys(df, cfg_all), cfg_all)
-    assert p_all.count() == 120 * 119 // 2 + 10
-    assert p_star.count() == 119 + 10
-    a = {r.id: r.cluster_id for r in cluster_map(p_star).collect()}
-    b = {r.id: r.cluster_id for r in cluster_map(p_all).collect()}
-    assert a == b and len(set(a.values())) == 11
+    pairs = candidate_pairs(band_keys(df, LSHConfig(k=8, b=2)))
+    got = {tuple(r) for r in pairs.collect()}
+    want = {(f"{g}0000", f"{g}{i:04d}") for g, n in sizes.items() for i in range(1, n)}
+    assert got == want | {(f"s{i}", f"s{i + 1}") for i in range(0, 20, 2)}
+    clusters = {r.id: r.cluster_id for r in cluster_map(pairs).collect()}
+    assert len(clusters) == sum(sizes.values()) + 20 and len(set(clusters.values())) == 13
 
 
 def test_attach_and_pick_representative(spark):

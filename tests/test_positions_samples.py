@@ -112,3 +112,46 @@ def test_pad_batches(spark):
     assert out[2].input_ids == [0, 0, 0, 0] and out[2].labels == [-100] * 4
     assert [out[k].target_tokens for k in range(3)] == [3, 1, 0]
     assert F is not None
+
+
+def test_positions_survive_coalesce_and_union(spark):
+    """Position and running sum do not depend on how later plans group the partitions."""
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 13).alias("w")).repartition(6)
+    want, total = {}, 0
+    for r in sorted(df.collect()):
+        want[r.k] = (len(want), total)
+        total += r.w
+    out = global_positions(df, ["k"], "w")
+    for view in (out, out.coalesce(1), df.limit(0).selectExpr("k", "w", "0L pos", "0L cum_before").union(out), out.repartition(3)):
+        assert {r.k: (r.pos, r.cum_before) for r in view.collect()} == want
+
+
+def test_positions_of_many_groups(spark, parts):
+    """100,000 groups, one of them a third of the rows: the driver gets a row per partition."""
+    df = (spark.range(150_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("g"), "id", (F.col("id") % 5).alias("w"))
+          .repartition(parts))
+    out = global_positions(df, ["id"], "w", ["g"]).groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.max(F.col("cum_before") + F.col("w")).alias("end"), F.sum("w").alias("total"))
+    assert out.count() == 100_001
+    assert out.where((F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1) | (F.col("end") != F.col("total"))).count() == 0
+
+
+def test_positions_evaluate_the_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    df = spark.range(1000).mapInArrow(count, "id long")
+    assert global_positions(df, ["id"]).count() == 1000 and seen.value == 1000
+
+
+def test_session_keeps_user_settings(spark):
+    from millrace.session import build_session
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "777")
+    try:
+        assert build_session().conf.get("spark.sql.shuffle.partitions") == "777"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
