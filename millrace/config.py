@@ -1,4 +1,7 @@
-"""Frozen configuration objects passed to the DataFrame functions."""
+"""Frozen configuration objects passed to the DataFrame functions.
+
+The defaults are fixed values: the parameters a user of the pipeline knows.
+"""
 
 from __future__ import annotations
 
@@ -38,21 +41,6 @@ class SplitConfig:
     seed: int = 42
 
 
-@dataclass(frozen=True)
-class CanonConfig:
-    representation: str = "node_types"   # node_types | dump
-    traversal: str = "preorder"          # preorder | postorder | bfs
-    remove_docstrings: bool = True
-    rename_locals: bool = True
-    rename_args: bool = True
-    rename_function_names: bool = False
-    rename_class_names: bool = False
-    normalize_literals: str = "basic"    # none | basic | aggressive
-    keep_builtins: bool = True
-    max_code_chars: int = 200_000
-    on_parse_error: str = "skip"         # skip | fallback
-
-
 @dataclass(frozen=True)
 class BPEConfig:
     vocab_size: int = 16_000

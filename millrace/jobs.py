@@ -18,13 +18,13 @@ import time
 
 from pyspark.sql import functions as F
 
-from millrace.config import BPEConfig, CanonConfig, LSHConfig, MinHashConfig, SnapshotConfig, SplitConfig
+from millrace.config import BPEConfig, LSHConfig, MinHashConfig, SnapshotConfig, SplitConfig
 from millrace.operators import bpe, runlog, shards
 from millrace.operators.canon import canonicalize
 from millrace.operators.components import cluster_map
 from millrace.operators.lsh import band_keys, candidate_pairs
 from millrace.operators.minhash import apply_minhash
-from millrace.operators.snapshot import attach_clusters, snapshot
+from millrace.operators.snapshot import cluster_snapshot
 from millrace.operators.split import split_texts
 from millrace.session import build_session
 from millrace.sources import corpus as cs
@@ -48,7 +48,7 @@ def run_dedup(spark, args) -> dict:
     if args.limit:
         rows = rows.orderBy("id").limit(args.limit)            # debug cap, applied once (Q6)
     if "code_ref" in rows.columns:                             # code rows: AST node types
-        canon, m = cs.observed_write(canonicalize(rows, CanonConfig()), f"{out}/stages/01_canonical", "canonical")
+        canon, m = cs.observed_write(canonicalize(rows), f"{out}/stages/01_canonical", "canonical")
         tokens, ok = "node_types", "parse_ok"
     else:                                                      # text rows: lower-cased words
         from millrace.functions.text import words
@@ -65,7 +65,7 @@ def run_dedup(spark, args) -> dict:
     stages.append(m)
     cmap, m = cs.observed_write(cluster_map(pairs), f"{out}/stages/04_cluster_map", "cluster_map")
     stages.append(m)
-    snap, m = cs.observed_write(snapshot(attach_clusters(rows, cmap), SnapshotConfig()), f"{out}/stages/05_snapshot", "snapshot")
+    snap, m = cs.observed_write(cluster_snapshot(canon, cmap, SnapshotConfig()), f"{out}/stages/05_snapshot", "snapshot")
     stages.append(m)
     cs.write_manifest(spark, f"{out}/manifest", args.run_id, "finished", t0, stages, {"snapshot": f"{out}/stages/05_snapshot"})
     return {"stages": stages}
@@ -89,8 +89,11 @@ def run_tokenize(spark, args) -> dict:
     model = bpe.load_or_train(spark, f"{out}/tokenizer", bpe.pretoken_counts(train, "text_x", cfg), cfg)
     enc = bpe.encode(texts, model, cfg, "text_x", ("row_key",), append_eos=True)
     enc = enc.join(texts.select("row_key", "split_key", "split", "text_x"), "row_key")
-    targets = {"train": args.train_tokens, "val": args.val_tokens}
-    kept = shards.token_budget(enc, ["row_key"], "ids", targets).drop("pos", "cum_before")
+    targets = {k: v for k, v in (("train", args.train_tokens), ("val", args.val_tokens)) if v is not None}
+    kept = enc.where(~F.coalesce(F.col("split").isin(*targets), F.lit(False))) if targets else enc   # no target: whole split
+    if targets:
+        kept = kept.unionByName(shards.token_budget(enc.where(F.col("split").isin(*targets)), ["row_key"], "ids", targets)
+                                      .drop("pos", "cum_before"))
     dtype, width = shards.token_width(args.vocab_size)
     placed = shards.assign_shards(kept.withColumn("nbytes", F.size("ids") * width), ["row_key"], "nbytes",
                                   args.shard_bytes)
@@ -137,8 +140,8 @@ def main(argv=None) -> None:
     t.add_argument("--min-frequency", type=int, default=2)
     t.add_argument("--val-fraction", type=float, default=0.01)
     t.add_argument("--seed", type=int, default=42)
-    t.add_argument("--train-tokens", type=int, default=500_000_000)
-    t.add_argument("--val-tokens", type=int, default=5_000_000)
+    t.add_argument("--train-tokens", type=int, default=None)    # no target: every document is kept
+    t.add_argument("--val-tokens", type=int, default=None)
     t.add_argument("--shard-bytes", type=int, default=268_435_456)
     t.add_argument("--raw-bin", action="store_true")
     g = sub.add_parser("diagnostics")

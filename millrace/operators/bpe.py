@@ -8,11 +8,11 @@
   by piece counts, a top-1 pick (count desc, then ids asc) and one
   ``regexp_replace`` that merges every occurrence left to right. One merge
   per round is exact; the piece table is checkpointed every few rounds.
-* E4 ``encode``: each distinct piece is encoded once (merges applied by rank
-  in an Arrow batch UDF whose merge table is bounded by the vocabulary
-  size), then joined back and concatenated in piece order.
-* E5 ``decode``: ids -> token strings through a broadcast vocabulary (bounded
-  by the vocabulary size), byte-level characters -> bytes -> UTF-8.
+* E4 ``encode``: no shuffle. A document's pieces go to an Arrow batch UDF that
+  applies the merges by rank, once per distinct piece it has not met before
+  (merge table bounded by the vocabulary size, memo bounded by ``MEMO``).
+* E5 ``decode``: no shuffle. Ids -> token bytes -> UTF-8 in an Arrow batch UDF
+  with the vocabulary (bounded by its size).
 """
 
 from __future__ import annotations
@@ -193,18 +193,27 @@ def load_or_train(spark: SparkSession, path: str, counts: DataFrame | None, cfg:
     return BPEModel(spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/merges"))
 
 
-def _encode_udf(vocab_rows: list[tuple[str, int]], merge_rows: list[tuple[int, str, str]], unk_id: int):
-    ids = dict(vocab_rows)
+# Distinct pieces a worker keeps encoded before it starts anew (memory bound).
+MEMO = 500_000
+
+
+def _tables(model: BPEModel, cfg: BPEConfig) -> tuple[list, list]:
+    """Vocabulary and merges on the driver; their size is checked before."""
+    if model.vocab.count() > cfg.vocab_size:
+        raise ValueError("vocabulary larger than configured")
+    return ([(r["token"], r["id"], r["special"]) for r in model.vocab.collect()],
+            [(r["rank"], r["left"], r["right"]) for r in model.merges.collect()])
+
+
+def _encode_udf(vocab_rows: list, merge_rows: list, unk_id: int):
+    ids = {t: i for t, i, _ in vocab_rows}
     ranks = {(ids[l], ids[r]): (rk, ids[l + r]) for rk, l, r in merge_rows}
+    memo: dict[str, list[int]] = {}
 
     def encode_piece(piece: str) -> list[int]:
-        sym = [ids.get(ch, unk_id) for ch in piece]
+        sym = [ids.get(BYTE_CHARS[b], unk_id) for b in piece.encode()]
         while len(sym) > 1:
-            best = None
-            for i in range(len(sym) - 1):
-                m = ranks.get((sym[i], sym[i + 1]))
-                if m is not None and (best is None or m[0] < best[0]):
-                    best = m
+            best = min((ranks[p] for p in zip(sym, sym[1:]) if p in ranks), default=None)
             if best is None:
                 break
             out, i = [], 0
@@ -220,59 +229,58 @@ def _encode_udf(vocab_rows: list[tuple[str, int]], merge_rows: list[tuple[int, s
 
     @F.arrow_udf("array<int>")
     def encode(pieces: pa.Array) -> pa.Array:
-        return pa.array([encode_piece(p) for p in pieces.to_pylist()], pa.list_(pa.int32()))
+        out = []
+        for doc in pieces.to_pylist():
+            row: list[int] = []
+            for p in doc or ():
+                known = memo.get(p)
+                if known is None:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    known = memo[p] = encode_piece(p)
+                row += known
+            out.append(row)
+        return pa.array(out, pa.list_(pa.int32()))
 
     return encode.asNondeterministic()
 
 
-def encode_pieces(pieces: DataFrame, model: BPEModel, cfg: BPEConfig = BPEConfig()) -> DataFrame:
-    """``(piece, ids)`` for distinct byte-level pieces. The merge table is
-    shipped to tasks; its size is bounded by ``vocab_size``."""
-    vocab_rows = [(r["token"], r["id"]) for r in model.vocab.collect()]
-    merge_rows = [(r["rank"], r["left"], r["right"]) for r in model.merges.orderBy("rank").collect()]
-    if len(vocab_rows) > cfg.vocab_size:
-        raise ValueError("vocabulary larger than configured")
-    unk = dict(vocab_rows).get(cfg.unk_token, 0)
-    return pieces.withColumn("ids", _encode_udf(vocab_rows, merge_rows, unk)(F.col("piece")))
-
-
 def encode(docs: DataFrame, model: BPEModel, cfg: BPEConfig = BPEConfig(), text_col: str = "text",
            key_cols: tuple[str, ...] = ("doc_id",), append_eos: bool = True,
            max_len: int | None = None) -> DataFrame:
-    """``key_cols + ids``. Pieces are encoded once per distinct piece and
-    joined back (AQE splits a piece that is very frequent); ids with eos are
-    cut to ``max_len - 1`` before eos, without eos to ``max_len``."""
-    keys = list(key_cols)
-    occ = docs.select(*keys, F.posexplode(pretokens(F.col(text_col), cfg.add_prefix_space)).alias("i", "raw"))
-    # Byte mapping and BPE run once per distinct piece, not per occurrence.
-    distinct = occ.select("raw").distinct().withColumn("piece", byte_level(F.col("raw")))
-    coded = encode_pieces(distinct, model, cfg).select("raw", "ids")
-    joined = occ.join(coded, "raw")
-    per_doc = joined.groupBy(*keys).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda s: s["ids"])).alias("ids"))
-    out = docs.select(*keys).join(per_doc, keys, "left").withColumn(
-        "ids", F.coalesce(F.col("ids"), F.array().cast("array<int>")))
-    eos = model.vocab.where(F.col("token") == cfg.eos_token).select("id").collect()
-    if append_eos and eos:
+    """``key_cols + ids``, one row per input row; ids with eos are cut to
+    ``max_len - 1`` before eos, without eos to ``max_len``."""
+    vocab_rows, merge_rows = _tables(model, cfg)
+    ids = {t: i for t, i, _ in vocab_rows}
+    pieces = pretokens(F.col(text_col), cfg.add_prefix_space)
+    out = docs.select(*key_cols, _encode_udf(vocab_rows, merge_rows, ids.get(cfg.unk_token, 0))(pieces).alias("ids"))
+    if append_eos and cfg.eos_token in ids:
         body = F.col("ids") if not max_len else F.slice("ids", 1, max_len - 1)
-        return out.withColumn("ids", F.concat(body, F.array(F.lit(eos[0]["id"]))))
+        return out.withColumn("ids", F.concat(body, F.array(F.lit(ids[cfg.eos_token]))))
     if max_len:
         return out.withColumn("ids", F.slice("ids", 1, max_len))
     return out
 
 
 def decode(encoded: DataFrame, model: BPEModel, key_cols: tuple[str, ...] = ("doc_id",),
-           ids_col: str = "ids") -> DataFrame:
-    """E5: ``key_cols + text``; special tokens are skipped; an id outside the
-    vocabulary is an error (raised by ``assert_true``)."""
-    keys = list(key_cols)
-    vocab = F.broadcast(model.vocab)      # bounded by the vocabulary size
-    occ = encoded.select(*keys, F.posexplode(ids_col).alias("i", "id"))
-    joined = occ.join(vocab, "id", "left")
-    checked = joined.withColumn("_ok", F.assert_true(F.col("token").isNotNull(), F.lit("unknown token id")))
-    kept = checked.where(~F.col("special"))
-    rev = F.create_map(*[x for b, c in enumerate(BYTE_CHARS) for x in (F.lit(c), F.lit("%02X" % b))])
-    per = kept.groupBy(*keys).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("i", "token"))), lambda s: s["token"]), "").alias("bl"))
-    hexed = F.array_join(F.transform(F.split("bl", ""), lambda c: rev[c]), "")
-    return per.select(*keys, F.decode(F.unhex(hexed), "UTF-8").alias("text"))
+           ids_col: str = "ids", cfg: BPEConfig = BPEConfig()) -> DataFrame:
+    """E5: ``key_cols + text``, one row per input row. Special tokens are
+    skipped; ids cut inside a character decode with the replacement character;
+    an id outside the vocabulary fails the job; null ids give null."""
+    code = {c: b for b, c in enumerate(BYTE_CHARS)}
+    data = {i: b"" if special else bytes(code[c] for c in t) for t, i, special in _tables(model, cfg)[0]}
+
+    @F.arrow_udf("string")
+    def text(ids: pa.Array) -> pa.Array:
+        out = []
+        for doc in ids.to_pylist():
+            if doc is None:
+                out.append(None)
+                continue
+            unknown = next((i for i in doc if i not in data), None)
+            if unknown is not None:
+                raise ValueError(f"unknown token id {unknown}")
+            out.append(b"".join(map(data.__getitem__, doc)).decode("utf-8", "replace"))
+        return pa.array(out, pa.string())
+
+    return encoded.select(*key_cols, text.asNondeterministic()(F.col(ids_col).cast("array<int>")).alias("text"))

@@ -128,8 +128,3 @@ def apply_minhash(df: DataFrame, tokens_col: str, cfg: MinHashConfig = MinHashCo
     if impl != "arrow":
         raise ValueError(f"unknown impl {impl!r}")
     return out.withColumn("sig", _arrow_signature(cfg)(base))
-
-
-def only_sig_ok(df: DataFrame) -> DataFrame:
-    """B4."""
-    return df.where(F.coalesce(F.col("sig_ok"), F.lit(False)))

@@ -64,22 +64,37 @@ def step_of(metrics: Column) -> Column:
     return F.coalesce(metrics.getItem("_step"), metrics.getItem("train/step")).cast("bigint")
 
 
-def unpivot_diagnostics(run_log: DataFrame) -> DataFrame:
-    """G1: ``(run_id, step, layer, metric, value)`` from the diagnostics keys."""
-    e = run_log.select("run_id", step_of(F.col("metrics")).alias("step"),
-                       F.explode("metrics").alias("key", "value"))
+def with_log_position(run_log: DataFrame) -> DataFrame:
+    """Adds ``log_pos``, the place of a row in the log; a log that carries a
+    ``log_pos`` column keeps it. Otherwise rows are placed by step, rows
+    without a step before all others, and rows of one step by a hash of their
+    metrics, so that exactly one row is the last."""
+    if "log_pos" in run_log.columns:
+        return run_log
+    step = step_of(F.col("metrics"))
+    return run_log.withColumn("log_pos", F.struct(step.alias("step"), F.xxhash64(F.to_json("metrics")).alias("h")))
+
+
+def unpivot_diagnostics(run_log: DataFrame, keep_position: bool = False) -> DataFrame:
+    """G1: ``(run_id, step, layer, metric, value)`` from the diagnostics keys
+    (and ``log_pos``, see ``with_log_position``, when asked for)."""
+    pos = ["log_pos"] if keep_position else []
+    e = (with_log_position(run_log) if keep_position else run_log).select(
+        "run_id", step_of(F.col("metrics")).alias("step"), *pos, F.explode("metrics").alias("key", "value"))
     e = e.where(F.col("key").rlike(ATTN_KEY_RE))
-    return e.select("run_id", "step",
+    return e.select("run_id", "step", *pos,
                     F.regexp_extract("key", ATTN_KEY_RE, 1).cast("int").alias("layer"),
                     F.regexp_extract("key", ATTN_KEY_RE, 2).alias("metric"),
                     finite_or_null(F.col("value")).alias("value"))
 
 
 def latest_per_layer(long: DataFrame) -> DataFrame:
-    """Per (run, layer) the metrics of its last logged step only (the
-    whole row wins; values from earlier steps are not merged in)."""
-    last = long.groupBy("run_id", "layer").agg(F.max("step").alias("step"))
-    return long.join(last, ["run_id", "layer", "step"])
+    """Per (run, layer) the metrics of the last log row that has the layer
+    (the row wins whole; values from earlier rows are not merged in).
+    ``long`` carries ``log_pos``; the result does not."""
+    last = long.groupBy("run_id", "layer").agg(F.max("log_pos").alias("_last"))
+    return (long.join(last, ["run_id", "layer"]).where(F.col("log_pos") == F.col("_last"))
+                .select("run_id", "step", "layer", "metric", "value"))
 
 
 _FLOAT_TEXT = r"^[-+]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$|^[-+]?[0-9]+[eE][-+]?[0-9]+$"
@@ -109,10 +124,11 @@ def change_label(runs: DataFrame, prefix: str = "qk-init-m-", summary_key: str |
     return runs.withColumn("change", F.coalesce(*cands))
 
 
-def summary_fallback(runs: DataFrame, run_log: DataFrame) -> DataFrame:
-    """Runs with no history rows contribute their summary diagnostics
-    as ``(run_id, step, layer, metric, value)``."""
-    orphans = runs.join(run_log.select("run_id").distinct(), "run_id", "left_anti")
+def summary_fallback(runs: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """Runs without any diagnostics row in their history contribute their
+    summary diagnostics as ``(run_id, step, layer, metric, value)``.
+    ``diagnostics``: the unpivoted history (G1)."""
+    orphans = runs.join(diagnostics.select("run_id").distinct(), "run_id", "left_anti")
     e = orphans.select("run_id", F.col("summary").getItem("_step").cast("bigint").alias("step"),
                        F.explode("summary").alias("key", "value"))
     e = e.where(F.col("key").rlike(ATTN_KEY_RE))
@@ -127,10 +143,11 @@ def diagnostics_table(runs: DataFrame, run_log: DataFrame, all_steps: bool = Fal
     """G1-G6 combined: long rows ``(change, layer, step, run_name, run_id,
     state, metric, value)`` from history, or from the summary for runs
     without history."""
-    hist = unpivot_diagnostics(run_log)
+    hist = unpivot_diagnostics(run_log, keep_position=not all_steps)
+    fallback = summary_fallback(runs, hist)
     if not all_steps:
         hist = latest_per_layer(hist)
-    rows = hist.unionByName(summary_fallback(runs, run_log))
+    rows = hist.unionByName(fallback)
     labelled = change_label(runs, prefix, summary_key).select("run_id", "run_name", "state", "change")
     return rows.join(labelled, "run_id")
 

@@ -40,6 +40,31 @@ def pick_representative(df: DataFrame, key_col: str) -> DataFrame:
     return best.select(key_col, *[F.col("_best")[c].alias(c) for c in payload]).select(*df.columns)
 
 
+def cluster_snapshot(rows: DataFrame, cmap: DataFrame, cfg: SnapshotConfig = SnapshotConfig()) -> DataFrame:
+    """D7-D9 in one pass over the rows: the winners are chosen on ids, lengths
+    and hashes alone, then one join by id drops the others and attaches the
+    cluster id, so whole rows are shuffled once and no text enters an aggregate.
+
+    Equals ``snapshot(attach_clusters(rows, cmap))``. Rows that share an id
+    are settled by ``pick_representative`` among themselves."""
+    narrow = rows.select("id", F.length(_str_or_empty(rows, "code_ref")).alias("n1"), F.length(_str_or_empty(rows, "instruction")).alias("n2"))
+    per_id = narrow.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("n1", "n2")).alias("longest"))
+    own = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("None")))
+    per_id = per_id.join(cmap.select(F.col("id").alias("c_id"), F.nullif(F.col("cluster_id"), F.lit("")).alias("_cid")),
+                         F.col("id") == F.col("c_id"), "left")
+    order = F.struct((-F.col("longest.n1")).alias("k1"), (-F.col("longest.n2")).alias("k2"),
+                     F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("k3"))
+    per_id = per_id.select(F.col("id").alias("_id"), "_n", F.coalesce("_cid", own).alias("_cluster"), order.alias("_order"), F.col("_cid").isNotNull().alias("_linked"))
+    best = per_id.where("_linked").groupBy("_cluster").agg(F.min("_order").alias("_best")).withColumnRenamed("_cluster", "_b_cluster")
+    flags = (per_id.join(best, F.col("_linked") & (F.col("_cluster") == F.col("_b_cluster")), "left")
+                   .where(F.col("_best").isNull() | (F.col("_order") == F.col("_best"))).select("_id", "_n", "_cluster"))
+    kept = rows.drop("cluster_id").join(flags, F.col("id").eqNullSafe(F.col("_id"))).withColumn("cluster_id", F.col("_cluster"))
+    names = [*[c for c in rows.columns if c != "cluster_id"], "cluster_id"]
+    single = kept.where("_n = 1").select(*names)
+    shared = pick_representative(kept.where("_n > 1").select(*names), "cluster_id")
+    return single.unionByName(shared).select(*[c for c in cfg.keep_cols if c in names])
+
+
 def snapshot(rows_with_clusters: DataFrame, cfg: SnapshotConfig = SnapshotConfig()) -> DataFrame:
     """Representatives by ``canon_hash`` (exact) or ``cluster_id``."""
     if cfg.mode not in ("exact", "cluster"):

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from millrace.plans import dedup as dd
 from millrace.plans import oracle_dedup as od
-from millrace.operators.snapshot import cluster_size_histogram, dedup_summary
+from millrace.config import SnapshotConfig
+from millrace.operators.snapshot import cluster_size_histogram, dedup_summary, snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +86,20 @@ def q_d9(spark, sf):
     return dd.dedup_documents(table(spark, sf, "documents"))
 
 
+@register("d9_snapshot_exact", """
+SELECT dataset, id, instruction, code_ref, language, has_code, canon_hash FROM (
+  SELECT source AS dataset, CAST(doc_id AS VARCHAR) AS id, lang AS instruction, text AS code_ref, 'text' AS language,
+         true AS has_code, md5(text) AS canon_hash,
+         row_number() OVER (PARTITION BY md5(text) ORDER BY length(coalesce(lang, '')) DESC, md5(CAST(doc_id AS VARCHAR))) AS rn
+  FROM documents) q WHERE rn = 1
+""")
+def q_d9x(spark, sf):
+    """Exact mode, with a hash of the text as the key."""
+    rows = dd.document_rows(table(spark, sf, "documents")).withColumn("canon_hash", F.md5("code_ref"))
+    keep = ("dataset", "id", "instruction", "code_ref", "language", "has_code", "canon_hash")
+    return snapshot(rows, SnapshotConfig(mode="exact", keep_cols=keep))
+
+
 @register("d10_cluster_sizes", od.with_chain(
     "SELECT cluster_size, count(*) AS n_clusters FROM "
     "(SELECT cluster_id, count(*) AS cluster_size FROM rws GROUP BY cluster_id) s GROUP BY cluster_size"))

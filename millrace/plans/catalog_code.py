@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.config import CanonConfig, SplitConfig
+from millrace.config import SplitConfig
 from millrace.functions.hashing import sql_unit_interval
 from millrace.operators import canon as cn
 from millrace.operators.rows import filter_parseable
@@ -29,15 +29,7 @@ def q_c1(spark, sf):
 
 @register("c2_token_fallback")
 def q_c2(spark, sf):
-    cfg = CanonConfig(on_parse_error="fallback")
-    return _summary(cd.canonical_rows(table(spark, sf, "documents"), cfg))
-
-
-@register("c1_canonicalize_dump")
-def q_c1d(spark, sf):
-    cfg = CanonConfig(representation="dump")
-    rows = cn.with_canon_hash(cd.canonical_rows(table(spark, sf, "documents"), cfg))
-    return rows.select("id", "parse_ok", F.length("canon_dump").cast("bigint").alias("dump_chars"), "canon_hash")
+    return _summary(cd.canonical_rows(table(spark, sf, "documents"), on_parse_error="fallback"))
 
 
 # The parse outcome per row is known from the binding (text rows and rows
@@ -61,8 +53,17 @@ def q_b3(spark, sf):
 
 @register("b4_filter_sig_ok", od.with_chain("SELECT id FROM sh"))
 def q_b4(spark, sf):
-    from millrace.operators.minhash import only_sig_ok
-    return only_sig_ok(dd.signatures(table(spark, sf, "documents"))).select("id")
+    from millrace.operators.rows import filter_sig_ok
+    return filter_sig_ok(dd.signatures(table(spark, sf, "documents"))).select("id")
+
+
+# Rows of one template share a canonical hash; rejected rows have none.
+@register("c3_canon_hash", f"SELECT CAST(doc_id % 6 AS BIGINT) AS template, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_hashes "
+                           f"FROM documents WHERE {_EXPECT} = '' GROUP BY 1")
+def q_c3(spark, sf):
+    rows = cn.with_canon_hash(cd.canonical_rows(table(spark, sf, "documents"))).where("canon_hash IS NOT NULL")
+    return rows.groupBy(F.pmod(F.col("id").cast("bigint"), F.lit(6)).alias("template")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("canon_hash").alias("n_hashes"))
 
 
 @register("c_code_dedup_snapshot")

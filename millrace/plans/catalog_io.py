@@ -78,7 +78,7 @@ def q_st2(spark, sf):
     steps = rb.steps(st.read_landing(spark, sf, schema, glob="events.parquet"))
     out, ckpt = cs.scratch_path(spark, "st2-out"), cs.scratch_path(spark, "st2-ckpt")
     st.monitor_stream(steps, out, ckpt).awaitTermination()
-    return spark.read.parquet(out)
+    return st.latest_monitor(spark, out)
 
 
 # ---------------------------------------------------------- sources / sinks

@@ -67,14 +67,14 @@ def q_g3(spark, sf):
 
 @register("g4_latest_per_layer", _with("SELECT run_id, layer, step, metric, value FROM latest"))
 def q_g4(spark, sf):
-    return rl.latest_per_layer(rl.unpivot_diagnostics(b.run_log(table(spark, sf, "events")))) \
+    return rl.latest_per_layer(rl.unpivot_diagnostics(b.run_log(table(spark, sf, "events")), keep_position=True)) \
              .select("run_id", "layer", "step", "metric", "value")
 
 
 @register("g6_summary_fallback", _with("SELECT run_id, step, layer, metric, value FROM fallback"))
 def q_g6(spark, sf):
     log, runs = _tabs(spark, sf)
-    return rl.summary_fallback(runs, log)
+    return rl.summary_fallback(runs, rl.unpivot_diagnostics(log))
 
 
 _PIVOT_COLS = ", ".join(f"max(CASE WHEN metric = '{m}' THEN value END) AS {m}" for m in METRICS)

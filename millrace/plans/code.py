@@ -15,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.config import CanonConfig, ComponentsConfig, LSHConfig, MinHashConfig, SnapshotConfig
+from millrace.config import ComponentsConfig, LSHConfig, MinHashConfig, SnapshotConfig
 from millrace.operators.canon import canonicalize
 from millrace.operators.components import cluster_map
 from millrace.operators.lsh import band_keys, candidate_pairs
 from millrace.operators.minhash import apply_minhash
-from millrace.operators.snapshot import attach_clusters, snapshot
+from millrace.operators.snapshot import cluster_snapshot
 from millrace.session import spread
 
 # Fixed values of this binding: six templates ({n} = doc_id, {doc} = text).
@@ -49,17 +49,15 @@ def code_rows(docs: DataFrame) -> DataFrame:
         code.alias("code_ref"))
 
 
-def canonical_rows(docs: DataFrame, cfg: CanonConfig = CanonConfig()) -> DataFrame:
-    return canonicalize(code_rows(docs), cfg)
+def canonical_rows(docs: DataFrame, on_parse_error: str = "skip") -> DataFrame:
+    return canonicalize(code_rows(docs), on_parse_error=on_parse_error)
 
 
-def code_snapshot(docs: DataFrame, canon: CanonConfig = CanonConfig(), mh: MinHashConfig = MinHashConfig(),
-                  lsh: LSHConfig = LSHConfig(), comp: ComponentsConfig = ComponentsConfig(),
-                  snap: SnapshotConfig = SnapshotConfig()) -> DataFrame:
-    """The reference's dedup flow on code: canonicalize -> MinHash over AST
-    node types -> LSH pairs -> components -> one row per cluster."""
-    rows = canonical_rows(docs, canon)
+def code_snapshot(docs: DataFrame, mh: MinHashConfig = MinHashConfig(), lsh: LSHConfig = LSHConfig(),
+                  comp: ComponentsConfig = ComponentsConfig(), snap: SnapshotConfig = SnapshotConfig()) -> DataFrame:
+    """The dedup flow on code: node types -> MinHash -> LSH pairs -> components
+    -> one row per cluster."""
+    rows = canonical_rows(docs)
     sigs = apply_minhash(rows.select("id", "node_types", "parse_ok"), "node_types", mh, ok_col="parse_ok")
     cmap = cluster_map(candidate_pairs(band_keys(sigs, lsh)), comp)
-    base = code_rows(docs)
-    return snapshot(attach_clusters(base, cmap), snap)
+    return cluster_snapshot(code_rows(docs), cmap, snap)

@@ -17,7 +17,7 @@ from millrace.functions.text import words
 from millrace.operators.components import cluster_map
 from millrace.operators.lsh import band_keys, bucket_stats, candidate_pairs
 from millrace.operators.minhash import apply_minhash
-from millrace.operators.snapshot import attach_clusters, snapshot
+from millrace.operators.snapshot import attach_clusters, cluster_snapshot
 from millrace.session import spread
 
 
@@ -75,7 +75,7 @@ def rows_with_clusters(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> Dat
 
 def dedup_documents(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
     """The deduplicated corpus: one representative per near-duplicate cluster."""
-    return snapshot(rows_with_clusters(docs, cfg), cfg.snapshot)
+    return cluster_snapshot(document_rows(docs), clusters(docs, cfg), cfg.snapshot)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

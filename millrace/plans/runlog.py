@@ -1,8 +1,9 @@
 """Binding of the driver tables to run-log inputs.
 
 ``events`` plays the step log: run = ``user_id``, step = ``event_id``,
-layer = ``props.k % 8``, metric = ``event_type``, value = ``value``. Runs with
-``user_id % 10 = 0`` have no history rows (their diagnostics live only in
+layer = ``props.k % 8``, metric = ``event_type``, value = ``value``. Every event
+is a history row; runs with ``user_id % 10 = 0`` log their values under
+``train/<event_type>`` only, so their history holds no diagnostics (those live in
 the summary). ``part`` plays the exported diagnostics table for G12/G13.
 All tables are derived by Spark from the inputs, so work grows with them.
 """
@@ -23,9 +24,9 @@ def _events(events: DataFrame) -> DataFrame:
 
 
 def run_log(events: DataFrame) -> DataFrame:
-    e = _events(events).where(F.pmod("user_id", F.lit(10)) != 0)
-    key = F.concat(F.lit("attention_diagnostics/layer_"), F.pmod("k", F.lit(8)).cast("string"),
-                   F.lit("/"), F.col("event_type"))
+    e = _events(events)
+    key = F.when(F.pmod("user_id", F.lit(10)) == 0, F.concat(F.lit("train/"), F.col("event_type"))).otherwise(
+        F.concat(F.lit("attention_diagnostics/layer_"), F.pmod("k", F.lit(8)).cast("string"), F.lit("/"), F.col("event_type")))
     step = F.col("event_id").cast("double")
     m = F.create_map(key, F.col("value"), F.lit("train/step"), step)
     m = F.when(F.pmod("event_id", F.lit(3)) != 0, F.map_concat(m, F.create_map(F.lit("_step"), step))).otherwise(m)

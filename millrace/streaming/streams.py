@@ -43,7 +43,10 @@ def ingest_stream(stream: DataFrame, out_path: str, checkpoint: str, cfg: SplitC
 def monitor_aggregates(steps: DataFrame, watermark: str | None = None) -> DataFrame:
     if watermark:
         steps = steps.withColumn("log_time", F.col("log_time").cast("timestamp")).withWatermark("log_time", watermark)
-    bad = F.col("train_loss").isNotNull() & finite_or_null(F.col("train_loss")).isNull()
+    bad = F.lit(False)
+    for c in ("train_loss", "grad_norm"):          # the flag of G8
+        if c in steps.columns:
+            bad = bad | (F.col(c).isNotNull() & finite_or_null(F.col(c)).isNull())
     return steps.groupBy("run_id").agg(
         F.max("step").alias("last_step"),
         F.min("val_loss").alias("best_val_loss"),
@@ -52,12 +55,20 @@ def monitor_aggregates(steps: DataFrame, watermark: str | None = None) -> DataFr
 
 
 def monitor_stream(steps: DataFrame, out_path: str, checkpoint: str, watermark: str | None = None):
-    """ST2: the complete per-run table is rewritten each micro-batch
-    (``foreachBatch``: idempotent overwrite, so a replayed batch is harmless)."""
+    """ST2: each micro-batch writes the complete per-run table to a folder of
+    its own, ``batch=<epoch>``. A replayed batch overwrites only its own folder,
+    and readers of an earlier one are not disturbed; see ``latest_monitor``."""
     agg = monitor_aggregates(steps, watermark)
 
     def publish(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={epoch}")
 
     return (agg.writeStream.outputMode("complete").foreachBatch(publish)
                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def latest_monitor(spark, out_path: str) -> DataFrame:
+    """The per-run table of the last complete micro-batch."""
+    table = spark.read.parquet(out_path)
+    last = table.agg(F.max("batch")).first()[0]
+    return table.where(F.col("batch") == last).drop("batch")

@@ -84,3 +84,30 @@ def test_load_or_train_reuses_saved_model(spark, trained, tmp_path):
     assert key(first) == key(again) == key(model)
     with pytest.raises(ValueError):
         bpe.load_or_train(spark, str(tmp_path / "missing"), None, cfg)
+
+
+def test_decode_keeps_empty_rows_and_reports_faults(spark, trained):
+    _, cfg, model = trained
+    ids = {r.token: r.id for r in model.vocab.collect()}
+    half = [ids[bpe.BYTE_CHARS[0xC3]]] if bpe.BYTE_CHARS[0xC3] in ids else [ids["a"]]
+    df = spark.createDataFrame([(1, []), (2, half), (3, None), (4, [ids[cfg.eos_token], ids["a"]])], "doc_id long, ids array<int>")
+    got = {r.doc_id: r.text for r in bpe.decode(df, model).collect()}
+    assert got[1] == "" and got[3] is None and got[4] == "a" and set(got) == {1, 2, 3, 4}
+    assert got[2] in ("\ufffd", "a")
+    with pytest.raises(Exception, match="unknown token id"):
+        bpe.decode(spark.createDataFrame([(1, [999_999])], "doc_id long, ids array<int>"), model).collect()
+
+
+def test_encode_equals_the_public_library_on_documents(spark, tmp_path):
+    """Every document of sf0.001, encoded with a tokenizer of the public library built from our model."""
+    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    cfg = BPEConfig(vocab_size=320)
+    model = bpe.train_bpe(bpe.pretoken_counts(docs, "text", cfg), cfg)
+    vocab = {r.token: r.id for r in model.vocab.collect()}
+    merges = [(r.left, r.right) for r in model.merges.orderBy("rank").collect()]
+    lib = Tokenizer(models.BPE(vocab, merges, unk_token="<unk>"))
+    lib.pre_tokenizer, lib.decoder = pre_tokenizers.ByteLevel(add_prefix_space=True), decoders.ByteLevel()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, model, cfg, append_eos=False).collect()}
+    assert all(got[d] == lib.encode(t).ids for d, t in texts.items())

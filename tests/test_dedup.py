@@ -126,3 +126,15 @@ def test_pairs_layout_independent(spark, parts):
     base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert got == sorted(tuple(r) for r in dd.pairs(base).collect())
     assert MinHashConfig().num_perm == 128
+
+
+def test_cluster_snapshot_equals_the_two_steps(spark, parts):
+    from millrace.operators.snapshot import cluster_snapshot, snapshot
+    rng = random.Random(7)
+    rows = [(str(i), "c" * rng.randrange(4), "i" * rng.randrange(3), f"d{i % 3}") for i in range(200)]
+    rows += [("7", "cccccc", None, "x"), ("7", "c", "i", "y"), ("300", "q", "z", "w"), ("300", None, "z", "v"), (None, "n", "m", "u")]
+    df = spark.createDataFrame(rows, "id string, code_ref string, instruction string, dataset string").repartition(parts)
+    cmap = spark.createDataFrame([(str(i), f"k{i % 9}") for i in range(0, 120)], "id string, cluster_id string")
+    want = sorted(map(tuple, snapshot(attach_clusters(df, cmap)).collect()), key=repr)
+    cols = snapshot(attach_clusters(df, cmap)).columns
+    assert sorted(map(tuple, cluster_snapshot(df, cmap).select(cols).collect()), key=repr) == want and len(want) == 9 + 80 + 2

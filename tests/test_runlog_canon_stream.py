@@ -4,9 +4,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.config import CanonConfig
 from millrace.operators import runlog as rl
-from millrace.operators.canon import canonicalize, canonicalize_code
+from millrace.operators.canon import canonicalize, node_types, parse_row
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,22 +62,29 @@ def test_canonicalize_edge_cases(spark):
     assert got["ok"].parse_ok and "Expr" not in got["ok"].node_types
     assert got["ok"].node_types[:2] == ["Module", "FunctionDef"]
     assert not got["syntax"].parse_ok and got["syntax"].parse_err.startswith("SyntaxError:")
-    assert got["long"].parse_err == "too_long" and got["long"].node_types == []
+    assert got["long"].parse_ok and len(got["long"].node_types) == 1 + 40_000 * 4      # no length limit
     assert got["java"].parse_err == got["nocode"].parse_err == "not_python_or_no_code"
     assert got["null"].parse_ok and got["null"].node_types == ["Module"]
     # Q16: a bare 0 becomes "NUM", a str, and is removed as if it were a docstring.
     assert got["q16"].node_types == ["Module", "FunctionDef", "arguments", "Return", "Constant"]
 
 
+def test_traversals_hold_the_same_nodes():
+    code = "class A:\n    'doc'\n    def f(self, x=1):\n        return [y for y in x]\nprint(A().f(2))\n"
+    pre, post, bfs = (node_types(code, t) for t in ("preorder", "postorder", "bfs"))
+    assert pre[0] == bfs[0] == post[-1] == "Module" and sorted(pre) == sorted(post) == sorted(bfs)
+    assert pre[1:3] == ["ClassDef", "FunctionDef"] and bfs[1:3] == ["ClassDef", "Expr"]
+
+
 def test_token_fallback():
-    cfg = CanonConfig(on_parse_error="fallback")
-    ok, err, rep = canonicalize_code("x = = 1  # c\n", cfg)          # lexes, does not parse
-    # the end marker is not in the skip list, so it stays as literal text ""
+    ok, err, rep = parse_row("x = = 1  # c\n", "preorder", True)          # lexes, does not parse
+    # the end marker is not left out, so it stays as literal text ""
     assert ok and err.startswith("SyntaxError_fallback:") and rep == ["NAME", "=", "=", "NUM", ""]
-    ok2, err2, rep2 = canonicalize_code("x = (1, 'a'\n", cfg)         # unbalanced: lexing fails too
+    ok2, err2, rep2 = parse_row("x = (1, 'a'\n", "preorder", True)         # unbalanced: lexing fails too
     assert ok2 and rep2 == ["x", "=", "(1,", "'a'"]
-    ok3, _, rep3 = canonicalize_code("s = 'unterminated\n", cfg)
+    ok3, _, rep3 = parse_row("s = 'unterminated\n", "preorder", True)
     assert ok3 and isinstance(rep3, list)
+    assert len(parse_row("x = = " + "1 + " * 6000, "preorder", True)[2]) > 12_000   # no cap
 
 
 def test_ingest_stream_equals_batch(spark, tmp_path):
@@ -92,3 +98,39 @@ def test_ingest_stream_equals_batch(spark, tmp_path):
     got = sorted((r.doc_id, r.split) for r in spark.read.parquet(out).collect())
     want = sorted((r.doc_id, r.split) for r in split_texts(docs, SplitConfig(), key_col="doc_id").collect())
     assert got == want
+
+
+def test_last_log_row_wins_whole(spark):
+    """Null steps, two rows per layer and step, non-finite values, history without diagnostics."""
+    nan, inf = float("nan"), float("inf")
+    a = "attention_diagnostics/layer_"
+    log = [("r1", 0, {f"{a}2/x": 1.0, f"{a}2/y": 2.0, "_step": 5.0}), ("r1", 1, {f"{a}2/x": 3.0, "_step": 5.0}),
+           ("r1", 2, {f"{a}10/x": nan, f"{a}10/z": inf, "train/step": 4.0}), ("r1", 3, {f"{a}10/x": 7.0}), ("r1", 4, {"train/loss": 1.0, "_step": 9.0}),
+           ("r2", 5, {"train/loss": 1.0, "_step": 1.0})]
+    df = spark.createDataFrame(log, "run_id string, log_pos long, metrics map<string,double>")
+    long = rl.unpivot_diagnostics(df, keep_position=True)
+    assert sorted((r.layer, r.metric, r.value) for r in long.where("log_pos = 2").collect()) == [(10, "x", None), (10, "z", None)]
+    got = sorted(map(tuple, rl.latest_per_layer(long).collect()), key=repr)
+    assert got == [("r1", 5, 2, "x", 3.0), ("r1", None, 10, "x", 7.0)]      # whole rows: no y, no z
+    runs = spark.createDataFrame([(r, {"_step": "8", f"{a}1/x": "0.5", f"{a}1/y": "NaN", "other": "1"}) for r in ("r1", "r2", "r3")],
+                                 "run_id string, summary map<string,string>")
+    fall = sorted(map(tuple, rl.summary_fallback(runs, long).collect()), key=repr)
+    assert fall == [("r2", 8, 1, "x", 0.5), ("r2", 8, 1, "y", None), ("r3", 8, 1, "x", 0.5), ("r3", 8, 1, "y", None)]
+    one = rl.latest_per_layer(rl.unpivot_diagnostics(df.drop("log_pos"), keep_position=True))
+    assert {(r.layer, r.step) for r in one.collect()} == {(2, 5), (10, 4)}   # without a log position a step beats none
+
+
+def test_rollup_and_monitor_flag_non_finite(spark, tmp_path):
+    from millrace.streaming.streams import latest_monitor, monitor_aggregates, monitor_stream
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", 1, 1.0, 2.0, 0.5, 10), ("a", 2, None, 1.5, None, None), ("b", 1, nan, None, 0.1, 5), ("c", 1, 1.0, None, inf, 5), ("d", 1, None, None, None, 1)]
+    schema = "run_id string, step long, train_loss double, val_loss double, grad_norm double, tokens long"
+    steps = spark.createDataFrame(rows, schema)
+    assert {r.run_id: r.had_nan for r in rl.run_rollup(steps, 10).collect()} == {"a": False, "b": True, "c": True, "d": False}
+    want = sorted(map(tuple, monitor_aggregates(steps).collect()))
+    assert {r[0]: r[4] for r in want} == {"a": False, "b": True, "c": True, "d": False}
+    src, out, ck = (os.path.join(tmp_path, x) for x in ("src", "out", "ck"))
+    for part in (rows[:2], rows[2:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        monitor_stream(spark.readStream.schema(schema).parquet(src), out, ck).awaitTermination()
+    assert sorted(map(tuple, latest_monitor(spark, out).collect())) == want
