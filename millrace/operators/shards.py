@@ -27,18 +27,19 @@ from millrace.session import cut_lineage
 
 def token_budget(df: DataFrame, order_cols: Sequence[str], tokens_col: str, target: int | dict,
                  group_cols: Sequence[str] = ("split",)) -> DataFrame:
-    """Keep documents in order while the tokens before them are below the
-    target; the crossing document is kept whole; a target ``<= 0`` skips the
+    """Keep documents in order (``order_cols``, unique per group) while the
+    tokens before them are below the target; the crossing document is kept whole; a target ``<= 0`` skips the
     split. ``target`` is one number or ``{split: target}`` (missing = skip)."""
-    pos = global_positions(df.withColumn("_nt", F.size(tokens_col)), order_cols, weight="_nt",
-                           group_cols=group_cols).drop("_nt")
+    keys = [*group_cols, *order_cols]
+    narrow = df.select(*keys, F.size(tokens_col).alias("_nt"))       # only keys and lengths are ordered
+    pos = global_positions(narrow, order_cols, weight="_nt", group_cols=group_cols).drop("_nt")
     if isinstance(target, dict):
         t = F.lit(0).cast("bigint")
         for name, value in target.items():
             t = F.when(F.col("split") == name, F.lit(int(value))).otherwise(t)
     else:
         t = F.lit(int(target))
-    return pos.where((t > 0) & (F.col("cum_before") < t))
+    return df.join(pos.where((t > 0) & (F.col("cum_before") < t)), keys)
 
 
 def token_width(vocab_size: int) -> tuple[str, int]:
@@ -50,6 +51,14 @@ def token_width(vocab_size: int) -> tuple[str, int]:
     raise ValueError("vocabulary too large for uint32 token storage")
 
 
+# Rows (splits) of a per-group table that are broadcast at most.
+BROADCAST_GROUPS = 10_000
+
+
+def _small(per_group: DataFrame) -> DataFrame:
+    return F.broadcast(per_group) if per_group.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else per_group
+
+
 def _next_pointers(docs: DataFrame, target: int, group_cols: list[str]) -> DataFrame:
     """``(group.., pos, nxt)``; ``nxt = -1`` when the shard runs to the end."""
     g = [F.col(c) for c in group_cols]
@@ -62,7 +71,7 @@ def _next_pointers(docs: DataFrame, target: int, group_cols: list[str]) -> DataF
                               pos_col="_mpos", before_col="n_le")
     counts = docs.groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
     q = merged.where(F.col("kind") == 1).select(*g, F.col("idx").alias("pos"), "n_le")
-    q = q.join(counts, group_cols)   # one row per group
+    q = q.join(_small(counts), group_cols)   # one row per group: no shuffle of all documents by split
     nxt = F.greatest(F.col("pos") + 1, F.col("n_le"))
     return q.select(*g, "pos", F.when(nxt < F.col("n"), nxt).otherwise(F.lit(-1)).alias("nxt"))
 
@@ -88,18 +97,22 @@ def shard_starts(docs: DataFrame, target: int, group_cols: list[str], max_rounds
 
 def assign_shards(df: DataFrame, order_cols: Sequence[str], bytes_col: str, target_bytes: int,
                   group_cols: Sequence[str] = ("split",)) -> DataFrame:
-    """Adds ``shard`` (0-based per group), ``pos`` and ``cum_before``."""
-    group_cols = list(group_cols)
-    docs = global_positions(df.withColumn("nbytes", F.col(bytes_col).cast("bigint")),
+    """Adds ``shard`` (0-based per group), ``pos`` and ``cum_before``.
+
+    ``order_cols`` must be unique per group. Everything up to the shard number
+    works on keys and byte counts; the documents are joined with it once."""
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    keys = [*group_cols, *order_cols]
+    docs = global_positions(df.select(*keys, F.col(bytes_col).cast("bigint").alias("nbytes")),
                             order_cols, weight="nbytes", group_cols=group_cols)
     docs = cut_lineage(docs)
     starts = shard_starts(docs.select(*group_cols, "pos", "nbytes", "cum_before"), target_bytes, group_cols)
     flagged = docs.join(starts.withColumn("_start", F.lit(1)), group_cols + ["pos"], "left") \
                   .withColumn("_start", F.coalesce("_start", F.lit(0)))
-    numbered = global_positions(flagged.drop("cum_before"), ["pos"], weight="_start",
+    numbered = global_positions(flagged, ["pos"], weight="_start",
                                 group_cols=group_cols, pos_col="_p2", before_col="_sb")
-    return numbered.withColumn("shard", (F.col("_sb") + F.col("_start") - 1).cast("int")) \
-                   .drop("_start", "_sb", "_p2")
+    placed = numbered.select(*keys, "pos", "cum_before", (F.col("_sb") + F.col("_start") - 1).cast("int").alias("shard"))
+    return df.withColumn("nbytes", F.col(bytes_col).cast("bigint")).join(placed, keys)
 
 
 def split_stats(df: DataFrame, text_col: str, tokens_col: str, eos_token: str | None,

@@ -172,7 +172,7 @@ def q_e4(spark, sf):
     "SELECT split, doc_id, pos, cum_before FROM ord WHERE cum_before < "
     f"CASE split WHEN 'train' THEN {BUDGET['train']} WHEN 'val' THEN {BUDGET['val']} ELSE 0 END"))
 def q_e6(spark, sf):
-    e = tk.encoded_docs(table(spark, sf, "documents"), SPLIT)
+    e = tk.encoded_docs(table(spark, sf, "documents"), SPLIT).drop("text_x")
     return sh.token_budget(e, ["doc_id"], "ids", BUDGET).select("split", "doc_id", "pos", "cum_before")
 
 
@@ -191,23 +191,23 @@ walk(split, pos, shard, fill) AS (
     "SELECT o.split, o.doc_id, o.pos, CAST(w.shard AS INTEGER) AS shard FROM ord o JOIN walk w USING (split, pos)",
     _SHARD_WALK))
 def q_e7(spark, sf):
-    e = tk.encoded_docs(table(spark, sf, "documents"), SPLIT).withColumn("nbytes", F.size("ids") * 2)
+    e = tk.encoded_docs(table(spark, sf, "documents"), SPLIT).select("split", "doc_id", (F.size("ids") * 2).alias("nbytes"))
     return sh.assign_shards(e, ["doc_id"], "nbytes", SHARD_BYTES).select("split", "doc_id", "pos", "shard")
 
 
 @register("e9_split_stats", _with(
     "SELECT split, count(*) AS samples, CAST(sum(length(text_x) + 5) AS BIGINT) AS chars, "
-    "CAST(sum(len(ids)) AS BIGINT) AS tokens, 'uint16' AS bin_dtype FROM ord WHERE cum_before < "
-    f"CASE split WHEN 'train' THEN {BUDGET['train']} WHEN 'val' THEN {BUDGET['val']} ELSE 0 END GROUP BY split"))
+    "CAST(sum(len(ids)) AS BIGINT) AS tokens, 'uint16' AS bin_dtype FROM enc GROUP BY split"))
 def q_e9(spark, sf):
     e = tk.encoded_docs(table(spark, sf, "documents"), SPLIT)
-    kept = sh.token_budget(e, ["doc_id"], "ids", BUDGET)
     dtype, _ = sh.token_width(tk.HASH_VOCAB)
-    return sh.split_stats(kept, "text_x", "ids", tk.EOS_TOKEN).withColumn("bin_dtype", F.lit(dtype))
+    return sh.split_stats(e, "text_x", "ids", tk.EOS_TOKEN).withColumn("bin_dtype", F.lit(dtype))
 
 
-_ENC64 = f"""
-e64 AS (SELECT doc_id, split, list_slice({_ids('text_x')}, 1, {PAD_MAX_LEN - 1}) || [3] AS ids FROM enc),
+def _pad_ctes(max_len: int | None) -> str:
+    ids = f"list_slice({_ids('text_x')}, 1, {max_len - 1}) || [3]" if max_len else "ids"
+    return f"""
+e64 AS (SELECT doc_id, split, {ids} AS ids FROM enc),
 p64 AS (SELECT *, (row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1) // {PAD_BATCH} AS batch FROM e64),
 w64 AS (SELECT *, max(len(ids)) OVER (PARTITION BY split, batch) AS width FROM p64),
 pad AS (SELECT split, doc_id, CAST(batch AS BIGINT) AS batch,
@@ -216,25 +216,27 @@ pad AS (SELECT split, doc_id, CAST(batch AS BIGINT) AS batch,
 """
 
 
-def _padded(spark, sf):
-    e = tk.encoded_docs(table(spark, sf, "documents"), SPLIT).drop("ids") \
-          .withColumn("ids", tk.encode_words("text_x", True, PAD_MAX_LEN))
-    p = global_positions(e, ["doc_id"], group_cols=["split"])
+def _padded(spark, sf, max_len: int | None = None):
+    """Padded batches of whole documents, or cut to ``max_len`` tokens (E10's own parameter)."""
+    e = tk.encoded_docs(table(spark, sf, "documents"), SPLIT)
+    if max_len:
+        e = e.withColumn("ids", tk.encode_words("text_x", True, max_len))
+    p = global_positions(e.select("split", "doc_id", "ids"), ["doc_id"], group_cols=["split"])
     return pk.pad_batches(p, PAD_BATCH, tk.PAD_ID)
 
 
 @register("e10_pad_batches", _with(
     f"SELECT split, doc_id, batch, {_sql_arr('input_ids')} AS input_ids, {_sql_arr('labels')} AS labels FROM pad",
-    _ENC64))
+    _pad_ctes(PAD_MAX_LEN)))
 def q_e10(spark, sf):
-    return _padded(spark, sf).select("split", "doc_id", "batch", _arr("input_ids").alias("input_ids"),
+    return _padded(spark, sf, PAD_MAX_LEN).select("split", "doc_id", "batch", _arr("input_ids").alias("input_ids"),
                                      _arr("labels").alias("labels"))
 
 
 @register("e13_count_target_tokens", _with(
     "SELECT split, batch, target_tokens, CAST(sum(target_tokens) OVER (PARTITION BY split ORDER BY batch) AS BIGINT) AS cum_tokens "
     "FROM (SELECT split, batch, CAST(sum(len(list_filter(labels, lambda x: x <> -100))) AS BIGINT) AS target_tokens "
-    "FROM pad GROUP BY split, batch) q", _ENC64))
+    "FROM pad GROUP BY split, batch) q", _pad_ctes(None)))
 def q_e13(spark, sf):
     per = pk.count_target_tokens(_padded(spark, sf)).groupBy("split", "batch") \
             .agg(F.sum("target_tokens").cast("bigint").alias("target_tokens"))
@@ -254,7 +256,7 @@ toks AS (SELECT split, cum_before + generate_subscripts(ids, 1) - 1 AS off, unne
     f"(SELECT split, CAST(off // {SEQ_LEN + 1} AS BIGINT) AS block, list(tok ORDER BY off) AS chunk "
     f" FROM toks GROUP BY split, off // {SEQ_LEN + 1}) q WHERE len(chunk) = {SEQ_LEN + 1}", _TOKS))
 def q_e11(spark, sf):
-    off = pk.stream_offsets(tk.encoded_docs(table(spark, sf, "documents"), SPLIT), ["doc_id"])
+    off = pk.stream_offsets(tk.encoded_docs(table(spark, sf, "documents"), SPLIT).drop("text_x"), ["doc_id"])
     b = pk.pack_blocks(off, SEQ_LEN)
     return b.select("split", "block", _arr("input_ids").alias("input_ids"), _arr("labels").alias("labels"))
 
@@ -273,7 +275,7 @@ wins AS (SELECT split, window_id, list(tok ORDER BY off) AS chunk FROM tw GROUP
     f"SELECT split, window_id, {_sql_arr(f'list_slice(chunk, 1, {SEQ_LEN})')} AS input_ids, "
     f"{_sql_arr(f'list_slice(chunk, 2, {SEQ_LEN + 1})')} AS labels FROM wins", _WINS))
 def q_e12(spark, sf):
-    off = pk.stream_offsets(tk.encoded_docs(table(spark, sf, "documents"), SPLIT), ["doc_id"])
+    off = pk.stream_offsets(tk.encoded_docs(table(spark, sf, "documents"), SPLIT).drop("text_x"), ["doc_id"])
     w = pk.window_blocks(off, SEQ_LEN, STRIDE)
     return w.select("split", "window_id", _arr("input_ids").alias("input_ids"), _arr("labels").alias("labels"))
 
@@ -283,6 +285,6 @@ def q_e12(spark, sf):
     "(SELECT split, window_id, row_number() OVER (PARTITION BY split ORDER BY md5('43:' || CAST(window_id AS VARCHAR)), window_id) - 1 AS sample_pos, "
     "count(*) OVER (PARTITION BY split) AS n FROM wins) q WHERE sample_pos < (n // 4) * 4", _WINS))
 def q_e14(spark, sf):
-    off = pk.stream_offsets(tk.encoded_docs(table(spark, sf, "documents"), SPLIT), ["doc_id"])
+    off = pk.stream_offsets(tk.encoded_docs(table(spark, sf, "documents"), SPLIT).drop("text_x"), ["doc_id"])
     w = pk.window_blocks(off, SEQ_LEN, STRIDE).select("split", "window_id")
     return pk.epoch_sampler(w, "window_id", 4, seed=42, epoch=1).select("split", "window_id", "sample_pos", "rank")

@@ -4,87 +4,135 @@ Two forms:
 
 * Parquet ``(split, shard, pos, doc_id, tokens ARRAY<INT>)`` partitioned by
   split and shard, with the token width kept as a column;
-* the reference's raw layout ``{split}/{split}_{shard:06d}.bin`` (little
-  endian uint16/uint32, documents concatenated, no header) through a Python
+* the raw layout ``{split}/{split}_{shard:06d}.bin`` (little endian
+  uint16/uint32, documents concatenated, no header) through a Python
   ``DataSource``. Rows are hash-partitioned by (split, shard) and sorted by
-  position, so each task streams whole shards to their files in order.
-  The reader splits by file and yields fixed-size token chunks.
+  position, so each task streams whole shards in order. A task writes below
+  ``_attempt/<its own folder>``; the driver moves the files of the committed
+  attempts into place, after it has removed the old shards when overwriting,
+  and drops what failed attempts left. The reader takes ranges of a file and
+  yields Arrow batches.
 
-The raw form needs a path every executor can see (a shared mount).
+Paths go through ``pyarrow.fs`` (a local or mounted folder, HDFS, S3, ...).
 """
 
 from __future__ import annotations
 
-import os
+import re
+import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-CHUNK = 1 << 16
+CHUNK = 1 << 16                 # tokens per row
+RANGE = 64 * CHUNK              # tokens per reading task
 
 
-def _local(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
+def _fs(path: str):
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
 
 
-class _ShardFile(InputPartition):
-    def __init__(self, split: str, shard: int, path: str):
-        self.split, self.shard, self.path = split, shard, path
+def _shard_files(filesystem, root: str) -> list[tuple[str, int, str, int]]:
+    """``(split, shard, path, bytes)`` of the shards in place, in order."""
+    from pyarrow import fs
+    out = []
+    for f in filesystem.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
+        split, _, name = f.path[len(root):].strip("/").rpartition("/")
+        if f.type == fs.FileType.File and (m := re.fullmatch(re.escape(split) + r"_(\d+)\.bin", name)) and split and not split.startswith("_"):
+            out.append((split, int(m[1]), f.path, f.size))
+    return sorted(out)
+
+
+class _Range(InputPartition):
+    def __init__(self, split: str, shard: int, path: str, start: int, count: int):
+        self.split, self.shard, self.path, self.start, self.count = split, shard, path, start, count
 
 
 class _Commit(WriterCommitMessage):
-    def __init__(self, files: list[str]):
+    def __init__(self, files: list[tuple[str, str]]):
         self.files = files
 
 
-class TokenShardReader(DataSourceReader):
+class _Shards:
     def __init__(self, options):
-        self.path = _local(options["path"])
+        self.uri = options["path"]
         self.dtype = np.dtype(options.get("dtype", "uint16")).newbyteorder("<")
 
+
+class TokenShardReader(_Shards, DataSourceReader):
     def partitions(self):
+        filesystem, root = _fs(self.uri)
         parts = []
-        for split in sorted(os.listdir(self.path)):
-            d = os.path.join(self.path, split)
-            if not os.path.isdir(d):
-                continue
-            for f in sorted(os.listdir(d)):
-                if f.startswith(split + "_") and f.endswith(".bin"):
-                    parts.append(_ShardFile(split, int(f[len(split) + 1:-4]), os.path.join(d, f)))
-        return parts
+        for split, shard, path, size in _shard_files(filesystem, root):
+            n = size // self.dtype.itemsize
+            parts += [_Range(split, shard, path, k, min(RANGE, n - k)) for k in range(0, n, RANGE)]
+        return parts or [None]          # no shards: one task without rows
 
     def read(self, partition):
-        data = np.fromfile(partition.path, dtype=self.dtype)
-        for i in range(0, len(data), CHUNK):
-            yield (partition.split, partition.shard, i // CHUNK, data[i:i + CHUNK].astype(np.int64).tolist())
-
-
-class TokenShardWriter(DataSourceWriter):
-    def __init__(self, options):
-        self.path = _local(options["path"])
-        self.dtype = np.dtype(options.get("dtype", "uint16")).newbyteorder("<")
+        if partition is None:
+            return
+        filesystem, _ = _fs(self.uri)
+        with filesystem.open_input_file(partition.path) as f:
+            raw = f.read_at(partition.count * self.dtype.itemsize, partition.start * self.dtype.itemsize)
+        tokens = np.frombuffer(raw, self.dtype).astype(np.int64)
+        offsets = np.r_[np.arange(0, len(tokens), CHUNK), len(tokens)].astype(np.int32)
+        n = len(offsets) - 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([partition.split] * n), pa.array(np.full(n, partition.shard, np.int32)),
+             pa.array((partition.start // CHUNK + np.arange(n)).astype(np.int32)),
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))],
+            names=["split", "shard", "chunk", "tokens"])
+
+
+class TokenShardWriter(_Shards, DataSourceWriter):
+    def __init__(self, options, overwrite: bool):
+        super().__init__(options)
+        self.overwrite = overwrite
 
     def write(self, rows):
+        filesystem, root = _fs(self.uri)
+        attempt = f"{root}/_attempt/{uuid.uuid4().hex}"
         files, handle, current = [], None, None
         try:
             for row in rows:                 # sorted by split, shard, pos within the task
-                key = (row["split"], row["shard"])
+                key = (row["split"], int(row["shard"]))
                 if key != current:
                     if handle:
                         handle.close()
-                    d = os.path.join(self.path, row["split"])
-                    os.makedirs(d, exist_ok=True)
-                    name = os.path.join(d, f"{row['split']}_{int(row['shard']):06d}.bin")
-                    handle, current = open(name, "wb"), key
-                    files.append(name)
+                    name = f"{key[0]}/{key[0]}_{key[1]:06d}.bin"
+                    filesystem.create_dir(f"{attempt}/{key[0]}")
+                    handle, current = filesystem.open_output_stream(f"{attempt}/{name}"), key
+                    files.append((f"{attempt}/{name}", f"{root}/{name}"))
                 if row["tokens"]:
-                    np.asarray(row["tokens"], dtype=self.dtype).tofile(handle)
+                    handle.write(np.asarray(row["tokens"], dtype=self.dtype).tobytes())
         finally:
             if handle:
                 handle.close()
         return _Commit(files)
 
+    def commit(self, messages):
+        filesystem, root = _fs(self.uri)
+        if self.overwrite:
+            for _, _, path, _ in _shard_files(filesystem, root):
+                filesystem.delete_file(path)
+        for message in messages:
+            for part, final in message.files if message else ():
+                filesystem.create_dir(final.rpartition("/")[0])
+                filesystem.move(part, final)
+        self._drop_attempts(filesystem, root)
+
+    def abort(self, messages):
+        self._drop_attempts(*_fs(self.uri))
+
+    @staticmethod
+    def _drop_attempts(filesystem, root):
+        from pyarrow import fs
+        if filesystem.get_file_info(f"{root}/_attempt").type == fs.FileType.Directory:
+            filesystem.delete_dir(f"{root}/_attempt")
+
 
 class TokenShards(DataSource):
     """``spark.read/write.format("tokenshards").option("path", ..).option("dtype", "uint16")``."""
@@ -100,7 +148,7 @@ class TokenShards(DataSource):
         return TokenShardReader(self.options)
 
     def writer(self, schema, overwrite):
-        return TokenShardWriter(self.options)
+        return TokenShardWriter(self.options, overwrite)
 
 
 def register(spark) -> None:
@@ -108,11 +156,11 @@ def register(spark) -> None:
 
 
 def write_raw_shards(df: DataFrame, path: str, dtype: str = "uint16") -> None:
-    """Rows ``(split, shard, pos, tokens)`` -> ``.bin`` files."""
+    """Rows ``(split, shard, pos, tokens)`` -> ``.bin`` files; shards that were there before go."""
     register(df.sparkSession)
     (df.select("split", "shard", "pos", "tokens")
        .repartition("split", "shard").sortWithinPartitions("split", "shard", "pos")
-       .write.format("tokenshards").option("path", path).option("dtype", dtype).mode("append").save())
+       .write.format("tokenshards").option("path", path).option("dtype", dtype).mode("overwrite").save())
 
 
 def read_raw_shards(spark, path: str, dtype: str = "uint16") -> DataFrame:
