@@ -38,11 +38,14 @@ MIN_CHARS = 60
 BROADCAST_ROWS = 500_000
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, th, no, line)`` of the lines with a word; ``th`` tells texts of one id apart."""
+def _lines(docs: DataFrame, min_chars: int = 0) -> DataFrame:
+    """``(doc_id, th, no, line)`` of the lines with a word, of ``min_chars`` characters or more;
+    ``th`` tells texts of one id apart."""
     text = F.col("text").cast("string")
-    return (docs.select(F.col("doc_id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
-                .where(F.btrim("line", F.lit(WHITE)) != ""))
+    lines = docs.select(F.col("doc_id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
+    if min_chars:  # most short lines have too few bytes already
+        lines = lines.where((F.octet_length("line") >= min_chars) & (F.char_length("line") >= min_chars))
+    return lines.where(F.btrim("line", F.lit(WHITE)) != "")
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -92,9 +95,15 @@ def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
     return start, short + (F.lit(i) > first_long).cast("int")
 
 
-def probes(line: Column, edits: int, min_chars: int) -> Column:
-    """array<struct<key, own>>: the index entries that a line looks up; ``own`` marks its own segments."""
-    n, out = F.char_length(line), []
+def entries(line: Column, n: Column, edits: int) -> Column:
+    """array<bigint>: the keys under which a line of n characters stands in the index."""
+    return F.array(*[F.xxhash64(n, F.lit(i), F.substring(line, *_segment(n, i, edits))) for i in range(1, edits + 2)])
+
+
+def probes(line: Column, n: Column, edits: int, min_chars: int) -> Column:
+    """array<struct<key, own>>: the index entries that a line looks up, null where the lines looked
+    for would be too short; ``own`` marks its own entries."""
+    out = []
     for down in range(edits + 1):
         for i in range(1, edits + 2):
             start, size = _segment(n - down, i, edits)
@@ -102,8 +111,8 @@ def probes(line: Column, edits: int, min_chars: int) -> Column:
             for shift in range(max(1 - i, down - (edits + 1 - i)), min(i - 1, down + edits + 1 - i) + 1):
                 key = F.xxhash64(n - down, F.lit(i), F.substring(line, start + shift, size))
                 entry = F.struct(key.alias("key"), F.lit(down == 0 and shift == 0).alias("own"))
-                out.append(F.when(n - down >= min_chars, entry))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                out.append(entry if down == 0 else F.when(n - down >= min_chars, entry))
+    return F.array(*out)
 
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
@@ -120,17 +129,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 def line_links(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(h, root)``: the hashes of lines that are linked with another, by component."""
-    lines = _lines(docs).where(F.char_length("line") >= min_chars).groupBy("line").agg(F.count(F.lit(1)).alias("times"))
+    lines = _lines(docs, min_chars).groupBy("line").agg(F.count(F.lit(1)).alias("times"))
     # The count is not needed; it keeps the aggregate one by hash with partial sums before the shuffle.
-    rows = lines.where("times > 0").select(F.xxhash64("line").alias("h"), F.explode(probes(F.col("line"), edits, min_chars)).alias("p"))
+    # The length is a column of its own, or each of the many expressions below would count it anew.
+    lines = lines.where("times > 0").select("line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h"))
+    index = lines.select("h", F.explode(entries(F.col("line"), F.col("n"), edits)).alias("i_key"))
+    index = index.groupBy("i_key").agg(F.min("h").alias("least"), F.max("h").alias("most"))
+    rows = lines.select("h", F.explode(probes(F.col("line"), F.col("n"), edits, min_chars)).alias("p")).where("p IS NOT NULL")
     rows = rows.select("h", F.col("p.key").alias("key"), F.col("p.own").alias("own"))
-    index = rows.where("own").groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).withColumnRenamed("key", "i_key")
-    hits = rows.join(index, F.col("key") == F.col("i_key")).where((F.col("h") != F.col("least")) | (F.col("least") != F.col("most")))
+    # A row per key: the index is the side that a hash join holds, and the probes need no sort.
+    hits = rows.join(index.hint("shuffle_hash"), F.col("key") == F.col("i_key")).where((F.col("h") != F.col("least")) | (F.col("least") != F.col("most")))
     hits = materialise(hits.select("key", "h", "own", "least", (F.col("least") != F.col("most")).alias("more")), "line-hits")
 
     met = hits.where("h != least").select(F.least("h", "least").alias("a"), F.greatest("h", "least").alias("b")).distinct()
     needed = materialise(hits.select("h").union(hits.select("least")).distinct().withColumnRenamed("h", "n_h"), "line-needed")
-    texts = _lines(docs).where(F.char_length("line") >= min_chars).withColumn("t_h", F.xxhash64("line"))
+    texts = _lines(docs, min_chars).withColumn("t_h", F.xxhash64("line"))
     texts = texts.join(_few(needed, BROADCAST_ROWS), F.col("t_h") == F.col("n_h"), "left_semi").select("t_h", "line").distinct()
     texts = materialise(texts, "line-texts")
     links = materialise(_verified(met, texts, edits), "line-links")
