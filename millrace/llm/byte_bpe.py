@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import as_text, text_slices, worker_state
 
 #: Entries a worker keeps of each memo before it starts it anew (memory bound, not a limit on results).
-MEMO = 250_000
+MEMO = 100_000
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 APART = re.compile(r"(?<![%s]) (?![%s])" % (WHITE, WHITE))
 NEXT_TO = re.compile(r"[%s] | [%s]|^ | $" % (WHITE, WHITE))
@@ -85,13 +85,23 @@ def units(text: str) -> list[str]:
     return parts[:1] + [" " + p for p in parts[1:]] if text else []
 
 
-class RankBPE:
-    """Encoder and decoder for one rank file."""
+class RankVocabulary:
+    """The entries of a rank file; all that decoding needs."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.token = {i: t for t, i in self.ranks.items()}
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+class RankBPE(RankVocabulary):
+    """Encoder and decoder for one rank file."""
+
+    def __init__(self, path: str, pattern: str):
+        super().__init__(path)
         self.splitter = Splitter(pattern)
         # Entries that merging does not reproduce can only stand for a whole piece.
         self.sound = {t: i for t, i in self.ranks.items() if len(t) == 1 or self._merged(t) == [i]}
@@ -178,9 +188,6 @@ class RankBPE:
             out.append(known)
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 def _codec(path: str, pattern: str) -> RankBPE:
     return worker_state(("rank_bpe", path, pattern), lambda: RankBPE(path, pattern))
@@ -201,12 +208,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return rows.mapInArrow(run, f"`{id_col}` {kind}, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """Adds ``decoded`` (binary): the bytes the ids stand for."""
     rows = encoded.select(F.col(id_col), F.col("ids"))
 
     def run(batches):
-        codec = _codec(path, pattern)
+        codec = worker_state(("rank_vocabulary", path), lambda: RankVocabulary(path))
         for batch in batches:
             for part in text_slices(batch, "ids"):
                 out = [codec.decode(x) for x in part.column(1).to_pylist()]

@@ -16,7 +16,7 @@ from millrace.session import checkpoint_dir
 #: Word of the contracts: a run of characters other than ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text handed on in one Arrow batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

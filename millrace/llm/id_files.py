@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.byte_bpe import MEMO, units
+from millrace.llm.byte_bpe import units
 from millrace.llm.common import as_text, materialise, shared_folder, text_slices, worker_state
 from millrace.llm.warc import _filesystem
 
@@ -45,6 +45,7 @@ LANES = 1024
 HEADER = "<IIIII"  # ids, documents, words, CRC-32 of the ids, CRC-32 of header start and document table
 DOCUMENT = "<qBI"  # doc_id, flags (1: null id, 2: ends in this block), ids
 SLOTS = 1 << 11  # of a prediction table
+MEMO = 250_000  # units that a worker keeps before it starts anew (memory bound, not a limit on results)
 LOW32, LEAST = np.uint64(0xFFFFFFFF), np.uint64(1 << 16)
 # Contexts of a lane's probabilities: a spare one for lanes that sit a bit out, then each kind's.
 SECOND, FIRST, CLASS0, CLASS1, LEAD, CONTEXTS = 1, 33, 49, 57, 121, 153

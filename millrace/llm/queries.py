@@ -29,7 +29,7 @@ def op1_token_counts(spark, sf_dir):
 def op7_byte_bpe(spark, sf_dir):
     from millrace.llm.byte_bpe import decode, digests, encode
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return digests(decode(encode(documents(spark, sf_dir), path, pattern), path, pattern))
+    return digests(decode(encode(documents(spark, sf_dir), path, pattern), path))
 
 
 @_query
