@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by rank files.
 
-Bytes are mapped to Latin-1 characters so that one Aho-Corasick automaton finds
-every vocabulary entry in a piece of text. The encoder walks from left to right
+Bytes are mapped to Latin-1 characters so that one Aho-Corasick automaton holds the
+vocabulary and finds the longest entry at a place. The encoder walks from left to right
 taking the longest entry at each place; an entry may follow another only when the
 two are *compatible*, i.e. when merging their joined bytes by rank gives exactly
 the two back. Where no compatible entry is left the walk steps back and takes the
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import as_text, text_slices, worker_state
 
-#: Entries a worker keeps of each memo before it starts it anew (memory bound, not a limit on results).
-MEMO = 100_000
+#: Entries of a generation of a worker's memos (memory bound, not a limit on results).
+MEMO = 150_000
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 APART = re.compile(r"(?<![%s]) (?![%s])" % (WHITE, WHITE))
 NEXT_TO = re.compile(r"[%s] | [%s]|^ | $" % (WHITE, WHITE))
@@ -85,6 +86,25 @@ def units(text: str) -> list[str]:
     return parts[:1] + [" " + p for p in parts[1:]] if text else []
 
 
+class Memo:
+    """A dictionary of two generations: when the new one is full the old one goes, so what is met
+    again and again stays."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def get(self, key):
+        known = self.new.get(key)
+        if known is None and (known := self.old.get(key)) is not None:
+            self.put(key, known)
+        return known
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.limit:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class RankVocabulary:
     """The entries of a rank file; all that decoding needs."""
 
@@ -104,32 +124,55 @@ class RankBPE(RankVocabulary):
         super().__init__(path)
         self.splitter = Splitter(pattern)
         # Entries that merging does not reproduce can only stand for a whole piece.
-        self.sound = {t: i for t, i in self.ranks.items() if len(t) == 1 or self._merged(t) == [i]}
+        self.sound, self.halves = {}, {}
+        for t, i in self.ranks.items():
+            parts = self._merged(t)
+            if len(t) == 1 or len(parts) == 2:
+                self.sound[t] = i
+                if len(t) > 1:
+                    self.halves[t] = (parts[0], parts[1])
         self.automaton = ahocorasick.Automaton()
         for t, i in self.sound.items():
             self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
-        self.pair_memo: dict[tuple[int, int], bool] = {}
+        self.reach = max(map(len, self.sound))
         self.shorter_memo: dict[int, int] = {}
-        self.piece_memo: dict[str, bytes] = {}
-        self.unit_memo: dict[str, bytes] = {}
+        self.pair_memo, self.piece_memo, self.unit_memo = Memo(MEMO), Memo(MEMO), Memo(MEMO)
 
-    def _merged(self, data: bytes) -> list[int]:
-        """Merging by rank, for the bytes of one or two entries."""
+    def _merged(self, data: bytes) -> list[bytes]:
+        """Merging by rank, up to but without the merge that would give the whole."""
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > 2:
             best, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
             if best == 1 << 60:
                 break
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.pair_memo.get((a, b))
+        """Whether merging by rank leaves the two entries, side by side, as they are.
+
+        Going back in time from the finished entries, the later made of the two halves that meet
+        is taken apart; they would have been merged if their joined rank came before the merge
+        that used them up. Of equal ranks the left merge comes first, so a merge across the
+        border gives way to one inside the left entry and wins over one inside the right."""
+        key = a << 32 | b
+        known = self.pair_memo.get(key)
         if known is None:
-            if len(self.pair_memo) >= MEMO:
-                self.pair_memo.clear()
-            known = self.pair_memo[a, b] = self._merged(self.token[a] + self.token[b]) == [a, b]
+            ranks, halves = self.ranks, self.halves
+            left, right, before, known = self.token[a], self.token[b], 1 << 60, True
+            while True:
+                across = ranks.get(left + right)
+                if across is not None and across < before:
+                    known = False
+                    break
+                if left in halves and (right not in halves or ranks[left] > ranks[right]):
+                    before, left = ranks[left], halves[left][1]
+                elif right in halves:
+                    before, right = ranks[right] + 1, halves[right][0]
+                else:
+                    break
+            self.pair_memo.put(key, known)
         return known
 
     def shorter(self, i: int) -> int:
@@ -145,16 +188,24 @@ class RankBPE(RankVocabulary):
             return []
         if data in self.ranks:
             return [self.ranks[data]]
-        n, token = len(data), self.token
-        longest = [-1] * (n + 1)
-        for end, i in self.automaton.iter(data.decode("latin-1")):
-            longest[end + 1 - len(token[i])] = i  # matches come by their end, so the last is the longest
-        dead, ids, at, now = bytearray(n + 1), [], 0, longest[0]
+        latin, prefix, sound, token = data.decode("latin-1"), self.automaton.longest_prefix, self.sound, self.token
+        n, reach = len(data), self.reach
+
+        def longest(at: int) -> int:
+            """The longest entry that starts here: the automaton's longest path, or the last entry on it."""
+            size = prefix(latin[at:at + reach])
+            while (i := sound.get(data[at:at + size])) is None:
+                size -= 1
+            return i
+
+        dead, ids, at, now = bytearray(n + 1), [], 0, longest(0)
         while at < n:
             end = at + len(token[now])
             if not dead[end] and (not ids or self.compatible(ids[-1], now)):
                 ids.append(now)
-                at, now = end, longest[end]
+                at = end
+                if at < n:
+                    now = longest(at)
                 continue
             now = self.shorter(now)
             while now < 0:  # nothing fits here: leave this place for good
@@ -167,24 +218,28 @@ class RankBPE(RankVocabulary):
     def _piece(self, piece: str) -> bytes:
         known = self.piece_memo.get(piece)
         if known is None:
-            known = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+            ids = self.encode_piece(piece.encode())
+            known = struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) <= 64:
-                if len(self.piece_memo) >= MEMO:
-                    self.piece_memo.clear()
-                self.piece_memo[piece] = known
+                self.piece_memo.put(piece, known)
+        return known
+
+    def _unit(self, unit: str) -> bytes:
+        known = self.unit_memo.get(unit)
+        if known is None:
+            known = b"".join(map(self._piece, self.splitter.pieces(unit)))
+            if len(unit) <= 64:
+                self.unit_memo.put(unit, known)
         return known
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        out, memo = [], self.unit_memo
+        out, get = [], self.unit_memo.new.get
         for u in units(text):
-            known = memo.get(u)
+            known = get(u)
             if known is None:
-                known = b"".join(map(self._piece, self.splitter.pieces(u)))
-                if len(u) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[u] = known
+                known = self._unit(u)
+                get = self.unit_memo.new.get  # the generation may have changed
             out.append(known)
         return b"".join(out)
 
