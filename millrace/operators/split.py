@@ -55,6 +55,37 @@ def resolve_split_source(role: str, train: DataFrame, val: DataFrame | None = No
     return with_split(t, cfg).where(F.col("split") == role)
 
 
+def split_path(paths: dict[str, str], name: str) -> str:
+    """Q14: the path a split name is mapped to; an unmapped name is an error,
+    never a silent reread of the train files."""
+    if name not in paths:
+        raise ValueError(f"split {name!r} has no path; mapped: {sorted(paths)}")
+    return paths[name]
+
+
+def check_split_plan(cfg: SplitConfig, has_val: bool, val_target: int | None) -> None:
+    """Q15: validation tokens are asked for, so there must be validation rows."""
+    if val_target and val_target > 0 and not has_val and cfg.val_fraction <= 0:
+        raise ValueError("a validation target needs a validation split or val_fraction > 0")
+
+
+def split_sources(train: DataFrame, val: DataFrame | None = None, test: DataFrame | None = None,
+                  cfg: SplitConfig = SplitConfig(), text_fields: Sequence[str] = ("text",),
+                  key_col: str | None = None) -> DataFrame:
+    """A5 for all roles: ``(split_key, split, text_x)`` of every row with text.
+    Without a validation source one pass over train deals both splits."""
+    def role(df: DataFrame, name: str) -> DataFrame:
+        t = with_text(df, text_fields).where(F.col("text_x").isNotNull())
+        key = F.col(key_col).cast("string") if key_col and key_col in t.columns else stable_key(t.columns, F.col("text_x"))
+        return t.select(key.alias("split_key"), F.lit(name).alias("split"), "text_x")
+
+    if val is None:
+        out = split_texts(train, cfg, text_fields, key_col).select("split_key", "split", "text_x")
+    else:
+        out = role(train, "train").unionByName(role(val, "val"))
+    return out if test is None else out.unionByName(role(test, "test"))
+
+
 def final_split(snapshot: DataFrame, cfg: SplitConfig = SplitConfig(), key_col: str = "id") -> DataFrame:
     """Split the deduplicated snapshot; write it partitioned by split."""
     return with_split(snapshot, cfg, key_col=key_col).drop("split_key", "u")

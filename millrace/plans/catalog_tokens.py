@@ -12,7 +12,7 @@ from millrace.operators import packing as pk
 from millrace.operators import rows as rw
 from millrace.operators import shards as sh
 from millrace.operators.position import global_positions
-from millrace.operators.split import with_split, with_text
+from millrace.operators.split import split_sources, with_split, with_text
 from millrace.plans import tokens as tk
 from millrace.plans.catalog import register, table
 
@@ -288,3 +288,14 @@ def q_e14(spark, sf):
     off = pk.stream_offsets(tk.encoded_docs(table(spark, sf, "documents"), SPLIT).drop("text_x"), ["doc_id"])
     w = pk.window_blocks(off, SEQ_LEN, STRIDE).select("split", "window_id")
     return pk.epoch_sampler(w, "window_id", 4, seed=42, epoch=1).select("split", "window_id", "sample_pos", "rank")
+
+
+@register("a5_split_sources", f"""
+SELECT CAST(doc_id AS VARCHAR) AS split_key, 'train' AS split, {_text_x('text')} AS text_x FROM documents WHERE {_text_x('text')} IS NOT NULL
+UNION ALL SELECT CAST(item_id AS VARCHAR), 'val', {_text_x('text')} FROM benchmark WHERE {_text_x('text')} IS NOT NULL
+UNION ALL SELECT conv_id || '/' || turn, 'test', {_text_x('text')} FROM conversations WHERE {_text_x('text')} IS NOT NULL""")
+def q_a5(spark, sf):
+    """Documents train, the benchmark is the named validation source, conversations the test source."""
+    val = table(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id")
+    test = table(spark, sf, "conversations").withColumn("doc_id", F.concat_ws("/", "conv_id", "turn"))
+    return split_sources(table(spark, sf, "documents"), val, test, SPLIT, ("text",), "doc_id")
