@@ -14,7 +14,9 @@ edits allow: one bit per number of edits and diagonal, all in one long, a charac
 
 A segment that many lines hold does not give their pairs: first each line found under it meets
 the segment's least line only. Where a segment has more lines, those that are not connected by
-then meet, and only those. Equal lines are grouped before anything is joined.
+then meet under finer keys: what stands before and after the segment is split again by the edits
+that can still fall there, and one more segment of either side must be shared. Equal lines are
+grouped before anything is joined.
 
 Rows: one per input row. Null text stays null and has no lines. Rows of one doc_id with equal
 texts are one document (their lines go or stay alike), with different texts two documents whose
@@ -95,26 +97,58 @@ def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
     return start, short + (F.lit(i) > first_long).cast("int")
 
 
+def _shifts(down: int, i: int, edits: int) -> range:
+    """Shifts at which segment i of a line can stand in one longer by ``down``: the edits before it
+    and those after it must be able to make them up."""
+    return range(max(1 - i, down - (edits + 1 - i)), min(i - 1, down + edits + 1 - i) + 1)
+
+
+def _codes(edits: int) -> list[tuple[int, int, int]]:
+    """(length difference, segment, shift) of every lookup; its place in the list is its code."""
+    return [(down, i, shift) for down in range(edits + 1) for i in range(1, edits + 2) for shift in _shifts(down, i, edits)]
+
+
 def entries(line: Column, n: Column, edits: int) -> Column:
     """array<bigint>: the keys under which a line of n characters stands in the index."""
     return F.array(*[F.xxhash64(n, F.lit(i), F.substring(line, *_segment(n, i, edits))) for i in range(1, edits + 2)])
 
 
 def probes(line: Column, n: Column, edits: int, min_chars: int) -> Column:
-    """array<struct<key, own>>: the index entries that a line looks up, null where the lines looked
-    for would be too short; ``own`` marks its own entries."""
+    """array<struct<key, code>>: the index entries that a line looks up, null where the lines looked
+    for would be too short."""
     out = []
-    for down in range(edits + 1):
-        for i in range(1, edits + 2):
-            start, size = _segment(n - down, i, edits)
-            # Shifts that neither the edits before the segment nor those after it rule out.
-            for shift in range(max(1 - i, down - (edits + 1 - i)), min(i - 1, down + edits + 1 - i) + 1):
-                key = F.xxhash64(n - down, F.lit(i), F.substring(line, start + shift, size))
-                entry = F.struct(key.alias("key"), F.lit(down == 0 and shift == 0).alias("own"))
-                out.append(entry if down == 0 else F.when(n - down >= min_chars, entry))
+    for code, (down, i, shift) in enumerate(_codes(edits)):
+        start, size = _segment(n - down, i, edits)
+        entry = F.struct(F.xxhash64(n - down, F.lit(i), F.substring(line, start + shift, size)).alias("key"), F.lit(code).alias("code"))
+        out.append(entry if down == 0 else F.when(n - down >= min_chars, entry))
     return F.array(*out)
 
 
+def _finer(line: Column, n: Column, key: Column, code: Column, edits: int, index: bool) -> Column:
+    """array<bigint>: finer keys of a line found under ``key`` by ``code``.
+
+    Of two lines within the edits, one pair of equal segments has at most i - 1 edits before it and
+    edits + 1 - i after it. What stands before and after is split again by as many edits, and a
+    finer key holds one segment of either side: as index entry of the line itself (its own codes),
+    or as lookups with the shifts that those edits allow."""
+    out = F.array().cast("array<bigint>")
+    for c, (down, i, shift) in enumerate(_codes(edits)):
+        if index and (down or shift):
+            continue
+        start, size = _segment(n - down, i, edits)      # of the line in the index
+        before, after = start - 1, (n - down) - (start + size) + 1
+        keys = []
+        for a in range(1, i + 1):
+            for b in range(1, edits + 3 - i):
+                (pa, la), (pb, lb) = _segment(before, a, i - 1), _segment(after, b, edits + 1 - i)
+                for oa in [0] if index else _shifts(shift, a, i - 1):
+                    for ob in [0] if index else _shifts(down - shift, b, edits + 1 - i):
+                        keys.append(F.xxhash64(key, F.lit(a), F.lit(b), before, after, F.substring(line, pa + oa, la),
+                                               F.substring(line, start + shift + size + pb - 1 + ob, lb)))
+        out = F.when(code == c, F.array(*keys) if keys else F.array().cast("array<bigint>")).otherwise(out)
+    return out
+
+
 def _few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
@@ -127,7 +161,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return near.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
 
 
-def line_links(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_places(docs: DataFrame) -> DataFrame:
+    """``(doc_id, th, no, h, g)``: every line with a word as two hashes, written once; what follows
+    reads this instead of the texts."""
+    return materialise(_lines(docs).select("doc_id", "th", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")), "line-places")
+
+
+def _texts_of(docs: DataFrame, places: DataFrame, needed: DataFrame) -> DataFrame:
+    """``(t_h, line)``: the text of each needed line, from one document that has it."""
+    spots = places.join(_few(needed, BROADCAST_ROWS), F.col("h") == F.col("n_h")).groupBy("h").agg(F.min(F.struct("doc_id", "th", "no")).alias("s"))
+    spots = materialise(spots.select(F.col("h").alias("t_h"), F.col("s.doc_id").alias("s_id"), F.col("s.th").alias("s_th"), F.col("s.no").alias("s_no")), "line-spots")
+    holders = spots.select(F.col("s_id").alias("d_id"), F.col("s_th").alias("d_th")).distinct()
+    text = F.col("text").cast("string")
+    held = docs.select("doc_id", "text").join(_few(holders, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.xxhash64(text) == F.col("d_th")), "left_semi")
+    found = _lines(held).join(_few(spots, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")) & (F.col("no") == F.col("s_no")))
+    return materialise(found.select("t_h", "line").distinct(), "line-texts")
+
+
+def line_links(docs: DataFrame, places: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(h, root)``: the hashes of lines that are linked with another, by component."""
     lines = _lines(docs, min_chars).groupBy("line").agg(F.count(F.lit(1)).alias("times"))
     # The count is not needed; it keeps the aggregate one by hash with partial sums before the shuffle.
@@ -136,32 +187,34 @@ def line_links(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHA
     index = lines.select("h", F.explode(entries(F.col("line"), F.col("n"), edits)).alias("i_key"))
     index = index.groupBy("i_key").agg(F.min("h").alias("least"), F.max("h").alias("most"))
     rows = lines.select("h", F.explode(probes(F.col("line"), F.col("n"), edits, min_chars)).alias("p")).where("p IS NOT NULL")
-    rows = rows.select("h", F.col("p.key").alias("key"), F.col("p.own").alias("own"))
+    rows = rows.select("h", F.col("p.key").alias("key"), F.col("p.code").alias("code"))
     # A row per key: the index is the side that a hash join holds, and the probes need no sort.
     hits = rows.join(index.hint("shuffle_hash"), F.col("key") == F.col("i_key")).where((F.col("h") != F.col("least")) | (F.col("least") != F.col("most")))
-    hits = materialise(hits.select("key", "h", "own", "least", (F.col("least") != F.col("most")).alias("more")), "line-hits")
+    hits = materialise(hits.select("key", "h", "code", "least", (F.col("least") != F.col("most")).alias("more")), "line-hits")
 
     met = hits.where("h != least").select(F.least("h", "least").alias("a"), F.greatest("h", "least").alias("b")).distinct()
     needed = materialise(hits.select("h").union(hits.select("least")).distinct().withColumnRenamed("h", "n_h"), "line-needed")
-    texts = _lines(docs, min_chars).withColumn("t_h", F.xxhash64("line"))
-    texts = texts.join(_few(needed, BROADCAST_ROWS), F.col("t_h") == F.col("n_h"), "left_semi").select("t_h", "line").distinct()
-    texts = materialise(texts, "line-texts")
+    texts = _texts_of(docs, places, needed)
     links = materialise(_verified(met, texts, edits), "line-links")
 
     more = hits.where("more")
     label = component_roots(links, a="a", b="b").select(F.col("id").cast("bigint").alias("l_h"), F.col("root").cast("bigint").alias("label"))
     more = more.join(label, F.col("h") == F.col("l_h"), "left").withColumn("label", F.coalesce("label", "h"))
-    held = more.where(F.col("own") & (F.col("h") != F.col("least"))).select(F.col("key").alias("o_key"), F.col("h").alias("o_h"), F.col("label").alias("o_label"))
-    apart = (more.join(held, (F.col("key") == F.col("o_key")) & (F.col("label") != F.col("o_label")))
-                 .select(F.least("h", "o_h").alias("a"), F.greatest("h", "o_h").alias("b")).distinct())
+    more = more.join(texts, F.col("h") == F.col("t_h")).withColumn("n", F.char_length("line"))
+    finer = lambda index: F.explode(_finer(F.col("line"), F.col("n"), F.col("key"), F.col("code"), edits, index))
+    own = [c for c, (down, _, shift) in enumerate(_codes(edits)) if not down and not shift]
+    held = more.where(F.col("code").isin(own) & (F.col("h") != F.col("least"))).select(finer(True).alias("o_key"), F.col("h").alias("o_h"), F.col("label").alias("o_label"))
+    sought = more.select(finer(False).alias("s_key"), "h", "label")
+    apart = (sought.join(held, (F.col("s_key") == F.col("o_key")) & (F.col("label") != F.col("o_label")))
+                   .select(F.least("h", "o_h").alias("a"), F.greatest("h", "o_h").alias("b")).distinct())
     links = links.unionByName(_verified(apart, texts, edits))
     return component_roots(links, a="a", b="b").select(F.col("id").cast("bigint").alias("c_h"), "root")
 
 
 def removals(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(r_id, r_th, removed)``: per text the numbers (from 0) of the lines to remove, ascending."""
-    linked = materialise(line_links(docs, edits, min_chars), "line-components")
-    places = _lines(docs).select("doc_id", "th", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    places = line_places(docs)
+    linked = materialise(line_links(docs, places, edits, min_chars), "line-components")
     places = places.join(_few(linked, BROADCAST_ROWS), F.col("h") == F.col("c_h"), "left")
     places = places.select("doc_id", "th", "no", F.coalesce(F.xxhash64("root"), "h").alias("h"), F.when(F.col("root").isNull(), F.col("g")).otherwise(0).alias("g"))
     firsts = (places.groupBy("h", "g").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
@@ -180,6 +233,6 @@ def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CH
     rest = let(F.split(text, "\n", -1), lambda x: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__removed")), lambda i: F.get(x, i)), "\n"))
     return (rows.withColumns({"text": F.when(F.col("__removed").isNull(), text).otherwise(rest),
-                              "__n_lines": F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))),
+                              "__n_lines": F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1),
                               "__n_removed": F.coalesce(F.array_size("__removed"), F.lit(0))})
                 .select(*docs.columns, "__n_lines", "__n_removed"))
