@@ -89,12 +89,12 @@ def within(a: Column, b: Column, edits: int) -> Column:
              .otherwise(let(F.struct(chars(a).alias("x"), chars(b).alias("y")), run)))
 
 
-def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
+def _segment(n: Column, i, edits) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i (from 1) of a line of n characters; the last are the longer ones."""
-    short = F.floor(n / (edits + 1)).cast("int")
-    first_long = (edits + 1) - n % (edits + 1)
-    start = 1 + (i - 1) * short + F.greatest(F.lit(0), F.lit(i - 1) - first_long)
-    return start, short + (F.lit(i) > first_long).cast("int")
+    i, parts = (x if isinstance(x, Column) else F.lit(x) for x in (i, edits + 1))
+    short, first_long = F.floor(n / parts).cast("int"), parts - n % parts
+    start = 1 + (i - 1) * short + F.greatest(F.lit(0), i - 1 - first_long)
+    return start, short + (i > first_long).cast("int")
 
 
 def _shifts(down: int, i: int, edits: int) -> range:
@@ -124,29 +124,33 @@ def probes(line: Column, n: Column, edits: int, min_chars: int) -> Column:
     return F.array(*out)
 
 
-def _finer(line: Column, n: Column, key: Column, code: Column, edits: int, index: bool) -> Column:
-    """array<bigint>: finer keys of a line found under ``key`` by ``code``.
+def _finer_places(edits: int) -> Column:
+    """By code, the segments before and after with their shifts: a literal of fixed size."""
+    by_code = []
+    for down, i, shift in _codes(edits):
+        places = [F.struct(*[F.lit(v).alias(k) for k, v in (("down", down), ("i", i), ("shift", shift), ("a", a), ("oa", oa), ("b", b), ("ob", ob))])
+                  for a in range(1, i + 1) for b in range(1, edits + 3 - i)
+                  for oa in _shifts(shift, a, i - 1) for ob in _shifts(down - shift, b, edits + 1 - i)]
+        by_code.append(F.array(*places) if places else F.filter(F.array(by_code[0][0]), lambda x: F.lit(False)))
+    return F.array(*by_code)
+
+
+def _finer(found: DataFrame, edits: int) -> DataFrame:
+    """Rows ``(line, n, key, code, ...)`` with their finer keys, one a row: ``finer`` and ``entry``.
 
     Of two lines within the edits, one pair of equal segments has at most i - 1 edits before it and
     edits + 1 - i after it. What stands before and after is split again by as many edits, and a
-    finer key holds one segment of either side: as index entry of the line itself (its own codes),
-    or as lookups with the shifts that those edits allow."""
-    out = F.array().cast("array<bigint>")
-    for c, (down, i, shift) in enumerate(_codes(edits)):
-        if index and (down or shift):
-            continue
-        start, size = _segment(n - down, i, edits)      # of the line in the index
-        before, after = start - 1, (n - down) - (start + size) + 1
-        keys = []
-        for a in range(1, i + 1):
-            for b in range(1, edits + 3 - i):
-                (pa, la), (pb, lb) = _segment(before, a, i - 1), _segment(after, b, edits + 1 - i)
-                for oa in [0] if index else _shifts(shift, a, i - 1):
-                    for ob in [0] if index else _shifts(down - shift, b, edits + 1 - i):
-                        keys.append(F.xxhash64(key, F.lit(a), F.lit(b), before, after, F.substring(line, pa + oa, la),
-                                               F.substring(line, start + shift + size + pb - 1 + ob, lb)))
-        out = F.when(code == c, F.array(*keys) if keys else F.array().cast("array<bigint>")).otherwise(out)
-    return out
+    finer key holds one segment of either side. ``entry`` marks the keys under which the line
+    itself stands; the others are lookups, with the shifts that those edits allow."""
+    rows = found.withColumn("f", F.explode(F.get(_finer_places(edits), F.col("code"))))
+    down, i, shift, a, oa, b, ob = (F.col(f"f.{k}") for k in ("down", "i", "shift", "a", "oa", "b", "ob"))
+    rows = rows.withColumn("f_at", F.struct(*[c.alias(k) for k, c in zip(("start", "size"), _segment(F.col("n") - down, i, F.lit(edits)))]))
+    start, size = F.col("f_at.start"), F.col("f_at.size")      # of the line in the index
+    rows = rows.withColumn("f_len", F.struct((start - 1).alias("before"), (F.col("n") - down - start - size + 1).alias("after")))
+    (pa, la), (pb, lb) = _segment(F.col("f_len.before"), a, i - 1), _segment(F.col("f_len.after"), b, F.lit(edits + 1) - i)
+    key = F.xxhash64("key", a, b, F.col("f_len.before"), F.col("f_len.after"), F.substring("line", pa + oa, la),
+                     F.substring("line", start + shift + size + pb - 1 + ob, lb))
+    return rows.withColumn("finer", key).withColumn("entry", (down == 0) & (shift == 0) & (oa == 0) & (ob == 0)).drop("f", "f_at", "f_len")
 
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
@@ -201,10 +205,9 @@ def line_links(docs: DataFrame, places: DataFrame, edits: int = MAX_EDITS, min_c
     label = component_roots(links, a="a", b="b").select(F.col("id").cast("bigint").alias("l_h"), F.col("root").cast("bigint").alias("label"))
     more = more.join(label, F.col("h") == F.col("l_h"), "left").withColumn("label", F.coalesce("label", "h"))
     more = more.join(texts, F.col("h") == F.col("t_h")).withColumn("n", F.char_length("line"))
-    finer = lambda index: F.explode(_finer(F.col("line"), F.col("n"), F.col("key"), F.col("code"), edits, index))
-    own = [c for c, (down, _, shift) in enumerate(_codes(edits)) if not down and not shift]
-    held = more.where(F.col("code").isin(own) & (F.col("h") != F.col("least"))).select(finer(True).alias("o_key"), F.col("h").alias("o_h"), F.col("label").alias("o_label"))
-    sought = more.select(finer(False).alias("s_key"), "h", "label")
+    more = materialise(_finer(more, edits).select("finer", "entry", "h", "least", "label"), "line-finer")
+    held = more.where(F.col("entry") & (F.col("h") != F.col("least"))).select(F.col("finer").alias("o_key"), F.col("h").alias("o_h"), F.col("label").alias("o_label"))
+    sought = more.select(F.col("finer").alias("s_key"), "h", "label")
     apart = (sought.join(held, (F.col("s_key") == F.col("o_key")) & (F.col("label") != F.col("o_label")))
                    .select(F.least("h", "o_h").alias("a"), F.greatest("h", "o_h").alias("b")).distinct())
     links = links.unionByName(_verified(apart, texts, edits))
