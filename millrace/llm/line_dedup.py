@@ -153,6 +153,14 @@ def _finer(found: DataFrame, edits: int) -> DataFrame:
     return rows.withColumn("finer", key).withColumn("entry", (down == 0) & (shift == 0) & (oa == 0) & (ob == 0)).drop("f", "f_at", "f_len")
 
 
+def _word_parity(line: Column) -> Column:
+    """64 bits, each the parity of the words (between single spaces) that hash to it. An edit replaces
+    at most two words by one or one by two, so it turns over three bits at most."""
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(F.split(line, " ", -1), F.lit(0).cast("bigint"),
+                       lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
+
+
 def _few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
@@ -204,11 +212,12 @@ def line_links(docs: DataFrame, places: DataFrame, edits: int = MAX_EDITS, min_c
     more = hits.where("more")
     label = component_roots(links, a="a", b="b").select(F.col("id").cast("bigint").alias("l_h"), F.col("root").cast("bigint").alias("label"))
     more = more.join(label, F.col("h") == F.col("l_h"), "left").withColumn("label", F.coalesce("label", "h"))
-    more = more.join(texts, F.col("h") == F.col("t_h")).withColumn("n", F.char_length("line"))
-    more = materialise(_finer(more, edits).select("finer", "entry", "h", "least", "label"), "line-finer")
-    held = more.where(F.col("entry") & (F.col("h") != F.col("least"))).select(F.col("finer").alias("o_key"), F.col("h").alias("o_h"), F.col("label").alias("o_label"))
-    sought = more.select(F.col("finer").alias("s_key"), "h", "label")
-    apart = (sought.join(held, (F.col("s_key") == F.col("o_key")) & (F.col("label") != F.col("o_label")))
+    more = more.join(texts, F.col("h") == F.col("t_h")).withColumns({"n": F.char_length("line"), "parity": _word_parity(F.col("line"))})
+    more = materialise(_finer(more, edits).select("finer", "entry", "h", "least", "label", "parity"), "line-finer")
+    held = more.where(F.col("entry") & (F.col("h") != F.col("least"))).select(F.col("finer").alias("o_key"), F.col("h").alias("o_h"), F.col("label").alias("o_label"), F.col("parity").alias("o_parity"))
+    sought = more.select(F.col("finer").alias("s_key"), "h", "label", "parity")
+    close = F.bit_count(F.col("parity").bitwiseXOR(F.col("o_parity"))) <= 3 * edits
+    apart = (sought.join(held, (F.col("s_key") == F.col("o_key")) & (F.col("label") != F.col("o_label")) & close)
                    .select(F.least("h", "o_h").alias("a"), F.greatest("h", "o_h").alias("b")).distinct())
     links = links.unionByName(_verified(apart, texts, edits))
     return component_roots(links, a="a", b="b").select(F.col("id").cast("bigint").alias("c_h"), "root")
