@@ -1,13 +1,25 @@
-"""Repeated passages by content-defined chunking with a gear rolling hash.
+"""Repeated passages by content-defined places of a gear rolling hash.
 
-A text's bytes are cut where five bits of a gear hash are zero; those bits depend on the last
+``whole_passages`` finds the repeated passages of ``MIN_BYTES`` or more, to the byte. An anchor is
+a block of ``BLOCK`` bytes that starts where a gear hash of the block's last 32 bytes is the least
+of ``BLOCK`` places in a row; so every 2 * BLOCK - 1 equal bytes hold an anchor at the same place,
+wherever they stand, and neighbouring anchors touch. Blocks are compared by 128-bit digests. The
+first place of a block, by (doc_id, place), is kept; every later one is a repeat. Repeats that
+overlap or touch in a document form a run, also a single one; each end of the run is joined with
+the first place of its block and extended byte by byte while both texts agree. That is less than
+``BLOCK`` bytes a side, or the next anchor would be a repeat as well, so that many bytes of context
+tell all. The minimum applies to the extended run, cut to whole characters; runs that then
+overlap are one row. A run's ends are compared with the first place of their blocks only: where
+that is another place than the passage's, with less in common, up to BLOCK - 1 bytes of that end
+are not seen.
+
+``repeated_passages`` is the coarser form: whole equal chunks alone, without the ends. A text's
+bytes are cut where five bits of a gear hash are zero; those bits depend on the last
 21 bytes only, so the cuts of a passage are the same wherever it stands, and an insertion moves
 no cut but those near it. Cuts closer than ``MIN_CHUNK`` bytes to the one before are passed over,
-gaps above ``MAX_CHUNK`` are cut at that length; cuts stand between characters.
-
-Chunks are compared by 128-bit digests. The first place of a chunk, by (doc_id, place), is kept;
-every later one is a repeat. Neighbouring repeats in a document form a span, and spans of
-``MIN_BYTES`` or more are the repeated passages; shorter ones (a common line, a phrase) stay.
+gaps above ``MAX_CHUNK`` are cut at that length; cuts stand between characters. Neighbouring
+repeats in a document form a span, and spans of ``MIN_BYTES`` or more are given; shorter ones
+(a common line, a phrase) stay.
 
 Counting is pre-aggregated in the map tasks, so a chunk that a third of all documents share is a
 row per task there; the join that brings the counts back to the places is split by AQE where a
@@ -15,7 +27,8 @@ chunk is that frequent. Spans are formed in one pass over the places in order, i
 
 Rows: none for a document without repeats, and none for null or empty texts. Rows of one doc_id
 with equal texts are one document and repeat nothing of each other; rows of one doc_id with
-different texts are told apart by a hash of the text. A null doc_id counts as the smallest.
+different texts are told apart by a hash of the text (``whole_passages`` also gives what one of
+them repeats of another). A null doc_id counts as the smallest.
 An empty table gives an empty result. Other columns are not read.
 """
 
@@ -27,13 +40,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_slices
+from millrace.llm.common import materialise, text_slices
 from millrace.llm.shingle_sets import text_bytes
 
 GEAR = np.random.default_rng(31_337).integers(0, 1 << 32, 256, dtype=np.uint32)
 CUT_MASK = np.uint32(0x1F << 16)
 MIN_CHUNK, MAX_CHUNK = 8, 256
 MIN_BYTES = 128
+#: Bytes of an anchor, and places of which its hash is the least; 2 * BLOCK - 1 must not exceed MIN_BYTES.
+BLOCK = 64
 SPAN = "doc_id bigint, text_hash int, start_byte int, n_bytes int, n_chunks int, first_doc_id bigint"
 
 
@@ -168,6 +183,192 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     return spans(chunks(docs), min_bytes)
 
 
+def anchors(data: np.ndarray) -> np.ndarray:
+    """The starts of the anchors of one text: the first least hash of each ``BLOCK`` places in a row."""
+    if len(data) < 2 * BLOCK - 1:
+        return np.zeros(0, np.int64)
+    order = (gear_hash(data)[BLOCK - 1:] * np.uint32(0x9E3779B1)).astype(np.uint64) << np.uint64(32)
+    least, s = order | np.arange(len(order), dtype=np.uint64), 1
+    while s < BLOCK:
+        least = np.minimum(least[:-s], least[s:])
+        s *= 2
+    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return at[np.r_[True, at[1:] != at[:-1]]]
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """``(d1, d2, doc_id, at)``: the digest's halves of every anchor; ``at`` = start << 32 | text hash (32 bits).
+
+    Of equal blocks that overlap one another (a run of one character), one in ``BLOCK`` bytes is given."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), _text_hash(text).alias("mark"))
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, "text", 1 << 20):
+                data, offsets = text_bytes(part.column(1))
+                raw, digests, at, owner = data.tobytes(), [], [], []
+                marks = part.column(2).to_pylist()
+                for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                    last, last_at = b"", 0
+                    for s in anchors(data[a:b]).tolist():
+                        d = xxhash.xxh3_128_digest(raw[a + s:a + s + BLOCK])
+                        if d == last and s - last_at < BLOCK:
+                            continue
+                        last, last_at = d, s
+                        digests.append(d)
+                        at.append(s << 32 | marks[i])
+                        owner.append(i)
+                if digests:
+                    halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])),
+                                                      part.column(0).take(pa.array(owner)), pa.array(at, pa.int64())], names=["d1", "d2", "doc_id", "at"])
+
+    return rows.mapInArrow(run, "d1 bigint, d2 bigint, doc_id bigint, at bigint")
+
+
+def _text_hash(text):
+    return F.xxhash64(text).bitwiseAND(0xFFFFFFFF)
+
+
+RUN = "doc_id bigint, mark bigint, low int, high int, n int, first_doc_id bigint, h_id bigint, h_at bigint, t_id bigint, t_at bigint"
+
+
+def _runs(repeats: DataFrame) -> DataFrame:
+    """``RUN`` rows: the repeats of a text that overlap or touch, bytes ``low`` to ``high``, with the
+    first places of its first and its last block; ``first_doc_id`` holds the longest part in one piece."""
+    rows = repeats.select("doc_id", F.col("at").bitwiseAND(0xFFFFFFFF).alias("mark"), F.shiftright("at", 32).cast("int").alias("start"), "f_id", "f_at")
+    rows = rows.repartition("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "start")
+    names, kinds = [f.split()[0] for f in RUN.split(", ")], [pa.int64(), pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 5]
+
+    def run(batches):
+        now = None  # [doc, text, low, last start, anchors, first place of the first and of the last, piece, its start, longest (bytes, doc)]
+
+        def closed():
+            if now is not None:
+                out.append((now[0], now[1], now[2], now[3] + BLOCK, now[4], now[9][1], *now[5], *now[6]))
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+        for batch in batches:
+            out = []
+            for doc, text, start, f_id, f_at in zip(*(c.to_pylist() for c in batch.columns)):
+                if now is None or now[0] != doc or now[1] != text or start - now[3] > BLOCK:
+                    closed()
+                    now = [doc, text, start, start, 0, (f_id, f_at), None, None, start, (0, None)]
+                elif start == now[3]:
+                    continue  # an equal row of the same document
+                piece = (f_id, f_at & 0xFFFFFFFF, start - (f_at >> 32))
+                if piece != now[7]:
+                    now[7], now[8] = piece, start
+                now[3], now[4], now[6] = start, now[4] + 1, (f_id, f_at)
+                if start + BLOCK - now[8] > now[9][0]:
+                    now[9] = (start + BLOCK - now[8], f_id)
+            if out:
+                yield flush()
+        out = []
+        closed()
+        if out:
+            yield flush()
+
+    return rows.mapInArrow(run, RUN)
+
+
+def _reach(own: pa.Array, other: pa.Array, after: pa.Array) -> pa.Array:
+    """By how many bytes an end moves out: as far as both contexts agree, less what is not a whole
+    character (so it can be negative). A context holds 4 bytes of the block itself."""
+    out = []
+    for a, b, on in zip(own.to_pylist(), other.to_pylist(), after.to_pylist()):
+        n = min(len(a), len(b), BLOCK + 4)
+        x, y, order = (a[:n], b[:n], "big") if on else (a[-n:], b[-n:], "little")
+        same = n - ((int.from_bytes(x, order) ^ int.from_bytes(y, order)).bit_length() + 7) // 8
+        if on:
+            while same < len(a) and a[same] & 0xC0 == 0x80:
+                same -= 1
+        else:
+            while a[len(a) - same] & 0xC0 == 0x80:
+                same -= 1
+        out.append(same - 4)
+    return pa.array(out, pa.int32())
+
+
+def _contexts(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """``(c_id, c_at, c_after, bytes)``: the bytes around each end, 4 of the block and up to ``BLOCK`` (one more after it) beyond."""
+    asked = ends.select("doc_id", "at", "after").union(ends.select("o_id", "o_at", "after")).distinct()
+    asked = asked.groupBy("doc_id", F.col("at").bitwiseAND(0xFFFFFFFF).alias("mark")).agg(F.collect_list(F.struct("at", "after")).alias("asked"))
+    asked = asked.select(F.col("doc_id").alias("c_id"), F.col("mark").alias("c_mark"), "asked")  # bounded by the text's length
+    text = F.col("text").cast("string")
+    held = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.cast("binary").alias("raw"), _text_hash(text).alias("mark"))
+    held = held.join(asked, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("mark") == F.col("c_mark")))
+
+    def around(x):
+        at = F.shiftright(x["at"], 32).cast("int")
+        low = F.greatest(F.lit(0), at - F.when(x["after"], 4).otherwise(BLOCK))
+        return F.struct(x["at"].alias("c_at"), x["after"].alias("c_after"),
+                        F.substring(F.col("raw"), low + 1, at + F.when(x["after"], BLOCK + 1).otherwise(4) - low).alias("bytes"))
+    found = held.select("c_id", F.explode(F.transform("asked", around)).alias("c")).select("c_id", "c.*")
+    return found.dropDuplicates(["c_id", "c_at", "c_after"])  # rows of one document more than once
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """``SPAN`` rows of ``(doc_id, mark, low, high, n, first_doc_id)``, overlapping ones as one."""
+    rows = found.repartition("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "low", "high")
+
+    def run(batches):
+        now = None  # [doc, text, low, high, anchors, first, longest]
+
+        def closed():
+            if now is not None:
+                out.append((now[0], now[1] & 0x3FFFFF, now[2], now[3] - now[2], now[4], now[5]))
+
+        for batch in batches:
+            out = []
+            for doc, text, low, high, n, first in zip(*(c.to_pylist() for c in batch.columns)):
+                if now is None or now[0] != doc or now[1] != text or low >= now[3]:
+                    closed()
+                    now = [doc, text, low, high, n, first, high - low]
+                    continue
+                if high - low > now[6]:
+                    now[5], now[6] = first, high - low
+                now[3], now[4] = max(now[3], high), now[4] + n
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), KINDS)], names=NAMES)
+        out = []
+        closed()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), KINDS)], names=NAMES)
+
+    return rows.mapInArrow(run, SPAN)
+
+
+def whole_passages(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """``SPAN`` rows: the repeated passages of ``min_bytes`` (2 * BLOCK - 1 at least) or more, to the byte; ``n_chunks`` counts their anchors."""
+    if min_bytes < 2 * BLOCK - 1:
+        raise ValueError(f"min_bytes below {2 * BLOCK - 1}: shorter passages need not hold an anchor")
+    places = blocks(docs)
+    times = places.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("d1").alias("t1"), F.col("d2").alias("t2"))
+    places = materialise(places.join(times, (F.col("d1") == F.col("t1")) & (F.col("d2") == F.col("t2"))).select("d1", "d2", "doc_id", "at"), "passage-places")
+    firsts = places.groupBy(F.col("d1").alias("t1"), F.col("d2").alias("t2")).agg(F.min(F.struct("doc_id", "at")).alias("f"))
+    repeats = (places.join(firsts, (F.col("d1") == F.col("t1")) & (F.col("d2") == F.col("t2")))
+                     .where(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("at") == F.col("f.at"))))
+                     .select("doc_id", "at", F.col("f.doc_id").alias("f_id"), F.col("f.at").alias("f_at")))
+    runs = materialise(_runs(repeats), "passage-runs")
+    place = lambda byte: F.shiftleft(F.col(byte).cast("bigint"), 32).bitwiseOR(F.col("mark"))
+    same = ["doc_id", "mark", "low", "high", "n", "first_doc_id"]
+    heads = runs.select(*same, place("low").alias("at"), F.col("h_id").alias("o_id"), F.col("h_at").alias("o_at"), F.lit(False).alias("after"))
+    tails = runs.select(*same, place("high").alias("at"), F.col("t_id").alias("o_id"), (F.col("t_at") + (BLOCK << 32)).alias("o_at"), F.lit(True).alias("after"))
+    ends = heads.unionByName(tails)
+    around = materialise(_contexts(docs, ends), "passage-contexts")
+    of = lambda p: around.select(*[F.col(c).alias(f"{p}_{c}") for c in around.columns])
+    ends = ends.join(of("own"), F.col("doc_id").eqNullSafe(F.col("own_c_id")) & (F.col("at") == F.col("own_c_at")) & (F.col("after") == F.col("own_c_after")))
+    ends = ends.join(of("first"), F.col("o_id").eqNullSafe(F.col("first_c_id")) & (F.col("o_at") == F.col("first_c_at")) & (F.col("after") == F.col("first_c_after")))
+    ends = ends.select(*same, "after", F.arrow_udf(_reach, "int")("own_bytes", "first_bytes", "after").alias("reach"))
+    found = ends.groupBy(*same).agg(F.max(F.when(~F.col("after"), F.col("reach"))).alias("left"), F.max(F.when(F.col("after"), F.col("reach"))).alias("right"))
+    found = found.select("doc_id", "mark", (F.col("low") - F.col("left")).alias("low"), (F.col("high") + F.col("right")).alias("high"), "n", "first_doc_id")
+    return _merged(found.where(F.col("high") - F.col("low") >= min_bytes))
+
+
 def without_passages(docs: DataFrame, found: DataFrame, broadcast_rows: int = 300_000) -> DataFrame:
     """``docs`` with the spans ``found`` cut out of the texts; other columns as they are. Rows of one
     doc_id with different texts must not occur here; a document without spans stays as it is."""

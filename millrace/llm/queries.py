@@ -67,8 +67,8 @@ def op2_ngram_join(spark, sf_dir):
 
 @_query
 def op10_chunk_dedup(spark, sf_dir):
-    from millrace.llm.chunk_dedup import repeated_passages
-    return repeated_passages(documents(spark, sf_dir)).drop("text_hash")
+    from millrace.llm.chunk_dedup import whole_passages
+    return whole_passages(documents(spark, sf_dir)).drop("text_hash")
 
 
 @_query

@@ -114,3 +114,48 @@ def test_planted_passages_are_found(spark):
     texts = {x.doc_id: x.text for x in cut.collect()}
     assert all(texts[i] == t for i, t in rows if i not in {a for a, _ in got})
     assert all(len(texts[a].encode()) <= len(rows[a][1].encode()) - MIN_BYTES for a, _ in got)
+
+
+def test_every_planted_passage_is_found_whole(spark):
+    from millrace.llm.chunk_dedup import repeated_passages, whole_passages, without_passages
+    r = random.Random(51)
+    words = lambda n, a, b: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyzéß中") for _ in range(r.randrange(a, b + 1))) for _ in range(n))
+    passages = [words(51, a, b) for a, b in ((2, 7), (2, 5), (3, 8)) for _ in range(120)]
+    rows, want = [], {}
+    for i, p in enumerate(passages):
+        for doc in (i, 1000 + i):
+            before = words(r.randrange(0, 60), 2, 8) + " "
+            rows.append((doc, before + p + " " + words(r.randrange(0, 60), 2, 8)))
+            want[doc] = (len(before.encode()), len(p.encode()))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = whole_passages(df)
+    got = {x.doc_id: x for x in found.collect()}
+    assert sorted(got) == [1000 + i for i in range(len(passages))] and found.count() == len(got)
+    for doc, x in got.items():
+        start, n = want[doc]
+        assert x.first_doc_id == doc - 1000
+        assert x.start_byte <= start and x.start_byte + x.n_bytes >= start + n and x.n_bytes <= n + 8  # a byte or two of the surroundings may agree
+    assert repeated_passages(df).select("doc_id").distinct().count() < len(passages)  # what whole chunks alone find
+    texts = dict(rows)
+    for doc, text in without_passages(df, found).collect():
+        x = got.get(doc)
+        raw = texts[doc].encode()
+        assert text.encode() == (raw[:x.start_byte] + raw[x.start_byte + x.n_bytes:] if x else raw)
+
+
+def test_whole_passages_on_odd_rows(spark):
+    from millrace.llm.chunk_dedup import whole_passages
+    rows = [(d, t) for d, t in rows_of(3)] + [(200, "z" * 127), (201, "z" * 127), (202, "y" * 128 + "1"), (203, "y" * 128 + "2")]
+    df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, d1 int").repartition(4)
+    got = whole_passages(df).collect()
+    key = lambda d: (d is not None, d or 0)
+    texts = defaultdict(set)
+    for d, t in rows:
+        texts[d].add((t or "").encode())
+    for x in got:  # each span stands whole in one text of its document, every 64 bytes of it a repeat
+        assert x.n_bytes >= MIN_BYTES and key(x.first_doc_id) <= key(x.doc_id)
+        assert any(len(t) >= x.start_byte + x.n_bytes and t[x.start_byte:x.start_byte + x.n_bytes].decode() for t in texts[x.doc_id])
+    spans = {(x.doc_id, x.start_byte, x.n_bytes, x.first_doc_id) for x in got}
+    assert (203, 0, 128, 202) in spans and not {200, 201, 202} & {x.doc_id for x in got}
+    assert {x.doc_id for x in got} >= {d for d, *_ in brute(rows, MIN_BYTES)}
+    assert whole_passages(df.limit(0)).count() == 0
