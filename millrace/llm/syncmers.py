@@ -7,8 +7,8 @@ an edit changes the choice only of windows that touch it (context-free anchors),
 anchors of two texts can be matched with their positions (``matched_anchors``).
 
 The fingerprint holds the ``SKETCH`` least anchor hashes of a text, 8 hex digits each and
-ascending; a text with fewer than ``K`` units has one anchor of all its units, one without
-units the empty fingerprint. Likeness estimates the Jaccard likeness of the anchor sets from
+ascending; a text without a chosen window (fewer than ``K`` units, or ``K`` or a few more with
+none) has one anchor of all its units, and only one without units the empty fingerprint. Likeness estimates the Jaccard likeness of the anchor sets from
 the least hashes of their union, 1 for equal fingerprints and 0 where one is empty.
 
 Rows: one per input row. Null text counts as empty. The next document is that with the next
@@ -46,7 +46,7 @@ def anchors(text: Column) -> Column:
 
         short = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(h).alias("hash")))
         return (F.when(F.size(h) == 0, F.array().cast("array<struct<pos:int,hash:bigint>>"))
-                 .when(F.size(h) < K, short).otherwise(let(inner, closed)))
+                 .when(F.size(h) < K, short).otherwise(let(let(inner, closed), lambda c: F.when(F.size(c) == 0, short).otherwise(c))))
 
     units = F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
     return let(F.transform(units, lambda u: F.xxhash64(u)), chosen)

@@ -136,3 +136,17 @@ def test_syncmers_are_context_free(spark):
     shift = Counter(x.right_pos - x.left_pos for x in m)
     assert shift[2] > 0.9 * len(m) and len(m) >= len(inner) * 0.95
     assert 0.3 < len(a) / 296 < 0.7
+
+
+def test_short_texts_have_an_anchor(spark):
+    from millrace.llm.syncmers import anchors, edited_fingerprints, likeness, sketch
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randrange(10_000)}" for _ in range(n)) for n in (1, 4, 5, 6, 7, 8) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = df.select("text", anchors(F.col("text")).alias("a"), sketch(F.col("text")).alias("s")).collect()
+    assert all(x.a and x.s for x in rows)
+    assert len({tuple(x.s) for x in rows if len(x.text.split()) in (5, 6)}) == 120  # unrelated texts differ
+    got = edited_fingerprints(df.where("doc_id >= 120 and doc_id < 240")).collect()
+    assert all(x.fingerprint and x.edited_fingerprint and x.near_next < 1 for x in got)
+    empty = df.select(likeness(sketch(F.col("text")), sketch(F.lit(""))).alias("n")).agg(F.max("n")).first()[0]
+    assert empty == 0.0
