@@ -2,7 +2,8 @@
 
 Lines are the parts of a text between line breaks. Equal lines are one class; lines of at least
 ``MIN_CHARS`` characters within ``MAX_EDITS`` edits of each other are linked, and linked lines
-are one class too. Of a class the first line by (doc_id, line number) stays, every other is
+are one class too. With ``tiers`` the edits follow the length of the shorter line instead
+(``TIERS``): one join per tier, their links together. Of a class the first line by (doc_id, line number) stays, every other is
 removed from its text. Lines without a word stay as they are.
 
 The join: a line is split into ``MAX_EDITS + 1`` segments, which an index holds under (length of
@@ -27,6 +28,8 @@ front are this operator's own. Lines are told apart by two 64-bit hashes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ from millrace.operators.components import component_roots
 
 MAX_EDITS = 2
 MIN_CHARS = 60
+#: (edits, characters of the shorter line from, and below), the edits not falling: a segment holds 10 characters at least.
+TIERS = ((1, 20, 60), (2, 60, 200), (3, 200, None))
 #: Rows of ids that are broadcast at most; more of them are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -190,9 +195,21 @@ def _texts_of(docs: DataFrame, places: DataFrame, needed: DataFrame) -> DataFram
     return materialise(found.select("t_h", "line").distinct(), "line-texts")
 
 
-def line_links(docs: DataFrame, places: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_links(docs: DataFrame, places: DataFrame, tiers=((MAX_EDITS, MIN_CHARS, None),)) -> DataFrame:
     """``(h, root)``: the hashes of lines that are linked with another, by component."""
-    lines = _lines(docs, min_chars).groupBy("line").agg(F.count(F.lit(1)).alias("times"))
+    links = [_tier_links(docs, places, *tier) for tier in tiers]
+    if len(links) > 1:  # each is the end of a plan of its own
+        links = [materialise(x, "line-tier") for x in links]
+    return component_roots(reduce(DataFrame.unionByName, links), a="a", b="b").select(F.col("id").cast("bigint").alias("c_h"), "root")
+
+
+def _tier_links(docs: DataFrame, places: DataFrame, edits: int, min_chars: int, below: int | None) -> DataFrame:
+    """``(a, b)``: links of the lines within ``edits`` edits whose shorter one has ``min_chars``
+    characters or more, and fewer than ``below``."""
+    lines = _lines(docs, min_chars)
+    if below is not None:  # the longer one of a pair can exceed it by the edits
+        lines = lines.where(F.char_length("line") < below + edits)
+    lines = lines.groupBy("line").agg(F.count(F.lit(1)).alias("times"))
     # The count is not needed; it keeps the aggregate one by hash with partial sums before the shuffle.
     # The length is a column of its own, or each of the many expressions below would count it anew.
     lines = lines.where("times > 0").select("line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h"))
@@ -219,14 +236,13 @@ def line_links(docs: DataFrame, places: DataFrame, edits: int = MAX_EDITS, min_c
     close = F.bit_count(F.col("parity").bitwiseXOR(F.col("o_parity"))) <= 3 * edits
     apart = (sought.join(held, (F.col("s_key") == F.col("o_key")) & (F.col("label") != F.col("o_label")) & close)
                    .select(F.least("h", "o_h").alias("a"), F.greatest("h", "o_h").alias("b")).distinct())
-    links = links.unionByName(_verified(apart, texts, edits))
-    return component_roots(links, a="a", b="b").select(F.col("id").cast("bigint").alias("c_h"), "root")
+    return links.unionByName(_verified(apart, texts, edits))
 
 
-def removals(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def removals(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, tiers=None) -> DataFrame:
     """``(r_id, r_th, removed)``: per text the numbers (from 0) of the lines to remove, ascending."""
     places = line_places(docs)
-    linked = materialise(line_links(docs, places, edits, min_chars), "line-components")
+    linked = materialise(line_links(docs, places, tiers or ((edits, min_chars, None),)), "line-components")
     places = places.join(_few(linked, BROADCAST_ROWS), F.col("h") == F.col("c_h"), "left")
     places = places.select("doc_id", "th", "no", F.coalesce(F.xxhash64("root"), "h").alias("h"), F.when(F.col("root").isNull(), F.col("g")).otherwise(0).alias("g"))
     firsts = (places.groupBy("h", "g").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
@@ -237,9 +253,10 @@ def removals(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS
                  .select(F.col("doc_id").alias("__r_id"), F.col("th").alias("__r_th"), F.col("removed").alias("__removed")))
 
 
-def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the removed lines taken out of ``text``, and ``__n_lines``, ``__n_removed``."""
-    gone = materialise(removals(docs, edits, min_chars), "line-removals")
+def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, tiers=None) -> DataFrame:
+    """``docs`` with the removed lines taken out of ``text``, and ``__n_lines``, ``__n_removed``;
+    ``tiers`` stand in the place of ``edits`` and ``min_chars`` where given."""
+    gone = materialise(removals(docs, edits, min_chars, tiers), "line-removals")
     text = F.col("text").cast("string")
     rows = docs.join(_few(gone, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("__r_id")) & (F.xxhash64(text) == F.col("__r_th")), "left")
     rest = let(F.split(text, "\n", -1), lambda x: F.array_join(F.transform(

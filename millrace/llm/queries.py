@@ -73,8 +73,8 @@ def op10_chunk_dedup(spark, sf_dir):
 
 @_query
 def op6_line_dedup(spark, sf_dir):
-    from millrace.llm.line_dedup import dedup_lines
-    rows = dedup_lines(documents(spark, sf_dir))
+    from millrace.llm.line_dedup import TIERS, dedup_lines
+    rows = dedup_lines(documents(spark, sf_dir), tiers=TIERS)
     return rows.select("doc_id", rows["__n_lines"].alias("n_lines"), rows["__n_removed"].alias("n_removed"), "text")
 
 

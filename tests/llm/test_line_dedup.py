@@ -119,3 +119,27 @@ def test_one_segment_held_by_lines_far_apart(spark):
     rows = [(i, head + t) for i, t in enumerate(tails)] + [(100 + i, head + edit(r, t, 1)) for i, t in enumerate(tails)]
     got = run(spark, rows, edits=2, min_chars=60)
     assert got == brute(rows, 2, 60) and sum(x[3] for x in got) == 25
+
+
+def test_edits_follow_the_length(spark):
+    from millrace.llm.line_dedup import TIERS
+    r = random.Random(59)
+    word = lambda n: "".join(r.choice("abcdefghij klmnop") for _ in range(n - 1)) + "."
+
+    def changed(s, n):  # n characters, apart from each other
+        s = list(s)
+        for k in range(n):
+            s[(2 * k + 1) * len(s) // (2 * n)] = "#"
+        return "".join(s)
+    cases = [(59, 1, 1), (59, 2, 0), (20, 1, 1), (19, 1, 0), (60, 2, 1), (60, 3, 0), (199, 2, 1), (199, 3, 0), (200, 3, 1), (1000, 3, 1), (1000, 4, 0)]
+    rows, want = [], {}
+    for i, (n, edits, gone) in enumerate(cases):
+        line = word(n)
+        rows += [(i, line), (1000 + i, changed(line, edits))]
+        want[i], want[1000 + i] = 0, gone
+    for i, n in enumerate((59, 60, 61, 199, 200)):  # across the bounds, the longer line one character longer
+        line = word(n)
+        rows += [(100 + i, line), (1100 + i, line[:n // 2] + "+" + line[n // 2:])]
+        want[100 + i], want[1100 + i] = 0, 1
+    got = {x[0]: x[3] for x in run(spark, rows, tiers=TIERS)}
+    assert got == want
