@@ -82,3 +82,9 @@ def op6_line_dedup(spark, sf_dir):
 def op5_id_files(spark, sf_dir):
     from millrace.llm.id_files import round_trip
     return round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op12_conversation_repair(spark, sf_dir):
+    from millrace.llm.conversation_repair import repair_damaged
+    return repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
