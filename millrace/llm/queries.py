@@ -88,3 +88,9 @@ def op5_id_files(spark, sf_dir):
 def op12_conversation_repair(spark, sf_dir):
     from millrace.llm.conversation_repair import repair_damaged
     return repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@_query
+def op13_collocations(spark, sf_dir):
+    from millrace.llm.collocations import collocations
+    return collocations(documents(spark, sf_dir))
