@@ -94,3 +94,9 @@ def op12_conversation_repair(spark, sf_dir):
 def op13_collocations(spark, sf_dir):
     from millrace.llm.collocations import collocations
     return collocations(documents(spark, sf_dir))
+
+
+@_query
+def op11_lsh_forest(spark, sf_dir):
+    from millrace.llm.lsh_forest import near_duplicates
+    return near_duplicates(documents(spark, sf_dir), width=4)
