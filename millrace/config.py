@@ -50,7 +50,7 @@ class BPEConfig:
     pad_token: str | None = "<pad>"
     min_frequency: int = 2
     add_prefix_space: bool = True
-    merges_per_round: int = 64   # certified-exact merges taken per counting job
+    merges_per_round: int = 256  # ranked pairs looked at in the first round; later ones adapt
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ from millrace.plans.catalog import register, table
 from millrace.session import checkpoint_dir
 
 SPLIT = SplitConfig(val_fraction=0.05, seed=42)
-BPE = BPEConfig(vocab_size=256, min_frequency=2)
+BPE = BPEConfig(vocab_size=16_000, min_frequency=2)
 
 def _train_texts(spark, sf):
     return tk.split_docs(table(spark, sf, "documents"), SPLIT).where(F.col("split") == "train")

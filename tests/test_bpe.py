@@ -111,3 +111,40 @@ def test_encode_equals_the_public_library_on_documents(spark, tmp_path):
     texts = {r.doc_id: r.text for r in docs.collect()}
     got = {r.doc_id: r.ids for r in bpe.encode(docs, model, cfg, append_eos=False).collect()}
     assert all(got[d] == lib.encode(t).ids for d, t in texts.items())
+
+
+def test_product_vocabulary_equals_the_public_trainer(spark, monkeypatch):
+    """16,000 symbols (or as many as the texts give) on every document of sf0.001; few runs at a time."""
+    tokenizers = pytest.importorskip("tokenizers")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    cfg = BPEConfig(vocab_size=16_000)
+    tok = tokenizers.Tokenizer(tokenizers.models.BPE(unk_token="<unk>"))
+    tok.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=True)
+    trainer = tokenizers.trainers.BpeTrainer(vocab_size=cfg.vocab_size, special_tokens=list(cfg.special_tokens),
+                                             min_frequency=cfg.min_frequency, show_progress=False)
+    tok.train_from_iterator([r.text for r in docs.select("text").collect()], trainer=trainer)
+    hf = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in json.loads(tok.to_str())["model"]["merges"]]
+    monkeypatch.setattr(bpe, "CHAINS", 20_000)
+    model = bpe.train_bpe(bpe.pretoken_counts(docs, "text", cfg), cfg)
+    assert [(r.left, r.right) for r in model.merges.orderBy("rank").collect()] == hf
+    assert {r.token: r.id for r in model.vocab.collect()} == tok.get_vocab()
+
+
+def test_pair_table_by_differences_equals_a_recount(spark):
+    import numpy as np
+    rows = [([1, 2, 1, 2, 3], 5), ([2, 2, 2], 3), ([1], 7), ([], 2), ([3, 1, 2], 1)]
+    words = spark.createDataFrame(rows, "s array<int>, cnt bigint").repartition(3)
+    one = lambda df: {(r.p >> 32, r.p & 0xFFFFFFFF): r.c for r in df.collect()}
+    assert one(bpe._pair_counts(words)) == {(1, 2): 11, (2, 1): 5, (2, 3): 5, (2, 2): 6, (3, 1): 1}
+    held = spark.sparkContext.broadcast(np.array([1 << 32 | 2, 2 << 32 | 2]))
+    runs = {tuple(np.frombuffer(r.run, "<i4").tolist()): r.cnt for r in bpe._runs(words, held).groupBy("run").agg(F.sum("cnt").alias("cnt")).collect()}
+    assert runs == {(1, 2): 11, (2, 2, 2): 3}
+    chains = [list(x) for x in runs]
+    tokens, ids, merges = ["", "a", "b", "c"], {"a": 1, "b": 2, "c": 3}, []
+    bpe._merge_in_order(chains, list(runs.values()), (-5, 2 << 32 | 1), BPEConfig(vocab_size=9), tokens, ids, merges)
+    assert merges == [(0, "a", "b", "ab", 11), (1, "b", "b", "bb", 6)] and sorted(chains) == [[4], [5, 2]]
+    new = spark.sparkContext.broadcast({np.array(k, "<i4").tobytes(): np.array(c, "<i4") for k, c in zip(runs, chains)})
+    after = bpe._rewritten(words, held, new)
+    assert sorted((r.s, r.cnt, r.was) for r in after.collect() if r.was) == [([3, 4], 1, [3, 1, 2]), ([4, 4, 3], 5, [1, 2, 1, 2, 3]), ([5, 2], 3, [2, 2, 2])]
+    table = bpe._pair_counts(words).unionByName(bpe._differences(after)).groupBy("p").agg(F.sum("c").alias("c")).where("c != 0")
+    assert one(table) == one(bpe._pair_counts(after.select("s", "cnt"))) == {(4, 4): 5, (4, 3): 5, (3, 4): 1, (5, 2): 3}
