@@ -34,13 +34,16 @@ from millrace.session import cut_lineage
 def global_positions(df: DataFrame, order_cols: Sequence[str], weight: str | None = None,
                      group_cols: Sequence[str] = (), pos_col: str = "pos",
                      before_col: str = "cum_before", num_partitions: int | None = None,
-                     agg: str = "sum") -> DataFrame:
+                     agg: str = "sum", unique: bool = False, part_col: str | None = None) -> DataFrame:
     """Adds ``pos`` (0-based index in the order) and, with ``weight``, the
     exclusive running aggregate ``cum_before`` (``agg="sum"``: running total;
     ``agg="min"``: smallest earlier value, null for the first row); both
     restart for each group.
 
-    ``order_cols`` must make the order total (append a unique key).
+    ``order_cols`` must make the order total (append a unique key); with
+    ``unique`` a repeated key of a group is an error (nulls are values).
+    ``part_col``: also keep the number of the row's range partition; rows of a
+    partition stay in order.
     """
     if agg not in ("sum", "min"):
         raise ValueError(f"unknown agg {agg!r}")
@@ -58,7 +61,9 @@ def global_positions(df: DataFrame, order_cols: Sequence[str], weight: str | Non
                 .repartitionByRange(n, *group_cols, *order_cols)
                 .sortWithinPartitions(*group_cols, *order_cols)
                 .withColumn("__part", F.spark_partition_id())
-                .withColumn("__row", F.monotonically_increasing_id()))
+                .withColumn("__row", F.monotonically_increasing_id())
+                .withColumn("__key", F.xxhash64(*[x for c in [*group_cols, *order_cols] for x in (F.col(c), F.col(c).isNull())])
+                            if unique else F.lit(None).cast("bigint")))
     ranged = cut_lineage(ranged)
 
     per_group = ranged.groupBy("__part", "_g").agg(F.count(F.lit(1)).alias("c"), (F.min if is_min else F.sum)("_w").alias("w"),
@@ -87,7 +92,13 @@ def global_positions(df: DataFrame, order_cols: Sequence[str], weight: str | Non
 
     def scan(batches):
         now, c0, w0 = None, 0, start        # (partition, group) being read, its totals so far
+        key = None
         for batch in batches:
+            if unique and batch.num_rows:   # equal keys stand next to each other, in one partition
+                k = batch.column("__key").to_numpy()
+                if k[0] == key or (k[1:] == k[:-1]).any():
+                    raise ValueError(f"rows with equal keys {order_cols} have no order")
+                key = k[-1]
             g = batch.column("_g").to_numpy(zero_copy_only=False)
             p = batch.column("__part").to_numpy(zero_copy_only=False)
             w = batch.column("_w").to_numpy(zero_copy_only=False).astype(np.float64 if is_min else np.int64)
@@ -120,4 +131,7 @@ def global_positions(df: DataFrame, order_cols: Sequence[str], weight: str | Non
                 schema=batch.schema.append(pa.field(pos_col, pa.int64(), False))
                                    .append(pa.field(before_col, before_type, is_min)))
 
-    return ranged.mapInArrow(scan, out_schema).drop("_w", "_g", "__part", "__row")
+    out = ranged.mapInArrow(scan, out_schema)
+    if part_col:
+        out = out.withColumn(part_col, F.col("__part"))
+    return out.drop("_w", "_g", "__part", "__row", "__key")

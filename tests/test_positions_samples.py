@@ -61,6 +61,49 @@ def test_assign_shards_random(spark, parts):
         assert got == _greedy(ss, 64)
 
 
+@pytest.mark.parametrize("fan", [2, 3, 64])
+@pytest.mark.parametrize("target", [0, 1, 7, 64, 500, 100_000])
+def test_assign_shards_levels_and_sizes(spark, fan, target):
+    """Shards within a partition, over many partitions, and documents larger than a shard."""
+    rng = random.Random(target)
+    sizes = {"a": [rng.choice([0, 0, 1, 5, 30, 90, 700]) for _ in range(300)], "b": [rng.randint(0, 9) for _ in range(40)], None: [3], "c": [0, 0, 0]}
+    rows = [(sp, i, s) for sp, ss in sizes.items() for i, s in enumerate(ss)]
+    df = spark.createDataFrame(rows, "split string, k long, nb long").repartition(3)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        out = assign_shards(df, ["k"], "nb", target, fan=fan).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(out) == len(rows)
+    for sp, ss in sizes.items():
+        got = [r.shard for r in sorted((r for r in out if r.split == sp), key=lambda r: r.k)]
+        assert got == _greedy_from(ss, target)
+
+
+def _greedy_from(sizes, target):
+    """The rule of the pointers: a shard goes on while its bytes stay within the target; a document at least."""
+    out, shard, begin, before = [], -1, None, 0
+    for s in sizes:
+        if begin is None or before + s > begin + target:
+            shard, begin = shard + 1, before
+        out.append(shard)
+        before += s
+    return out
+
+
+def test_null_and_repeated_keys(spark):
+    schema = "split string, k long, ids array<int>, nb long"
+    df = spark.createDataFrame([("t", None, [1], 4), ("t", 1, [1, 2], 4), (None, 2, [1], 4), ("t", 3, None, None)], schema)
+    assert sorted(((r.split, r.k, r.shard) for r in assign_shards(df, ["k"], "nb", 4).collect()), key=str) == \
+        sorted([("t", None, 0), ("t", 1, 1), (None, 2, 0), ("t", 3, 1)], key=str)
+    assert sorted(((r.split, r.k) for r in token_budget(df, ["k"], "ids", 2).collect()), key=str) == sorted([("t", None), ("t", 1), (None, 2)], key=str)
+    twice = df.unionByName(spark.createDataFrame([("t", 1, [9], 1)], schema))
+    for run in (lambda: assign_shards(twice, ["k"], "nb", 4), lambda: token_budget(twice, ["k"], "ids", 2)):
+        with pytest.raises(Exception, match="equal keys"):
+            run().collect()
+
+
 def test_token_budget(spark):
     df = spark.createDataFrame([("train", i, [1] * n) for i, n in enumerate([5, 5, 5, 5])],
                                "split string, k long, ids array<int>")
