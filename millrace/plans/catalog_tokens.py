@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.config import SplitConfig
 from millrace.functions.hashing import sql_unit_interval
 from millrace.functions.text import SQL_WORDS, sql_py_strip
+from millrace.operators import fileorder as fo
 from millrace.operators import packing as pk
 from millrace.operators import rows as rw
 from millrace.operators import shards as sh
@@ -15,6 +16,7 @@ from millrace.operators.position import global_positions
 from millrace.operators.split import split_sources, with_split, with_text
 from millrace.plans import tokens as tk
 from millrace.plans.catalog import register, table
+from millrace.sources.corpus import scratch_path
 
 SPLIT = SplitConfig(val_fraction=0.05, seed=42)
 BUDGET = {"train": 150_000, "val": 5_000}
@@ -74,6 +76,51 @@ def q_b2(spark, sf):
              .select("sample_size", "doc_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+FILE_ROWS, BUFFER = 50, 100
+
+
+def _in_files(spark, sf, rows: int | None = FILE_ROWS):
+    """The documents in several files: a folder per language, in it files of ``rows`` rows by doc_id."""
+    path = scratch_path(spark, "corpus-files")
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang").repartition("lang").sortWithinPartitions("lang", "doc_id")
+    w = d.write.partitionBy("lang")
+    (w.option("maxRecordsPerFile", rows) if rows else w).parquet(path)
+    return fo.read_placed(spark, path)
+
+
+_FILE_ORDER = "row_number() OVER (ORDER BY lang, doc_id) - 1"
+_FILE_ROW = f"(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) % {FILE_ROWS}"
+
+
+@register("b2_file_samples",
+          f"SELECT s.sample_size, d.doc_id, md5(d.text) AS text_md5, d.row, d.pos + 1 AS rank FROM (SELECT doc_id, text, {_FILE_ORDER} AS pos, "
+          f"{_FILE_ROW} AS row FROM documents) d JOIN (VALUES (100), (10000)) s(sample_size) ON d.pos < s.sample_size")
+def q_b2f(spark, sf):
+    return fo.file_prefix_samples(_in_files(spark, sf), [100, 10_000]) \
+             .select("sample_size", "doc_id", F.md5("text").alias("text_md5"), "row", "rank")
+
+
+def _folder(file):
+    return F.regexp_extract(file, "^(.*)/", 1)
+
+
+@register("b9_file_shuffle",
+          f"SELECT doc_id, row_number() OVER (ORDER BY md5('{42 + fo.ROLE_OFFSET['train']}:lang=' || lang), doc_id) - 1 AS pos FROM documents")
+def q_b9f(spark, sf):
+    """A file per language (its name is its folder: the writer's own names differ in each run)."""
+    order = fo.by_hash(fo.role_seed(42, "train"))
+    placed = fo.file_positions(_in_files(spark, sf, None), lambda file: order(_folder(file)))
+    return placed.select("doc_id", "pos")
+
+
+@register("b9_buffer_shuffle",
+          f"SELECT doc_id, pos, row_number() OVER (ORDER BY pos + least(CAST(floor({sql_unit_interval('pos', 7)} * {BUFFER}) AS BIGINT), {BUFFER} - 1), "
+          f"md5('7:' || pos), pos) - 1 AS shuffled_pos FROM (SELECT doc_id, {_FILE_ORDER} AS pos FROM documents) d")
+def q_b9b(spark, sf):
+    placed = fo.file_positions(_in_files(spark, sf)).select("doc_id", "pos")
+    return fo.buffer_shuffle(placed, 7, BUFFER).select("doc_id", "pos", "shuffled_pos")
+
+
 @register("b5_extract_text",
           f"SELECT conv_id, turn, NULLIF(concat_ws(chr(10), {_text_x('role')}, {_text_x('text')}), '') AS text_x "
           "FROM conversations")
