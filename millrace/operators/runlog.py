@@ -52,6 +52,8 @@ RESOURCE_METRICS = ("gpu/memory_reserved_gb", "throughput/tokens_per_sec", "timi
 # Columns the sigma bound needs.
 SIGMA_REQUIRED = ("attention_logit_multiplier", "head_dim", "xxt_norm_2_mean", "xxt_norm_2_max", "wk_wqT_norm_2")
 LEADING = ("change", "layer", "step", "run_name", "run_id", "state")
+# The identity of a log row under all steps, and metric names that may become columns.
+LOG_ROW, MAX_METRICS = "log_row", 2_000
 
 
 def finite_or_null(v: Column) -> Column:
@@ -75,10 +77,11 @@ def with_log_position(run_log: DataFrame) -> DataFrame:
     return run_log.withColumn("log_pos", F.struct(step.alias("step"), F.xxhash64(F.to_json("metrics")).alias("h")))
 
 
-def unpivot_diagnostics(run_log: DataFrame, keep_position: bool = False) -> DataFrame:
+def unpivot_diagnostics(run_log: DataFrame, keep_position: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """G1: ``(run_id, step, layer, metric, value)`` from the diagnostics keys
-    (and ``log_pos``, see ``with_log_position``, when asked for)."""
-    pos = ["log_pos"] if keep_position else []
+    (and ``log_pos``, see ``with_log_position``, when asked for; and the log's
+    columns ``keep``)."""
+    pos = (["log_pos"] if keep_position else []) + list(keep)
     e = (with_log_position(run_log) if keep_position else run_log).select(
         "run_id", step_of(F.col("metrics")).alias("step"), *pos, F.explode("metrics").alias("key", "value"))
     e = e.where(F.col("key").rlike(ATTN_KEY_RE))
@@ -142,25 +145,33 @@ def diagnostics_table(runs: DataFrame, run_log: DataFrame, all_steps: bool = Fal
                       prefix: str = "qk-init-m-", summary_key: str | None = "config/qk_gain_init") -> DataFrame:
     """G1-G6 combined: long rows ``(change, layer, step, run_name, run_id,
     state, metric, value)`` from history, or from the summary for runs
-    without history."""
-    hist = unpivot_diagnostics(run_log, keep_position=not all_steps)
-    fallback = summary_fallback(runs, hist)
-    if not all_steps:
-        hist = latest_per_layer(hist)
-    rows = hist.unionByName(fallback)
+    without history. With ``all_steps`` the rows also carry ``log_row``, the
+    identity of the log row they come from: log rows of one step stay apart,
+    equal ones too."""
+    if all_steps:
+        hist = unpivot_diagnostics(run_log.withColumn(LOG_ROW, F.monotonically_increasing_id()), keep=[LOG_ROW])
+        rows = hist.unionByName(summary_fallback(runs, hist), allowMissingColumns=True)
+    else:
+        hist = unpivot_diagnostics(run_log, keep_position=True)
+        rows = latest_per_layer(hist).unionByName(summary_fallback(runs, hist))
     labelled = change_label(runs, prefix, summary_key).select("run_id", "run_name", "state", "change")
     return rows.join(labelled, "run_id")
 
 
 def pivot_metrics(long: DataFrame, metrics: Sequence[str] | None = None) -> DataFrame:
     """One column per metric (sorted), leading columns first, rows
-    sorted by change, layer, step. Pass ``metrics`` to skip the job that
-    lists them (a handful of names, not data)."""
+    sorted by change, layer, step. With ``log_row`` (all steps) each log row
+    and layer is a row of its own. Pass ``metrics`` to skip the job that lists
+    the names; more than ``MAX_METRICS`` of them are an error, since each
+    becomes a column."""
     if metrics is None:
-        metrics = [r[0] for r in long.select("metric").distinct().collect()]
+        metrics = [r[0] for r in long.select("metric").distinct().limit(MAX_METRICS + 1).collect()]
     metrics = sorted(m for m in metrics if m not in LEADING)
-    wide = long.groupBy(*LEADING).pivot("metric", metrics).agg(F.first("value"))
-    return wide.select(*LEADING, *metrics).orderBy("change", "layer", "step")
+    if len(metrics) > MAX_METRICS:
+        raise ValueError(f"more than {MAX_METRICS} metric names cannot become columns; pass the ones to keep")
+    row = [LOG_ROW] if LOG_ROW in long.columns else []
+    wide = long.groupBy(*LEADING, *row).pivot("metric", metrics).agg(F.first("value", ignorenulls=True))
+    return wide.orderBy("change", "layer", "step", *row).select(*LEADING, *metrics)
 
 
 def best_val_flags(steps: DataFrame, run_col: str = "run_id", step_col: str = "step",

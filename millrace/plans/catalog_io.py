@@ -77,7 +77,7 @@ def q_st2(spark, sf):
     schema = table(spark, sf, "events").schema
     steps = rb.steps(st.read_landing(spark, sf, schema, glob="events.parquet"))
     out, ckpt = cs.scratch_path(spark, "st2-out"), cs.scratch_path(spark, "st2-ckpt")
-    st.monitor_stream(steps, out, ckpt).awaitTermination()
+    st.monitor_stream(steps, out, ckpt, expire="7 days").awaitTermination()
     return st.latest_monitor(spark, out)
 
 

@@ -89,6 +89,15 @@ def q_g7(spark, sf):
     return rl.pivot_metrics(rl.diagnostics_table(runs, log), METRICS)
 
 
+@register("g7_all_steps", _with(
+    f"SELECT l.change, d.layer, d.step, l.run_name, d.run_id, l.state, {_PIVOT_COLS} "
+    "FROM (SELECT * FROM hist UNION ALL SELECT * FROM fallback) d JOIN labels l USING (run_id) "
+    "GROUP BY l.change, d.layer, d.step, l.run_name, d.run_id, l.state"))
+def q_g7a(spark, sf):
+    log, runs = _tabs(spark, sf)
+    return rl.pivot_metrics(rl.diagnostics_table(runs, log, all_steps=True))
+
+
 @register("g8_run_rollup", _with(
     "SELECT run_id, min(val_loss) AS best_val_loss, "
     "round(coalesce(sum(val_loss), 0) / greatest(count(val_loss), 1), 9) AS mean_eval_loss, "

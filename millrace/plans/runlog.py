@@ -19,7 +19,7 @@ MODELS = ("2p4M", "9p4M", "19M", "42M")
 
 def _events(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    return events.select("event_id", "user_id", "event_type", "value", k.alias("k"),
+    return events.select("event_id", "user_id", "event_type", "value", "ts", k.alias("k"),
                          F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"))
 
 
@@ -95,7 +95,7 @@ def steps(events: DataFrame) -> DataFrame:
         F.floor(v * 100).cast("bigint").alias("tokens"),
         (v / 4).alias("gpu_memory_reserved_gb"),
         (v * 1000).alias("tokens_per_sec"),
-        (F.col("event_id") * 0.5).alias("elapsed_sec"))
+        (F.col("event_id") * 0.5).alias("elapsed_sec"), F.col("ts").cast("timestamp").alias("log_time"))
 
 
 def stage_log(events: DataFrame) -> DataFrame:

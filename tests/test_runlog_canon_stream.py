@@ -134,3 +134,28 @@ def test_rollup_and_monitor_flag_non_finite(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
         monitor_stream(spark.readStream.schema(schema).parquet(src), out, ck).awaitTermination()
     assert sorted(map(tuple, latest_monitor(spark, out).collect())) == want
+
+
+def _diagnostics(spark, log):
+    runs = spark.createDataFrame([("r1", "n1", "finished", [], {}), ("r2", "n2", "failed", [], {"_step": "3", "attention_diagnostics/layer_0/x": "0.5"})],
+                                 "run_id string, run_name string, state string, tags array<string>, summary map<string,string>")
+    return rl.diagnostics_table(runs, spark.createDataFrame(log, "run_id string, metrics map<string,double>").repartition(3), all_steps=True)
+
+
+def test_all_steps_keeps_every_log_row(spark):
+    """Two log rows of one step (two of them equal) are rows of their own; a run without history has its summary."""
+    a = "attention_diagnostics/layer_"
+    log = [("r1", {f"{a}2/x": 1.0, f"{a}2/y": 2.0, f"{a}10/x": 9.0, "_step": 5.0}), ("r1", {f"{a}2/x": 3.0, "_step": 5.0}), ("r1", {f"{a}2/x": 3.0, "_step": 5.0}),
+           ("r1", {f"{a}2/y": float("nan")}), ("r1", {"train/loss": 1.0, "_step": 6.0})]
+    wide = rl.pivot_metrics(_diagnostics(spark, log))
+    assert wide.columns == [*rl.LEADING, "x", "y"]
+    got = [(r.run_id, r.layer, r.step, r.x, r.y) for r in wide.collect()]
+    assert sorted(got, key=repr) == sorted([("r1", 2, 5, 1.0, 2.0), ("r1", 10, 5, 9.0, None), ("r1", 2, 5, 3.0, None), ("r1", 2, 5, 3.0, None),
+                                            ("r1", 2, None, None, None), ("r2", 0, 3, 0.5, None)], key=repr)
+
+
+def test_too_many_metric_names_fail_early(spark):
+    log = [("r1", {f"attention_diagnostics/layer_0/m{k}": 1.0 for k in range(i, i + 100)}) for i in range(0, 10_000, 100)]
+    with pytest.raises(ValueError, match="more than 2000 metric names"):
+        rl.pivot_metrics(_diagnostics(spark, log))
+    assert len(rl.pivot_metrics(_diagnostics(spark, log), ["m1", "m9999"]).columns) == 8
