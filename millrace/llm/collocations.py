@@ -4,8 +4,8 @@
    blocks, each a run of documents of one language, in order of place: one number a place, which grows
    by one within a piece and by more from piece to piece. No phrase spans two documents, so blocks are
    independent.
-2. Groups (words, later phrases) are counted per block, summed, and those of ``least`` occurrences or
-   more get an id. A semi-join leaves their occurrences in R1.
+2. Groups (words, later phrases) are counted per block, summed (pairs are pre-aggregated per task and
+   sent sorted and packed, a row per task and bucket), and those of ``least`` occurrences or more get an id. A semi-join leaves their occurrences in R1.
 3. R(k+1) is the merge-join of Rk with itself on piece and next position: a phrase of k + 1 words
    stands where its first k words stand and its last k stand one place on. Its group is the pair of
    their ids, so nothing is hashed and counts are exact. Count, semi-join, repeat to ``longest`` words.
@@ -30,12 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_folder, text_slices
-from millrace.llm.shingle_sets import text_bytes
+from millrace.llm.common import n_buckets, shared_folder, text_slices
+from millrace.llm.shingle_sets import mix, text_bytes
 
 #: Bytes of text in a block, and groups (bytes of their words) that are broadcast at most.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BROADCAST_GROUPS, BROADCAST_BYTES = 1_000_000, 32 << 20
+#: Distinct pairs that a task holds before it sends them, and occurrences of pairs for each bucket they go to.
+HELD_PAIRS, BUCKET_PAIRS = 2_000_000, 2_000_000
 WORD_BYTE, WHITE_BYTE, PIECE_BYTE = 0, 1, 2
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = WHITE_BYTE
@@ -63,7 +65,7 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.A
     starts = np.flatnonzero(black & np.r_[True, ~black[:-1] | edge[1:n]])
     ends = np.flatnonzero(black & np.r_[~black[1:] | edge[1:n], True]) + 1
     text = np.searchsorted(offsets, starts, "right") - 1
-    piece = np.cumsum(kind == PIECE_BYTE)[starts] + text
+    piece = np.cumsum(kind == PIECE_BYTE, dtype=np.int32 if n < 1 << 31 else np.int64)[starts] + text
     at = np.arange(len(starts)) + piece
     joined = LOWER[data[black]]
     words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.r_[0, np.cumsum(ends - starts)].astype(np.int64)), pa.py_buffer(joined)])
@@ -89,7 +91,7 @@ def occurrences(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
                     used, local = np.unique(code[held], return_inverse=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([number]), pa.array([lang.dictionary[int(of[held[0]])].as_py()], pa.string()),
-                         pa.array([np.diff(at[held], prepend=0).astype("<i4").tobytes()], pa.binary()), pa.array([local.astype("<i4").tobytes()], pa.binary()),
+                         pa.array([_gaps(at[held])], pa.binary()), pa.array([local.astype("<i4").tobytes()], pa.binary()),
                          pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), words.take(pa.array(used))),
                          pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), pa.array(np.bincount(local), pa.int64()))],
                         names=["block", "lang", "gaps", "codes", "words", "counts"])
@@ -99,46 +101,119 @@ def occurrences(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     return _written(rows.mapInArrow(run, schema), "occurrences")
 
 
-def _places(gaps: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(gaps, "<i4"), dtype=np.int64)
+def _gaps(at: np.ndarray) -> bytes:
+    """Places as differences of one, two or four bytes."""
+    gaps = np.diff(at, prepend=0)
+    return gaps.astype("<u1" if gaps.max() < 1 << 8 else "<u2" if gaps.max() < 1 << 16 else "<u4").tobytes()
 
 
-def _next(gaps: bytes, groups: bytes):
+def _places(gaps, n: int) -> np.ndarray:
+    """The places of ``n`` occurrences."""
+    return np.cumsum(np.frombuffer(gaps, f"<u{len(gaps) // n}"), dtype=np.int64)
+
+
+def _rows(batch: pa.RecordBatch, *names: str):
+    """The values of each row; binary ones as buffers, not copied."""
+    columns = [batch.column(n) for n in names]
+    for k in range(batch.num_rows):
+        yield [c[k].as_buffer() if pa.types.is_binary(c.type) else c[k].as_py() for c in columns]
+
+
+def _next(gaps, codes, ids):
     """The merge-join of a block's relation with itself at the next position: places, each one's number
     among the block's distinct pairs, the pairs, and how often each stands there."""
-    at, group = _places(gaps), np.frombuffer(groups, "<i8")
+    group, ids = np.frombuffer(codes, "<i4"), np.frombuffer(ids, "<i8")
+    at = _places(gaps, len(group))
     first = np.flatnonzero(at[1:] - at[:-1] == 1)
-    used, local = np.unique(group, return_inverse=True)
-    key, pair, counts = np.unique(local[first] * len(used) + local[first + 1], return_inverse=True, return_counts=True)
-    return at[first], pair, used[key // max(1, len(used))], used[key % max(1, len(used))], counts
+    key, pair, counts = np.unique(group[first] * np.int64(len(ids)) + group[first + 1], return_inverse=True, return_counts=True)
+    return at[first], pair, ids[key // len(ids)], ids[key % len(ids)], counts
 
 
 def _block(block: int, at: np.ndarray, number: np.ndarray, ids: np.ndarray):
     """A block of the next relation: the occurrences whose group has an id."""
     held = ids[number] >= 0
     if held.any():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.diff(at[held], prepend=0).astype("<i4").tobytes()], pa.binary()),
-                                          pa.array([ids[number[held]].astype("<i8").tobytes()], pa.binary())], names=["block", "gaps", "groups"])
+        used, codes = np.unique(ids[number[held]], return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_gaps(at[held])], pa.binary()), pa.array([codes.astype("<i4").tobytes()], pa.binary()),
+                                          pa.array([used.astype("<i8").tobytes()], pa.binary())], names=["block", "gaps", "codes", "groups"])
 
 
-RELATION = "block bigint, gaps binary, groups binary"
+#: A block's occurrences: differences of places, numbers of groups, and the ids of the numbered groups.
+RELATION = "block bigint, gaps binary, codes binary, groups binary"
 
 
 def _pairs(relation: DataFrame) -> DataFrame:
-    """``(block, number, first, second, n)``: the distinct pairs of each block."""
+    """``(block, number, first, second)``: the distinct pairs of each block."""
 
     def run(batches):
         for batch in batches:
-            for block, gaps, groups in zip(*(batch.column(c).to_pylist() for c in ("block", "gaps", "groups"))):
-                _, _, first, second, n = _next(gaps, groups)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), pa.array(np.arange(len(n))), pa.array(first), pa.array(second), pa.array(n)],
-                                                 names=["block", "number", "first", "second", "n"])
+            for block, gaps, codes, groups in _rows(batch, "block", "gaps", "codes", "groups"):
+                _, _, first, second, n = _next(gaps, codes, groups)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), pa.array(np.arange(len(n))), pa.array(first), pa.array(second)],
+                                                 names=["block", "number", "first", "second"])
+
+    return relation.mapInArrow(run, "block bigint, number bigint, first bigint, second bigint")
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers byte plane by byte plane, compressed: high planes are mostly zero."""
+    return pa.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
 
-    return relation.mapInArrow(run, "block bigint, number bigint, first bigint, second bigint, n bigint")
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<i8").ravel()
 
 
-def _frequent(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
-    groups = counts.groupBy(*keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, n) of several parts, sorted, each pair once."""
+    first, second, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    starts = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+    return first[starts], second[starts], np.add.reduceat(n[order], starts)
+
+
+def _pair_counts(relation: DataFrame, least: int) -> DataFrame:
+    """``(first, second, a)`` of the pairs with ``least`` occurrences or more."""
+    places = relation.agg(F.sum(F.length("codes") / 4)).first()[0] or 0
+    buckets = max(n_buckets(relation), int(places) // BUCKET_PAIRS + 1)
+
+    def run(batches):
+        held, size = [], 0
+
+        def sent():
+            first, second, n = _summed(held)
+            bucket = (mix(first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
+            out = [(int(bucket[k[0]]), len(k), _packed(np.diff(first[k], prepend=0)), _packed(second[k]), _packed(n[k])) for k in (order[a:b] for a, b in zip(cuts[:-1], cuts[1:]))]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["bucket", "size", "first", "second", "n"])
+
+        for batch in batches:
+            for gaps, codes, groups in _rows(batch, "gaps", "codes", "groups"):
+                _, _, first, second, n = _next(gaps, codes, groups)
+                if len(n):
+                    held.append((first, second, n))
+                    size += len(n)
+                if size > HELD_PAIRS:
+                    yield sent()
+                    size = 0
+        if held:
+            yield sent()
+
+    def merged(table: pa.Table) -> pa.Table:
+        parts = [(np.cumsum(_unpacked(a, size)), _unpacked(b, size), _unpacked(n, size)) for size, a, b, n in zip(*(table.column(c).to_pylist() for c in ("size", "first", "second", "n")))]
+        first, second, n = _summed(parts)
+        often = n >= least
+        return pa.table({"first": first[often], "second": second[often], "a": n[often]})
+
+    sent = relation.mapInArrow(run, "bucket bigint, size bigint, first binary, second binary, n binary")
+    return sent.groupBy("bucket").applyInArrow(merged, "first bigint, second bigint, a bigint")
+
+
+def _numbered(groups: DataFrame) -> DataFrame:
     return _written(groups.withColumn("id", F.monotonically_increasing_id()), "frequent")
 
 
@@ -155,7 +230,7 @@ def _scattered(numbers: list, ids: list, n: int) -> np.ndarray:
 def frequent_words(first: DataFrame, least: int, broadcast: int) -> tuple[DataFrame, DataFrame]:
     """Frequent words ``(lang, word, a, id)`` and the relation of their occurrences."""
     counts = first.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("lang", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    words = _frequent(counts, ["lang", "word"], least)
+    words = _numbered(counts.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
     size = words.agg(F.count("*"), F.sum(F.octet_length("word"))).first()
     if size[0] <= broadcast and (size[1] or 0) <= BROADCAST_BYTES:
         by_lang: dict[str, tuple[list, list]] = {}
@@ -167,11 +242,11 @@ def frequent_words(first: DataFrame, least: int, broadcast: int) -> tuple[DataFr
         def run(batches):
             known = {lang: (pa.array(w, pa.string()), np.array(i)) for lang, (w, i) in held.value.items()}
             for batch in batches:
-                for k, (block, lang, gaps, codes) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "gaps", "codes")))):
+                for k, (block, lang, gaps, codes) in enumerate(_rows(batch, "block", "lang", "gaps", "codes")):
                     if lang in known:
                         found = pc.index_in(batch.column("words")[k].values, known[lang][0]).fill_null(-1).to_numpy()
-                        ids = np.where(found >= 0, known[lang][1][found], -1)
-                        yield from _block(block, _places(gaps), np.frombuffer(codes, "<i4"), ids)
+                        ids, number = np.where(found >= 0, known[lang][1][found], -1), np.frombuffer(codes, "<i4")
+                        yield from _block(block, _places(gaps, len(number)), number, ids)
 
         return words, _written(first.select("block", "lang", "gaps", "codes", "words").mapInArrow(run, RELATION), "relation")
     rows = first.select("block", "lang", F.posexplode("words").alias("number", "word"))
@@ -179,8 +254,9 @@ def frequent_words(first: DataFrame, least: int, broadcast: int) -> tuple[DataFr
 
     def matched(batches):
         for batch in batches:
-            for block, gaps, codes, n, numbers, found in zip(*(batch.column(c).to_pylist() for c in ("block", "gaps", "codes", "n", "numbers", "ids"))):
-                yield from _block(block, _places(gaps), np.frombuffer(codes, "<i4"), _scattered(numbers, found, n))
+            for block, gaps, codes, n, numbers, found in _rows(batch, "block", "gaps", "codes", "n", "numbers", "ids"):
+                number = np.frombuffer(codes, "<i4")
+                yield from _block(block, _places(gaps, len(number)), number, _scattered(numbers, found, n))
 
     joined = first.select("block", "gaps", "codes", F.size("words").alias("n")).join(ids, "block")
     return words, _written(joined.mapInArrow(matched, RELATION), "relation")
@@ -188,8 +264,7 @@ def frequent_words(first: DataFrame, least: int, broadcast: int) -> tuple[DataFr
 
 def longer_phrases(relation: DataFrame, least: int, broadcast: int) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases of a word more, ``(first, second, a, id)``, and the relation of their occurrences."""
-    pairs = _pairs(relation)
-    groups = _frequent(pairs, ["first", "second"], least)
+    groups = _numbered(_pair_counts(relation, least))
     if groups.count() <= broadcast:
         rows = groups.select("first", "second", "id").toArrow()
         held = relation.sparkSession.sparkContext.broadcast([rows.column(k).to_numpy() for k in range(3)])
@@ -201,8 +276,8 @@ def longer_phrases(relation: DataFrame, least: int, broadcast: int) -> tuple[Dat
             order = np.argsort(keys)
             keys, ids = keys[order], ids[order]
             for batch in batches:
-                for block, gaps, groups in zip(*(batch.column(c).to_pylist() for c in ("block", "gaps", "groups"))):
-                    at, number, first, second, _ = _next(gaps, groups)
+                for block, gaps, codes, groups in _rows(batch, "block", "gaps", "codes", "groups"):
+                    at, number, first, second, _ = _next(gaps, codes, groups)
                     if len(keys) and len(first):
                         i, j = np.searchsorted(ones, first).clip(max=len(ones) - 1), np.searchsorted(twos, second).clip(max=len(twos) - 1)
                         sought = i * len(twos) + j
@@ -211,12 +286,12 @@ def longer_phrases(relation: DataFrame, least: int, broadcast: int) -> tuple[Dat
                         yield from _block(block, at, number, np.where(known, ids[k], -1))
 
         return groups, _written(relation.mapInArrow(run, RELATION), "relation")
-    ids = _ids_by_block(pairs.select("block", "number", "first", "second"), groups.select("first", "second", "id"), ["first", "second"])
+    ids = _ids_by_block(_pairs(relation), groups.select("first", "second", "id"), ["first", "second"])
 
     def matched(batches):
         for batch in batches:
-            for block, gaps, groups, numbers, found in zip(*(batch.column(c).to_pylist() for c in ("block", "gaps", "groups", "numbers", "ids"))):
-                at, number, first, _, _ = _next(gaps, groups)
+            for block, gaps, codes, groups, numbers, found in _rows(batch, "block", "gaps", "codes", "groups", "numbers", "ids"):
+                at, number, first, _, _ = _next(gaps, codes, groups)
                 yield from _block(block, at, number, _scattered(numbers, found, len(first)))
 
     return groups, _written(relation.join(ids, "block").mapInArrow(matched, RELATION), "relation")

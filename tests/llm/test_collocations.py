@@ -60,9 +60,17 @@ def test_equals_brute_force(spark, broadcast, monkeypatch):
 def test_blocks_do_not_matter(spark, monkeypatch):
     rows = rows_of(2, 60)
     monkeypatch.setattr(C, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(C, "HELD_PAIRS", 30)
+    monkeypatch.setattr(C, "BUCKET_PAIRS", 100)
     assert collected(C.collocations(frame(spark, rows), least=5, top=7)) == brute(rows, 5, top=7)
 
 
+def test_packed_numbers_round_trip():
+    for x in ([], [0], [5, -3, 1 << 62, 7], range(1000)):
+        x = C.np.array(list(x), "<i8")
+        assert C._unpacked(C._packed(x), len(x)).tolist() == x.tolist()
+
+
 def test_no_phrase_and_empty_table(spark):
     rows = [("one two", "en"), (None, None)]
     assert collected(C.collocations(frame(spark, rows), least=2)) == []
