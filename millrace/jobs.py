@@ -25,7 +25,6 @@ from millrace.operators.canon import canonicalize
 from millrace.operators.components import cluster_map
 from millrace.operators.lsh import band_keys, candidate_pairs
 from millrace.operators.minhash import apply_minhash
-from millrace.operators.position import global_positions
 from millrace.operators.snapshot import cluster_snapshot
 from millrace.operators.split import check_split_plan, split_path, split_sources
 from millrace.session import build_session
@@ -123,8 +122,8 @@ def run_samples(spark, args) -> dict:
     if args.mode == "padded":
         if args.max_len:
             rows = rows.withColumn("ids", F.slice("ids", 1, args.max_len))
-        placed = global_positions(rows.withColumnRenamed("pos", "doc_pos"), ["shard", "doc_pos"], group_cols=["split"])
-        table = packing.pad_batches(placed, args.batch_size, args.pad_id).select("split", "batch", "pos", "input_ids", "labels")
+        placed = packing.stream_offsets(rows.withColumnRenamed("pos", "doc_pos"), ["shard", "doc_pos"])
+        table = packing.pad_stream(placed, args.batch_size, args.pad_id).select("split", "batch", "pos", "input_ids", "labels")
     else:
         offsets = packing.stream_offsets(rows.withColumnRenamed("pos", "doc_pos"), ["shard", "doc_pos"])
         table = packing.pack_blocks(offsets, args.seq_len) if args.mode == "packed" else packing.window_blocks(offsets, args.seq_len, args.stride)

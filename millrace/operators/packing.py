@@ -1,22 +1,34 @@
 """Training samples from token arrays.
 
-Documents are placed in their split's token stream by E0 (``cum_before`` =
-offset of the first token). Packed blocks and strided windows are then
-cut by exploding, per document, only the block ids it overlaps, each with
-its own slice of tokens; a ``groupBy(block)`` stitches the slices in offset
-order. A block holds at most ``seq_len + 1`` tokens, so no group grows with
-the corpus.
+Positions and token offsets come from E0 over keys and lengths alone. Token
+arrays move once: each document goes to the range partition that its key falls
+in (a binary search of the partitions' first keys, which E0 has settled), and
+the few that a window beginning in an earlier partition still reaches go there
+too. So a partition owns the windows that begin in it, and cuts them while its
+documents stream by, with one window's tokens carried from batch to batch.
+Neither groups of slices nor fragments are exchanged, and no token array is
+written before the result.
+
+What the driver holds is one row per range partition, as in E0.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from millrace.functions.hashing import md5_prefix_int
 from millrace.operators.position import global_positions
+from millrace.operators.shards import _join_on
+from millrace.session import cut_lineage
 
 IGNORE_INDEX = -100
 
@@ -28,76 +40,205 @@ def pad_batches(df_with_pos: DataFrame, batch_size: int, pad_id: int, ids_col: s
     longest ``ids``, one more than any row holds, so the last column is
     always filler, as in the reference.)"""
     b = df_with_pos.withColumn("batch", F.floor(F.col(pos_col) / batch_size).cast("bigint"))
-    n = F.size(ids_col)
-    width = F.max(n).over(Window.partitionBy(*group_cols, "batch"))   # <= batch_size rows per group
-    keep = F.greatest(n - 1, F.lit(0))
-    fill = F.col("_width") - keep
-    return (b.withColumn("_width", width)
-             .withColumn("input_ids", F.concat(F.slice(ids_col, 1, keep), F.array_repeat(F.lit(pad_id), fill)))
+    width = F.max(F.size(ids_col)).over(Window.partitionBy(*group_cols, "batch"))   # <= batch_size rows per group
+    return _padded(b.withColumn("_width", width), pad_id, ids_col)
+
+
+def _padded(b: DataFrame, pad_id: int, ids_col: str) -> DataFrame:
+    keep = F.greatest(F.size(ids_col) - 1, F.lit(0))
+    fill = (F.col("_width") - keep).cast("int")
+    return (b.withColumn("input_ids", F.concat(F.slice(ids_col, 1, keep), F.array_repeat(F.lit(pad_id), fill)))
              .withColumn("labels", F.concat(F.slice(ids_col, 2, keep), F.array_repeat(F.lit(IGNORE_INDEX), fill)))
              .drop("_width"))
 
 
-def stream_offsets(df: DataFrame, order_cols: Sequence[str], ids_col: str = "ids",
-                   group_cols: Sequence[str] = ("split",)) -> DataFrame:
-    """Adds ``pos`` and ``cum_before`` (token offset) per split."""
-    return global_positions(df.withColumn("_n", F.size(ids_col)), order_cols, weight="_n",
-                            group_cols=group_cols).drop("_n")
+def pad_stream(stream: Stream, batch_size: int, pad_id: int) -> DataFrame:
+    """E10 over a stream: ``batch``, ``pos`` and the widths come from keys and lengths, so token arrays
+    move once, to be joined with them."""
+    g, keys = list(stream.group_cols), stream.keys
+    placed = global_positions(stream.lengths(), stream.order_cols, group_cols=g, unique=True).drop("cum_before")
+    placed = placed.withColumn("batch", F.floor(F.col("pos") / batch_size).cast("bigint"))
+    width = F.max("_n").over(Window.partitionBy(*g, "batch"))            # <= batch_size rows per group
+    return _padded(_join_on(stream.df, placed.withColumn("_width", width).drop("_n"), keys), pad_id, stream.ids_col)
+
+
+@dataclass(frozen=True)
+class Stream:
+    """Documents whose tokens, in the order of ``order_cols`` (unique per group; null is a key), are the
+    token stream of their group."""
+    df: DataFrame
+    order_cols: tuple[str, ...]
+    ids_col: str
+    group_cols: tuple[str, ...]
+
+    @property
+    def keys(self) -> list[str]:
+        return [*self.group_cols, *self.order_cols]
+
+    def lengths(self) -> DataFrame:
+        """Keys and token counts (``_n``; null ids count 0)."""
+        return self.df.select(*self.keys, F.greatest(F.coalesce(F.size(self.ids_col), F.lit(0)), F.lit(0)).cast("bigint").alias("_n"))
+
+
+def stream_offsets(df: DataFrame, order_cols: Sequence[str], ids_col: str = "ids", group_cols: Sequence[str] = ("split",)) -> Stream:
+    """The token streams of ``df``, a stream per group."""
+    return Stream(df, tuple(order_cols), ids_col, tuple(group_cols))
+
+
+@dataclass
+class _Part:
+    """A range partition: where its first group goes on, and where its last group's own documents end."""
+    first_group: str
+    start: int
+    last_group: str
+    end: int
+    key: str        # of its first document, as JSON
+
+
+def _parts(ordered: DataFrame, keys: list[str]) -> dict[int, _Part]:
+    at = F.struct(F.col("_g"), F.col("cum_before"), F.to_json(F.struct(*keys)).alias("key"))
+    rows = (ordered.withColumn("_i", F.monotonically_increasing_id()).groupBy("_part")
+                   .agg(F.min_by(at, "_i").alias("a"), F.max_by(F.struct(F.col("_g"), (F.col("cum_before") + F.col("_n")).alias("end")), F.col("_i")).alias("z")).collect())
+    return {r["_part"]: _Part(r["a"]["_g"], r["a"]["cum_before"], r["z"]["_g"], r["z"]["end"], r["a"]["key"]) for r in rows}
+
+
+def _reaching(parts: dict[int, _Part], span: int, stride: int) -> list[tuple[int, int, int]]:
+    """(partition, earlier partition, limit): documents of the first group that begin before ``limit``
+    hold tokens of windows that begin in the earlier partition."""
+    out, order = [], sorted(parts)
+    for k, p in enumerate(order):
+        for q in reversed(order[:k]):
+            before = parts[q]
+            if before.last_group != parts[p].first_group or before.end + span <= parts[p].start:
+                break
+            begun = before.start if before.first_group == before.last_group else 0
+            last = (before.end - 1) // stride * stride
+            if before.end > begun and last >= begun and last + span > parts[p].start:
+                out.append((p, q, last + span))
+            if before.first_group != before.last_group:
+                break
+    return out
+
+
+def _literal(rows: list, kind: T.DataType) -> Column:
+    """A constant table inside an expression."""
+    return F.from_json(F.lit(json.dumps(rows)), kind, {"mode": "FAILFAST"})
 
 
-def _cut(df: DataFrame, first, last, start_of, ids_col: str, group_cols: list[str]) -> DataFrame:
-    cb, n = F.col("cum_before"), F.size(ids_col)
+def _found(key: Column, bounds: Column, n: int) -> Column:
+    """The number of the last bound that is not above ``key``, by halving."""
+    def halve(state: Column, _: Column) -> Column:
+        mid = F.floor((state["lo"] + state["hi"] + 1) / 2).cast("int")
+        below = F.element_at(bounds, mid + 1) <= key
+        return F.struct(F.when(below, mid).otherwise(state["lo"]).alias("lo"), F.when(below, state["hi"]).otherwise(F.greatest(mid - 1, state["lo"])).alias("hi"))
 
-    def piece(b):
-        lo = F.greatest(start_of(b), cb)
-        hi = F.least(start_of(b) + F.col("_span"), cb + n)
-        return F.struct(b.alias("block"), lo.alias("start"), F.slice(ids_col, (lo - cb + 1).cast("int"), (hi - lo).cast("int")).alias("toks"))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n - 1).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, n.bit_length() + 1))), start, halve, lambda s: s["lo"])
 
-    pieces = df.where((n > 0) & (last >= first)).select(
-        *group_cols, F.explode(F.transform(F.sequence(first, last), piece)).alias("p"))
-    return (pieces.groupBy(*group_cols, F.col("p.block").alias("block"))
-                  .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p.start", "p.toks"))),
-                                             lambda s: s["toks"])).alias("chunk")))
 
+def _windows(stream: Stream, seq_len: int, stride: int, id_col: str, whole_groups: bool) -> DataFrame:
+    """Windows ``[i * stride, i * stride + seq_len + 1)`` of each group's tokens."""
+    span, keys, groups = seq_len + 1, stream.keys, list(stream.group_cols)
+    gkey = F.to_json(F.array(*[F.col(c).cast("string") for c in groups])) if groups else F.lit("[]")
+    ordered = global_positions(stream.lengths(), stream.order_cols, weight="_n", group_cols=groups, unique=True, part_col="_part").withColumn("_g", gkey)
+    ordered = cut_lineage(ordered)
+    if whole_groups:
+        totals = ordered.groupBy(*groups).agg(F.sum("_n").alias("_total"))
+        short = totals.where(F.col("_total") < span).limit(1).collect()
+        if short:
+            raise ValueError(f"too few tokens for seq_len={seq_len}: {short[0].asDict()}")
+    parts = _parts(ordered, keys)
+    order = sorted(parts)
+    number = {p: k for k, p in enumerate(order)}
+    # The last document of a partition that a window of an earlier one still reaches, by (partition, earlier).
+    reaching = _reaching(parts, span, stride)
+    ends: dict[int, list] = {p: [] for p in order}
+    if reaching:
+        limits = ordered.sparkSession.createDataFrame(reaching, "p bigint, q bigint, top bigint")   # some rows per partition
+        hit = ordered.join(F.broadcast(limits), F.col("_part") == F.col("p")).where(F.col("cum_before") < F.col("top"))
+        first = {p: parts[p].first_group for p in order}
+        tops = hit.groupBy("p", "q", "_g").agg(F.max_by(F.to_json(F.struct(*keys)), "pos").alias("k"))
+        for r in tops.collect():
+            if first[r["p"]] == r["_g"]:
+                ends[r["p"]].append({"q": number[r["q"]], "k": json.loads(r["k"])})
+    key_type = T.StructType([T.StructField(c, stream.df.schema[c].dataType) for c in keys])
+    out_schema = T.StructType([stream.df.schema[c] for c in groups] + [T.StructField(id_col, T.LongType())]
+                              + [T.StructField(c, stream.df.schema[stream.ids_col].dataType) for c in ("input_ids", "labels")])
+    if not order:
+        return stream.df.sparkSession.createDataFrame([], out_schema)
+    bounds = _literal([json.loads(parts[p].key) for p in order], T.ArrayType(key_type))
+    also = _literal([ends[p] for p in order], T.ArrayType(T.ArrayType(T.StructType([T.StructField("q", T.IntegerType()), T.StructField("k", key_type)]))))
+    rows = stream.df.where(F.size(stream.ids_col) > 0).select(*keys, F.col(stream.ids_col).alias("_ids"), F.struct(*keys).alias("_key"))
+    rows = rows.withColumn("_p", _found(F.col("_key"), bounds, len(order)))
+    earlier = F.transform(F.filter(F.element_at(also, F.col("_p") + 1), lambda e: F.col("_key") <= e["k"]), lambda e: e["q"])
+    rows = rows.withColumn("_to", F.explode(F.concat(F.array("_p"), earlier)))
+    sort = [F.col(c).asc_nulls_first() for c in ["_to", *keys]]
+    dealt = rows.select("_to", gkey.alias("_g"), *keys, "_ids").repartitionById(len(order), F.col("_to")).sortWithinPartitions(*sort)
+    owned = {number[p]: parts[p] for p in order}
 
-def pack_blocks(df_off: DataFrame, seq_len: int, ids_col: str = "ids",
-                group_cols: Sequence[str] = ("split",)) -> DataFrame:
+    def run(batches):
+        now, held, at, end, first = None, [], 0, None, 0
+
+        def cut(table_groups):
+            """The windows that the tokens held complete; keeps the tokens of those that are not."""
+            nonlocal held, at, first
+            tokens = np.concatenate(held) if len(held) > 1 else held[0]
+            n = (at + len(tokens) - first - span) // stride + 1      # windows from ``first`` on that are complete
+            if end is not None:
+                n = min(n, -(-(end - first) // stride))              # those that begin before ``end`` are ours
+            out = None
+            if n > 0:
+                where = first - at + np.arange(n)[:, None] * stride + np.arange(span)
+                chunk = tokens[where]
+                ends = pa.array(np.arange(n + 1, dtype=np.int32) * seq_len)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x).ravel())) for x in (chunk[:, :-1], chunk[:, 1:])]
+                out = pa.RecordBatch.from_arrays([*(g.take(pa.array(np.zeros(n, np.int64))) for g in table_groups), pa.array(first // stride + np.arange(n)), *lists],
+                                                 names=[*groups, id_col, "input_ids", "labels"])
+                first += n * stride
+            drop = min(max(0, first - at), len(tokens))
+            held, at = [tokens[drop:]], at + drop
+            return out
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            to, g = batch.column("_to").to_numpy(), batch.column("_g").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (to[1:] != to[:-1]), True]).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                if now != (to[a], g[a]):
+                    now, part = (to[a], g[a]), owned[int(to[a])]
+                    at = part.start if part.first_group == g[a] else 0
+                    end = part.end if part.last_group == g[a] else None
+                    held, first = [], -(-at // stride) * stride
+                held.append(batch.column("_ids").slice(a, b - a).flatten().to_numpy(zero_copy_only=False))
+                out = cut([batch.column(c).slice(a, 1) for c in groups])
+                if out is not None:
+                    yield out
+
+    return dealt.mapInArrow(run, out_schema)
+
+
+def pack_blocks(stream: Stream, seq_len: int) -> DataFrame:
     """The split's stream cut into non-overlapping ``seq_len + 1`` chunks;
     ``input = chunk[:-1]``, ``labels = chunk[1:]``; the tail is dropped."""
-    c = seq_len + 1
-    group_cols = list(group_cols)
-    cb, n = F.col("cum_before"), F.size(ids_col)
-    d = df_off.withColumn("_span", F.lit(c).cast("bigint"))
-    blocks = _cut(d, F.floor(cb / c).cast("bigint"), F.floor((cb + n - 1) / c).cast("bigint"),
-                  lambda b: b * c, ids_col, group_cols)
-    return (blocks.where(F.size("chunk") == c)
-                  .select(*group_cols, "block", F.slice("chunk", 1, seq_len).alias("input_ids"),
-                          F.slice("chunk", 2, seq_len).alias("labels")))
-
-
-def window_blocks(df_off: DataFrame, seq_len: int, stride: int | None = None, ids_col: str = "ids",
-                  group_cols: Sequence[str] = ("split",)) -> DataFrame:
+    return _windows(stream, seq_len, seq_len + 1, "block", False)
+
+
+def window_blocks(stream: Stream, seq_len: int, stride: int | None = None) -> DataFrame:
     """Windows ``[i*stride, i*stride + seq_len + 1)`` over each split's
     stream; ``1 + (n - (seq_len+1)) // stride`` windows; a split with fewer
     than ``seq_len + 1`` tokens is an error."""
-    stride = stride or seq_len
-    group_cols = list(group_cols)
-    c = seq_len + 1
-    totals = df_off.groupBy(*group_cols).agg(F.sum(F.size(ids_col)).cast("bigint").alias("_total"))
-    short = totals.where(F.col("_total") < c).limit(1).collect()
+    return _windows(stream, seq_len, stride or seq_len, "window_id", True)
+
+
+def window_counts(lengths: DataFrame, n_col: str, seq_len: int, stride: int | None = None, group_cols: Sequence[str] = ("split",)) -> DataFrame:
+    """``(group.., n)``: how many windows E12 cuts, from documents' token counts alone. Too few tokens in a
+    group is the same error."""
+    totals = cut_lineage(lengths.groupBy(*group_cols).agg(F.sum(n_col).cast("bigint").alias("_total")))
+    short = totals.where(F.col("_total") < seq_len + 1).limit(1).collect()
     if short:
         raise ValueError(f"too few tokens for seq_len={seq_len}: {short[0].asDict()}")
-    nwin = (F.floor((F.col("_total") - c) / stride) + 1).cast("bigint")
-    # One row per split: a broadcast whose size is bounded by the split names.
-    d = df_off.join(F.broadcast(totals.withColumn("_nwin", nwin)), group_cols) \
-              .withColumn("_span", F.lit(c).cast("bigint"))
-    cb, n = F.col("cum_before"), F.size(ids_col)
-    first = F.greatest(F.floor((cb - c) / stride) + 1, F.lit(0)).cast("bigint")
-    last = F.least(F.floor((cb + n - 1) / stride), F.col("_nwin") - 1).cast("bigint")
-    wins = _cut(d, first, last, lambda w: w * stride, ids_col, group_cols)
-    return wins.select(*group_cols, F.col("block").alias("window_id"),
-                       F.slice("chunk", 1, seq_len).alias("input_ids"),
-                       F.slice("chunk", 2, seq_len).alias("labels"))
+    return totals.select(*group_cols, (F.floor((F.col("_total") - seq_len - 1) / (stride or seq_len)) + 1).cast("bigint").alias("n"))
 
 
 def count_target_tokens(df: DataFrame, labels_col: str = "labels") -> DataFrame:
@@ -105,20 +246,44 @@ def count_target_tokens(df: DataFrame, labels_col: str = "labels") -> DataFrame:
     return df.withColumn("target_tokens", F.size(F.filter(labels_col, lambda x: x != IGNORE_INDEX)))
 
 
-def epoch_sampler(windows: DataFrame, key_col: str, world_size: int, seed: int, epoch: int,
-                  drop_last: bool = True, group_cols: Sequence[str] = ("split",)) -> DataFrame:
-    """A fresh permutation per epoch (hash of ``seed + epoch`` and the
-    window id), dealt round-robin to ranks; ``drop_last`` drops the tail that
-    would leave ranks unequal."""
-    group_cols = list(group_cols)
-    order = F.md5(F.concat(F.lit(f"{seed + epoch}:"), F.col(key_col).cast("string")))
-    pos = global_positions(windows.withColumn("_ord", order), ["_ord", key_col],
-                           group_cols=group_cols, pos_col="sample_pos").drop("_ord", "cum_before")
-    out = pos.withColumn("rank", F.pmod("sample_pos", F.lit(world_size)).cast("int"))
+# Rounds of the permutation, steps of a walk back into range, and ids made in one task row.
+ROUNDS, WALK, RUN = 6, 24, 65_536
+
+
+def permuted(x: Column, n: Column, seed: int) -> Column:
+    """A keyed bijection of 0..n-1: a Feistel network over (left, right) with ``left < a``, ``right < b``,
+    ``a = ceil(sqrt(n))``, ``b = ceil(n / a)``, each round adding a hash of one half to the other. Values of
+    the fewer than ``a`` places beyond ``n`` go through it again until they are below."""
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("bigint")
+    b = F.floor((n + a - 1) / a).cast("bigint")
+
+    def mixed(j: Column, half: Column) -> Column:
+        return md5_prefix_int(F.concat_ws(":", F.lit(str(seed)), j.cast("string"), half.cast("string")), 12)
+
+    def one(v: Column, j: Column) -> Column:
+        left, right = F.floor(v / b).cast("bigint"), F.pmod(v, b)
+        return F.when(F.pmod(j, F.lit(2)) == 0, F.pmod(left + mixed(j, right), a) * b + right).otherwise(
+            left * b + F.pmod(right + mixed(j, left), b))
+
+    def network(v: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), v, one)
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), network(x), lambda v, _: F.when(v < n, v).otherwise(network(v)))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("the walk did not come back into range")).cast("bigint"))
+
+
+def epoch_sampler(counts: DataFrame, world_size: int, seed: int, epoch: int, drop_last: bool = True,
+                  group_cols: Sequence[str] = ("split",), key_col: str = "window_id") -> DataFrame:
+    """A fresh permutation per epoch (keyed by ``seed + epoch``) of the windows 0..n-1 of each row of
+    ``counts`` (``group.., n``), dealt round-robin to ranks; ``drop_last`` drops the tail that would leave
+    ranks unequal. Ids are made from the counts and placed one by one: nothing is sorted or read."""
+    n = F.col("n")
+    runs = counts.where(n > 0).select(*group_cols, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / RUN).cast("bigint"))).alias("_run"))
+    runs = runs.repartition(*group_cols, "_run")
+    last = F.least((F.col("_run") + 1) * RUN, n) - 1
+    ids = runs.select(*group_cols, "n", F.explode(F.sequence(F.col("_run") * RUN, last)).alias(key_col))
+    out = ids.withColumn("sample_pos", permuted(F.col(key_col), n, seed + epoch))
+    out = out.withColumn("rank", F.pmod("sample_pos", F.lit(world_size)).cast("int"))
     if drop_last:
-        counts = windows.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-        # one row per group (split names): a bounded broadcast
-        out = (out.join(F.broadcast(counts), group_cols)
-                  .where(F.col("sample_pos") < F.floor(F.col("_n") / world_size) * world_size)
-                  .drop("_n"))
-    return out
+        out = out.where(F.col("sample_pos") < F.floor(n / world_size) * world_size)
+    return out.drop("n")

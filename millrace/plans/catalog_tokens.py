@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.config import SplitConfig
 from millrace.functions.hashing import sql_unit_interval
-from millrace.functions.text import SQL_WORDS, sql_py_strip
+from millrace.functions.text import SQL_WORDS, sql_py_strip, words
 from millrace.operators import fileorder as fo
 from millrace.operators import packing as pk
 from millrace.operators import rows as rw
@@ -268,8 +268,7 @@ def _padded(spark, sf, max_len: int | None = None):
     e = tk.encoded_docs(table(spark, sf, "documents"), SPLIT)
     if max_len:
         e = e.withColumn("ids", tk.encode_words("text_x", True, max_len))
-    p = global_positions(e.select("split", "doc_id", "ids"), ["doc_id"], group_cols=["split"])
-    return pk.pad_batches(p, PAD_BATCH, tk.PAD_ID)
+    return pk.pad_stream(pk.stream_offsets(e.select("split", "doc_id", "ids"), ["doc_id"]), PAD_BATCH, tk.PAD_ID)
 
 
 @register("e10_pad_batches", _with(
@@ -327,14 +326,27 @@ def q_e12(spark, sf):
     return w.select("split", "window_id", _arr("input_ids").alias("input_ids"), _arr("labels").alias("labels"))
 
 
+def _sql_permuted(x: str, n: str, seed: int) -> str:
+    """The bijection of ``packing.permuted`` for DuckDB."""
+    a = f"CAST(ceil(sqrt(CAST({n} AS DOUBLE))) AS BIGINT)"
+    b = f"(({n} + {a} - 1) // {a})"
+    mixed = "('0x' || substr(md5('{s}:' || j || ':' || ({half})), 1, 12))::BIGINT"
+    left, right = f"(v // {b})", f"(v % {b})"
+    one = (f"CASE WHEN j % 2 = 0 THEN (({left} + {mixed.format(s=seed, half=right)}) % {a}) * {b} + {right} "
+           f"ELSE {left} * {b} + ({right} + {mixed.format(s=seed, half=left)}) % {b} END")
+    network = "list_reduce([{v}] || range(" + str(pk.ROUNDS) + f"), lambda v, j: {one})"
+    return (f"list_reduce([{network.format(v=x)}] || range({pk.WALK}), lambda w, i: CASE WHEN w < {n} THEN w ELSE {network.format(v='w')} END)")
+
+
 @register("e14_epoch_sampler", _with(
-    "SELECT split, window_id, sample_pos, CAST(sample_pos % 4 AS INTEGER) AS rank FROM "
-    "(SELECT split, window_id, row_number() OVER (PARTITION BY split ORDER BY md5('43:' || CAST(window_id AS VARCHAR)), window_id) - 1 AS sample_pos, "
-    "count(*) OVER (PARTITION BY split) AS n FROM wins) q WHERE sample_pos < (n // 4) * 4", _WINS))
+    "SELECT split, window_id, sample_pos, CAST(sample_pos % 4 AS INTEGER) AS rank FROM (SELECT split, window_id, n, "
+    f"{_sql_permuted('window_id', 'n', 43)} AS sample_pos FROM (SELECT split, n, unnest(range(n)) AS window_id FROM "
+    f"(SELECT split, CAST((sum(len(ids)) - {SEQ_LEN + 1}) // {STRIDE} + 1 AS BIGINT) AS n FROM ord GROUP BY split) c) w) q WHERE sample_pos < (n // 4) * 4"))
 def q_e14(spark, sf):
-    off = pk.stream_offsets(tk.encoded_docs(table(spark, sf, "documents"), SPLIT).drop("text_x"), ["doc_id"])
-    w = pk.window_blocks(off, SEQ_LEN, STRIDE).select("split", "window_id")
-    return pk.epoch_sampler(w, "window_id", 4, seed=42, epoch=1).select("split", "window_id", "sample_pos", "rank")
+    d = tk.split_docs(table(spark, sf, "documents"), SPLIT)
+    lengths = d.select("split", (F.size(words("text_x")) + 1).alias("n_tokens"))      # eos included
+    counts = pk.window_counts(lengths, "n_tokens", SEQ_LEN, STRIDE)
+    return pk.epoch_sampler(counts, 4, seed=42, epoch=1).select("split", "window_id", "sample_pos", "rank")
 
 
 @register("a5_split_sources", f"""
