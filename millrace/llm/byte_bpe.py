@@ -9,6 +9,10 @@ next shorter one; places found dead stay dead, so each is left at most once and
 walk is linear in the piece. A sequence whose neighbours are all compatible is the
 sequence that merging by rank gives. Compatibility is memoised per pair.
 
+A batch's texts are cut into units, short strings of which few are distinct; distinct units alone
+are encoded, and the ids of the texts are gathered from theirs. Decoding gathers the entries' bytes.
+``round_trip`` does both in one pass with one codec.
+
 Rows: one per input row. Null text counts as empty (no ids). Repeated rows give
 repeated results; an empty table gives an empty one; other columns are not read, so
 their names cannot clash.
@@ -17,8 +21,8 @@ their names cannot clash.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
-import struct
 import unicodedata
 from functools import lru_cache
 
@@ -30,12 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import as_text, text_slices, worker_state
+from millrace.llm.shingle_sets import text_bytes
 
 #: Entries of a generation of a worker's memos (memory bound, not a limit on results).
-MEMO = 150_000
+MEMO, PAIRS = 200_000, 1_000_000
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-APART = re.compile(r"(?<![%s]) (?![%s])" % (WHITE, WHITE))
-NEXT_TO = re.compile(r"[%s] | [%s]|^ | $" % (WHITE, WHITE))
+#: Bytes that surely belong to a character other than white space: printable ASCII, and the first bytes
+#: of two-byte characters from U+00C0 on.
+PRINTED = np.zeros(256, bool)
+PRINTED[0x21:0x7F] = True
+LEAD = np.zeros(256, bool)
+LEAD[0xC3:0xE0] = True
 
 
 @lru_cache(maxsize=None)
@@ -74,16 +83,24 @@ class Splitter:
         return self.every.findall(text)
 
 
-def units(text: str) -> list[str]:
-    """The text cut before each single space that stands between two other characters.
+def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the units of the texts begin: at each text, and at each single space that stands between
+    two characters that surely are not white space.
 
-    A match of the pattern that reaches such a space starts with it, so the matches of
-    the units are the matches of the text; few distinct units make up most text."""
-    if NEXT_TO.search(text):
-        parts = APART.split(text)
-    else:
-        parts = text.split(" ")
-    return parts[:1] + [" " + p for p in parts[1:]] if text else []
+    A match of the pattern that reaches such a space starts with it, so the matches of the units are the
+    matches of the text, wherever else there might have been a cut."""
+    n = len(data)
+    cut = data == 0x20
+    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    before[1:] = PRINTED[data[:-1]]
+    before[2:] |= LEAD[data[:-2]] & (data[1:-1] >= 0x80)
+    after[:-1] = PRINTED[data[1:]] | LEAD[data[1:]]
+    cut &= before & after
+    edge = offsets[:-1][np.diff(offsets) > 0]
+    last = offsets[1:][np.diff(offsets) > 0] - 1
+    cut[last] = False      # what follows is another text's
+    cut[edge] = True
+    return np.flatnonzero(cut)
 
 
 class Memo:
@@ -105,6 +122,13 @@ class Memo:
         self.new[key] = value
 
 
+def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The values of several ranges, one after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+
+
 class RankVocabulary:
     """The entries of a rank file; all that decoding needs."""
 
@@ -112,9 +136,18 @@ class RankVocabulary:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.token = {i: t for t, i in self.ranks.items()}
+        self.known = np.zeros(max(self.token, default=-1) + 1, bool)
+        self.known[list(self.token)] = True
+        self.lengths = np.array([len(self.token.get(i, b"")) for i in range(len(self.known))], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(self.token.get(i, b"") for i in range(len(self.known))), np.uint8)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes that the ids stand for; an id that is not in the vocabulary is an error."""
+        ids = np.frombuffer(ids, "<u4").astype(np.int64)
+        if len(ids) and (ids.max() >= len(self.known) or not self.known[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        return _gathered(self.flat, self.starts[ids], self.lengths[ids]).tobytes()
 
 
 class RankBPE(RankVocabulary):
@@ -136,8 +169,10 @@ class RankBPE(RankVocabulary):
             self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.reach = max(map(len, self.sound))
+        self.size = {i: len(t) for t, i in self.sound.items()}
         self.shorter_memo: dict[int, int] = {}
-        self.pair_memo, self.piece_memo, self.unit_memo = Memo(MEMO), Memo(MEMO), Memo(MEMO)
+        self.pairs: dict[int, bool] = {}
+        self.piece_memo, self.unit_memo = Memo(MEMO), Memo(MEMO)
 
     def _merged(self, data: bytes) -> list[bytes]:
         """Merging by rank, up to but without the merge that would give the whole."""
@@ -157,8 +192,10 @@ class RankBPE(RankVocabulary):
         that used them up. Of equal ranks the left merge comes first, so a merge across the
         border gives way to one inside the left entry and wins over one inside the right."""
         key = a << 32 | b
-        known = self.pair_memo.get(key)
+        known = self.pairs.get(key)
         if known is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
             ranks, halves = self.ranks, self.halves
             left, right, before, known = self.token[a], self.token[b], 1 << 60, True
             while True:
@@ -172,7 +209,7 @@ class RankBPE(RankVocabulary):
                     before, right = ranks[right] + 1, halves[right][0]
                 else:
                     break
-            self.pair_memo.put(key, known)
+            self.pairs[key] = known
         return known
 
     def shorter(self, i: int) -> int:
@@ -184,42 +221,42 @@ class RankBPE(RankVocabulary):
         return known
 
     def encode_piece(self, data: bytes) -> list[int]:
-        if not data:
-            return []
-        if data in self.ranks:
-            return [self.ranks[data]]
-        latin, prefix, sound, token = data.decode("latin-1"), self.automaton.longest_prefix, self.sound, self.token
+        whole = self.ranks.get(data)
+        if whole is not None or not data:
+            return [] if whole is None else [whole]
+        latin, prefix, sound, size_of, pairs = data.decode("latin-1"), self.automaton.longest_prefix, self.sound, self.size, self.pairs
         n, reach = len(data), self.reach
-
-        def longest(at: int) -> int:
-            """The longest entry that starts here: the automaton's longest path, or the last entry on it."""
-            size = prefix(latin[at:at + reach])
-            while (i := sound.get(data[at:at + size])) is None:
-                size -= 1
-            return i
-
-        dead, ids, at, now = bytearray(n + 1), [], 0, longest(0)
+        dead, ids, at, last, now = bytearray(n + 1), [], 0, -1, -1
         while at < n:
-            end = at + len(token[now])
-            if not dead[end] and (not ids or self.compatible(ids[-1], now)):
-                ids.append(now)
-                at = end
-                if at < n:
-                    now = longest(at)
-                continue
+            if now < 0:     # the longest entry that starts here: the automaton's longest path, or the last entry on it
+                size = prefix(latin[at:at + reach])
+                while (now := sound.get(data[at:at + size], -1)) < 0:
+                    size -= 1
+            else:
+                size = size_of[now]
+            if not dead[at + size]:
+                if last < 0:
+                    fits = True
+                elif (fits := pairs.get(last << 32 | now)) is None:
+                    fits = self.compatible(last, now)
+                if fits:
+                    ids.append(now)
+                    at += size
+                    last, now = now, -1
+                    continue
             now = self.shorter(now)
             while now < 0:  # nothing fits here: leave this place for good
                 dead[at] = 1
                 last = ids.pop()
-                at -= len(token[last])
+                at -= size_of[last]
                 now = self.shorter(last)
+                last = ids[-1] if ids else -1
         return ids
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, piece: str) -> list[int]:
         known = self.piece_memo.get(piece)
         if known is None:
-            ids = self.encode_piece(piece.encode())
-            known = struct.pack(f"<{len(ids)}I", *ids)
+            known = self.encode_piece(piece.encode())
             if len(piece) <= 64:
                 self.piece_memo.put(piece, known)
         return known
@@ -227,21 +264,26 @@ class RankBPE(RankVocabulary):
     def _unit(self, unit: str) -> bytes:
         known = self.unit_memo.get(unit)
         if known is None:
-            known = b"".join(map(self._piece, self.splitter.pieces(unit)))
+            known = np.array([i for p in self.splitter.pieces(unit) for i in self._piece(p)], "<u4").tobytes()
             if len(unit) <= 64:
                 self.unit_memo.put(unit, known)
         return known
 
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        data, offsets = text_bytes(texts)
+        starts = unit_starts(data, offsets) if len(data) else np.zeros(0, np.int64)
+        coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.r_[starts, len(data)].astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        known = [self._unit(u) for u in coded.dictionary.to_pylist()]
+        lengths = np.array([len(x) // 4 for x in known], np.int64)
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        each = lengths[code]
+        ids = _gathered(np.frombuffer(b"".join(known), "<u4"), (np.cumsum(lengths) - lengths)[code], each).tobytes()
+        at = 4 * np.r_[0, np.cumsum(each)][np.searchsorted(starts, offsets)]
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        out, get = [], self.unit_memo.new.get
-        for u in units(text):
-            known = get(u)
-            if known is None:
-                known = self._unit(u)
-                get = self.unit_memo.new.get  # the generation may have changed
-            out.append(known)
-        return b"".join(out)
+        return self.encode_column(pa.array([text]))[0]
 
 
 def _codec(path: str, pattern: str) -> RankBPE:
@@ -256,7 +298,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         codec = _codec(path, pattern)
         for batch in batches:
             for part in text_slices(batch, "text"):
-                ids = [codec.encode(t) for t in part.column(1).to_pylist()]
+                ids = codec.encode_column(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
 
     kind = rows.schema[0].dataType.simpleString()
@@ -282,3 +324,21 @@ def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)``."""
     return decoded.select(F.col(id_col), (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
                           F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``digests(decode(encode(docs)))`` in one pass, after ``n_tokens`` the ids where asked for."""
+    rows = docs.select(F.col(id_col), as_text(text_col).alias("text"))
+    names = [id_col, "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"]
+
+    def run(batches):
+        codec = _codec(path, pattern)
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                ids = codec.encode_column(part.column(1))
+                sums = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in (ids, map(codec.decode, ids))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), *([pa.array(ids, pa.binary())] if with_ids else []),
+                                                  *(pa.array(x, pa.string()) for x in sums)], names=names)
+
+    kind = rows.schema[0].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, {'ids binary, ' if with_ids else ''}ids_sha256 string, decoded_sha256 string")

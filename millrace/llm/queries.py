@@ -27,9 +27,8 @@ def op1_token_counts(spark, sf_dir):
 
 @_query
 def op7_byte_bpe(spark, sf_dir):
-    from millrace.llm.byte_bpe import decode, digests, encode
-    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return digests(decode(encode(documents(spark, sf_dir), path, pattern), path))
+    from millrace.llm.byte_bpe import round_trip
+    return round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 @_query

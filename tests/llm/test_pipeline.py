@@ -60,4 +60,4 @@ def test_stages_equal_brute_force(spark, monkeypatch):
 def test_pipeline_is_registered():
     import __spark_entry__ as E
     assert E.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in E.oracle_sql()
-    assert {k.split("_")[0] for k in E.queries() if k.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in E.queries() if k.startswith("op")} == {f"op{n}" for n in range(1, 14)}

@@ -32,9 +32,22 @@ def test_rank_bpe_equals_the_public_library(own):
         assert own.decode(got) == t.encode()
 
 
+def test_columns_of_texts_equal_single_texts(own):
+    """Units never span texts: texts that end or begin with spaces, letters and bytes of wide characters."""
+    import pyarrow as pa
+    import tiktoken
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    texts = ["a", " b", "", "c ", "d", None, "\u00e9", " \u00df x", "\u4e2d", " \u4e2d y", "\u00a0", " z", "x \u0085y", "\u3000 k", "k \u3000", "\u0414 \u0416", "a\u0301 b"] + random_texts(300, 9)
+    for column in (pa.array(texts), pa.array(["cut", *texts, "cut"]).slice(1, len(texts)), pa.array([], pa.string())):
+        got = own.encode_column(column)
+        assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in got] == [lib.encode_ordinary(t or "") for t in column.to_pylist()]
+    with pytest.raises(ValueError, match="not in the vocabulary"):
+        own.decode(struct.pack("<I", 60_000))
+
+
 def test_byte_bpe_query(spark):
     import tiktoken
-    from millrace.llm.byte_bpe import RankBPE, decode, digests, encode
+    from millrace.llm.byte_bpe import RankBPE, decode, digests, encode, round_trip
     path = P.path("byte_bpe_multi_50k.tiktoken")
     rows = [(i, t, "x") for i, t in enumerate(ODD)] + [(99, None, None), (99, None, None), (None, "a b", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
@@ -45,6 +58,11 @@ def test_byte_bpe_query(spark):
         ids = lib.encode_ordinary(t or "")
         want.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert sorted(map(tuple, out), key=repr) == sorted(want, key=repr)
+    assert sorted(map(tuple, round_trip(df, path, P.PATTERN).collect()), key=repr) == sorted(want, key=repr)
+    with_ids = round_trip(df, path, P.PATTERN, with_ids=True)
+    assert with_ids.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    assert all(hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 and len(r.ids) == 4 * r.n_tokens for r in with_ids.collect())
+    assert round_trip(df.limit(0), path, P.PATTERN).count() == 0
     assert digests(decode(encode(df.limit(0), path, P.PATTERN), path)).count() == 0
 
 
