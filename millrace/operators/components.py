@@ -8,6 +8,10 @@ chain of 50 ids does not take 50 rounds. Each round's edges are written with
 a reliable checkpoint so the lineage stays short and a lost executor only
 recomputes one round.
 
+A centre of more than ``HOT`` edges and a share of all edges is not joined by
+shuffle: at most ``8 * partitions`` centres can be that large, so their minima
+(aggregated map-side) are broadcast and their edges stay where they are.
+
 Ids are compared as strings; null and empty ids are skipped. The cluster id
 is ``md5(smallest id in the component)``.
 """
@@ -27,19 +31,33 @@ def _oriented(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.where(good).select(F.greatest(u, v).alias("hi"), F.least(u, v).alias("lo")).distinct()
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+#: Edges of a centre from which on its minimum may be broadcast.
+HOT = 50_000
+
+
+def _with_least(e: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (u, ..) with ``mv``, the smallest ``v`` of ``e`` (u, v; ``n`` rows) for their ``u``."""
+    m = e.groupBy("u").agg(F.min("v").alias("mv"), F.count(F.lit(1)).alias("degree"))
+    limit = max(HOT, n // (4 * int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    if n <= limit:                         # no centre can be above it
+        return rows.join(m.drop("degree"), "u")
+    hot = F.broadcast(m.where(F.col("degree") > limit).drop("degree"))
+    rest = rows.join(hot.select("u"), "u", "left_anti").join(m.where(F.col("degree") <= limit).drop("degree"), "u")
+    return rows.join(hot, "u").unionByName(rest)
+
+
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
         e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    m = both.groupBy("u").agg(F.min("v").alias("mv")).select("u", F.least("u", "mv").alias("m"))
-    return (both.where(F.col("v") > F.col("u")).join(m, "u")
-                .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+    near = _with_least(both, both.where(F.col("v") > F.col("u")), 2 * n)
+    return near.select(F.col("v").alias("hi"), F.least("u", "mv").alias("lo")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    m = e.groupBy("hi").agg(F.min("lo").alias("m"))
-    leaves = (e.join(m, "hi").where(F.col("lo") != F.col("m"))
-               .select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
-    return leaves.unionByName(m.select("hi", F.col("m").alias("lo"))).distinct()
+def _small_star(e: DataFrame, n: int) -> DataFrame:
+    down = e.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
+    near = _with_least(down, down, n)
+    leaves = near.where(F.col("v") != F.col("mv")).select(F.col("v").alias("hi"), F.col("mv").alias("lo"))
+    return leaves.unionByName(e.groupBy("hi").agg(F.min("lo").alias("lo"))).distinct()
 
 
 def _is_star_forest(e: DataFrame) -> bool:
@@ -48,7 +66,8 @@ def _is_star_forest(e: DataFrame) -> bool:
     multi = e.groupBy("hi").count().where(F.col("count") > 1).limit(1).count()
     if multi:
         return False
-    chained = e.select(F.col("lo").alias("hi")).join(e.select("hi"), "hi", "left_semi").limit(1).count()
+    centres = e.select(F.col("lo").alias("hi")).distinct()
+    chained = centres.join(e.select("hi"), "hi", "left_semi").limit(1).count()
     return chained == 0
 
 
@@ -59,7 +78,8 @@ def component_roots(pairs: DataFrame, cfg: ComponentsConfig = ComponentsConfig()
     for _ in range(cfg.max_rounds):
         if _is_star_forest(e):
             break
-        e = cut_lineage(_small_star(_large_star(e)))
+        n = e.count()                      # of a checkpoint
+        e = cut_lineage(_small_star(_large_star(e, n), n))
     else:
         raise RuntimeError(f"connected components did not converge in {cfg.max_rounds} rounds")
     centres = e.select(F.col("lo").alias("id"), F.col("lo").alias("root")).distinct()

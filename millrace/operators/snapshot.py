@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.config import SnapshotConfig
@@ -23,21 +23,26 @@ def attach_clusters(rows: DataFrame, cmap: DataFrame) -> DataFrame:
 
 def pick_representative(df: DataFrame, key_col: str) -> DataFrame:
     """Per non-empty key keep the row with the longest ``code_ref``, then
-    the longest ``instruction``, then the smallest ``md5(id)``.
+    the longest ``instruction``, then the smallest ``md5(id)``, then the
+    smallest hash of the row.
 
-    Written as a ``min_by`` aggregate rather than a ranking window so Spark
-    reduces each key map-side before the shuffle: a key holding a third of
-    all rows is folded in every task, not sorted in one.
+    The winner is chosen on lengths and hashes alone: one aggregate over narrow
+    rows, folded map-side, so a key holding a third of all rows is no hot
+    group. Whole rows move once, to meet their key's winner; rows that are equal
+    in all of that (copies of one row) are settled where they are then.
     """
-    order = F.struct(
-        (-F.length(_str_or_empty(df, "code_ref"))).alias("k1"),
-        (-F.length(_str_or_empty(df, "instruction"))).alias("k2"),
-        F.md5(_str_or_empty(df, "id")).alias("k3"),
-    )
-    payload = [c for c in df.columns if c != key_col]
-    keyed = df.where(F.col(key_col).isNotNull() & (F.col(key_col).cast("string") != ""))
-    best = keyed.groupBy(key_col).agg(F.min_by(F.struct(*payload), order).alias("_best"))
-    return best.select(key_col, *[F.col("_best")[c].alias(c) for c in payload]).select(*df.columns)
+    order = [(-F.length(_str_or_empty(df, "code_ref"))).alias("_k1"), (-F.length(_str_or_empty(df, "instruction"))).alias("_k2"),
+             F.md5(_str_or_empty(df, "id")).alias("_k3"), F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]).alias("_k4")]
+    names = ["_k1", "_k2", "_k3", "_k4"]
+    keyed = df.where(F.col(key_col).isNotNull() & (F.col(key_col).cast("string") != "")).select("*", *order)
+    best = keyed.groupBy(F.col(key_col).alias("_key")).agg(F.min(F.struct(*names)).alias("_best"))
+    best = best.select("_key", *[F.col("_best")[n].alias(f"_b{n}") for n in names])
+    same = keyed[key_col] == best["_key"]
+    for n in names:
+        same = same & (keyed[n] == best[f"_b{n}"])
+    won = keyed.join(best, same)
+    one = Window.partitionBy(key_col, *names).orderBy(F.lit(1))
+    return won.withColumn("_copy", F.row_number().over(one)).where("_copy = 1").select(*df.columns)
 
 
 def cluster_snapshot(rows: DataFrame, cmap: DataFrame, cfg: SnapshotConfig = SnapshotConfig()) -> DataFrame:

@@ -7,11 +7,12 @@ Two forms:
 * the raw layout ``{split}/{split}_{shard:06d}.bin`` (little endian
   uint16/uint32, documents concatenated, no header) through a Python
   ``DataSource``. Rows are hash-partitioned by (split, shard) and sorted by
-  position, so each task streams whole shards in order. A task writes below
-  ``_attempt/<its own folder>``; the driver moves the files of the committed
-  attempts into place, after it has removed the old shards when overwriting,
-  and drops what failed attempts left. The reader takes ranges of a file and
-  yields Arrow batches.
+  position, so each task streams whole shards in order, as Arrow batches. A
+  task writes below ``_attempt/<its own folder>`` and, when a file is whole,
+  moves it to the job's folder ``_job/<job>/<split>``; another attempt at the
+  task writes the same bytes there. Overwriting, the driver's commit puts one
+  folder per split into place; appending, it moves the files to those that are
+  there. The reader takes ranges of a file and yields Arrow batches.
 
 Paths go through ``pyarrow.fs`` (a local or mounted folder, HDFS, S3, ...).
 """
@@ -24,7 +25,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 CHUNK = 1 << 16                 # tokens per row
 RANGE = 64 * CHUNK              # tokens per reading task
@@ -52,8 +53,8 @@ class _Range(InputPartition):
 
 
 class _Commit(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]):
-        self.files = files
+    def __init__(self, splits: list[str]):
+        self.splits = splits
 
 
 class _Shards:
@@ -87,51 +88,63 @@ class TokenShardReader(_Shards, DataSourceReader):
             names=["split", "shard", "chunk", "tokens"])
 
 
-class TokenShardWriter(_Shards, DataSourceWriter):
+class TokenShardWriter(_Shards, DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
         super().__init__(options)
-        self.overwrite = overwrite
+        self.overwrite, self.job = overwrite, uuid.uuid4().hex
 
-    def write(self, rows):
+    def write(self, iterator):
         filesystem, root = _fs(self.uri)
-        attempt = f"{root}/_attempt/{uuid.uuid4().hex}"
-        files, handle, current = [], None, None
-        try:
-            for row in rows:                 # sorted by split, shard, pos within the task
-                key = (row["split"], int(row["shard"]))
-                if key != current:
-                    if handle:
-                        handle.close()
-                    name = f"{key[0]}/{key[0]}_{key[1]:06d}.bin"
-                    filesystem.create_dir(f"{attempt}/{key[0]}")
-                    handle, current = filesystem.open_output_stream(f"{attempt}/{name}"), key
-                    files.append((f"{attempt}/{name}", f"{root}/{name}"))
-                if row["tokens"]:
-                    handle.write(np.asarray(row["tokens"], dtype=self.dtype).tobytes())
-        finally:
+        attempt, staged = f"{root}/_attempt/{uuid.uuid4().hex}", f"{root}/_job/{self.job}"
+        splits, handle, current = set(), None, None
+
+        def close():
             if handle:
                 handle.close()
-        return _Commit(files)
+                split, shard = current
+                filesystem.create_dir(f"{staged}/{split}")
+                filesystem.move(f"{attempt}/{split}_{shard}", f"{staged}/{split}/{split}_{shard:06d}.bin")
+
+        for batch in iterator:               # sorted by split, shard, pos within the task
+            split = batch.column("split").to_numpy(zero_copy_only=False)
+            shard = batch.column("shard").to_numpy(zero_copy_only=False)
+            tokens = batch.column("tokens")
+            cuts = np.flatnonzero(np.r_[True, (split[1:] != split[:-1]) | (shard[1:] != shard[:-1]), True]).tolist() if len(split) else []
+            for a, b in zip(cuts, cuts[1:]):
+                key = (split[a], int(shard[a]))
+                if key != current:
+                    close()
+                    filesystem.create_dir(attempt)
+                    handle, current = filesystem.open_output_stream(f"{attempt}/{key[0]}_{key[1]}"), key
+                    splits.add(key[0])
+                handle.write(tokens.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(self.dtype).tobytes())
+        close()
+        return _Commit(sorted(splits))
 
     def commit(self, messages):
+        from pyarrow import fs
         filesystem, root = _fs(self.uri)
+        staged = f"{root}/_job/{self.job}"
         if self.overwrite:
-            for _, _, path, _ in _shard_files(filesystem, root):
-                filesystem.delete_file(path)
-        for message in messages:
-            for part, final in message.files if message else ():
-                filesystem.create_dir(final.rpartition("/")[0])
-                filesystem.move(part, final)
-        self._drop_attempts(filesystem, root)
+            for split in sorted({s for s, *_ in _shard_files(filesystem, root)}):
+                filesystem.delete_dir(f"{root}/{split}")
+        for split in sorted({s for m in messages if m for s in m.splits}):
+            if filesystem.get_file_info(f"{root}/{split}").type == fs.FileType.Directory:
+                for f in filesystem.get_file_info(fs.FileSelector(f"{staged}/{split}")):
+                    filesystem.move(f.path, f"{root}/{split}/{f.base_name}")
+            else:
+                filesystem.move(f"{staged}/{split}", f"{root}/{split}")
+        self._drop(filesystem, root)
 
     def abort(self, messages):
-        self._drop_attempts(*_fs(self.uri))
+        self._drop(*_fs(self.uri))
 
     @staticmethod
-    def _drop_attempts(filesystem, root):
+    def _drop(filesystem, root):
         from pyarrow import fs
-        if filesystem.get_file_info(f"{root}/_attempt").type == fs.FileType.Directory:
-            filesystem.delete_dir(f"{root}/_attempt")
+        for name in ("_attempt", "_job"):
+            if filesystem.get_file_info(f"{root}/{name}").type == fs.FileType.Directory:
+                filesystem.delete_dir(f"{root}/{name}")
 
 
 class TokenShards(DataSource):

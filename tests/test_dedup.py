@@ -138,3 +138,38 @@ def test_cluster_snapshot_equals_the_two_steps(spark, parts):
     want = sorted(map(tuple, snapshot(attach_clusters(df, cmap)).collect()), key=repr)
     cols = snapshot(attach_clusters(df, cmap)).columns
     assert sorted(map(tuple, cluster_snapshot(df, cmap).select(cols).collect()), key=repr) == want and len(want) == 9 + 80 + 2
+
+
+def test_components_with_hot_centres(spark, monkeypatch):
+    """Graphs in which every second node is above the limit, and a star whose edges stay spread."""
+    import random
+
+    from millrace.operators import components as cc
+    monkeypatch.setattr(cc, "HOT", 2)
+    r = random.Random(4)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100, k) for k in range(101, 160)] + [(k, 300) for k in range(200, 240)]
+    root = {str(x): str(x) for e in edges for x in e}
+    for _ in range(100):
+        for a, b in edges:
+            root[str(a)] = root[str(b)] = min(root[str(a)], root[str(b)])
+    alone = {str(x) for e in edges for x in e} - {str(x) for a, b in edges for x in (a, b) if a != b}
+    df = spark.createDataFrame(edges, "id1 long, id2 long").repartition(5)
+    assert {x.id: x.root for x in cc.component_roots(df).collect()} == {k: v for k, v in root.items() if k not in alone}
+    monkeypatch.setattr(cc, "HOT", 10_000)
+    star = spark.range(1, 200_001).selectExpr("'0' AS u", "cast(id AS string) AS v").repartition(8)
+    sizes = [x["count"] for x in cc._with_least(star, star, 200_000).where("mv = '1'").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 200_000 and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_representative_of_repeated_rows(spark):
+    """One row per key with ties in every length, repeated ids and repeated rows; no text in an aggregate."""
+    from millrace.operators.snapshot import pick_representative
+    rows = [("k1", 1, "abc", "x", 1), ("k1", 1, "abd", "y", 2), ("k1", 2, "ab", None, 3), ("k2", 5, "same", None, 4), ("k2", 5, "same", None, 4), ("k2", 5, "same", None, 4),
+            ("k3", None, None, None, None), ("", 7, "zzz", "q", 5), (None, 8, "zzz", "q", 6)]
+    df = spark.createDataFrame(rows, "k string, id long, code_ref string, instruction string, other long").withColumn("m", F.create_map(F.lit("a"), F.col("other")))
+    for parts in (1, 4):
+        out = pick_representative(df.repartition(parts), "k")
+        assert out.columns == df.columns
+        got = {r.k: (r.id, r.code_ref, r.other) for r in out.collect()}
+        assert out.count() == 3 and got["k2"] == (5, "same", 4) and got["k3"] == (None, None, None) and got["k1"][0] == 1
+    assert len({(pick_representative(df.repartition(p), "k").where("k = 'k1'").first().code_ref) for p in (1, 3, 5)}) == 1
