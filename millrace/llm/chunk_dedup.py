@@ -5,13 +5,14 @@ a block of ``BLOCK`` bytes that starts where a gear hash of the block's last 32
 of ``BLOCK`` places in a row; so every 2 * BLOCK - 1 equal bytes hold an anchor at the same place,
 wherever they stand, and neighbouring anchors touch. Blocks are compared by 128-bit digests. The
 first place of a block, by (doc_id, place), is kept; every later one is a repeat. Repeats that
-overlap or touch in a document form a run, also a single one; each end of the run is joined with
-the first place of its block and extended byte by byte while both texts agree. That is less than
-``BLOCK`` bytes a side, or the next anchor would be a repeat as well, so that many bytes of context
-tell all. The minimum applies to the extended run, cut to whole characters; runs that then
-overlap are one row. A run's ends are compared with the first place of their blocks only: where
-that is another place than the passage's, with less in common, up to BLOCK - 1 bytes of that end
-are not seen.
+overlap or touch in a document form a run, also a single one. Each block within ``BLOCK`` bytes of an
+end of the run is extended by the longest context that any earlier place of it shares, byte for byte,
+and the run reaches as far as the farthest. That is at most ``BLOCK`` bytes beyond a block, or the next
+anchor would be a repeat of the same place. The longest is found by halving: in each
+round the contexts of a block, cut to the length in question, are grouped and the earliest place of
+the group is compared with the run's; equal contexts are one row from the start. The minimum applies to
+the extended run, cut to whole characters; runs that then overlap are one row. The two ends of a run,
+like its blocks, may repeat different places.
 
 ``repeated_passages`` is the coarser form: whole equal chunks alone, without the ends. A text's
 bytes are cut where five bits of a gear hash are zero; those bits depend on the last
@@ -231,38 +232,42 @@ def _text_hash(text):
     return F.xxhash64(text).bitwiseAND(0xFFFFFFFF)
 
 
-RUN = "doc_id bigint, mark bigint, low int, high int, n int, first_doc_id bigint, h_id bigint, h_at bigint, t_id bigint, t_at bigint"
+RUN = "doc_id bigint, mark bigint, low int, high int, n int, first_doc_id bigint, heads array<bigint>, tails array<bigint>"
 
 
 def _runs(repeats: DataFrame) -> DataFrame:
-    """``RUN`` rows: the repeats of a text that overlap or touch, bytes ``low`` to ``high``, with the
-    first places of its first and its last block; ``first_doc_id`` holds the longest part in one piece."""
-    rows = repeats.select("doc_id", F.col("at").bitwiseAND(0xFFFFFFFF).alias("mark"), F.shiftright("at", 32).cast("int").alias("start"), "f_id", "f_at")
+    """``RUN`` rows: the repeats of a text that overlap or touch, bytes ``low`` to ``high``; ``heads`` and
+    ``tails`` hold (start, digest) of the blocks less than ``BLOCK`` bytes from its first and its last;
+    ``first_doc_id`` holds the longest part in one piece."""
+    rows = repeats.select("doc_id", F.col("at").bitwiseAND(0xFFFFFFFF).alias("mark"), F.shiftright("at", 32).cast("int").alias("start"), "f_id", "f_at", "d1", "d2")
     rows = rows.repartition("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "start")
-    names, kinds = [f.split()[0] for f in RUN.split(", ")], [pa.int64(), pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 5]
+    names, kinds = [f.split()[0] for f in RUN.split(", ")], [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64(), *[pa.list_(pa.int64())] * 2]
 
     def run(batches):
-        now = None  # [doc, text, low, last start, anchors, first place of the first and of the last, piece, its start, longest (bytes, doc)]
+        now = None  # [doc, text, low, last start, anchors, heads, tails, piece, its start, longest (bytes, doc)]
 
         def closed():
             if now is not None:
-                out.append((now[0], now[1], now[2], now[3] + BLOCK, now[4], now[9][1], *now[5], *now[6]))
+                out.append((now[0], now[1], now[2], now[3] + BLOCK, now[4], now[9][1], now[5], [x for k in now[6] for x in k]))
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
         for batch in batches:
             out = []
-            for doc, text, start, f_id, f_at in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, text, start, f_id, f_at, d1, d2 in zip(*(c.to_pylist() for c in batch.columns)):
                 if now is None or now[0] != doc or now[1] != text or start - now[3] > BLOCK:
                     closed()
-                    now = [doc, text, start, start, 0, (f_id, f_at), None, None, start, (0, None)]
+                    now = [doc, text, start, start, 0, [], [], None, start, (0, None)]
                 elif start == now[3]:
                     continue  # an equal row of the same document
                 piece = (f_id, f_at & 0xFFFFFFFF, start - (f_at >> 32))
                 if piece != now[7]:
                     now[7], now[8] = piece, start
-                now[3], now[4], now[6] = start, now[4] + 1, (f_id, f_at)
+                now[3], now[4] = start, now[4] + 1
+                if start - now[2] < BLOCK:
+                    now[5] += (start, d1, d2)
+                now[6] = [k for k in now[6] if start - k[0] < BLOCK] + [(start, d1, d2)]
                 if start + BLOCK - now[8] > now[9][0]:
                     now[9] = (start + BLOCK - now[8], f_id)
             if out:
@@ -275,40 +280,75 @@ def _runs(repeats: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, RUN)
 
 
-def _reach(own: pa.Array, other: pa.Array, after: pa.Array) -> pa.Array:
-    """By how many bytes an end moves out: as far as both contexts agree, less what is not a whole
+def _reach(own: pa.Array, same: pa.Array, after: pa.Array) -> pa.Array:
+    """By how many bytes an end moves out: the bytes of context that agree, less what is not a whole
     character (so it can be negative). A context holds 4 bytes of the block itself."""
     out = []
-    for a, b, on in zip(own.to_pylist(), other.to_pylist(), after.to_pylist()):
-        n = min(len(a), len(b), BLOCK + 4)
-        x, y, order = (a[:n], b[:n], "big") if on else (a[-n:], b[-n:], "little")
-        same = n - ((int.from_bytes(x, order) ^ int.from_bytes(y, order)).bit_length() + 7) // 8
+    for a, n, on in zip(own.to_pylist(), same.to_pylist(), after.to_pylist()):
+        n += 4
         if on:
-            while same < len(a) and a[same] & 0xC0 == 0x80:
-                same -= 1
+            while n < len(a) and a[n] & 0xC0 == 0x80:
+                n -= 1
         else:
-            while a[len(a) - same] & 0xC0 == 0x80:
-                same -= 1
-        out.append(same - 4)
+            while a[len(a) - n] & 0xC0 == 0x80:
+                n -= 1
+        out.append(n - 4)
     return pa.array(out, pa.int32())
 
 
-def _contexts(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """``(c_id, c_at, c_after, bytes)``: the bytes around each end, 4 of the block and up to ``BLOCK`` (one more after it) beyond."""
-    asked = ends.select("doc_id", "at", "after").union(ends.select("o_id", "o_at", "after")).distinct()
-    asked = asked.groupBy("doc_id", F.col("at").bitwiseAND(0xFFFFFFFF).alias("mark")).agg(F.collect_list(F.struct("at", "after")).alias("asked"))
+def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(doc_id, at, after, bytes)`` of the places ``asked``: 4 bytes of the block and up to ``BLOCK`` (one more after it) beyond."""
+    asked = asked.groupBy("doc_id", F.col("at").bitwiseAND(0xFFFFFFFF).alias("mark")).agg(F.collect_set(F.struct("at", "after")).alias("asked"))
     asked = asked.select(F.col("doc_id").alias("c_id"), F.col("mark").alias("c_mark"), "asked")  # bounded by the text's length
     text = F.col("text").cast("string")
     held = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.cast("binary").alias("raw"), _text_hash(text).alias("mark"))
     held = held.join(asked, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("mark") == F.col("c_mark")))
 
     def around(x):
-        at = F.shiftright(x["at"], 32).cast("int")
+        at = F.shiftright(x["at"], 32).cast("int") + F.when(x["after"], BLOCK).otherwise(0)
         low = F.greatest(F.lit(0), at - F.when(x["after"], 4).otherwise(BLOCK))
-        return F.struct(x["at"].alias("c_at"), x["after"].alias("c_after"),
+        return F.struct(x["at"].alias("at"), x["after"].alias("after"),
                         F.substring(F.col("raw"), low + 1, at + F.when(x["after"], BLOCK + 1).otherwise(4) - low).alias("bytes"))
-    found = held.select("c_id", F.explode(F.transform("asked", around)).alias("c")).select("c_id", "c.*")
-    return found.dropDuplicates(["c_id", "c_at", "c_after"])  # rows of one document more than once
+    return held.select(F.col("c_id").alias("doc_id"), F.explode(F.transform("asked", around)).alias("c")).select("doc_id", "c.*")
+
+
+def _longest_context(docs: DataFrame, places: DataFrame, ends: DataFrame) -> DataFrame:
+    """``ends`` (doc_id, at, d1, d2, after, ..) with ``bytes`` around each and ``same``, the bytes of context
+    that the longest of all earlier places of the block shares."""
+    block = ["d1", "d2", "after"]
+    sides = ends.select(F.col("d1").alias("s1"), F.col("d2").alias("s2"), "after").distinct()
+    asked = places.join(sides, (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2")))
+    asked = materialise(asked.select("d1", "d2", "after", "doc_id", "at").distinct(), "passage-asked")
+    around = _contexts(docs, asked).dropDuplicates(["doc_id", "at", "after"])     # rows of one document more than once
+    around = around.select(F.col("doc_id").alias("c_id"), F.col("at").alias("c_at"), F.col("after").alias("c_after"), "bytes")
+    here = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("at") == F.col("c_at")) & (F.col("after") == F.col("c_after"))
+    held = materialise(asked.join(around, here).select(*block, "doc_id", "at", "bytes"), "passage-contexts")
+    beyond = F.when(F.col("after"), F.substring("bytes", 5, BLOCK)).otherwise(F.substring("bytes", F.lit(1), F.length("bytes") - 4))
+    place = F.struct("doc_id", "at")
+    index = materialise(held.groupBy(*block, beyond.alias("context")).agg(F.min(place).alias("place")), "passage-index")
+
+    def cut(n):
+        context = F.col("context")
+        return F.when(F.col("after"), F.substring(context, F.lit(1), n)).otherwise(F.substring(context, F.length(context) - n + 1, n))
+
+    mine = held.select(*[F.col(c).alias(f"m_{c}") for c in ("doc_id", "at", "after", "bytes")])
+    open_ = ends.join(mine, F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & (F.col("at") == F.col("m_at")) & (F.col("after") == F.col("m_after")))
+    open_ = open_.select(*ends.columns, F.col("m_bytes").alias("bytes")).withColumn("context", beyond)
+    open_ = materialise(open_.withColumn("same", F.lit(0)).withColumn("most", F.length("context")), "passage-ends")
+    for _ in range(BLOCK.bit_length()):
+        open_ = open_.withColumn("try", F.ceil((F.col("same") + F.col("most")) / 2).cast("int"))
+        lengths = open_.where("most > same").select(*block, "try").distinct()
+        tried = index.join(lengths, block).where(F.length("context") >= F.col("try"))
+        first = tried.groupBy(*block, "try", cut(F.col("try")).alias("part")).agg(F.min("place").alias("earliest"))
+        first = first.select(*[F.col(c).alias(f"f_{c}") for c in (*block, "try", "part")], "earliest")
+        match = F.col("most") > F.col("same")
+        for c in (*block, "try"):
+            match = match & (F.col(c) == F.col(f"f_{c}"))
+        found = open_.join(first, match & (cut(F.col("try")) == F.col("f_part")), "left")
+        going, longer = F.col("most") > F.col("same"), F.coalesce(F.col("earliest") < place, F.lit(False))
+        open_ = materialise(found.select(*ends.columns, "bytes", "context", F.when(going & longer, F.col("try")).otherwise(F.col("same")).alias("same"),
+                                         F.when(going & ~longer, F.col("try") - 1).otherwise(F.col("most")).alias("most")), "passage-ends")
+    return open_
 
 
 def _merged(found: DataFrame) -> DataFrame:
@@ -352,20 +392,21 @@ def whole_passages(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     firsts = places.groupBy(F.col("d1").alias("t1"), F.col("d2").alias("t2")).agg(F.min(F.struct("doc_id", "at")).alias("f"))
     repeats = (places.join(firsts, (F.col("d1") == F.col("t1")) & (F.col("d2") == F.col("t2")))
                      .where(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("at") == F.col("f.at"))))
-                     .select("doc_id", "at", F.col("f.doc_id").alias("f_id"), F.col("f.at").alias("f_at")))
+                     .select("doc_id", "at", F.col("f.doc_id").alias("f_id"), F.col("f.at").alias("f_at"), "d1", "d2"))
     runs = materialise(_runs(repeats), "passage-runs")
-    place = lambda byte: F.shiftleft(F.col(byte).cast("bigint"), 32).bitwiseOR(F.col("mark"))
     same = ["doc_id", "mark", "low", "high", "n", "first_doc_id"]
-    heads = runs.select(*same, place("low").alias("at"), F.col("h_id").alias("o_id"), F.col("h_at").alias("o_at"), F.lit(False).alias("after"))
-    tails = runs.select(*same, place("high").alias("at"), F.col("t_id").alias("o_id"), (F.col("t_at") + (BLOCK << 32)).alias("o_at"), F.lit(True).alias("after"))
-    ends = heads.unionByName(tails)
-    around = materialise(_contexts(docs, ends), "passage-contexts")
-    of = lambda p: around.select(*[F.col(c).alias(f"{p}_{c}") for c in around.columns])
-    ends = ends.join(of("own"), F.col("doc_id").eqNullSafe(F.col("own_c_id")) & (F.col("at") == F.col("own_c_at")) & (F.col("after") == F.col("own_c_after")))
-    ends = ends.join(of("first"), F.col("o_id").eqNullSafe(F.col("first_c_id")) & (F.col("o_at") == F.col("first_c_at")) & (F.col("after") == F.col("first_c_after")))
-    ends = ends.select(*same, "after", F.arrow_udf(_reach, "int")("own_bytes", "first_bytes", "after").alias("reach"))
-    found = ends.groupBy(*same).agg(F.max(F.when(~F.col("after"), F.col("reach"))).alias("left"), F.max(F.when(F.col("after"), F.col("reach"))).alias("right"))
-    found = found.select("doc_id", "mark", (F.col("low") - F.col("left")).alias("low"), (F.col("high") + F.col("right")).alias("high"), "n", "first_doc_id")
+
+    def side(ends, after):
+        block = F.transform(F.sequence(F.lit(0), (F.size(ends) / 3 - 1).cast("int")), lambda i: F.struct(*[F.element_at(ends, i * 3 + k).alias(c) for k, c in enumerate(("start", "d1", "d2"), 1)]))
+        exploded = runs.select(*same, F.explode(block).alias("b"))
+        return exploded.select(*same, F.shiftleft("b.start", 32).bitwiseOR(F.col("mark")).alias("at"), "b.d1", "b.d2", F.lit(after).alias("after"))
+
+    ends = side(F.col("heads"), False).unionByName(side(F.col("tails"), True))
+    ends = _longest_context(docs, places, ends).withColumnRenamed("same", "agree")
+    reach, start = F.arrow_udf(_reach, "int")("bytes", "agree", "after"), F.shiftright("at", 32).cast("int")
+    ends = ends.withColumn("reach", reach).withColumn("edge", F.when(F.col("after"), start + BLOCK + F.col("reach")).otherwise(start - F.col("reach")))
+    found = ends.groupBy(*same).agg(F.min(F.when(~F.col("after"), F.col("edge"))).alias("from"), F.max(F.when(F.col("after"), F.col("edge"))).alias("to"))
+    found = found.select("doc_id", "mark", F.col("from").alias("low"), F.col("to").alias("high"), "n", "first_doc_id")
     return _merged(found.where(F.col("high") - F.col("low") >= min_bytes))
 
 

@@ -159,3 +159,42 @@ def test_whole_passages_on_odd_rows(spark):
     assert (203, 0, 128, 202) in spans and not {200, 201, 202} & {x.doc_id for x in got}
     assert {x.doc_id for x in got} >= {d for d, *_ in brute(rows, MIN_BYTES)}
     assert whole_passages(df.limit(0)).count() == 0
+
+
+def test_ends_follow_the_longest_earlier_place(spark):
+    """300 passages of 140 bytes in two documents each, whose inner 100 bytes stand earlier elsewhere."""
+    from millrace.llm.chunk_dedup import whole_passages
+    r = random.Random(77)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    for i in range(300):
+        inner = letters(100)
+        passage = letters(20) + inner + letters(20)
+        rows += [(i, letters(50) + inner + letters(50)), (1000 + i, letters(60) + passage + letters(60)), (2000 + i, letters(70) + passage + letters(40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x for x in whole_passages(df).collect()}
+    assert sorted(got) == [2000 + i for i in range(300)]
+    assert all(x.start_byte <= 70 and x.start_byte + x.n_bytes >= 210 and x.n_bytes < 150 for x in got.values())
+
+
+def test_ends_are_the_longest_by_brute_force(spark):
+    """No row could be longer: a byte more beside its first or last block stands at no earlier place."""
+    from millrace.llm.chunk_dedup import BLOCK, anchors, whole_passages
+    r = random.Random(78)
+    pool = ["".join(r.choice("abcd ") for _ in range(220)) for _ in range(5)]
+    rows = [(i, "".join(r.choice("abcdefgh") for _ in range(r.randrange(40))) + "".join(r.choice(pool)[:r.randrange(90, 221)] for _ in range(2))) for i in range(60)]
+    raw = {d: t.encode() for d, t in rows}
+    found = whole_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(found) > 40
+    blocks = {d: set(anchors(arr(t)).tolist()) for d, t in raw.items()}
+
+    def earlier(part, shift, d, at):
+        return any((e, x + shift) < (d, at) and x + shift in blocks[e] for e, t in raw.items() if e <= d
+                   for x in range(len(t) - len(part) + 1) if t[x:x + len(part)] == part)
+    for x in found:
+        low, high, t = x.start_byte, x.start_byte + x.n_bytes, raw[x.doc_id]
+        inside = sorted(a for a in blocks[x.doc_id] if low <= a and a + BLOCK <= high and earlier(t[a:a + BLOCK], 0, x.doc_id, a))
+        heads, tails = [a for a in inside if a < inside[0] + BLOCK], [a for a in inside if a > inside[-1] - BLOCK]
+        assert any(earlier(t[low:a + BLOCK], a - low, x.doc_id, a) for a in heads) and any(earlier(t[a:high], 0, x.doc_id, a) for a in tails)
+        assert low == 0 or not any(a - low < BLOCK and earlier(t[low - 1:a + BLOCK], a - low + 1, x.doc_id, a) for a in heads)
+        assert high == len(t) or not any(high - a < 2 * BLOCK and earlier(t[a:high + 1], 0, x.doc_id, a) for a in tails)
