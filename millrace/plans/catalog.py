@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.plans import dedup as dd
 from millrace.plans import oracle_dedup as od
-from millrace.config import SnapshotConfig
+from millrace.config import MinHashConfig, SnapshotConfig
 from millrace.operators.snapshot import cluster_size_histogram, dedup_summary, snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,13 @@ def q_d2(spark, sf):
     return s.where("sig_ok").select("id", "sig_ok", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
 
 
+@register("d2_minhash_xxhash64")
+def q_d2x(spark, sf):
+    """The 64-bit family, for which DuckDB has no hash; a test holds it against the public xxhash library."""
+    s = dd.signatures(table(spark, sf, "documents"), dd.DedupConfig(minhash=MinHashConfig(hash_family="xxhash64", num_perm=16)))
+    return s.where("sig_ok").select("id", "sig_ok", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
+
+
 @register("d3_band_keys", od.with_chain("SELECT id, band, key FROM band"))
 def q_d3(spark, sf):
     return dd.bands(table(spark, sf, "documents"))

@@ -35,6 +35,14 @@ def q_e2(spark, sf):
     return _model(spark, sf, reuse=False).merges
 
 
+@register("e3_load_or_train")
+def q_e3(spark, sf):
+    """The vocabulary as saved by training, loaded without anything to train on."""
+    _model(spark, sf)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/bpe-{hashlib.md5(f'{sf}|{BPE}'.encode()).hexdigest()}"
+    return bpe.load_or_train(spark, path, None, BPE).vocab
+
+
 @register("e4_encode_bpe")
 def q_e4b(spark, sf):
     docs = tk.split_docs(table(spark, sf, "documents"), SPLIT)

@@ -173,3 +173,20 @@ def test_representative_of_repeated_rows(spark):
         got = {r.k: (r.id, r.code_ref, r.other) for r in out.collect()}
         assert out.count() == 3 and got["k2"] == (5, "same", 4) and got["k3"] == (None, None, None) and got["k1"][0] == 1
     assert len({(pick_representative(df.repartition(p), "k").where("k = 'k1'").first().code_ref) for p in (1, 3, 5)}) == 1
+
+
+def test_xxhash64_family_equals_the_public_library(spark):
+    """The least 63-bit hash of (permutation, shingle): the permutation's four bytes seed the shingle's hash."""
+    import struct
+
+    import xxhash
+    cfg = MinHashConfig(shingle_n=2, num_perm=5, seed0=7, hash_family="xxhash64")
+    docs = [("a", "x é z w".split()), ("b", ["one"]), ("c", ["p", "p", "p"]), ("d", None)]
+    out = {r.id: (r.sig_ok, r.sig) for r in apply_minhash(spark.createDataFrame(docs, "id string, tokens array<string>"), "tokens", cfg).collect()}
+    shingle = {r.id: r.s for r in spark.createDataFrame(docs, "id string, tokens array<string>").where("size(tokens) > 1").select("id", shingles(F.col("tokens"), 2).alias("s")).collect()}
+    for k, toks in docs:
+        if toks and len(toks) > 1:
+            want = [min(xxhash.xxh64_intdigest(s.encode(), seed=xxhash.xxh64_intdigest(struct.pack("<i", i + 7), seed=42)) & I64_MAX for s in shingle[k]) for i in range(5)]
+            assert out[k] == (True, want)
+        else:
+            assert out[k] == (False, [I64_MAX] * 5)
