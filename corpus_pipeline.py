@@ -2,6 +2,11 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before kept; all but the
 last return the columns of ``documents``.
+
+A null or empty text has no words, so the first stage rejects it. Rows without a doc_id are judged by
+their texts like others and are never dropped as copies; rows of one doc_id with one text count once where
+copies are sought and go or stay together. Null languages and sources are groups of their own. Other
+columns, whatever their names, come through unread. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -38,8 +43,9 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that the sources meet their target weights."""
-    mixed = mix(docs, quality_weights(labels(spark, sf_dir)), keep=tuple(c for c in docs.columns if c not in ("doc_id", "source")))
-    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    whole = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))     # so that no name can clash
+    mixed = mix(whole, quality_weights(labels(spark, sf_dir)), keep=("__row",)).where("copies > 0")
+    return mixed.select(F.explode(F.sequence(F.lit(1), F.col("copies"))), "__row").select("__row.*")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
