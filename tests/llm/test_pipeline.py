@@ -3,6 +3,7 @@ import struct
 from collections import Counter
 
 import public_tokenizers as P
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 import test_line_dedup
@@ -57,6 +58,32 @@ def test_stages_equal_brute_force(spark, monkeypatch):
     assert sorted((r[0], r[1], bytes(r[2]), *r[3:]) for r in ran.collect()) == sorted(want)
 
 
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty texts, repeated rows and ids, clashing column names, an empty table."""
+    words = ["harbour", "lantern", "meadow", "copper", "window", "ladder", "saddle", "orchard", "kettle", "ribbon", "anchor", "basket", "candle", "dragon"]
+    clean = lambda k: " ".join(words[(k * i + i // 3) % 14] + str(k * 31 + i) for i in range(40)) + "."
+    rows = [(1, clean(1), "en", "a"), (2, clean(2), None, None), (2, clean(2), None, None), (3, None, "en", "a"), (4, "", "fr", "b"), (None, clean(5), "en", None),
+            (None, clean(6), "en", "a"), (7, clean(7), "zz", "b"), (8, clean(1) + " End.", "en", "b"), (9, clean(9), "en", "a")]
+    df = spark.createDataFrame([(*x, "n", 5, None) for x in rows], "doc_id long, text string, lang string, source string, n string, copies int, sid string").withColumn("n_chars", F.length("text").cast("bigint"))
+    for docs in (df.repartition(3), df.limit(0)):
+        now = docs
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, SF)
+            got = out.collect()
+            assert out.columns == docs.columns or k == 4
+            if k < 4:
+                now = spark.createDataFrame(got, docs.schema)
+            ids = [r.doc_id for r in got]
+            if not docs.limit(1).count():
+                assert got == [], name
+            elif k < 3:
+                assert {3, 4}.isdisjoint(ids) and {1, 2, 7, 9} <= set(ids) and ids.count(None) == 2, name
+                assert all((r.n, r.copies, r.sid) == ("n", 5, None) for r in got)
+                assert (8 in ids) == (k < 2), name
+            else:
+                assert {3, 4, 8}.isdisjoint(ids)
+
+
 def test_pipeline_is_registered():
     import __spark_entry__ as E
     assert E.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in E.oracle_sql()
