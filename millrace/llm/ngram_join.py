@@ -257,7 +257,9 @@ def spanning_links(sets: list[np.ndarray], num: int, den: int, known: list | Non
     for leader in range(m):
         if not open_[leader]:
             continue
+        # Answers that queued sets may be derived from, and how many of those are left; the queue goes deep first.
         answers: dict[int, np.ndarray] = {}
+        pending: dict[int, int] = {}
         queue = reach(leader, -1)
         while queue and open_.any():
             y, parent = queue.pop()
@@ -265,6 +267,9 @@ def spanning_links(sets: list[np.ndarray], num: int, den: int, known: list | Non
             need = -(-num * (sizes[y] + sizes[left]) // (num + den))
             if parent in answers:
                 x = answers[parent]
+                pending[parent] -= 1
+                if not pending[parent]:
+                    del answers[parent], pending[parent]
                 gone, come = np.setdiff1d(tokens[parent], tokens[y], assume_unique=True), np.setdiff1d(tokens[y], tokens[parent], assume_unique=True)
                 if not np.any(x[left] + len(come) >= need):
                     continue  # the parent's answers rule out all that is left
@@ -274,12 +279,15 @@ def spanning_links(sets: list[np.ndarray], num: int, den: int, known: list | Non
                     overlap = counted(tokens[y])
             else:
                 overlap = counted(tokens[y])
-            answers[y] = overlap
             found = left[den * overlap[left] >= num * (sizes[y] + sizes[left] - overlap[left])]
+            children = []
             for z in found.tolist():
                 if open_[z]:
                     links.append((y, z))
-                    queue += reach(z, y)
+                    children += reach(z, y)
+            if children:
+                answers[y], pending[y] = overlap, len(children)
+                queue += children
     return links
 
 

@@ -131,3 +131,16 @@ def test_query_on_the_given_documents(spark):
     from millrace.llm.queries import QUERIES
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert sorted(map(tuple, QUERIES["op2_ngram_join"](spark, SF).collect()), key=repr) == brute(rows, 4, 85, 100)
+
+
+def test_a_chain_of_sets_takes_linear_memory():
+    """8,000 sets, each linked with its neighbours only: no array per set is kept."""
+    import tracemalloc
+
+    from millrace.llm.ngram_join import spanning_links
+    sets = [np.arange(k, k + 30, dtype=np.uint64) for k in range(0, 24_000, 3)]
+    tracemalloc.start()
+    links = spanning_links(sets, 80, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(links) == len(sets) - 1 and peak < 100 << 20
