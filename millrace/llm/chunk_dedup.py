@@ -331,9 +331,11 @@ def _longest_context(docs: DataFrame, places: DataFrame, ends: DataFrame) -> Dat
         context = F.col("context")
         return F.when(F.col("after"), F.substring(context, F.lit(1), n)).otherwise(F.substring(context, F.length(context) - n + 1, n))
 
-    mine = held.select(*[F.col(c).alias(f"m_{c}") for c in ("doc_id", "at", "after", "bytes")])
-    open_ = ends.join(mine, F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & (F.col("at") == F.col("m_at")) & (F.col("after") == F.col("m_after")))
-    open_ = open_.select(*ends.columns, F.col("m_bytes").alias("bytes")).withColumn("context", beyond)
+    # Only places, contexts and the two bounds go through the rounds.
+    key = [*block, "doc_id", "at"]
+    named = lambda df, cs: df.select(*[F.col(c).alias(f"m_{c}") for c in cs])
+    mine = F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & (F.col("at") == F.col("m_at")) & (F.col("after") == F.col("m_after"))
+    open_ = held.join(named(ends, ["doc_id", "at", "after"]), mine, "left_semi").select(*key, beyond.alias("context"))
     open_ = materialise(open_.withColumn("same", F.lit(0)).withColumn("most", F.length("context")), "passage-ends")
     for _ in range(BLOCK.bit_length()):
         open_ = open_.withColumn("try", F.ceil((F.col("same") + F.col("most")) / 2).cast("int"))
@@ -346,9 +348,10 @@ def _longest_context(docs: DataFrame, places: DataFrame, ends: DataFrame) -> Dat
             match = match & (F.col(c) == F.col(f"f_{c}"))
         found = open_.join(first, match & (cut(F.col("try")) == F.col("f_part")), "left")
         going, longer = F.col("most") > F.col("same"), F.coalesce(F.col("earliest") < place, F.lit(False))
-        open_ = materialise(found.select(*ends.columns, "bytes", "context", F.when(going & longer, F.col("try")).otherwise(F.col("same")).alias("same"),
+        open_ = materialise(found.select(*key, "context", F.when(going & longer, F.col("try")).otherwise(F.col("same")).alias("same"),
                                          F.when(going & ~longer, F.col("try") - 1).otherwise(F.col("most")).alias("most")), "passage-ends")
-    return open_
+    done = open_.join(named(held, ["doc_id", "at", "after", "bytes"]), mine).select(*[F.col(c).alias(f"d_{c}") for c in ("doc_id", "at", "after")], "same", F.col("m_bytes").alias("bytes"))
+    return ends.join(done, F.col("doc_id").eqNullSafe(F.col("d_doc_id")) & (F.col("at") == F.col("d_at")) & (F.col("after") == F.col("d_after")))
 
 
 def _merged(found: DataFrame) -> DataFrame:
