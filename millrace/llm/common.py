@@ -6,6 +6,7 @@ import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,13 +37,30 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
+#: The folders of the tables that ``materialise`` wrote, while their DataFrames are held.
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def materialise(df: DataFrame, what: str, last_use_of: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Cuts lineage: written once as Parquet to the shared folder, read back.
 
+    ``last_use_of``: earlier tables of this function that no plan reads once this one is written.
     Void columns and duplicate names do not occur: callers select first."""
     path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    release(*last_use_of)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialise`` wrote. What was made from them must be written already: a lost
+    executor makes Spark read again whatever a plan still names."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop(table))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def worker_state(key, build: Callable):

@@ -185,21 +185,19 @@ def line_places(docs: DataFrame) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, places: DataFrame, needed: DataFrame) -> DataFrame:
-    """``(t_h, line)``: the text of each needed line, from one document that has it."""
+    """``(t_h, line)``: the text of each ``needed`` line (a written table, used up), from one document that has it."""
     spots = places.join(_few(needed, BROADCAST_ROWS), F.col("h") == F.col("n_h")).groupBy("h").agg(F.min(F.struct("doc_id", "th", "no")).alias("s"))
     spots = materialise(spots.select(F.col("h").alias("t_h"), F.col("s.doc_id").alias("s_id"), F.col("s.th").alias("s_th"), F.col("s.no").alias("s_no")), "line-spots")
     holders = spots.select(F.col("s_id").alias("d_id"), F.col("s_th").alias("d_th")).distinct()
     text = F.col("text").cast("string")
     held = docs.select("doc_id", "text").join(_few(holders, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.xxhash64(text) == F.col("d_th")), "left_semi")
     found = _lines(held).join(_few(spots, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")) & (F.col("no") == F.col("s_no")))
-    return materialise(found.select("t_h", "line").distinct(), "line-texts")
+    return materialise(found.select("t_h", "line").distinct(), "line-texts", last_use_of=(spots, needed))
 
 
 def line_links(docs: DataFrame, places: DataFrame, tiers=((MAX_EDITS, MIN_CHARS, None),)) -> DataFrame:
     """``(h, root)``: the hashes of lines that are linked with another, by component."""
     links = [_tier_links(docs, places, *tier) for tier in tiers]
-    if len(links) > 1:  # each is the end of a plan of its own
-        links = [materialise(x, "line-tier") for x in links]
     return component_roots(reduce(DataFrame.unionByName, links), a="a", b="b").select(F.col("id").cast("bigint").alias("c_h"), "root")
 
 
@@ -230,33 +228,34 @@ def _tier_links(docs: DataFrame, places: DataFrame, edits: int, min_chars: int,
     label = component_roots(links, a="a", b="b").select(F.col("id").cast("bigint").alias("l_h"), F.col("root").cast("bigint").alias("label"))
     more = more.join(label, F.col("h") == F.col("l_h"), "left").withColumn("label", F.coalesce("label", "h"))
     more = more.join(texts, F.col("h") == F.col("t_h")).withColumns({"n": F.char_length("line"), "parity": _word_parity(F.col("line"))})
-    more = materialise(_finer(more, edits).select("finer", "entry", "h", "least", "label", "parity"), "line-finer")
+    more = materialise(_finer(more, edits).select("finer", "entry", "h", "least", "label", "parity"), "line-finer", last_use_of=(hits,))
     held = more.where(F.col("entry") & (F.col("h") != F.col("least"))).select(F.col("finer").alias("o_key"), F.col("h").alias("o_h"), F.col("label").alias("o_label"), F.col("parity").alias("o_parity"))
     sought = more.select(F.col("finer").alias("s_key"), "h", "label", "parity")
     close = F.bit_count(F.col("parity").bitwiseXOR(F.col("o_parity"))) <= 3 * edits
     apart = (sought.join(held, (F.col("s_key") == F.col("o_key")) & (F.col("label") != F.col("o_label")) & close)
                    .select(F.least("h", "o_h").alias("a"), F.greatest("h", "o_h").alias("b")).distinct())
-    return links.unionByName(_verified(apart, texts, edits))
+    return materialise(links.unionByName(_verified(apart, texts, edits)), "line-tier", last_use_of=(links, more, texts))
 
 
 def removals(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, tiers=None) -> DataFrame:
     """``(r_id, r_th, removed)``: per text the numbers (from 0) of the lines to remove, ascending."""
-    places = line_places(docs)
-    linked = materialise(line_links(docs, places, tiers or ((edits, min_chars, None),)), "line-components")
-    places = places.join(_few(linked, BROADCAST_ROWS), F.col("h") == F.col("c_h"), "left")
+    written = line_places(docs)
+    linked = materialise(line_links(docs, written, tiers or ((edits, min_chars, None),)), "line-components")
+    places = written.join(_few(linked, BROADCAST_ROWS), F.col("h") == F.col("c_h"), "left")
     places = places.select("doc_id", "th", "no", F.coalesce(F.xxhash64("root"), "h").alias("h"), F.when(F.col("root").isNull(), F.col("g")).otherwise(0).alias("g"))
     firsts = (places.groupBy("h", "g").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
                     .select(F.col("h").alias("f_h"), F.col("g").alias("f_g"), "first"))
     later = (places.join(firsts, (F.col("h") == F.col("f_h")) & (F.col("g") == F.col("f_g")))
                    .where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("no") == F.col("first.no")))))
-    return (later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("no")).alias("removed"))
-                 .select(F.col("doc_id").alias("__r_id"), F.col("th").alias("__r_th"), F.col("removed").alias("__removed")))
+    gone = later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("no")).alias("removed"))
+    return materialise(gone.select(F.col("doc_id").alias("__r_id"), F.col("th").alias("__r_th"), F.col("removed").alias("__removed")),
+                       "line-removals", last_use_of=(written, linked))
 
 
 def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, tiers=None) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``, and ``__n_lines``, ``__n_removed``;
     ``tiers`` stand in the place of ``edits`` and ``min_chars`` where given."""
-    gone = materialise(removals(docs, edits, min_chars, tiers), "line-removals")
+    gone = removals(docs, edits, min_chars, tiers)
     text = F.col("text").cast("string")
     rows = docs.join(_few(gone, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("__r_id")) & (F.xxhash64(text) == F.col("__r_th")), "left")
     rest = let(F.split(text, "\n", -1), lambda x: F.array_join(F.transform(
