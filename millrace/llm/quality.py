@@ -150,5 +150,6 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The documents that all rules keep, with the columns of ``docs``."""
     names = docs.columns
-    scored = materialise(features(docs, keep=tuple(names)), "quality-documents")
-    return judge(scored, thresholds(scored.select("doc_id", "__q"), labels, alpha, delta)).where("__kept").select(*names)
+    # Scores are computed again for the verdict: cheaper than a copy of all texts in the shared folder.
+    cutoffs = thresholds(features(docs), labels, alpha, delta)
+    return judge(features(docs, keep=tuple(names)), cutoffs).where("__kept").select(*names)
