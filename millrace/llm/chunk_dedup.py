@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, text_slices
+from millrace.llm.common import materialise, release, text_slices
 from millrace.llm.shingle_sets import text_bytes
 
 GEAR = np.random.default_rng(31_337).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -314,15 +314,15 @@ def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 def _longest_context(docs: DataFrame, places: DataFrame, ends: DataFrame) -> DataFrame:
     """``ends`` (doc_id, at, d1, d2, after, ..) with ``bytes`` around each and ``same``, the bytes of context
-    that the longest of all earlier places of the block shares."""
+    that the longest of all earlier places of the block shares. ``places`` is a written table, used up."""
     block = ["d1", "d2", "after"]
     sides = ends.select(F.col("d1").alias("s1"), F.col("d2").alias("s2"), "after").distinct()
     asked = places.join(sides, (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2")))
-    asked = materialise(asked.select("d1", "d2", "after", "doc_id", "at").distinct(), "passage-asked")
+    asked = materialise(asked.select("d1", "d2", "after", "doc_id", "at").distinct(), "passage-asked", last_use_of=(places,))
     around = _contexts(docs, asked).dropDuplicates(["doc_id", "at", "after"])     # rows of one document more than once
     around = around.select(F.col("doc_id").alias("c_id"), F.col("at").alias("c_at"), F.col("after").alias("c_after"), "bytes")
     here = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("at") == F.col("c_at")) & (F.col("after") == F.col("c_after"))
-    held = materialise(asked.join(around, here).select(*block, "doc_id", "at", "bytes"), "passage-contexts")
+    held = materialise(asked.join(around, here).select(*block, "doc_id", "at", "bytes"), "passage-contexts", last_use_of=(asked,))
     beyond = F.when(F.col("after"), F.substring("bytes", 5, BLOCK)).otherwise(F.substring("bytes", F.lit(1), F.length("bytes") - 4))
     place = F.struct("doc_id", "at")
     index = materialise(held.groupBy(*block, beyond.alias("context")).agg(F.min(place).alias("place")), "passage-index")
@@ -338,18 +338,19 @@ def _longest_context(docs: DataFrame, places: DataFrame, ends: DataFrame) -> Dat
     open_ = held.join(named(ends, ["doc_id", "at", "after"]), mine, "left_semi").select(*key, beyond.alias("context"))
     open_ = materialise(open_.withColumn("same", F.lit(0)).withColumn("most", F.length("context")), "passage-ends")
     for _ in range(BLOCK.bit_length()):
-        open_ = open_.withColumn("try", F.ceil((F.col("same") + F.col("most")) / 2).cast("int"))
-        lengths = open_.where("most > same").select(*block, "try").distinct()
+        trial = open_.withColumn("try", F.ceil((F.col("same") + F.col("most")) / 2).cast("int"))
+        lengths = trial.where("most > same").select(*block, "try").distinct()
         tried = index.join(lengths, block).where(F.length("context") >= F.col("try"))
         first = tried.groupBy(*block, "try", cut(F.col("try")).alias("part")).agg(F.min("place").alias("earliest"))
         first = first.select(*[F.col(c).alias(f"f_{c}") for c in (*block, "try", "part")], "earliest")
         match = F.col("most") > F.col("same")
         for c in (*block, "try"):
             match = match & (F.col(c) == F.col(f"f_{c}"))
-        found = open_.join(first, match & (cut(F.col("try")) == F.col("f_part")), "left")
+        found = trial.join(first, match & (cut(F.col("try")) == F.col("f_part")), "left")
         going, longer = F.col("most") > F.col("same"), F.coalesce(F.col("earliest") < place, F.lit(False))
         open_ = materialise(found.select(*key, "context", F.when(going & longer, F.col("try")).otherwise(F.col("same")).alias("same"),
-                                         F.when(going & ~longer, F.col("try") - 1).otherwise(F.col("most")).alias("most")), "passage-ends")
+                                         F.when(going & ~longer, F.col("try") - 1).otherwise(F.col("most")).alias("most")), "passage-ends", last_use_of=(open_,))
+    release(index)
     done = open_.join(named(held, ["doc_id", "at", "after", "bytes"]), mine).select(*[F.col(c).alias(f"d_{c}") for c in ("doc_id", "at", "after")], "same", F.col("m_bytes").alias("bytes"))
     return ends.join(done, F.col("doc_id").eqNullSafe(F.col("d_doc_id")) & (F.col("at") == F.col("d_at")) & (F.col("after") == F.col("d_after")))
 
@@ -390,8 +391,9 @@ def whole_passages(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     if min_bytes < 2 * BLOCK - 1:
         raise ValueError(f"min_bytes below {2 * BLOCK - 1}: shorter passages need not hold an anchor")
     places = blocks(docs)
-    times = places.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("d1").alias("t1"), F.col("d2").alias("t2"))
-    places = materialise(places.join(times, (F.col("d1") == F.col("t1")) & (F.col("d2") == F.col("t2"))).select("d1", "d2", "doc_id", "at"), "passage-places")
+    # Half a digest is enough here: what stands once under the whole one is its own first place below.
+    times = places.groupBy(F.col("d1").alias("t1")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("t1")
+    places = materialise(places.join(times, F.col("d1") == F.col("t1")).select("d1", "d2", "doc_id", "at"), "passage-places")
     firsts = places.groupBy(F.col("d1").alias("t1"), F.col("d2").alias("t2")).agg(F.min(F.struct("doc_id", "at")).alias("f"))
     repeats = (places.join(firsts, (F.col("d1") == F.col("t1")) & (F.col("d2") == F.col("t2")))
                      .where(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("at") == F.col("f.at"))))
