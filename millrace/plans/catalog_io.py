@@ -64,7 +64,7 @@ def q_d12(spark, sf):
           f"{ct._split_case('doc_id')} AS split FROM documents) q WHERE text_x IS NOT NULL")
 def q_st1(spark, sf):
     schema = table(spark, sf, "documents").schema
-    stream = st.read_landing(spark, sf, schema, glob="documents.parquet")
+    stream = st.read_table_landing(spark, sf, "documents", schema)
     out, ckpt = cs.scratch_path(spark, "st1-out"), cs.scratch_path(spark, "st1-ckpt")
     st.ingest_stream(stream, out, ckpt, SPLIT, key_col="doc_id").awaitTermination()
     return spark.read.parquet(out).select("doc_id", "text_x", "split")
@@ -75,7 +75,7 @@ def q_st1(spark, sf):
     "bool_or(train_loss IS NOT NULL AND (isnan(train_loss) OR isinf(train_loss))) AS had_nan FROM st GROUP BY run_id"))
 def q_st2(spark, sf):
     schema = table(spark, sf, "events").schema
-    steps = rb.steps(st.read_landing(spark, sf, schema, glob="events.parquet"))
+    steps = rb.steps(st.read_table_landing(spark, sf, "events", schema))
     out, ckpt = cs.scratch_path(spark, "st2-out"), cs.scratch_path(spark, "st2-ckpt")
     st.monitor_stream(steps, out, ckpt, expire="7 days").awaitTermination()
     return st.latest_monitor(spark, out)

@@ -36,6 +36,12 @@ def read_landing(spark: SparkSession, path: str, schema: StructType, fmt: str =
     return r.load(path)
 
 
+def read_table_landing(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
+    """The files of the Parquet table ``name`` in ``folder`` as a stream, be the table one file or a folder of
+    them. (As a pattern, the path may name either; a plain path of a stream has to be a folder.)"""
+    return read_landing(spark, f"{folder.rstrip('/')}/{name}.parque[t]", schema)
+
+
 def ingest_stream(stream: DataFrame, out_path: str, checkpoint: str, cfg: SplitConfig = SplitConfig(),
                   text_fields=("text",), key_col: str | None = None):
     """ST1: starts the query (``availableNow``: drain what has landed, stop)."""

@@ -159,3 +159,13 @@ def test_too_many_metric_names_fail_early(spark):
     with pytest.raises(ValueError, match="more than 2000 metric names"):
         rl.pivot_metrics(_diagnostics(spark, log))
     assert len(rl.pivot_metrics(_diagnostics(spark, log), ["m1", "m9999"]).columns) == 8
+
+
+def test_streams_over_tables_of_one_file_and_of_a_folder(spark, tmp_path):
+    from millrace.plans.catalog import QUERIES
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "web", 6) for i in range(40)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.repartition(3).write.parquet(f"{tmp_path}/many/documents.parquet")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    want = {(i, f"text {i}") for i in range(40)}
+    for folder in (tmp_path, tmp_path / "many"):
+        assert {(r["doc_id"], r["text_x"]) for r in QUERIES["st1_ingest_stream"](spark, str(folder)).collect()} == want
