@@ -190,3 +190,30 @@ def test_xxhash64_family_equals_the_public_library(spark):
             assert out[k] == (True, want)
         else:
             assert out[k] == (False, [I64_MAX] * 5)
+
+
+def test_signatures_of_odd_tokens_and_small_blocks(spark, monkeypatch):
+    from millrace.operators import minhash
+    assert minhash._blocks(np.array([0, 3, 0, 5, 2])).__next__().tolist() == [1, 3, 4]
+    monkeypatch.setattr(minhash, "_CHUNK", 4)
+    assert [b.tolist() for b in minhash._blocks(np.array([0, 3, 0, 5, 2, 2]))] == [[1], [3], [4, 5]]
+    docs = [("a", ["x", "y", "x", "y", "x", "y"]), ("b", None), ("c", []), ("d", ["", "é", "|", "z", "z"]), ("e", ["x", None, "z", "q", "r"])]
+    df = spark.createDataFrame(docs, "id string, tokens array<string>")
+    cfg = MinHashConfig(shingle_n=3, num_perm=8)
+    native = {r.id: (r.sig_ok, r.sig) for r in apply_minhash(df, "tokens", cfg, impl="native").collect()}
+    assert {r.id: (r.sig_ok, r.sig) for r in apply_minhash(df, "tokens", cfg).collect()} == native
+    for family in ("universal31", "xxhash64"):      # no hash is taken in an interpreted lambda
+        plan = apply_minhash(df, "tokens", MinHashConfig(hash_family=family))._jdf.queryExecution().toString()
+        assert "lambdafunction" not in plan and "ArrowEvalPython" in plan
+
+
+def test_summary_makes_the_pairs_once(spark, tmp_path, monkeypatch):
+    from millrace.plans import dedup
+    from millrace.plans.catalog import QUERIES
+    text = " ".join(f"w{i}" for i in range(30))
+    spark.createDataFrame([(1, text, "en", "s"), (2, text, "en", "s"), (3, "other words", "en", "s")],
+                          "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    made, real = [], dedup.pairs
+    monkeypatch.setattr(dedup, "pairs", lambda *a, **k: made.append(1) or real(*a, **k))
+    got = {r.metric: r.value for r in QUERIES["d10_dedup_summary"](spark, str(tmp_path)).collect()}
+    assert got == {"rows": 3, "kept_rows": 2, "pairs": 1, "clustered_ids": 2, "clusters": 1} and len(made) == 1
