@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from millrace.plans import dedup as dd
 from millrace.plans import oracle_dedup as od
 from millrace.config import MinHashConfig, SnapshotConfig
+from millrace.operators.components import cluster_map
 from millrace.operators.snapshot import cluster_size_histogram, dedup_summary, snapshot
+from millrace.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,8 +124,8 @@ def q_d10(spark, sf):
     "UNION ALL SELECT 'clusters', CAST(count(DISTINCT cluster_id) AS BIGINT) FROM cmap"))
 def q_d10s(spark, sf):
     docs = table(spark, sf, "documents")
-    p = dd.pairs(docs)
-    cm = dd.clusters(docs)
+    p = cut_lineage(dd.pairs(docs))
+    cm = cut_lineage(cluster_map(p))
     return dedup_summary(dd.attach_clusters(dd.document_rows(docs), cm), p, cm)
 
 
