@@ -14,6 +14,7 @@ What the driver holds is one row per range partition, as in E0.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.functions.hashing import md5_prefix_int
 from millrace.operators.position import global_positions
 from millrace.operators.shards import _join_on
 from millrace.session import cut_lineage
@@ -253,23 +253,47 @@ ROUNDS, WALK, RUN = 6, 24, 65_536
 def permuted(x: Column, n: Column, seed: int) -> Column:
     """A keyed bijection of 0..n-1: a Feistel network over (left, right) with ``left < a``, ``right < b``,
     ``a = ceil(sqrt(n))``, ``b = ceil(n / a)``, each round adding a hash of one half to the other. Values of
-    the fewer than ``a`` places beyond ``n`` go through it again until they are below."""
-    a = F.ceil(F.sqrt(n.cast("double"))).cast("bigint")
-    b = F.floor((n + a - 1) / a).cast("bigint")
-
-    def mixed(j: Column, half: Column) -> Column:
-        return md5_prefix_int(F.concat_ws(":", F.lit(str(seed)), j.cast("string"), half.cast("string")), 12)
-
-    def one(v: Column, j: Column) -> Column:
-        left, right = F.floor(v / b).cast("bigint"), F.pmod(v, b)
-        return F.when(F.pmod(j, F.lit(2)) == 0, F.pmod(left + mixed(j, right), a) * b + right).otherwise(
-            left * b + F.pmod(right + mixed(j, left), b))
-
-    def network(v: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), v, one)
+    the fewer than ``a`` places beyond ``n`` go through it again until they are below.
+
+    There are about ``sqrt(n)`` halves, so a worker hashes each once a round and looks it up after that."""
+    tables: dict[int, np.ndarray] = {}
+
+    def mixed(j: int, half: np.ndarray) -> np.ndarray:
+        known = tables.get(j, np.zeros(0, np.int64))
+        if len(known) <= half.max():
+            known = np.r_[known, np.full(int(half.max()) + 1 - len(known), -1, np.int64)]
+        new = np.unique(half[known[half] < 0])
+        known[new] = [int(hashlib.md5(f"{seed}:{j}:{h}".encode()).hexdigest()[:12], 16) for h in new.tolist()]
+        tables[j] = known
+        return known[half]
+
+    def network(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        for j in range(ROUNDS):
+            left, right = v // b, v % b
+            v = (left + mixed(j, right)) % a * b + right if j % 2 == 0 else left * b + (right + mixed(j, left)) % b
+        return v
+
+    @F.arrow_udf("bigint")
+    def place(xs: pa.Array, ns: pa.Array) -> pa.Array:
+        if not len(xs):
+            return pa.array([], pa.int64())
+        if xs.null_count or ns.null_count:
+            raise ValueError("a permutation needs a place and a size")
+        v, size = xs.to_numpy(), ns.to_numpy()
+        a = np.ceil(np.sqrt(size.astype(np.float64))).astype(np.int64)
+        b = (size + a - 1) // a
+        v = network(v, a, b)
+        for _ in range(WALK):
+            far = np.flatnonzero(v >= size)
+            if not len(far):
+                break
+            v[far] = network(v[far], a[far], b[far])
+        if (v >= size).any():
+            raise ValueError("the walk did not come back into range")
+        return pa.array(v, pa.int64())
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), network(x), lambda v, _: F.when(v < n, v).otherwise(network(v)))
-    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("the walk did not come back into range")).cast("bigint"))
+    # Not copied into filters; a pure function of its input all the same.
+    return place.asNondeterministic()(x.cast("bigint"), n.cast("bigint"))
 
 
 def epoch_sampler(counts: DataFrame, world_size: int, seed: int, epoch: int, drop_last: bool = True,

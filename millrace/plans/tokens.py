@@ -8,11 +8,15 @@ every step is checkable in SQL; the BPE plan swaps in learned ids.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.config import SplitConfig
-from millrace.functions.hashing import md5_prefix_int
 from millrace.functions.text import words
 from millrace.operators.split import split_texts
 from millrace.session import spread
@@ -22,8 +26,17 @@ EOS_TOKEN = "<eos>"
 HASH_VOCAB = 4 + 16 ** 3
 
 
+def _hashed(found: pa.Array) -> pa.Array:
+    """Ids of word lists; a word is hashed once a batch, however often it occurs."""
+    n = pc.list_value_length(found)
+    coded = found.flatten().dictionary_encode()
+    ids = np.array([int(hashlib.md5(w.encode()).hexdigest()[:3], 16) + 4 for w in coded.dictionary.to_pylist()], np.int32)
+    ends = np.r_[0, np.cumsum(n.fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[coded.indices.to_numpy(zero_copy_only=False)]), mask=n.is_null())
+
+
 def word_ids(text: str = "text_x"):
-    return F.transform(words(text), lambda w: (md5_prefix_int(w, 3) + 4).cast("int"))
+    return F.arrow_udf(_hashed, "array<int>").asNondeterministic()(words(text))      # only so that no filter copies the call
 
 
 def encode_words(text: str = "text_x", append_eos: bool = True, max_len: int | None = None):

@@ -102,3 +102,36 @@ def test_epochs_ranks_and_tails(spark, monkeypatch):
     assert {r.split: r.n for r in window_counts(lengths, "t", 8, 4).collect()} == {"a": 5, "b": 1}
     with pytest.raises(ValueError, match="too few tokens"):
         window_counts(lengths, "t", 9, 4)
+
+
+def test_the_permutation_equals_its_definition_without_lambdas(spark):
+    import hashlib
+    import math
+
+    from millrace.operators.packing import ROUNDS
+
+    def place(x, n, seed):
+        a = math.ceil(math.sqrt(n))
+        b = (n + a - 1) // a
+        while True:
+            for j in range(ROUNDS):
+                left, right = divmod(x, b)
+                mixed = int(hashlib.md5(f"{seed}:{j}:{right if j % 2 == 0 else left}".encode()).hexdigest()[:12], 16)
+                x = (left + mixed) % a * b + right if j % 2 == 0 else left * b + (right + mixed) % b
+            if x < n:
+                return x
+
+    df = spark.range(57).withColumn("n", F.lit(57)).withColumn("y", permuted(F.col("id"), F.col("n"), 3))
+    assert [r.y for r in df.orderBy("id").collect()] == [place(x, 57, 3) for x in range(57)]
+    assert "lambdafunction" not in df._jdf.queryExecution().toString()
+
+
+def test_word_ids_are_hashed_once_a_batch(spark):
+    import hashlib
+
+    from millrace.plans.tokens import word_ids
+    df = spark.createDataFrame([("A b a",), (None,), (" ",), ("é b",)], "text_x string").coalesce(1)
+    ids = df.select("text_x", word_ids().alias("ids"))
+    want = {t: None if t is None else [int(hashlib.md5(w.encode()).hexdigest()[:3], 16) + 4 for w in t.lower().split()] for t, in df.collect()}
+    assert {r.text_x: r.ids for r in ids.collect()} == want
+    assert "lambdafunction" not in ids._jdf.queryExecution().toString()
