@@ -16,6 +16,7 @@ from millrace.operators.position import global_positions
 from millrace.operators.split import split_sources, with_split, with_text
 from millrace.plans import tokens as tk
 from millrace.plans.catalog import register, table
+from millrace.session import cut_lineage
 from millrace.sources.corpus import scratch_path
 
 SPLIT = SplitConfig(val_fraction=0.05, seed=42)
@@ -76,15 +77,28 @@ def q_b2(spark, sf):
              .select("sample_size", "doc_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-FILE_ROWS, BUFFER = 50, 100
+FILE_ROWS, BUFFER, BLOCK_FILES = 50, 100, 400
 
 
 def _in_files(spark, sf, rows: int | None = FILE_ROWS):
-    """The documents in several files: a folder per language, in it files of ``rows`` rows by doc_id."""
+    """The documents in several files: a folder per language, in it files by doc_id, of ``rows`` rows or as
+    tasks write them. No task holds a whole language: range partitions of the order follow one another, and
+    so do their files' names. For files of ``rows`` rows, a task writes a block of whole files."""
     path = scratch_path(spark, "corpus-files")
-    d = table(spark, sf, "documents").select("doc_id", "text", "lang").repartition("lang").sortWithinPartitions("lang", "doc_id")
-    w = d.write.partitionBy("lang")
-    (w.option("maxRecordsPerFile", rows) if rows else w).parquet(path)
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    if rows is None:
+        d = d.repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id")
+        d.write.partitionBy("lang").parquet(path)
+        return fo.read_placed(spark, path)
+    d = d.select("*", F.col("_metadata.file_path").alias("__at"), F.col("_metadata.row_index").alias("__no"))
+    keys = global_positions(d.select("doc_id", "lang", "__at", "__no"), ["doc_id", "__at", "__no"], group_cols=["lang"])
+    keys = cut_lineage(keys.select("__at", "__no", "pos", F.col("lang").alias("__lang"), F.floor(F.col("pos") / (rows * BLOCK_FILES)).alias("__block")))
+    blocks = global_positions(keys.select("__lang", "__block").distinct(), ["__lang", "__block"], pos_col="__task").drop("cum_before")
+    blocks = cut_lineage(blocks)                        # a row per BLOCK_FILES files
+    keys = sh._join_on(keys, blocks, ["__lang", "__block"]).select("__at", "__no", "pos", "__task")
+    placed = d.join(keys, ["__at", "__no"]).select("doc_id", "text", "lang", "pos", "__task")
+    placed = placed.repartitionById(max(1, blocks.count()), F.col("__task").cast("int")).sortWithinPartitions("lang", "pos")
+    placed.select("doc_id", "text", "lang").write.option("maxRecordsPerFile", rows).partitionBy("lang").parquet(path)
     return fo.read_placed(spark, path)
 
 
@@ -107,7 +121,8 @@ def _folder(file):
 @register("b9_file_shuffle",
           f"SELECT doc_id, row_number() OVER (ORDER BY md5('{42 + fo.ROLE_OFFSET['train']}:lang=' || lang), doc_id) - 1 AS pos FROM documents")
 def q_b9f(spark, sf):
-    """A file per language (its name is its folder: the writer's own names differ in each run)."""
+    """Languages in hashed order, by the names of their folders: the writer's own names differ in each run.
+    A folder's files follow one another."""
     order = fo.by_hash(fo.role_seed(42, "train"))
     placed = fo.file_positions(_in_files(spark, sf, None), lambda file: order(_folder(file)))
     return placed.select("doc_id", "pos")

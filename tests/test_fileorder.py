@@ -88,3 +88,32 @@ def test_buffer_shuffle_is_bounded(spark, buffer):
         for p in order:                 # nothing stands ``buffer`` or more places before what is behind it
             assert p > reached - buffer
             reached = max(reached, p)
+
+
+def test_no_task_writes_a_whole_language(spark, tmp_path, monkeypatch):
+    from millrace.plans import catalog_tokens as ct
+    rows = [(i * 7 % 2000, f"t{i}", None if i % 50 == 0 else "en") for i in range(2000)] + [(9, "again", "en"), (9, "again", "en")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(ct, "BLOCK_FILES", 4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for size in (None, 50):
+            placed = ct._in_files(spark, str(tmp_path), size)
+            files = sorted({r["file"] for r in placed.where("lang = 'en'").select("file").distinct().collect()})
+            tasks = {f.split("/")[-1].split("-")[1] for f in files}
+            assert len(tasks) > 2
+            got = [(r["lang"], r["doc_id"], r["row"]) for r in fo_sorted(placed)]
+            want = sorted(((lang, i) for i, _, lang in rows), key=lambda x: (x[0] is None, x))
+            assert sorted((x[:2] for x in got), key=repr) == sorted(want, key=repr)
+            for lang in ("en", None):
+                mine = [x for x in got if x[0] == lang]
+                assert [x[1] for x in mine] == sorted(x[1] for x in mine)
+                if size:
+                    assert [x[2] for x in mine] == [k % size for k in range(len(mine))]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def fo_sorted(placed):
+    from millrace.operators.fileorder import file_positions
+    return file_positions(placed).orderBy("pos").collect()
