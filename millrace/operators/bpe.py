@@ -93,6 +93,7 @@ def train_bpe(counts: DataFrame, cfg: BPEConfig = BPEConfig()) -> BPEModel:
     merges by pair frequency until the vocabulary is full or the best pair is
     below ``min_frequency``. Zero training pieces is an error."""
     spark = counts.sparkSession
+    counts = cut_lineage(counts)           # read three times below; what it is made from is the corpus
     if counts.limit(1).count() == 0:
         raise ValueError("tokenizer training saw zero text samples")
     chars = sorted(r[0] for r in counts.select(F.explode(F.split("piece", "")).alias("c"))

@@ -148,3 +148,18 @@ def test_pair_table_by_differences_equals_a_recount(spark):
     assert sorted((r.s, r.cnt, r.was) for r in after.collect() if r.was) == [([3, 4], 1, [3, 1, 2]), ([4, 4, 3], 5, [1, 2, 1, 2, 3]), ([5, 2], 3, [2, 2, 2])]
     table = bpe._pair_counts(words).unionByName(bpe._differences(after)).groupBy("p").agg(F.sum("c").alias("c")).where("c != 0")
     assert one(table) == one(bpe._pair_counts(after.select("s", "cnt"))) == {(4, 4): 5, (4, 3): 5, (3, 4): 1, (5, 2): 3}
+
+
+def test_training_reads_its_counts_once(spark):
+    from millrace.config import BPEConfig
+    from millrace.operators.bpe import train_bpe
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    counts = spark.createDataFrame([("abab", 5), ("abc", 3), ("bc", 4)], "piece string, cnt bigint").mapInArrow(run, "piece string, cnt bigint")
+    assert train_bpe(counts, BPEConfig(vocab_size=12)).merges.count() > 0
+    assert seen.value == 3
