@@ -88,3 +88,10 @@ def test_damage_is_found(spark, tmp_path):
                 pytest.skip("the byte is past what decoding reads")
     with pytest.raises(ValueError):
         list(read_file(data[:-9]))
+
+
+def test_units_are_cut_at_single_spaces_only():
+    from millrace.llm.id_files import units
+    for text in ("", " ", "a b", " a  b ", "a\u00a0 b c", "it's 12 ok.\n x", "\u3000 a b\t c"):
+        assert "".join(units(text)) == text
+    assert units("ab cd  ef g") == ["ab", " cd  ef", " g"]
