@@ -86,17 +86,11 @@ def cluster_size_histogram(rows_with_clusters: DataFrame) -> DataFrame:
 
 
 def dedup_summary(rows_with_clusters: DataFrame, pairs: DataFrame, cmap: DataFrame) -> DataFrame:
-    """``(metric, value)`` rows; every figure is an aggregate."""
-    def one(df, name, expr):
-        return df.agg(expr.cast("bigint").alias("value")).select(F.lit(name).alias("metric"), "value")
-    parts = [
-        one(rows_with_clusters, "rows", F.count(F.lit(1))),
-        one(rows_with_clusters, "kept_rows", F.count_distinct("cluster_id")),
-        one(pairs, "pairs", F.count(F.lit(1))),
-        one(cmap, "clustered_ids", F.count(F.lit(1))),
-        one(cmap, "clusters", F.count_distinct("cluster_id")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """``(metric, value)`` rows; every figure is an aggregate, and each table is read once."""
+    def figures(df, **exprs):
+        row = df.agg(*[e.cast("bigint").alias(n) for n, e in exprs.items()])
+        return row.select(F.stack(F.lit(len(exprs)), *[x for n in exprs for x in (F.lit(n), F.col(n))]).alias("metric", "value"))
+
+    return (figures(rows_with_clusters, rows=F.count(F.lit(1)), kept_rows=F.count_distinct("cluster_id"))
+            .unionByName(figures(pairs, pairs=F.count(F.lit(1))))
+            .unionByName(figures(cmap, clustered_ids=F.count(F.lit(1)), clusters=F.count_distinct("cluster_id"))))
