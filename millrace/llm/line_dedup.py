@@ -16,8 +16,9 @@ edits allow: one bit per number of edits and diagonal, all in one long, a charac
 A segment that many lines hold does not give their pairs: first each line found under it meets
 the segment's least line only. Where a segment has more lines, those that are not connected by
 then meet under finer keys: what stands before and after the segment is split again by the edits
-that can still fall there, and one more segment of either side must be shared. Equal lines are
-grouped before anything is joined.
+that can still fall there, and one more segment of either side must be shared. Of what meets, only
+lines whose pairs of neighbouring characters differ by as much as the edits can change go on to the
+distance. Equal lines are grouped before anything is joined.
 
 Rows: one per input row. Null text stays null and has no lines. Rows of one doc_id with equal
 texts are one document (their lines go or stay alike), with different texts two documents whose
@@ -88,10 +89,9 @@ def within(a: Column, b: Column, edits: int) -> Column:
         # Any row of the diagonal on which both texts end.
         return state.bitwiseAND(F.call_function("shiftleft", long(rows), end)) != 0
 
-    chars = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
     return (F.when(F.abs(F.char_length(a) - F.char_length(b)) > edits, F.lit(False)).when(a == b, F.lit(True))
              .when((F.char_length(a) == 0) | (F.char_length(b) == 0), F.lit(True))
-             .otherwise(let(F.struct(chars(a).alias("x"), chars(b).alias("y")), run)))
+             .otherwise(let(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")), run)))
 
 
 def _segment(n: Column, i, edits) -> tuple[Column, Column]:
@@ -118,15 +118,17 @@ def entries(line: Column, n: Column, edits: int) -> Column:
     return F.array(*[F.xxhash64(n, F.lit(i), F.substring(line, *_segment(n, i, edits))) for i in range(1, edits + 2)])
 
 
-def probes(line: Column, n: Column, edits: int, min_chars: int) -> Column:
-    """array<struct<key, code>>: the index entries that a line looks up, null where the lines looked
-    for would be too short."""
-    out = []
-    for code, (down, i, shift) in enumerate(_codes(edits)):
-        start, size = _segment(n - down, i, edits)
-        entry = F.struct(F.xxhash64(n - down, F.lit(i), F.substring(line, start + shift, size)).alias("key"), F.lit(code).alias("code"))
-        out.append(entry if down == 0 else F.when(n - down >= min_chars, entry))
-    return F.array(*out)
+def probes(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """``(h, key, code)``: the index entries that the lines ``(line, n, h)`` look up, one a row, those
+    left out where the lines looked for would be too short. The codes are a literal table and the key
+    is one expression: one for every code makes methods that the JVM does not compile."""
+    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in (("down", down), ("i", i), ("shift", shift), ("code", code))])
+                      for code, (down, i, shift) in enumerate(_codes(edits))])
+    down, i, shift = (F.col(f"p.{k}") for k in ("down", "i", "shift"))
+    n = F.col("n") - down
+    start, size = _segment(n, i, F.lit(edits))
+    rows = lines.select("h", "line", "n", F.explode(table).alias("p")).where((down == 0) | (n >= min_chars))
+    return rows.select("h", F.xxhash64(n, i, F.substring("line", start + shift, size)).alias("key"), F.col("p.code").alias("code"))
 
 
 def _finer_places(edits: int) -> Column:
@@ -158,12 +160,21 @@ def _finer(found: DataFrame, edits: int) -> DataFrame:
     return rows.withColumn("finer", key).withColumn("entry", (down == 0) & (shift == 0) & (oa == 0) & (ob == 0)).drop("f", "f_at", "f_len")
 
 
-def _word_parity(line: Column) -> Column:
-    """64 bits, each the parity of the words (between single spaces) that hash to it. An edit replaces
-    at most two words by one or one by two, so it turns over three bits at most."""
+def _pair_parity(line: Column) -> Column:
+    """Two times 64 bits (``low`` and ``high``, by two hashes), each the parity of the pairs of neighbouring
+    characters that hash to it. An edit takes away two pairs at most and brings in two, so it turns over
+    four bits of either at most."""
     one = F.lit(1).cast("bigint")
-    return F.aggregate(F.split(line, " ", -1), F.lit(0).cast("bigint"),
-                       lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
+    bits = lambda x, hash_of: F.aggregate(F.sequence(F.lit(1), F.size(x) - 1), F.lit(0).cast("bigint"), lambda s, j: s.bitwiseXOR(
+        F.call_function("shiftleft", one, F.pmod(hash_of(F.get(x, j - 1), F.get(x, j)), F.lit(64)).cast("int"))))
+    none = F.struct(F.lit(0).cast("bigint").alias("low"), F.lit(0).cast("bigint").alias("high"))
+    return F.when(F.char_length(line) < 2, none).otherwise(let(F.split(line, ""), lambda x: F.struct(
+        bits(x, F.xxhash64).alias("low"), bits(x, F.hash).alias("high"))))
+
+
+def _close(parity: Column, other: Column, edits: int) -> Column:
+    low, high = (F.bit_count(parity[k].bitwiseXOR(other[k])) <= 4 * edits for k in ("low", "high"))
+    return low & high
 
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
@@ -172,9 +183,10 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """``(a, b)``: the pairs within ``edits`` edits, ids as strings."""
-    left = texts.select(F.col("t_h").alias("a"), F.col("line").alias("a_line"))
-    right = texts.select(F.col("t_h").alias("b"), F.col("line").alias("b_line"))
-    near = pairs.join(left, "a").join(right, "b").where(within(F.col("a_line"), F.col("b_line"), edits))
+    left = texts.select(F.col("t_h").alias("a"), F.col("line").alias("a_line"), F.col("parity").alias("a_parity"))
+    right = texts.select(F.col("t_h").alias("b"), F.col("line").alias("b_line"), F.col("parity").alias("b_parity"))
+    near = F.when(_close(F.col("a_parity"), F.col("b_parity"), edits), within(F.col("a_line"), F.col("b_line"), edits))
+    near = pairs.join(left, "a").join(right, "b").where(near)
     return near.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
 
 
@@ -185,14 +197,16 @@ def line_places(docs: DataFrame) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, places: DataFrame, needed: DataFrame) -> DataFrame:
-    """``(t_h, line)``: the text of each ``needed`` line (a written table, used up), from one document that has it."""
+    """``(t_h, line, parity)``: the text of each ``needed`` line (a written table, used up), from one document
+    that has it, with its ``_pair_parity``."""
     spots = places.join(_few(needed, BROADCAST_ROWS), F.col("h") == F.col("n_h")).groupBy("h").agg(F.min(F.struct("doc_id", "th", "no")).alias("s"))
     spots = materialise(spots.select(F.col("h").alias("t_h"), F.col("s.doc_id").alias("s_id"), F.col("s.th").alias("s_th"), F.col("s.no").alias("s_no")), "line-spots")
     holders = spots.select(F.col("s_id").alias("d_id"), F.col("s_th").alias("d_th")).distinct()
     text = F.col("text").cast("string")
     held = docs.select("doc_id", "text").join(_few(holders, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.xxhash64(text) == F.col("d_th")), "left_semi")
     found = _lines(held).join(_few(spots, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")) & (F.col("no") == F.col("s_no")))
-    return materialise(found.select("t_h", "line").distinct(), "line-texts", last_use_of=(spots, needed))
+    found = found.select("t_h", "line").distinct().withColumn("parity", _pair_parity(F.col("line")))
+    return materialise(found, "line-texts", last_use_of=(spots, needed))
 
 
 def line_links(docs: DataFrame, places: DataFrame, tiers=((MAX_EDITS, MIN_CHARS, None),)) -> DataFrame:
@@ -213,8 +227,7 @@ def _tier_links(docs: DataFrame, places: DataFrame, edits: int, min_chars: int,
     lines = lines.where("times > 0").select("line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h"))
     index = lines.select("h", F.explode(entries(F.col("line"), F.col("n"), edits)).alias("i_key"))
     index = index.groupBy("i_key").agg(F.min("h").alias("least"), F.max("h").alias("most"))
-    rows = lines.select("h", F.explode(probes(F.col("line"), F.col("n"), edits, min_chars)).alias("p")).where("p IS NOT NULL")
-    rows = rows.select("h", F.col("p.key").alias("key"), F.col("p.code").alias("code"))
+    rows = probes(lines, edits, min_chars)
     # A row per key: the index is the side that a hash join holds, and the probes need no sort.
     hits = rows.join(index.hint("shuffle_hash"), F.col("key") == F.col("i_key")).where((F.col("h") != F.col("least")) | (F.col("least") != F.col("most")))
     hits = materialise(hits.select("key", "h", "code", "least", (F.col("least") != F.col("most")).alias("more")), "line-hits")
@@ -227,14 +240,16 @@ def _tier_links(docs: DataFrame, places: DataFrame, edits: int, min_chars: int,
     more = hits.where("more")
     label = component_roots(links, a="a", b="b").select(F.col("id").cast("bigint").alias("l_h"), F.col("root").cast("bigint").alias("label"))
     more = more.join(label, F.col("h") == F.col("l_h"), "left").withColumn("label", F.coalesce("label", "h"))
-    more = more.join(texts, F.col("h") == F.col("t_h")).withColumns({"n": F.char_length("line"), "parity": _word_parity(F.col("line"))})
-    more = materialise(_finer(more, edits).select("finer", "entry", "h", "least", "label", "parity"), "line-finer", last_use_of=(hits,))
-    held = more.where(F.col("entry") & (F.col("h") != F.col("least"))).select(F.col("finer").alias("o_key"), F.col("h").alias("o_h"), F.col("label").alias("o_label"), F.col("parity").alias("o_parity"))
-    sought = more.select(F.col("finer").alias("s_key"), "h", "label", "parity")
-    close = F.bit_count(F.col("parity").bitwiseXOR(F.col("o_parity"))) <= 3 * edits
-    apart = (sought.join(held, (F.col("s_key") == F.col("o_key")) & (F.col("label") != F.col("o_label")) & close)
+    more = more.join(texts, F.col("h") == F.col("t_h")).withColumn("n", F.char_length("line"))
+    finer = materialise(_finer(more, edits).select("finer", "entry", "h", "least", "label", "parity"), "line-finer", last_use_of=(hits,))
+    # The least line has met all others. Of two lines that both stand under a key, one seeks the other.
+    apart = finer.where(~F.col("entry") | (F.col("h") != F.col("least")))
+    held = apart.where("entry").select(F.col("finer").alias("o_key"), F.col("h").alias("o_h"), F.col("label").alias("o_label"), F.col("parity").alias("o_parity"))
+    sought = apart.select(F.col("finer").alias("s_key"), "entry", "h", "label", "parity")
+    apart = (sought.join(held, (F.col("s_key") == F.col("o_key")) & (F.col("label") != F.col("o_label")) & (~F.col("entry") | (F.col("h") < F.col("o_h")))
+                         & _close(F.col("parity"), F.col("o_parity"), edits))
                    .select(F.least("h", "o_h").alias("a"), F.greatest("h", "o_h").alias("b")).distinct())
-    return materialise(links.unionByName(_verified(apart, texts, edits)), "line-tier", last_use_of=(links, more, texts))
+    return materialise(links.unionByName(_verified(apart, texts, edits)), "line-tier", last_use_of=(links, finer, texts))
 
 
 def removals(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, tiers=None) -> DataFrame:

@@ -143,3 +143,32 @@ def test_edits_follow_the_length(spark):
         want[100 + i], want[1100 + i] = 0, 1
     got = {x[0]: x[3] for x in run(spark, rows, tiers=TIERS)}
     assert got == want
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_lines_within_the_edits_have_close_parities(spark, edits):
+    from millrace.llm.line_dedup import _close, _pair_parity
+    r = random.Random(edits)
+    pairs = [("", ""), ("a", ""), ("ab", "a"), ("aa", "aaa"), ("\U0001F600b", "\U0001F601b")]
+    for _ in range(200):
+        a = "".join(r.choice("abcdefgh é\U0001F600") for _ in range(r.randrange(8, 120)))
+        pairs.append((a, edit(r, a, edits)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert df.where(~_close(_pair_parity(F.col("a")), _pair_parity(F.col("b")), edits)).collect() == []
+
+
+def test_copies_far_apart_are_not_all_paired(spark, monkeypatch):
+    """Copies of one line, each with another word in its middle: no two are near, and pairs of them
+    that share all keys do not go on to the distance."""
+    from millrace.llm import line_dedup
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(16)]
+    rows = []
+    for i in range(80):
+        other = "".join(r.choice("abcdefghijklmnop") for _ in range(8))
+        rows.append((i, " ".join(words[:7] + [other] + words[8:])))
+    rows += [(100, rows[5][1][:-1] + "#"), (101, "zz" + rows[6][1])]
+    counts, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *a: counts.append(pairs.count()) or verified(pairs, *a))
+    assert run(spark, rows, edits=2, min_chars=60) == brute(rows, 2, 60)
+    assert sum(counts) < 10 * len(rows), counts
