@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -33,11 +34,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import as_text, text_slices, worker_state
+from millrace.llm.common import as_text, bounded_batches, text_slices, worker_state
 from millrace.llm.shingle_sets import text_bytes
 
-#: Entries of a generation of a worker's memos (memory bound, not a limit on results).
-MEMO, PAIRS = 200_000, 1_000_000
+#: Entries of a generation of a worker's memos (memory bound, not a limit on results): a worker stays
+#: alive between stages, so what it keeps counts against its executor's memory there too.
+UNITS, PIECES, PAIRS = 100_000, 200_000, 500_000
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Bytes that surely belong to a character other than white space: printable ASCII, and the first bytes
 #: of two-byte characters from U+00C0 on.
@@ -111,8 +113,9 @@ class Memo:
         self.limit, self.new, self.old = limit, {}, {}
 
     def get(self, key):
-        known = self.new.get(key)
-        if known is None and (known := self.old.get(key)) is not None:
+        if key in self.new:
+            return self.new[key]
+        if (known := self.old.get(key)) is not None:
             self.put(key, known)
         return known
 
@@ -172,7 +175,12 @@ class RankBPE(RankVocabulary):
         self.size = {i: len(t) for t, i in self.sound.items()}
         self.shorter_memo: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
-        self.piece_memo, self.unit_memo = Memo(MEMO), Memo(MEMO)
+        self.piece_memo, self.unit_memo = Memo(PIECES), Memo(UNITS)
+
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _merged(self, data: bytes) -> list[bytes]:
         """Merging by rank, up to but without the merge that would give the whole."""
@@ -253,20 +261,20 @@ class RankBPE(RankVocabulary):
                 last = ids[-1] if ids else -1
         return ids
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         known = self.piece_memo.get(piece)
         if known is None:
-            known = self.encode_piece(piece.encode())
+            known = self.packed(self.encode_piece(piece.encode()))
             if len(piece) <= 64:
                 self.piece_memo.put(piece, known)
         return known
 
     def _unit(self, unit: str) -> bytes:
-        known = self.unit_memo.get(unit)
-        if known is None:
-            known = np.array([i for p in self.splitter.pieces(unit) for i in self._piece(p)], "<u4").tobytes()
-            if len(unit) <= 64:
-                self.unit_memo.put(unit, known)
+        """The ids of a unit that the memo does not hold."""
+        pieces = self.splitter.pieces(unit)
+        known = self._piece(unit) if len(pieces) == 1 else b"".join([self._piece(p) for p in pieces])
+        if len(unit) <= 64:
+            self.unit_memo.put(unit, known)
         return known
 
     def encode_column(self, texts: pa.Array) -> list[bytes]:
@@ -274,7 +282,8 @@ class RankBPE(RankVocabulary):
         data, offsets = text_bytes(texts)
         starts = unit_starts(data, offsets) if len(data) else np.zeros(0, np.int64)
         coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.r_[starts, len(data)].astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-        known = [self._unit(u) for u in coded.dictionary.to_pylist()]
+        kept, make = self.unit_memo.get, self._unit
+        known = [make(u) if (ids := kept(u)) is None else ids for u in coded.dictionary.to_pylist()]
         lengths = np.array([len(x) // 4 for x in known], np.int64)
         code = coded.indices.to_numpy(zero_copy_only=False)
         each = lengths[code]
@@ -302,7 +311,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
 
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    return bounded_batches(rows).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -317,7 +326,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[id_col, "ids", "decoded"])
 
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary")
+    return bounded_batches(rows).mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary")
 
 
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -341,4 +350,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False,
                                                   *(pa.array(x, pa.string()) for x in sums)], names=names)
 
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, {'ids binary, ' if with_ids else ''}ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(rows).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, {'ids binary, ' if with_ids else ''}ids_sha256 string, decoded_sha256 string")

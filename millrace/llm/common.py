@@ -74,8 +74,17 @@ def worker_state(key, build: Callable):
     return store[key]
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, for ``mapInArrow``: batches of its session hold some ``BATCH_BYTES`` from here on, however long
+    the rows are. Spark's default lets one grow to 64 MB, which JVM and worker hold once or twice per task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
+    return df
+
+
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``max_bytes`` of ``column`` (one row at least)."""
+    """The batch in slices of about ``max_bytes`` of ``column`` (one row at least).
+
+    What Arrow's allocator holds on to afterwards goes back: the worker stays, idle, beside the next stages."""
     col = batch.column(batch.schema.get_field_index(column))
     start = held = 0
     for i, n in enumerate(pa.compute.binary_length(col).fill_null(0).to_pylist()):
@@ -85,6 +94,7 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = BATCH_BYTES
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def n_buckets(df: DataFrame) -> int:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, text_slices
+from millrace.llm.common import bounded_batches, materialise, text_slices
 from millrace.llm.shingle_sets import shingle_sets
 from millrace.operators.components import component_roots
 
@@ -52,7 +52,7 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def _texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return bounded_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
 
 
 def scan(docs: DataFrame, width: int) -> DataFrame:

@@ -85,3 +85,19 @@ def test_token_counts_rows(spark):
     want = [(a, len((b or "").encode()), n := len(lib.encode(b or "")), n > 4096) for a, b in rows]
     assert got == sorted(want, key=repr)
     assert token_counts(df.limit(0), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_texts_go_to_python_in_batches_of_bounded_bytes(spark):
+    import pyarrow as pa
+    from millrace.llm.byte_bpe import encode
+    from millrace.llm.common import BATCH_BYTES
+
+    docs = spark.range(6000).repartition(1).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 400) as text")
+    encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["rows", "bytes"])
+
+    got = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in got) == 6000 and max(r.bytes for r in got) < 4 * BATCH_BYTES
