@@ -6,13 +6,13 @@ the documents whose ids it holds, and the coded words. Documents stand in ascend
 go on from block to block; every block starts with a fresh model, so each is decoded by itself.
 
 Model: after ids a, b two tables hold the id last seen after (a, b) and after b (orders 2 and 1),
-each with a confidence. Whether the next id is the order-2 or the order-1 prediction is coded with
-adaptive probabilities that mix both confidences and whether the two agree. Otherwise the id is
-coded by its size class, whose bits mix an order-0 and an order-1 prediction (mean of the two
-adaptive probabilities), two leading bits of order 0 within the class, and the rest as they are.
+each with a confidence. One symbol a step says whether the next id is the order-2 or the order-1
+prediction, or else its class, mostly the octave of id + 1. The symbol's chances are the mean of two adaptive
+distributions: by the tables' confidences and whether they agree, and by the class of b.
+The bits below the class of an id that was not predicted follow as they are, in the same step.
 
-Coder: a binary range coder of 64 bits that puts out words of 32. All blocks of a batch are coded
-side by side, one NumPy lane each, so no Python code runs per id.
+Coder: a range coder of 64 bits that puts out words of 32, one narrowing an id. All blocks of a
+batch are coded side by side, one NumPy lane each, so no Python code runs per id.
 
 Writing: documents are range-partitioned and sorted by (doc_id, text), nulls first; a task writes
 its file under a name of its attempt and renames it when complete. Reading: files are read by
@@ -26,83 +26,96 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.byte_bpe import WHITE
-from millrace.llm.common import as_text, materialise, shared_folder, text_slices, worker_state
+from millrace.llm.byte_bpe import Memo, _gathered, unit_starts
+from millrace.llm.common import as_text, bounded_batches, materialise, shared_folder, text_slices, worker_state
+from millrace.llm.shingle_sets import text_bytes
 from millrace.llm.warc import _filesystem
 
-MAGIC = b"MRIDS\x01\x00\x00"
+MAGIC = b"MRIDS\x02\x00\x00"
 BLOCK = 2048
-LANES = 1024
+LANES = 4096
 HEADER = "<IIIII"  # ids, documents, words, CRC-32 of the ids, CRC-32 of header start and document table
 DOCUMENT = "<qBI"  # doc_id, flags (1: null id, 2: ends in this block), ids
 SLOTS = 1 << 11  # of a prediction table
-MEMO = 250_000  # units that a worker keeps before it starts anew (memory bound, not a limit on results)
-LOW32, LEAST = np.uint64(0xFFFFFFFF), np.uint64(1 << 16)
-# Contexts of a lane's probabilities: a spare one for lanes that sit a bit out, then each kind's.
-SECOND, FIRST, CLASS0, CLASS1, LEAD, CONTEXTS = 1, 33, 49, 57, 121, 153
+MEMO = 200_000  # units of a generation that a worker keeps (memory bound, not a limit on results)
+MOST = 65_534  # the largest id
 U64 = np.uint64
-APART = re.compile(r"(?<![%s]) (?![%s])" % (WHITE, WHITE))
-NEXT_TO = re.compile(r"[%s] | [%s]|^ | $" % (WHITE, WHITE))
+LOW32, LEAST, UNIT = U64(0xFFFFFFFF), U64(0xFFFFFFFF), U64(31)
+# Of id + 1, the classes by their first member and its bits below: octaves, finer where most ids of a text are.
+CLASSES = ([(0, 3), (8, 2), (12, 1), (14, 1)] + [(1 << k, k) for k in range(4, 8)] + [(x, 6) for x in range(256, 512, 64)]
+           + [(1 << k, k) for k in range(9, 16)])
+# Symbols of a step: the order-2 prediction, the order-1 prediction, then the classes. A row of chances holds
+# their starts in 15 bits, and where a last one that does not occur would start.
+SYMBOLS, COLUMNS = len(CLASSES) + 2, len(CLASSES) + 3
+# Of either table: no prediction, or one of its confidence; and whether both agree.
+STATES = 50
+HELD = np.arange(1, 5)
+FIRST, BITS = np.array([0, 0] + [x for x, _ in CLASSES]), np.array([0, 0] + [k for _, k in CLASSES])
+SYMBOL = np.searchsorted(FIRST[2:], np.arange(MOST + 2), side="right") + 1
+EVEN = (np.arange(COLUMNS) * ((1 << 15) // COLUMNS)).astype(np.int16)
+
+
+def _towards(least: int) -> np.ndarray:
+    """By symbol, the starts when all but ``least`` for each other symbol is its own: moving there by
+    1 / least, rounded down, leaves every symbol a chance."""
+    rest = (1 << 15) - (COLUMNS - 1) * least
+    return np.array([[least * c + (rest - least if c > symbol else 0) for c in range(COLUMNS)] for symbol in range(SYMBOLS)]).astype(np.int16)
+
+
+TOWARDS = _towards(32)
 
 
 class _Coder:
-    """The range [low, high] of each lane; subclasses write or read."""
+    """The range [low, high] of each lane, 2**32 numbers or more between steps; subclasses write or read.
+
+    A step narrows it to the part of a symbol, 1 / 2**16 or more, and of the bits that stand below it, 15 at
+    most: ``UNIT`` parts in all."""
 
     def __init__(self, lanes: int):
         self.low, self.high = np.zeros(lanes, U64), np.full(lanes, ~U64(0))
 
-    def _narrow(self, bit: np.ndarray, live: np.ndarray, middle: np.ndarray) -> None:
-        np.copyto(self.high, middle, where=bit & live)
-        np.copyto(self.low, middle + U64(1), where=~bit & live)
-        self._shift()
-
-    def _shift(self) -> None:
-        """Moves out the upper word where it is settled, or where the range has become too narrow
-        across a border of words; then it is cut to the part below the border."""
-        need = ((self.low ^ self.high) <= LOW32) | (self.high - self.low < LEAST)
-        if need.any():
-            at = np.flatnonzero(need)
-            low, high = self.low[at], self.high[at]
-            high = np.where((low ^ high) <= LOW32, high, low | LOW32)
-            self._word(at, low >> U64(32))
-            self.low[at] = low << U64(32)
-            self.high[at] = (high << U64(32)) | LOW32
-
-    def _split(self, p: np.ndarray) -> np.ndarray:
-        return self.low + ((self.high - self.low) >> U64(16)) * p.astype(U64)
+    def _narrow(self, step: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        n = len(step)
+        low, high = self.low[:n], self.high[:n]
+        low += step * start.astype(U64)
+        np.copyto(high, low + (step * size.astype(U64) - U64(1)))
+        at = np.flatnonzero(high - low < LEAST)
+        if len(at):     # the upper word is settled, or the range is cut to the part below a border of words
+            x = low[at]
+            y = np.where((x ^ high[at]) <= LOW32, high[at], x | LOW32)
+            self._word(at, x >> U64(32))
+            low[at] = x << U64(32)
+            high[at] = (y << U64(32)) | LOW32
 
 
 class _Encoder(_Coder):
     def __init__(self, lanes: int, ids: int):
         super().__init__(lanes)
-        self.out, self.at = np.zeros((lanes, 3 * ids + 8), np.uint32), np.zeros(lanes, np.int64)
+        self.out, self.at = np.zeros((lanes, ids + 2), np.uint32), np.zeros(lanes, np.int64)
 
     def _word(self, at, word) -> None:
         self.out[at, self.at[at]] = word
         self.at[at] += 1
 
-    def bit(self, p, live, bit):
-        self._narrow(bit, live, self._split(p))
-        return bit
-
-    def plain(self, n, live, value):
-        """``value`` of n bits as it is."""
-        step = (self.high - self.low) >> n.astype(U64)
-        start = self.low + step * value.astype(U64)
-        np.copyto(self.high, start + step - U64(1), where=live)
-        np.copyto(self.low, start, where=live)
-        self._shift()
-        return value
+    def step(self, mixed, row, symbol, rest):
+        """Writes each lane's symbol and the bits below it; ``mixed`` holds the starts of the symbols."""
+        n = len(symbol)
+        flat, at = mixed.ravel(), row + symbol
+        start = flat.take(at).astype(np.int64)
+        part = (flat.take(at + 1).astype(np.int64) - start) << (15 - BITS.take(symbol))
+        self._narrow((self.high[:n] - self.low[:n]) >> UNIT, (start << 15) + rest * part, part)
+        return symbol, rest
 
     def words(self) -> list[bytes]:
         for shift in (32, 0):
@@ -125,114 +138,92 @@ class _Decoder(_Coder):
         self.now[at] = (self.now[at] << U64(32)) | self.src[at, k]
         self.at[at] += 1
 
-    def bit(self, p, live, _):
-        middle = self._split(p)
-        bit = self.now <= middle
-        self._narrow(bit, live, middle)
-        return bit
-
-    def plain(self, n, live, _):
-        step = (self.high - self.low) >> n.astype(U64)
-        value = np.minimum((self.now - self.low) // step, (U64(1) << n.astype(U64)) - U64(1))
-        start = self.low + step * value
-        np.copyto(self.high, start + step - U64(1), where=live)
-        np.copyto(self.low, start, where=live)
-        self._shift()
-        return value.astype(np.int64)
+    def step(self, mixed, row, *_):
+        n = len(row)
+        step = (self.high[:n] - self.low[:n]) >> UNIT
+        place = np.minimum((self.now[:n] - self.low[:n]) // step, U64((1 << 31) - 1)).astype(np.int64)
+        symbol = (mixed[:, 1:SYMBOLS] <= (place >> 15).astype(np.uint16)[:, None]).view(np.uint8).sum(axis=1, dtype=np.uint8).astype(np.int64)
+        flat, at = mixed.ravel(), row + symbol
+        start = flat.take(at).astype(np.int64)
+        bits = BITS.take(symbol)
+        part = (flat.take(at + 1).astype(np.int64) - start) << (15 - bits)
+        rest = ((place - (start << 15)) / part).astype(np.int64)     # exact: both are below 2**31
+        rest = np.minimum(rest, (1 << bits) - 1)
+        self._narrow(step, (start << 15) + rest * part, part)
+        return symbol, rest
 
 
 def _run(coder, counts: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Codes the blocks, a row of ``ids`` each, or fills the ids from the decoder."""
-    lanes, n = len(counts), int(counts.max())
-    out = ids if ids is not None else np.zeros((lanes, n), np.int64)
-    chances = np.full(lanes * CONTEXTS, 1 << 15, np.int32)
-    base = np.arange(lanes, dtype=np.int64) * CONTEXTS
-    slot = np.arange(lanes, dtype=np.int64) * SLOTS
-    table1, table2 = np.full(lanes * SLOTS, 0, np.int32), np.full(lanes * SLOTS, 0, np.int32)  # id + 1, times 4, plus confidence
+    """Codes the blocks, longest first, or fills the ids from the decoder: a row of ids per place, a column per block."""
+    lanes, n = len(counts), int(counts[0])
+    out = ids if ids is not None else np.zeros((n, lanes), np.int32)
+    state_row, class_row = np.arange(lanes, dtype=np.int64) * STATES, np.arange(lanes, dtype=np.int64) * SYMBOLS
+    row, slot = np.arange(lanes, dtype=np.int64) * COLUMNS, np.arange(lanes, dtype=np.int64) * SLOTS
+    by_state, by_class = np.tile(EVEN, (lanes * STATES, 1)), np.tile(EVEN, (lanes * SYMBOLS, 1))
+    table1, table2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)  # id + 1, times 4, plus confidence
     a = b = np.zeros(lanes, np.int64)
-    none = np.zeros(lanes, bool)
-
-    def coded(context, live, bit, other=None):
-        at = base + np.where(live, context, 0)
-        p = chances[at]
-        if other is not None:
-            at2 = base + np.where(live, other, 0)
-            q = chances[at2]
-            bit = coder.bit((p + q) >> 1, live, bit)
-            chances[at2] = np.where(bit, q + ((65_500 - q) >> 4), q - ((q - 36) >> 4))
-        else:
-            bit = coder.bit(p, live, bit)
-        chances[at] = np.where(bit, p + ((65_500 - p) >> 4), p - ((p - 36) >> 4))
-        return bit
-
+    live = np.searchsorted(-counts, -np.arange(n), side="left").tolist()     # lanes with an id at a place
     for k in range(n):
-        live = counts > k
-        v = out[:, k] if ids is not None else None
-        at1 = slot + ((b * 40_503) >> 4) % SLOTS
-        at2 = slot + ((a * 31_321 + b * 40_503) >> 3) % SLOTS
-        e1, e2 = table1[at1], table2[at2]
-        c1, c2, k1, k2 = (e1 >> 2) - 1, (e2 >> 2) - 1, e1 & 3, e2 & 3
-        ask = live & (c2 >= 0)
-        hit2 = coded(SECOND + ((k2 << 2 | k1) << 1) + (c1 == c2), ask, v == c2 if v is not None else none) & ask
-        ask = live & ~hit2 & (c1 >= 0) & (c1 != c2)
-        hit1 = coded(FIRST + (k1 << 2 | k2), ask, v == c1 if v is not None else none) & ask
-        plain = live & ~hit2 & ~hit1
-        # An id v + 1 of e + 1 bits has class max(0, e - 8); its bits below the class's first follow.
-        if v is not None:
+        m = live[k]
+        if m < len(a):
+            a, b, row, slot, state_row, class_row = (x[:m] for x in (a, b, row, slot, state_row, class_row))
+        near = b * 40_503
+        at1, at2 = slot + ((near >> 4) & (SLOTS - 1)), slot + (((a * 31_321 + near) >> 3) & (SLOTS - 1))
+        e1, e2 = table1.take(at1), table2.take(at2)
+        c1, c2 = e1 >> 2, e2 >> 2
+        alike = c1 == c2
+        at_state = state_row + (HELD.take(e2 & 3) * (c2 > 0) * 10 + HELD.take(e1 & 3) * (c1 > 0) * 2 + alike)
+        at_class = class_row + SYMBOL.take(b + 1)
+        p, q = by_state.take(at_state, axis=0), by_class.take(at_class, axis=0)
+        mixed = p.view(np.uint16) + q.view(np.uint16)
+        if ids is not None:
+            v = ids[k, :m]
             w = v + 1
-            kind = np.maximum(0, np.frexp(w.astype(np.float64))[1] - 9).astype(np.int64)
-            rest = np.where(kind > 0, w - (np.int64(256) << kind), w)
-        old = np.maximum(0, np.frexp((b + 1).astype(np.float64))[1] - 9).astype(np.int64)
-        node = np.ones(lanes, np.int64)
-        for j in (2, 1, 0):
-            bit = coded(CLASS0 + node, plain, (kind >> j & 1).astype(bool) if v is not None else none, CLASS1 + old * 8 + node)
-            node = node << 1 | bit
-        got = node & 7
-        bits = np.where(got > 0, got + 8, 9)
-        lead = np.ones(lanes, np.int64)
-        for j in (1, 2):
-            bit = coded(LEAD + got * 4 + lead, plain, (rest >> (bits - j) & 1).astype(bool) if v is not None else none)
-            lead = lead << 1 | bit
-        low = coder.plain(bits - 2, plain, np.where(plain, rest & ((np.int64(1) << (bits - 2)) - 1), 0) if v is not None else None)
-        if v is None:
-            rest = ((lead & 3) << (bits - 2)) | low
-            w = np.where(got > 0, rest + (np.int64(256) << got), rest) - 1
-            v = np.where(hit2, c2, np.where(hit1, c1, w))
-            v[~live] = 0
-            out[:, k] = v
-        for table, at, entry, c, conf in ((table1, at1, e1, c1, k1), (table2, at2, e2, c2, k2)):
-            same = c == v
-            table[at] = np.where(same, np.minimum(entry + 1, entry | 3), np.where(conf > 1, entry - 2, (v + 1) << 2))
-        a, b = b, v
+            symbol = np.where(w == c2, 0, np.where(w == c1, 1, SYMBOL.take(w)))
+            coder.step(mixed, row, symbol, np.where(symbol > 1, w - FIRST.take(symbol), 0))
+        else:
+            symbol, rest = coder.step(mixed, row)
+            w = np.where(symbol > 1, rest + FIRST.take(symbol), np.where(symbol == 1, c1, c2))
+            np.copyto(out[k, :m], w - 1, casting="unsafe")
+        p += (TOWARDS.take(symbol, axis=0) - p) >> 5
+        q += (TOWARDS.take(symbol, axis=0) - q) >> 5
+        by_state[at_state], by_class[at_class] = p, q
+        new = (w << 2).astype(np.int32)
+        table1[at1] = np.where(c1 == w, np.minimum(e1 + 1, e1 | 3), np.where(e1 & 2, e1 - 2, new))
+        table2[at2] = np.where(c2 == w, np.minimum(e2 + 1, e2 | 3), np.where(e2 & 2, e2 - 2, new))
+        a, b = b, (w - 1).astype(np.int64)
     return out
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     counts = np.array([len(x) for x in blocks], np.int64)
-    ids = np.zeros((len(blocks), int(counts.max())), np.int64)
-    for k, x in enumerate(blocks):
-        ids[k, :len(x)] = x
-    coder = _Encoder(len(blocks), ids.shape[1])
-    _run(coder, counts, ids)
-    return coder.words()
+    order = np.argsort(-counts, kind="stable")
+    ids = np.zeros((int(counts.max()), len(blocks)), np.int32)
+    for k, at in enumerate(order.tolist()):
+        ids[:counts[at], k] = blocks[at]
+    if ids.size and (ids.min() < 0 or ids.max() > MOST):
+        raise ValueError(f"ids must lie between 0 and {MOST}")
+    coder = _Encoder(len(blocks), len(ids))
+    _run(coder, counts[order], ids)
+    words = coder.words()
+    return [words[k] for k in np.argsort(order).tolist()]
 
 
 def decode_blocks(words: list[bytes], counts: list[int]) -> list[np.ndarray]:
     n = np.array(counts, np.int64)
-    out = _run(_Decoder(words), n, None)
-    return [out[k, :c] for k, c in enumerate(counts)]
+    order = np.argsort(-n, kind="stable")
+    out = np.ascontiguousarray(_run(_Decoder([words[k] for k in order.tolist()]), n[order], None).T)
+    return [out[k, :counts[at]] for k, at in zip(np.argsort(order).tolist(), range(len(counts)))]
 
 
 def units(text: str) -> list[str]:
-    """The text cut before each single space that stands between two other characters.
+    """The text cut before each single space that surely stands between two other characters.
 
     A match of the pattern that reaches such a space starts with it, so the matches of
     the units are the matches of the text; few distinct units make up most text."""
-    if NEXT_TO.search(text):
-        parts = APART.split(text)
-    else:
-        parts = text.split(" ")
-    return parts[:1] + [" " + p for p in parts[1:]] if text else []
+    data, offsets = text_bytes(pa.array([text]))
+    at = [*unit_starts(data, offsets).tolist(), len(data)] if text else []
+    return [bytes(data[i:j]).decode() for i, j in zip(at, at[1:])]
 
 
 class IdEncoder:
@@ -251,25 +242,39 @@ class IdEncoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.by_units = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
                          and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", [])))
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo = Memo(MEMO)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.encode_column(pa.array(texts, pa.string()))
+
+    def encode_column(self, texts: pa.Array) -> list[np.ndarray]:
         """An array of ids per text."""
-        whole = [not self.by_units or any(s in t for s in self.special) for t in texts]
-        parts = [[t] if w else units(t) for t, w in zip(texts, whole)]
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        memo, own = self.memo, {}
-        new = list({u for p, w in zip(parts, whole) if not w for u in p if u not in memo})
-        for u, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            (memo if len(u) <= 64 else own)[u] = np.array(e.ids, "<u4").tobytes()
-        out = []
-        for p, w in zip(parts, whole):
-            if w:
-                out.append(np.array(self.tokenizer.encode(p[0], add_special_tokens=False).ids, np.int64))
-            else:
-                out.append(np.frombuffer(b"".join([memo[u] if u in memo else own[u] for u in p]), "<u4").astype(np.int64))
-        return out
+        whole = np.full(len(texts), not self.by_units)
+        for special in self.special:
+            whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        data, offsets = text_bytes(texts)
+        starts = unit_starts(data, offsets) if len(data) else np.zeros(0, np.int64)
+        firsts = np.searchsorted(starts, offsets)
+        if whole.any():    # a single unit, which is not the memo's
+            keep = np.ones(len(starts), bool)
+            for k in np.flatnonzero(whole).tolist():
+                keep[firsts[k] + 1:firsts[k + 1]] = False
+            starts = starts[keep]
+            firsts = np.searchsorted(starts, offsets)
+        coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.r_[starts, len(data)].astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        kept, found = self.memo.get, coded.dictionary.to_pylist()
+        known = [kept(u) for u in found]
+        new = [k for k, ids in enumerate(known) if ids is None]
+        for k, e in zip(new, self.tokenizer.encode_batch_fast([found[k] for k in new], add_special_tokens=False)):
+            known[k] = array("I", e.ids).tobytes()
+            if len(found[k]) <= 64:
+                self.memo.put(found[k], known[k])
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        each = lengths[code]
+        ids = _gathered(np.frombuffer(b"".join(known), np.uint32), (np.cumsum(lengths) - lengths)[code], each)
+        at = np.r_[0, np.cumsum(each)][firsts]
+        return [ids[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 class _File:
@@ -325,16 +330,16 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> DataF
         encoder, task = worker_state(("id_encoder", path), lambda: IdEncoder(path)), TaskContext.get()
         file, n, name = None, 0, f"part-{task.partitionId():05d}.ids"
         for batch in batches:
-            for part in text_slices(batch, "text", 2 << 20):
+            for part in text_slices(batch, "text", 4 << 20):
                 file = file or _File(folder, name, task.taskAttemptId())
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    file.add(doc_id, np.append(ids, end_id))
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode_column(part.column(1))):
+                    file.add(doc_id, np.append(ids, np.uint32(end_id)))
                     n += 1
         if file is not None:
             file.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file", "n_documents"])
 
-    return materialise(rows.mapInArrow(run, "file string, n_documents bigint"), "ids-manifest")
+    return materialise(bounded_batches(rows).mapInArrow(run, "file string, n_documents bigint"), "ids-manifest")
 
 
 def read_file(data: bytes):

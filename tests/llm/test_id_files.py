@@ -95,3 +95,22 @@ def test_units_are_cut_at_single_spaces_only():
     for text in ("", " ", "a b", " a  b ", "a\u00a0 b c", "it's 12 ok.\n x", "\u3000 a b\t c"):
         assert "".join(units(text)) == text
     assert units("ab cd  ef g") == ["ab", " cd  ef", " g"]
+
+
+def test_blocks_of_ids_cost_one_step_an_id():
+    from millrace.llm import id_files
+    steps = []
+
+    class Counted(id_files._Encoder):
+        def _narrow(self, *a):
+            steps.append(1)
+            super()._narrow(*a)
+
+    kept, id_files._Encoder = id_files._Encoder, Counted
+    try:
+        id_files.encode_blocks(blocks_of(9))
+    finally:
+        id_files._Encoder = kept
+    assert len(steps) == 2048
+    with pytest.raises(ValueError):
+        id_files.encode_blocks([np.array([1, id_files.MOST + 1])])
