@@ -50,6 +50,8 @@ MIN_CHUNK, MAX_CHUNK = 8, 256
 MIN_BYTES = 128
 #: Bytes of an anchor, and places of which its hash is the least; 2 * BLOCK - 1 must not exceed MIN_BYTES.
 BLOCK = 64
+#: Bytes of text whose places are looked through at once: the arrays stay in a core's cache.
+SLICE = 1 << 17
 SPAN = "doc_id bigint, text_hash int, start_byte int, n_bytes int, n_chunks int, first_doc_id bigint"
 
 
@@ -197,35 +199,85 @@ def anchors(data: np.ndarray) -> np.ndarray:
     return at[np.r_[True, at[1:] != at[:-1]]]
 
 
-def blocks(docs: DataFrame) -> DataFrame:
+def anchors_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The starts in ``data`` of the anchors of all texts, those of ``anchors`` for each: a hash that counts
+    lies within its text, and of the places in a row only those within one text are taken."""
+    windows = np.diff(offsets) - (2 * BLOCK - 2)
+    if not (windows > 0).any():
+        return np.zeros(0, np.int64)
+    order = (gear_hash(data)[BLOCK - 1:] * np.uint32(0x9E3779B1)).astype(np.uint64) << np.uint64(32)
+    least, s = order | np.arange(len(order), dtype=np.uint64), 1
+    while s < BLOCK:
+        least = np.minimum(least[:-s], least[s:])
+        s *= 2
+    edges = np.zeros(len(least) + 1, np.int8)
+    first, count = offsets[:-1][windows > 0], windows[windows > 0]
+    edges[first] += 1
+    edges[first + count] -= 1
+    at = (least[np.cumsum(edges[:-1], dtype=np.int8).view(bool)] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return at[np.r_[True, at[1:] != at[:-1]]]
+
+
+def block_digests(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The halves of the 128-bit digest (MurmurHash3, x64) of the ``BLOCK`` bytes from each place on, all places at once."""
+    u = np.uint64
+    turn = lambda x, k: (x << u(k)) | (x >> u(64 - k))
+    c1, c2 = u(0x87C37B91114253D5), u(0x4CF5AD432745937F)
+    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))    # the eight bytes from each place on
+    h1, h2 = np.zeros(len(at), u), np.zeros(len(at), u)
+    for k in range(0, BLOCK, 16):
+        h1 ^= turn(words[at + k] * c1, 31) * c2
+        h1 = (turn(h1, 27) + h2) * u(5) + u(0x52DCE729)
+        h2 ^= turn(words[at + k + 8] * c2, 33) * c1
+        h2 = (turn(h2, 31) + h1) * u(5) + u(0x38495AB5)
+    h1 ^= u(BLOCK)
+    h2 ^= u(BLOCK)
+    h1 += h2
+    h2 += h1
+    for h in (h1, h2):
+        for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h ^= h >> u(33)
+            h *= u(c)
+        h ^= h >> u(33)
+    h1 += h2
+    h2 += h1
+    return h1.view(np.int64), h2.view(np.int64)
+
+
+def blocks(docs: DataFrame, half: bool = False) -> DataFrame:
     """``(d1, d2, doc_id, at)``: the digest's halves of every anchor; ``at`` = start << 32 | text hash (32 bits).
+    With ``half`` ``(d1)`` alone.
 
     Of equal blocks that overlap one another (a run of one character), one in ``BLOCK`` bytes is given."""
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), _text_hash(text).alias("mark"))
+    rows = docs.select(text.alias("text")) if half else docs.select(text.alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"), _text_hash(text).alias("mark"))
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, "text", 1 << 20):
-                data, offsets = text_bytes(part.column(1))
-                raw, digests, at, owner = data.tobytes(), [], [], []
-                marks = part.column(2).to_pylist()
-                for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                    last, last_at = b"", 0
-                    for s in anchors(data[a:b]).tolist():
-                        d = xxhash.xxh3_128_digest(raw[a + s:a + s + BLOCK])
-                        if d == last and s - last_at < BLOCK:
-                            continue
-                        last, last_at = d, s
-                        digests.append(d)
-                        at.append(s << 32 | marks[i])
-                        owner.append(i)
-                if digests:
-                    halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])),
-                                                      part.column(0).take(pa.array(owner)), pa.array(at, pa.int64())], names=["d1", "d2", "doc_id", "at"])
+            for part in text_slices(batch, "text", SLICE):
+                data, offsets = text_bytes(part.column(0))
+                at = anchors_of(data, offsets)
+                if not len(at):
+                    continue
+                d1, d2 = block_digests(data, at)
+                owner = np.searchsorted(offsets, at, side="right") - 1
+                again = np.r_[False, (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1]) & (owner[1:] == owner[:-1])]
+                if again.any():
+                    kept, last = ~again, 0
+                    for i in np.flatnonzero(again).tolist():
+                        if not again[i - 1]:
+                            last = at[i - 1]
+                        if at[i] - last >= BLOCK:
+                            kept[i], last = True, at[i]
+                    at, d1, d2, owner = at[kept], d1[kept], d2[kept], owner[kept]
+                if half:
+                    yield pa.RecordBatch.from_arrays([pa.array(d1)], names=["d1"])
+                    continue
+                marks = part.column(2).fill_null(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), part.column(1).take(pa.array(owner)),
+                                                  pa.array((at - offsets[owner]) << 32 | marks[owner])], names=["d1", "d2", "doc_id", "at"])
 
-    return rows.mapInArrow(run, "d1 bigint, d2 bigint, doc_id bigint, at bigint")
+    return rows.mapInArrow(run, "d1 bigint" if half else "d1 bigint, d2 bigint, doc_id bigint, at bigint")
 
 
 def _text_hash(text):
@@ -390,10 +442,9 @@ def whole_passages(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """``SPAN`` rows: the repeated passages of ``min_bytes`` (2 * BLOCK - 1 at least) or more, to the byte; ``n_chunks`` counts their anchors."""
     if min_bytes < 2 * BLOCK - 1:
         raise ValueError(f"min_bytes below {2 * BLOCK - 1}: shorter passages need not hold an anchor")
-    places = blocks(docs)
     # Half a digest is enough here: what stands once under the whole one is its own first place below.
-    times = places.groupBy(F.col("d1").alias("t1")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("t1")
-    places = materialise(places.join(times, F.col("d1") == F.col("t1")).select("d1", "d2", "doc_id", "at"), "passage-places")
+    times = blocks(docs, half=True).groupBy(F.col("d1").alias("t1")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("t1")
+    places = materialise(blocks(docs).join(times, F.col("d1") == F.col("t1")).select("d1", "d2", "doc_id", "at"), "passage-places")
     firsts = places.groupBy(F.col("d1").alias("t1"), F.col("d2").alias("t2")).agg(F.min(F.struct("doc_id", "at")).alias("f"))
     repeats = (places.join(firsts, (F.col("d1") == F.col("t1")) & (F.col("d2") == F.col("t2")))
                      .where(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("at") == F.col("f.at"))))

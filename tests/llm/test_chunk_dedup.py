@@ -198,3 +198,40 @@ def test_ends_are_the_longest_by_brute_force(spark):
         assert any(earlier(t[low:a + BLOCK], a - low, x.doc_id, a) for a in heads) and any(earlier(t[a:high], 0, x.doc_id, a) for a in tails)
         assert low == 0 or not any(a - low < BLOCK and earlier(t[low - 1:a + BLOCK], a - low + 1, x.doc_id, a) for a in heads)
         assert high == len(t) or not any(high - a < 2 * BLOCK and earlier(t[a:high + 1], 0, x.doc_id, a) for a in tails)
+
+
+def test_anchors_of_a_batch_are_those_of_each_text():
+    from millrace.llm.chunk_dedup import anchors, anchors_of
+    r = np.random.default_rng(8)
+    sizes = [0, 5, 126, 127, 128, 0, 300, 5000, 126, 64, 2000, 0]
+    texts = [r.integers(97, 97 + k % 4 + 1, n).astype(np.uint8) for k, n in enumerate(sizes)]
+    offsets = np.r_[0, np.cumsum(sizes)]
+    want = [o + a for o, t in zip(offsets, texts) for a in anchors(t).tolist()]
+    assert anchors_of(np.concatenate(texts), offsets).tolist() == want and len(want) > 50
+    assert not len(anchors_of(np.zeros(0, np.uint8), np.zeros(2, np.int64)))
+
+
+def test_block_digests_are_murmur():
+    from millrace.llm.chunk_dedup import BLOCK, block_digests
+    m = (1 << 64) - 1
+
+    def murmur(b):
+        turn = lambda x, k: (x << k | x >> (64 - k)) & m
+        h1 = h2 = 0
+        for k in range(0, len(b), 16):
+            x, y = (int.from_bytes(b[k + j:k + j + 8], "little") for j in (0, 8))
+            h1 = ((turn(h1 ^ turn(x * 0x87C37B91114253D5 & m, 31) * 0x4CF5AD432745937F & m, 27) + h2) * 5 + 0x52DCE729) & m
+            h2 = ((turn(h2 ^ turn(y * 0x4CF5AD432745937F & m, 33) * 0x87C37B91114253D5 & m, 31) + h1) * 5 + 0x38495AB5) & m
+        h1, h2 = h1 ^ len(b), h2 ^ len(b)
+        h1 = (h1 + h2) & m
+        h2 = (h2 + h1) & m
+        for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h1, h2 = ((h ^ h >> 33) * c & m for h in (h1, h2))
+        h1, h2 = (h ^ h >> 33 for h in (h1, h2))
+        h1 = (h1 + h2) & m
+        return h1, (h2 + h1) & m
+
+    data = np.random.default_rng(3).integers(0, 256, 500).astype(np.uint8)
+    at = np.array([0, 1, 77, 436])
+    got = [tuple(int(x) & m for x in h) for h in zip(*block_digests(data, at))]
+    assert got == [murmur(data[s:s + BLOCK].tobytes()) for s in at]
