@@ -10,15 +10,15 @@ The join: a line is split into ``MAX_EDITS + 1`` segments, which an index holds
 the line, number of the segment, text of the segment). Two lines within that many edits share a
 segment, near its place: of the longer line only the substrings that can match without a shift
 that the edits left over could not undo are looked up, in the index of each length from its own
-down. What meets is verified by bit-parallel edit distance within the band of diagonals that the
-edits allow: one bit per number of edits and diagonal, all in one long, a character a step.
+down. What meets is verified by edit distance within the band of diagonals that the edits allow.
 
 A segment that many lines hold does not give their pairs: first each line found under it meets
 the segment's least line only. Where a segment has more lines, those that are not connected by
 then meet under finer keys: what stands before and after the segment is split again by the edits
-that can still fall there, and one more segment of either side must be shared. Of what meets, only
-lines whose pairs of neighbouring characters differ by as much as the edits can change go on to the
-distance. Equal lines are grouped before anything is joined.
+that can still fall there, and one more segment of either side must be shared. Two lines meet once,
+under the least key that they share, and only lines whose characters and pairs of neighbouring ones
+differ by as much as the edits can change go on to the distance. Equal lines are grouped before
+anything is joined.
 
 Rows: one per input row. Null text stays null and has no lines. Rows of one doc_id with equal
 texts are one document (their lines go or stay alike), with different texts two documents whose
@@ -34,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise
+from millrace.llm.common import materialise, release
 from millrace.llm.native import WHITE, let
 from millrace.operators.components import component_roots
 
@@ -53,45 +53,12 @@ def _lines(docs: DataFrame, min_chars: int = 0) -> DataFrame:
     lines = docs.select(F.col("doc_id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
     if min_chars:  # most short lines have too few bytes already
         lines = lines.where((F.octet_length("line") >= min_chars) & (F.char_length("line") >= min_chars))
-    return lines.where(F.btrim("line", F.lit(WHITE)) != "")
+    return lines.where(F.ltrim("line", F.lit(WHITE)) != "")
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether two strings are within ``edits`` edits (at most 4).
-
-    Bit ``e * step + d`` of the state says: with at most e edits, the characters of b read so far
-    can have become as many of a, plus d - edits. A character of b that equals its counterpart in
-    a keeps the bit, a substitution moves it up a row, an insertion up a row and a diagonal down,
-    a deletion up a row and a diagonal up."""
-    width, step = 2 * edits + 1, 2 * edits + 2
-    valid = sum(((1 << width) - 1) << (e * step) for e in range(edits + 1))
-    rows = sum(1 << (e * step) for e in range(edits + 1))
-    start = sum(1 << (e * step + edits + k) for e in range(edits + 1) for k in range(e + 1))
-    long = lambda x: F.lit(x).cast("bigint")
-
-    def run(pair: Column) -> Column:
-        x, y = pair["x"], pair["y"]
-
-        def read(state: Column, j: Column) -> Column:
-            hits = long(0)
-            for d in range(width):
-                hits = hits + F.when(F.get(x, j + (d - edits)) == F.get(y, j), long(1 << d)).otherwise(long(0))
-            moved = F.shiftleft(state, step).bitwiseOR(F.shiftleft(state, step - 1)).bitwiseAND(long(valid))
-            return let(state.bitwiseAND(hits * long(rows)).bitwiseOR(moved), lambda s: _closed(s, edits))
-
-        def _closed(s: Column, left: int) -> Column:
-            if not left:
-                return s
-            return let(s.bitwiseOR(F.shiftleft(s, step + 1).bitwiseAND(long(valid))), lambda t: _closed(t, left - 1))
-
-        state = F.aggregate(F.sequence(F.lit(0), F.size(y) - 1), long(start), lambda s, j: F.when(s == 0, s).otherwise(read(s, j)))
-        end = F.size(x) - F.size(y) + edits
-        # Any row of the diagonal on which both texts end.
-        return state.bitwiseAND(F.call_function("shiftleft", long(rows), end)) != 0
-
-    return (F.when(F.abs(F.char_length(a) - F.char_length(b)) > edits, F.lit(False)).when(a == b, F.lit(True))
-             .when((F.char_length(a) == 0) | (F.char_length(b) == 0), F.lit(True))
-             .otherwise(let(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")), run)))
+    """Whether two strings are within ``edits`` edits."""
+    return F.levenshtein(a, b, edits) >= 0
 
 
 def _segment(n: Column, i, edits) -> tuple[Column, Column]:
@@ -113,13 +80,19 @@ def _codes(edits: int) -> list[tuple[int, int, int]]:
     return [(down, i, shift) for down in range(edits + 1) for i in range(1, edits + 2) for shift in _shifts(down, i, edits)]
 
 
-def entries(line: Column, n: Column, edits: int) -> Column:
+def _key(wide: Column, n: Column, i: Column, start: Column, size: Column) -> Column:
+    """The key of ``size`` characters of a line from ``start`` (from 1) on. ``wide`` holds the line with four bytes
+    a character, so that no key walks through the characters before its own."""
+    return F.xxhash64(n, i, F.substring(wide, 4 * start - 3, 4 * size))
+
+
+def entries(wide: Column, n: Column, edits: int) -> Column:
     """array<bigint>: the keys under which a line of n characters stands in the index."""
-    return F.array(*[F.xxhash64(n, F.lit(i), F.substring(line, *_segment(n, i, edits))) for i in range(1, edits + 2)])
+    return F.array(*[_key(wide, n, F.lit(i), *_segment(n, i, edits)) for i in range(1, edits + 2)])
 
 
 def probes(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """``(h, key, code)``: the index entries that the lines ``(line, n, h)`` look up, one a row, those
+    """``(h, key, code)``: the index entries that the lines ``(wide, n, h)`` look up, one a row, those
     left out where the lines looked for would be too short. The codes are a literal table and the key
     is one expression: one for every code makes methods that the JVM does not compile."""
     table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in (("down", down), ("i", i), ("shift", shift), ("code", code))])
@@ -127,8 +100,8 @@ def probes(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     down, i, shift = (F.col(f"p.{k}") for k in ("down", "i", "shift"))
     n = F.col("n") - down
     start, size = _segment(n, i, F.lit(edits))
-    rows = lines.select("h", "line", "n", F.explode(table).alias("p")).where((down == 0) | (n >= min_chars))
-    return rows.select("h", F.xxhash64(n, i, F.substring("line", start + shift, size)).alias("key"), F.col("p.code").alias("code"))
+    rows = lines.select("h", "wide", "n", F.explode(table).alias("p")).where((down == 0) | (n >= min_chars))
+    return rows.select("h", _key(F.col("wide"), n, i, start + shift, size).alias("key"), F.col("p.code").alias("code"))
 
 
 def _finer_places(edits: int) -> Column:
@@ -143,7 +116,8 @@ def _finer_places(edits: int) -> Column:
 
 
 def _finer(found: DataFrame, edits: int) -> DataFrame:
-    """Rows ``(line, n, key, code, ...)`` with their finer keys, one a row: ``finer`` and ``entry``.
+    """Rows ``(line, n, key, code, ...)`` with their finer keys, one a row: ``finer``, ``entry`` and ``down``, by how
+    much a line under the key is shorter.
 
     Of two lines within the edits, one pair of equal segments has at most i - 1 edits before it and
     edits + 1 - i after it. What stands before and after is split again by as many edits, and a
@@ -157,24 +131,25 @@ def _finer(found: DataFrame, edits: int) -> DataFrame:
     (pa, la), (pb, lb) = _segment(F.col("f_len.before"), a, i - 1), _segment(F.col("f_len.after"), b, F.lit(edits + 1) - i)
     key = F.xxhash64("key", a, b, F.col("f_len.before"), F.col("f_len.after"), F.substring("line", pa + oa, la),
                      F.substring("line", start + shift + size + pb - 1 + ob, lb))
-    return rows.withColumn("finer", key).withColumn("entry", (down == 0) & (shift == 0) & (oa == 0) & (ob == 0)).drop("f", "f_at", "f_len")
+    return rows.withColumn("finer", key).withColumn("entry", (down == 0) & (shift == 0) & (oa == 0) & (ob == 0)).withColumn("down", down).drop("f", "f_at", "f_len")
 
 
 def _pair_parity(line: Column) -> Column:
-    """Two times 64 bits (``low`` and ``high``, by two hashes), each the parity of the pairs of neighbouring
-    characters that hash to it. An edit takes away two pairs at most and brings in two, so it turns over
-    four bits of either at most."""
+    """Three times 64 bits: the parities of the pairs of neighbouring characters that hash to a bit (``low`` and
+    ``high``, by two hashes) and of the characters (``ones``). An edit takes away two pairs at most and brings in
+    two, so it turns over four bits of either at most, and two of the last."""
     one = F.lit(1).cast("bigint")
-    bits = lambda x, hash_of: F.aggregate(F.sequence(F.lit(1), F.size(x) - 1), F.lit(0).cast("bigint"), lambda s, j: s.bitwiseXOR(
-        F.call_function("shiftleft", one, F.pmod(hash_of(F.get(x, j - 1), F.get(x, j)), F.lit(64)).cast("int"))))
-    none = F.struct(F.lit(0).cast("bigint").alias("low"), F.lit(0).cast("bigint").alias("high"))
+    flip = lambda s, hashed: s.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(hashed, F.lit(64)).cast("int")))
+    zero = F.lit(0).cast("bigint")
+    bits = lambda x, hash_of: F.aggregate(F.sequence(F.lit(1), F.size(x) - 1), zero, lambda s, j: flip(s, hash_of(F.get(x, j - 1), F.get(x, j))))
+    none = F.struct(*[zero.alias(k) for k in ("low", "high", "ones")])
     return F.when(F.char_length(line) < 2, none).otherwise(let(F.split(line, ""), lambda x: F.struct(
-        bits(x, F.xxhash64).alias("low"), bits(x, F.hash).alias("high"))))
+        bits(x, F.xxhash64).alias("low"), bits(x, F.hash).alias("high"), F.aggregate(x, zero, lambda s, c: flip(s, F.xxhash64(c))).alias("ones"))))
 
 
 def _close(parity: Column, other: Column, edits: int) -> Column:
-    low, high = (F.bit_count(parity[k].bitwiseXOR(other[k])) <= 4 * edits for k in ("low", "high"))
-    return low & high
+    turned = lambda k: F.bit_count(parity[k].bitwiseXOR(other[k]))
+    return (turned("ones") <= 2 * edits) & (turned("low") <= 4 * edits) & (turned("high") <= 4 * edits)
 
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
@@ -183,10 +158,8 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """``(a, b)``: the pairs within ``edits`` edits, ids as strings."""
-    left = texts.select(F.col("t_h").alias("a"), F.col("line").alias("a_line"), F.col("parity").alias("a_parity"))
-    right = texts.select(F.col("t_h").alias("b"), F.col("line").alias("b_line"), F.col("parity").alias("b_parity"))
-    near = F.when(_close(F.col("a_parity"), F.col("b_parity"), edits), within(F.col("a_line"), F.col("b_line"), edits))
-    near = pairs.join(left, "a").join(right, "b").where(near)
+    left, right = (texts.select(F.col("t_h").alias(x), F.col("line").alias(f"{x}_line")) for x in ("a", "b"))
+    near = pairs.join(left, "a").join(right, "b").where(within(F.col("a_line"), F.col("b_line"), edits))
     return near.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
 
 
@@ -196,36 +169,29 @@ def line_places(docs: DataFrame) -> DataFrame:
     return materialise(_lines(docs).select("doc_id", "th", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")), "line-places")
 
 
-def _texts_of(docs: DataFrame, places: DataFrame, needed: DataFrame) -> DataFrame:
-    """``(t_h, line, parity)``: the text of each ``needed`` line (a written table, used up), from one document
-    that has it, with its ``_pair_parity``."""
-    spots = places.join(_few(needed, BROADCAST_ROWS), F.col("h") == F.col("n_h")).groupBy("h").agg(F.min(F.struct("doc_id", "th", "no")).alias("s"))
-    spots = materialise(spots.select(F.col("h").alias("t_h"), F.col("s.doc_id").alias("s_id"), F.col("s.th").alias("s_th"), F.col("s.no").alias("s_no")), "line-spots")
-    holders = spots.select(F.col("s_id").alias("d_id"), F.col("s_th").alias("d_th")).distinct()
-    text = F.col("text").cast("string")
-    held = docs.select("doc_id", "text").join(_few(holders, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.xxhash64(text) == F.col("d_th")), "left_semi")
-    found = _lines(held).join(_few(spots, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")) & (F.col("no") == F.col("s_no")))
-    found = found.select("t_h", "line").distinct().withColumn("parity", _pair_parity(F.col("line")))
-    return materialise(found, "line-texts", last_use_of=(spots, needed))
+def long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """``(line, n, h)``: the different lines of ``min_chars`` characters or more, written once for all tiers."""
+    # The count is not needed; it keeps the aggregate one by hash with partial sums before the shuffle.
+    lines = _lines(docs, min_chars).groupBy("line").agg(F.count(F.lit(1)).alias("times")).where("times > 0")
+    return materialise(lines.select("line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h")), "line-long")
 
 
-def line_links(docs: DataFrame, places: DataFrame, tiers=((MAX_EDITS, MIN_CHARS, None),)) -> DataFrame:
+def line_links(docs: DataFrame, tiers=((MAX_EDITS, MIN_CHARS, None),)) -> DataFrame:
     """``(h, root)``: the hashes of lines that are linked with another, by component."""
-    links = [_tier_links(docs, places, *tier) for tier in tiers]
+    lines = long_lines(docs, min(min_chars for _, min_chars, _ in tiers))
+    links = [_tier_links(lines, *tier) for tier in tiers]
+    release(lines)
     return component_roots(reduce(DataFrame.unionByName, links), a="a", b="b").select(F.col("id").cast("bigint").alias("c_h"), "root")
 
 
-def _tier_links(docs: DataFrame, places: DataFrame, edits: int, min_chars: int, below: int | None) -> DataFrame:
+def _tier_links(lines: DataFrame, edits: int, min_chars: int, below: int | None) -> DataFrame:
     """``(a, b)``: links of the lines within ``edits`` edits whose shorter one has ``min_chars``
     characters or more, and fewer than ``below``."""
-    lines = _lines(docs, min_chars)
+    held = lines.where(F.col("n") >= min_chars)
     if below is not None:  # the longer one of a pair can exceed it by the edits
-        lines = lines.where(F.char_length("line") < below + edits)
-    lines = lines.groupBy("line").agg(F.count(F.lit(1)).alias("times"))
-    # The count is not needed; it keeps the aggregate one by hash with partial sums before the shuffle.
-    # The length is a column of its own, or each of the many expressions below would count it anew.
-    lines = lines.where("times > 0").select("line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h"))
-    index = lines.select("h", F.explode(entries(F.col("line"), F.col("n"), edits)).alias("i_key"))
+        held = held.where(F.col("n") < below + edits)
+    lines = held.select(F.encode("line", "UTF-32").alias("wide"), "n", "h")
+    index = lines.select("h", F.explode(entries(F.col("wide"), F.col("n"), edits)).alias("i_key"))
     index = index.groupBy("i_key").agg(F.min("h").alias("least"), F.max("h").alias("most"))
     rows = probes(lines, edits, min_chars)
     # A row per key: the index is the side that a hash join holds, and the probes need no sort.
@@ -234,28 +200,39 @@ def _tier_links(docs: DataFrame, places: DataFrame, edits: int, min_chars: int,
 
     met = hits.where("h != least").select(F.least("h", "least").alias("a"), F.greatest("h", "least").alias("b")).distinct()
     needed = materialise(hits.select("h").union(hits.select("least")).distinct().withColumnRenamed("h", "n_h"), "line-needed")
-    texts = _texts_of(docs, places, needed)
+    texts = materialise(held.join(_few(needed, BROADCAST_ROWS), F.col("h") == F.col("n_h")).select(F.col("h").alias("t_h"), "line"), "line-texts", last_use_of=(needed,))
     links = materialise(_verified(met, texts, edits), "line-links")
 
     more = hits.where("more")
     label = component_roots(links, a="a", b="b").select(F.col("id").cast("bigint").alias("l_h"), F.col("root").cast("bigint").alias("label"))
     more = more.join(label, F.col("h") == F.col("l_h"), "left").withColumn("label", F.coalesce("label", "h"))
-    more = more.join(texts, F.col("h") == F.col("t_h")).withColumn("n", F.char_length("line"))
-    finer = materialise(_finer(more, edits).select("finer", "entry", "h", "least", "label", "parity"), "line-finer", last_use_of=(hits,))
-    # The least line has met all others. Of two lines that both stand under a key, one seeks the other.
-    apart = finer.where(~F.col("entry") | (F.col("h") != F.col("least")))
-    held = apart.where("entry").select(F.col("finer").alias("o_key"), F.col("h").alias("o_h"), F.col("label").alias("o_label"), F.col("parity").alias("o_parity"))
-    sought = apart.select(F.col("finer").alias("s_key"), "entry", "h", "label", "parity")
-    apart = (sought.join(held, (F.col("s_key") == F.col("o_key")) & (F.col("label") != F.col("o_label")) & (~F.col("entry") | (F.col("h") < F.col("o_h")))
-                         & _close(F.col("parity"), F.col("o_parity"), edits))
-                   .select(F.least("h", "o_h").alias("a"), F.greatest("h", "o_h").alias("b")).distinct())
+    apart = texts.join(more.select("h").distinct(), F.col("t_h") == F.col("h"), "left_semi").withColumn("parity", _pair_parity(F.col("line")))
+    more = more.join(apart, F.col("h") == F.col("t_h")).withColumn("n", F.char_length("line"))
+    finer = _finer(more, edits).select("h", "down", "label", "parity", F.struct("finer", "entry", (F.col("h") == F.col("least")).alias("first")).alias("k"))
+    finer = materialise(finer.groupBy("h", "down", "label", "parity").agg(F.collect_set("k").alias("keys")), "line-finer", last_use_of=(hits,))
+    apart = _apart(finer, edits).distinct()
     return materialise(links.unionByName(_verified(apart, texts, edits)), "line-tier", last_use_of=(links, finer, texts))
 
 
+def _apart(finer: DataFrame, edits: int) -> DataFrame:
+    """``(a, b)``: the lines of different labels that share a finer key and may be within the edits. They meet
+    under the least of the keys they share, not under each. The least line of a segment has met all others
+    already; of two lines that both stand under a key, one seeks the other."""
+    held = finer.where("down = 0").select(F.col("h").alias("o_h"), F.col("label").alias("o_label"), F.col("parity").alias("o_parity"),
+                                          F.filter("keys", lambda k: k["entry"]).alias("keys"))
+    held = held.select("o_h", "o_label", "o_parity", F.transform("keys", lambda k: k["finer"]).alias("own"), F.explode("keys").alias("k")).where("NOT k.first")
+    held = held.select(F.col("k.finer").alias("o_key"), "o_h", "o_label", "o_parity", "own")
+    sought = finer.select("h", "label", "parity", F.transform("keys", lambda k: k["finer"]).alias("asked"), F.explode("keys").alias("k")).where("NOT (k.entry AND k.first)")
+    sought = sought.select(F.col("k.finer").alias("s_key"), F.col("k.entry").alias("entry"), "h", "label", "parity", "asked")
+    return (sought.join(held, (F.col("s_key") == F.col("o_key")) & (F.col("label") != F.col("o_label")) & (~F.col("entry") | (F.col("h") < F.col("o_h")))
+                        & _close(F.col("parity"), F.col("o_parity"), edits) & (F.array_min(F.array_intersect("asked", "own")) == F.col("s_key")))
+                  .select(F.least("h", "o_h").alias("a"), F.greatest("h", "o_h").alias("b")))
+
+
 def removals(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, tiers=None) -> DataFrame:
     """``(r_id, r_th, removed)``: per text the numbers (from 0) of the lines to remove, ascending."""
     written = line_places(docs)
-    linked = materialise(line_links(docs, written, tiers or ((edits, min_chars, None),)), "line-components")
+    linked = materialise(line_links(docs, tiers or ((edits, min_chars, None),)), "line-components")
     places = written.join(_few(linked, BROADCAST_ROWS), F.col("h") == F.col("c_h"), "left")
     places = places.select("doc_id", "th", "no", F.coalesce(F.xxhash64("root"), "h").alias("h"), F.when(F.col("root").isNull(), F.col("g")).otherwise(0).alias("g"))
     firsts = (places.groupBy("h", "g").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")

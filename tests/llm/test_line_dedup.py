@@ -172,3 +172,41 @@ def test_copies_far_apart_are_not_all_paired(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *a: counts.append(pairs.count()) or verified(pairs, *a))
     assert run(spark, rows, edits=2, min_chars=60) == brute(rows, 2, 60)
     assert sum(counts) < 10 * len(rows), counts
+
+
+def test_insertions_apart_are_not_all_paired(spark, monkeypatch):
+    """Copies of one line, each with four characters of its own put in at a place of its own: no two are near, and
+    they do not go on to the distance though few of their pairs of characters differ."""
+    from millrace.llm import line_dedup
+    r = random.Random(3)
+    line = " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(30))
+    rows = []
+    for i in range(60):
+        at = r.randrange(140, len(line))
+        rows.append((i, line[:at] + "".join(chr(0x4E00 + 4 * i + k) for k in range(4)) + line[at:]))
+    rows += [(100, rows[5][1][:-1] + "#")]
+    counts, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *a: counts.append(pairs.count()) or verified(pairs, *a))
+    got = run(spark, rows, edits=3, min_chars=200)
+    assert {x[0]: x[3] for x in got} == {i: int(i == 100) for i, _ in rows}
+    assert sum(counts) < 10 * len(rows), counts
+
+
+def test_two_lines_meet_once(spark, monkeypatch):
+    """Lines that share many finer keys come out of the join once or twice, not under each key."""
+    from millrace.llm import line_dedup
+    r = random.Random(4)
+    line = "".join(r.choice("abcdefghijklmnop ") for _ in range(240))
+    rows = []
+    for i in range(40):
+        at = r.randrange(150, 230)
+        rows.append((i, line[:at] + "".join(r.choice("ab") for _ in range(5)) + line[at + 5:]))
+    met, apart = [], line_dedup._apart
+
+    def counted(finer, edits):
+        out = apart(finer, edits)
+        met.append((out.count(), out.distinct().count()))
+        return out
+    monkeypatch.setattr(line_dedup, "_apart", counted)
+    assert run(spark, rows, edits=3, min_chars=200) == brute(rows, 3, 200)
+    assert met and met[0][1] > 20 and met[0][0] <= 2 * met[0][1], met
