@@ -18,6 +18,8 @@ from millrace.session import checkpoint_dir
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text handed on in one Arrow batch.
 BATCH_BYTES = 2 << 20
+#: Whether Spark deletes an execution's shuffle files at its end; else they stay until the driver collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +49,13 @@ def materialise(df: DataFrame, what: str, last_use_of: tuple[DataFrame, ...] = (
     ``last_use_of``: earlier tables of this function that no plan reads once this one is written.
     Void columns and duplicate names do not occur: callers select first."""
     path = shared_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, "false")
+    conf.set(SHUFFLE_CLEANUP, "true")      # nothing reads the shuffles of this write again
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _FOLDERS[out] = path
     release(*last_use_of)
