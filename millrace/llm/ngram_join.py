@@ -2,14 +2,18 @@
 
 1. One pass gives each document's set size and a 128-bit digest of its set, and counts shingles in
    a sketch of fixed size (``SKETCH`` counters). Equal sets are one from here on.
-2. Any total order of the shingles gives an exact prefix filter; the order is (sketch level, hash),
-   rare ones first. Each set is indexed under the first ``n - ceil(t n) + 1`` of its shingles with
-   its size and their positions.
+2. A set is cut into classes of shingles by their hashes, as many as its size asks for (``_grades``).
+   Two sets that link differ in ``d = n + m - 2 a`` shingles at most, with a the overlap they need, so
+   in d classes at most. Any order that depends on a class's content alone gives an exact prefix
+   filter: of the classes that are equal, the first stands behind d others at most in either set. The
+   order puts classes of many and rare (by the sketch) shingles first. Each set is indexed under its
+   first ``d + 1`` classes with its size and their positions. One shared shingle does not make two
+   sets candidates, so candidates do not grow with the square of the input as chance meetings do.
+   Sets with too few classes that hold a shingle meet by prefixes of single shingles as well.
 3. Index lists come sorted by (size, position): a list is a row of blocks of equal size. Two sets of
-   sizes n <= m that share the token at positions i and j can only link when ``t m <= n``,
-   ``i <= n - a`` and ``j <= m - a`` with a the overlap they need. In a block the sets that may link
-   with a later one are a run from its first, and runs are chained when the block is read; so an
-   entry meets one entry of each block, not each entry, and the rest of the block is skipped.
+   sizes n <= m that share the class at positions i and j can only link when ``t m <= n`` and neither
+   i nor j is above their d. The sets of a block are chained when it is read; so an entry meets one
+   entry of each block, not each entry, and the rest of the block is skipped.
    What comes out is not pairs but families: sets connected by possible links.
 4. Within a family, links are found by a search from set to set. The overlaps of the first set with
    the family are counted from the family's lists; those of a set similar to one already counted are
@@ -18,6 +22,7 @@
    out, so a group of any size gives a row per member.
    A family above ``BLOCK_SHINGLES`` is dealt into blocks: first each block by itself, then each
    pair of blocks, in which what is connected already is not searched again.
+   Only sets of families leave the task that makes them (``member_marks``).
 
 All decisions are exact but for the equality of 64-bit shingle hashes and 128-bit digests.
 
@@ -36,11 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import bounded_batches, materialise, text_slices
-from millrace.llm.shingle_sets import shingle_sets
+from millrace.llm.shingle_sets import mix, shingle_sets
 from millrace.operators.components import component_roots
 
 SKETCH = 1 << 22
 SKETCH_BLOCK = 1 << 12
+#: Classes of a set that are at hand for each one it is indexed under, where it is smallest in its grade.
+CLASSES = 7
+#: Bits that mark the sets of families, and those of a part.
+MARKS, MARKS_PART = 1 << 27, 1 << 15
 #: Shingles of a family that one task holds (eight bytes each, some copies).
 BLOCK_SHINGLES = 4_000_000
 #: Sets whose ids are broadcast at most; more of them are joined by shuffle.
@@ -90,7 +99,8 @@ def sketch_levels(scanned: DataFrame) -> np.ndarray:
         return pa.table({"block": table.column("block")[:1], "levels": pa.array([levels.tobytes()], pa.binary())})
 
     out = np.zeros(SKETCH, np.uint8)
-    for block, levels in scanned.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, levels binary").collect():
+    added = scanned.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, levels binary")
+    for block, levels in materialise(added, "ngram-levels").collect():
         out[block * SKETCH_BLOCK:(block + 1) * SKETCH_BLOCK] = np.frombuffer(levels, np.uint8)
     return out
 
@@ -109,34 +119,83 @@ def _distinct_sets(batches, width: int):
                 yield found
 
 
+def _grades(n: np.ndarray, num: int, den: int):
+    """``(grade, most)`` for sets of sizes ``n``: a grade is the sizes from 4^g to 4^(g+1), two sets meet in
+    that of the smaller one, where they differ in ``most`` shingles at most. Grade -1: not met there."""
+    of = lambda x: (np.frexp(x.astype(np.float64))[1] - 1) // 2
+    own, least = of(n), of(np.maximum(-(-num * n // den), 1))
+    for down in range(int((own - least).max(initial=0)) + 1):
+        grade = own - down
+        largest = np.int64(4) ** np.maximum(grade + 1, 0) - 1 if down else den * n // num
+        most = (den - num) * (n + largest) // (den + num)
+        yield np.where((grade >= least) & (most > 0), grade, -1), most     # sets that differ in nothing are one already
+
+
+def _ranked_classes(sets: list[np.ndarray], grade: int, most: np.ndarray, rarity: np.ndarray, num: int, den: int):
+    """``(place, key, rank, poor)``: the first ``most + 1`` classes of each set, by place in ``sets``, and
+    whether a set has no more than ``most`` of them. Order and keys depend on a class's shingles only."""
+    k = max(8, min(-(-CLASSES * (den - num) * 4 ** grade // num), 4 ** (grade + 2)))
+    flat = np.concatenate(sets)
+    at = np.repeat(np.arange(len(sets)) * k, [len(s) for s in sets]) + ((flat >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
+    weight = np.bincount(at, rarity[(flat & np.uint64(SKETCH - 1)).astype(np.int64)], len(sets) * k).astype(np.int64)
+    digest = np.zeros(len(sets) * k, np.uint64)
+    np.add.at(digest, at, mix(flat))
+    held = np.flatnonzero(weight)
+    place = held // k
+    last = (1 << 20) - 1
+    order = np.argsort((place << 40) | ((last - np.minimum(weight[held], last)) << 20) | (digest[held] >> np.uint64(44)).astype(np.int64), kind="stable")
+    n_held = np.bincount(place, minlength=len(sets))
+    rank = np.arange(len(held)) - np.repeat(np.r_[0, np.cumsum(n_held)[:-1]], n_held)
+    first = rank <= most[place]
+    return place[first], mix(digest[held[order[first]]] ^ np.uint64(grade + 1)), rank[first], n_held <= most
+
+
+def index_keys(sets: list[np.ndarray], levels: np.ndarray, rarity: np.ndarray, num: int, den: int):
+    """``(place, key, rank)`` of the index entries of sets, which are not empty."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    poor, out = np.zeros(len(sets), bool), []
+    for grades, most in _grades(sizes, num, den):
+        for grade in np.unique(grades[grades >= 0]).tolist():
+            of = np.flatnonzero(grades == grade)
+            place, key, rank, few = _ranked_classes([sets[i] for i in of], grade, most[of], rarity, num, den)
+            poor[of] |= few
+            out.append((of[place], key, rank))
+    for i in np.flatnonzero(poor).tolist():
+        s = sets[i]
+        order = np.argsort(levels[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")
+        prefix = s[order[:len(s) - -(-num * len(s) // den) + 1]]
+        out.append((np.full(len(prefix), i), mix(~prefix), np.zeros(len(prefix), np.int64)))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(map(np.concatenate, zip(*out)))
+
+
 def postings(docs: DataFrame, width: int, levels: np.ndarray, num: int, den: int) -> DataFrame:
-    """``(token, at, sid)``: the index, ``at`` = size * 2^32 + position. A set occurs once per task that saw it."""
+    """``(token, at, sid)``: the index, ``at`` = size * 2^32 + position, ``sid`` half of a set's digest: sets that
+    it confuses are in one family, no more. A set occurs once per task that saw it."""
     held = docs.sparkSession.sparkContext.broadcast(levels.tobytes())  # SKETCH bytes
 
     def run(batches):
         level = np.frombuffer(held.value, np.uint8)
+        rarity = (int(level.max()) + 1 - level).astype(np.uint8)
         for found in _distinct_sets(batches, width):
-            tokens, ats, sids = [], [], []
-            for d, s in found:
-                n = len(s)
-                order = np.argsort(level[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")
-                prefix = s[order[:n - -(-num * n // den) + 1]]
-                tokens.append(prefix)
-                ats.append((np.int64(n) << 32) + np.arange(len(prefix)))
-                sids += [d] * len(prefix)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ats)), pa.array(sids, pa.binary())],
+            sets = [s for _, s in found]
+            place, key, rank = index_keys(sets, level, rarity, num, den)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            sids = np.frombuffer(b"".join(d[:8] for d, _ in found), ">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array((sizes[place] << 32) + rank), pa.array(sids[place])],
                                              names=["token", "at", "sid"])
 
-    return _texts(docs).mapInArrow(run, "token bigint, at bigint, sid binary")
+    return _texts(docs).mapInArrow(run, "token bigint, at bigint, sid bigint")
 
 
 class Forest:
-    """Union-find over byte strings; the root of a tree is its smallest member."""
+    """Union-find over numbers; the root of a tree is its smallest member."""
 
     def __init__(self):
-        self.up: dict[bytes, bytes] = {}
+        self.up: dict[int, int] = {}
 
-    def root(self, x: bytes) -> bytes:
+    def root(self, x: int) -> int:
         up = self.up
         r = x
         while (p := up.setdefault(r, r)) != r:
@@ -145,7 +204,7 @@ class Forest:
             up[x], x = r, up[x]
         return r
 
-    def join(self, a: bytes, b: bytes) -> None:
+    def join(self, a: int, b: int) -> None:
         a, b = self.root(a), self.root(b)
         if a != b:
             self.up[max(a, b)] = min(a, b)
@@ -159,64 +218,60 @@ class ListReader:
     def __init__(self, num: int, den: int):
         self.num, self.den, self.forest, self.token = num, den, Forest(), None
 
-    def need(self, n, m):
-        """The overlap that sets of sizes n and m need to link."""
-        return -(-self.num * (n + m) // (self.num + self.den))
+    def most(self, n, m):
+        """The shingles in which sets of sizes n and m that link may differ."""
+        return n + m + 2 * (-self.num * (n + m) // (self.num + self.den))
 
-    def entry(self, token: int, n: int, i: int, sid: bytes) -> None:
+    def entry(self, token: int, n: int, i: int, sid: int) -> None:
         if token != self.token:
             self.token, self.blocks = token, []
             self.last = None
         while self.blocks and self.den * self.blocks[0][0] < self.num * n:
             self.blocks.pop(0)
         if self.last is not None and self.last[0] == n:
-            # Within a block: the runs of entries that may link are chained.
-            if i <= n - self.need(n, n) and sid != self.last[1]:
+            # Within a block entries are chained.
+            if sid != self.last[1]:
                 self.forest.join(self.last[1], sid)
         for m, j, first in self.blocks:
-            if m < n:
-                a = self.need(m, n)
-                if j <= m - a and i <= n - a and first != sid:
-                    self.forest.join(first, sid)
+            if m < n and max(i, j) <= self.most(m, n) and first != sid:
+                self.forest.join(first, sid)
         if self.last is None or self.last[0] != n:
             self.blocks.append((n, i, sid))
         self.last = (n, sid)
 
-    def batch(self, token: np.ndarray, at: np.ndarray, sids: pa.Array, carry: tuple | None):
+    def batch(self, token: np.ndarray, at: np.ndarray, sids: np.ndarray, carry: tuple | None):
         """Entries of a batch; lists of one entry are passed over. Returns the batch's last entry,
         which may open a list that goes on in the next batch."""
         if carry is not None:
-            token, at = np.r_[carry[0], token], np.r_[carry[1], at]
-            sid_of = lambda k: carry[2] if k == 0 else sids[k - 1].as_py()
-        else:
-            sid_of = lambda k: sids[k].as_py()
+            token, at, sids = np.r_[carry[0], token], np.r_[carry[1], at], np.r_[carry[2], sids]
         same = token[1:] == token[:-1]
         live = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
-        for k, t, x in zip(live.tolist(), token[live].tolist(), at[live].tolist()):
+        for k, t, x, sid in zip(live.tolist(), token[live].tolist(), at[live].tolist(), sids[live].tolist()):
             if carry is not None and k == 0 and carry[3]:
                 continue  # read with its own batch
-            self.entry(t, x >> 32, x & 0xFFFFFFFF, sid_of(k))
+            self.entry(t, x >> 32, x & 0xFFFFFFFF, sid)
         k = len(token) - 1
-        return int(token[k]), int(at[k]), sid_of(k), bool(len(live) and live[-1] == k)
+        return int(token[k]), int(at[k]), int(sids[k]), bool(len(live) and live[-1] == k)
 
 
 def families(index: DataFrame, num: int, den: int) -> DataFrame:
-    """``(id, root)``: the hex digests of sets that may link with another, by family."""
+    """``(id, root)``: the first half of the hex digests of sets that may link with another, by family."""
 
     def run(batches):
         reader, carry = ListReader(num, den), None
         for batch in batches:
             if batch.num_rows:
-                carry = reader.batch(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), carry)
+                carry = reader.batch(*(batch.column(k).to_numpy() for k in range(3)), carry)
         forest = reader.forest
-        star = [(forest.root(x).hex(), x.hex()) for x in forest.up]
-        star = [(a, b) for a, b in star if a != b]
+        name = lambda x: f"{x & 0xFFFFFFFFFFFFFFFF:016x}"
+        star = [(name(r), name(x)) for x in forest.up if (r := forest.root(x)) != x]
         for k in range(0, len(star), 50_000):
             a, b = zip(*star[k:k + 50_000])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     lists = index.repartition("token").sortWithinPartitions("token", "at", "sid")
-    return component_roots(lists.mapInArrow(run, "a string, b string").distinct(), a="a", b="b")
+    stars = materialise(lists.mapInArrow(run, "a string, b string"), "ngram-stars")     # the lists' files go at its end
+    return component_roots(stars.distinct(), a="a", b="b")
 
 
 def spanning_links(sets: list[np.ndarray], num: int, den: int, known: list | None = None) -> list[tuple[int, int]]:
@@ -306,44 +361,71 @@ def _links_in(keys: list[str], num: int, den: int):
     return run
 
 
+def member_marks(members: DataFrame) -> bytes:
+    """A bit for each value of the first 27 bits of ``id`` that occurs: at most ``MARKS`` bits, whatever the input."""
+
+    def add(table: pa.Table) -> pa.Table:
+        bits = np.zeros(MARKS_PART, np.uint8)
+        bits[table.column("bit").to_numpy() % MARKS_PART] = 1
+        return pa.table({"part": table.column("part")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    bit = F.shiftright(F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint"), 32 - (MARKS.bit_length() - 1))
+    marked = members.select(bit.alias("bit")).distinct().withColumn("part", F.shiftright("bit", MARKS_PART.bit_length() - 1).cast("int"))
+    out = bytearray(MARKS // 8)
+    step = MARKS_PART // 8
+    for part, bits in marked.groupBy("part").applyInArrow(add, "part int, bits binary").collect():
+        out[part * step:(part + 1) * step] = bits
+    return bytes(out)
+
+
+def member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """``(sid, items)``: the sets of ``members`` (id), and few others; the rest stays where it is made."""
+    held = docs.sparkSession.sparkContext.broadcast(member_marks(members))
+
+    def run(batches):
+        marks = np.frombuffer(held.value, np.uint8)
+        for found in _distinct_sets(batches, width):
+            bit = np.frombuffer(b"".join(d[:4] for d, _ in found), ">u4").astype(np.int64) >> (32 - (MARKS.bit_length() - 1))
+            kept = [found[k] for k in np.flatnonzero(marks[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).tolist()]
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array([d.hex() for d, _ in kept]), pa.array([s.tobytes() for _, s in kept], pa.binary())], names=["sid", "items"])
+
+    return _texts(docs).mapInArrow(run, "sid string, items binary")
+
+
 def links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """``(a, b)``: hex digests of linked sets, spanning each component. ``members``: ``(id, root, n)``."""
     total = F.sum("n").alias("total")
     blocks = members.groupBy("root").agg(total).select("root", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("nb"))
     dealt = materialise(members.join(blocks, "root").select("id", "root", "nb", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("block")), "ngram-members")
-
-    def run(batches):
-        for found in _distinct_sets(batches, width):
-            yield pa.RecordBatch.from_arrays([pa.array([d.hex() for d, _ in found]), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["sid", "items"])
-
-    held = _texts(docs).mapInArrow(run, "sid string, items binary")
+    held = member_sets(docs, dealt, width)
     small = dealt.count() <= BROADCAST_SETS
-    found = held.join(F.broadcast(dealt) if small else dealt, F.col("sid") == F.col("id")).drop("id")
+    found = held.join(F.broadcast(dealt) if small else dealt.hint("shuffle_hash"), F.col("sid") == F.col("id")).drop("id")
     large = dealt.where("nb > 1").limit(1).count() > 0
     if large:
         found = materialise(found, "ngram-sets")
     inside = (found.withColumn("label", F.lit(None).cast("string")).groupBy("root", "block")
                    .applyInArrow(_links_in(["root", "block"], num, den), "a string, b string"))
+    inside = materialise(inside, "ngram-links")     # the sets' files go at its end
     if not large:
         return inside
-    inside = materialise(inside, "ngram-links")
     merged = component_roots(inside, a="a", b="b").select(F.col("id").alias("m_id"), F.col("root").alias("label"))
     both = (found.where("nb > 1").join(merged, F.col("sid") == F.col("m_id"), "left").drop("m_id")
                  .withColumn("label", F.coalesce("label", "sid"))
                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).where("other != block")
                  .withColumn("pair", F.concat_ws("-", F.least("block", "other"), F.greatest("block", "other"))))
     across = both.groupBy("root", "pair").applyInArrow(_links_in(["root", "pair"], num, den), "a string, b string")
-    return inside.unionByName(across)
+    return inside.unionByName(materialise(across, "ngram-links"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``; sets link when den * intersection >= num * union."""
     scanned = scan(docs, width)
-    rows = scanned.where("block is null").select("doc_id", "n", F.lower(F.hex("sid")).alias("sid"))
     index = postings(docs, width, sketch_levels(scanned), num, den)
+    rows = materialise(scanned.where("block is null").select("doc_id", "n", F.lower(F.hex("sid")).alias("sid")), "ngram-rows", last_use_of=(scanned,))
     family = families(index, num, den)
     classes = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
-    members = family.join(classes, F.col("id") == F.col("sid")).select("id", "root", "n")
+    members = family.join(classes, F.col("id") == F.substring("sid", 1, 16)).select(F.col("sid").alias("id"), "root", "n")
     roots = component_roots(links(docs, members, width, num, den), a="a", b="b")
     roots = materialise(roots.select(F.col("id").alias("r_id"), F.col("root").alias("r_root")), "ngram-components")
     least = (classes.join(roots, F.col("sid") == F.col("r_id"), "left").select("sid", "least", F.coalesce("r_root", "sid").alias("root")))

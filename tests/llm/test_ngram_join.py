@@ -144,3 +144,53 @@ def test_a_chain_of_sets_takes_linear_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(links) == len(sets) - 1 and peak < 100 << 20
+
+
+@pytest.mark.parametrize("num,den", [(85, 100), (80, 100), (50, 100), (9, 10), (1, 1)])
+def test_sets_that_link_share_a_key(num, den):
+    """Whatever the sketch says: some pairs have few classes with shingles, some stand in different grades."""
+    from millrace.llm.ngram_join import SKETCH, ListReader, index_keys
+    r = np.random.default_rng(num)
+    sets = []
+    for n in [*range(1, 40), 63, 64, 65, 70, 255, 256, 257, 300, 1023, 1024, 1200]:
+        base = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) | (r.integers(0, 2, n, dtype=np.uint64) << np.uint64(63)))
+        if n % 5 == 0:
+            base = base & np.uint64(0xFFFFFFFF)     # all in one class
+        for _ in range(6):
+            fewer = base[r.random(len(base)) > r.choice([0, .02, .08, .15])]
+            more = r.integers(0, 1 << 32, int(len(base) * r.choice([0, .02, .1, .3])), dtype=np.uint64)
+            sets.append(np.unique(np.r_[fewer if len(fewer) else base, more]))
+    levels = r.integers(0, 9, SKETCH).astype(np.uint8)
+    place, key, rank = index_keys(sets, levels, (9 - levels).astype(np.uint8), num, den)
+    reader, lists = ListReader(num, den), {}
+    for e in zip(place.tolist(), key.tolist(), rank.tolist()):
+        lists.setdefault(e[1], []).append((len(sets[e[0]]), e[2], e[0]))
+    for token, entries in lists.items():
+        for n, i, x in sorted(entries):
+            reader.entry(token, n, i, x)
+    linked = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            o = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if den * o >= num * (len(sets[i]) + len(sets[j]) - o) and not np.array_equal(sets[i], sets[j]):
+                linked += 1
+                assert reader.forest.root(i) == reader.forest.root(j), (len(sets[i]), len(sets[j]), o)
+    assert linked > 50 or num == den
+
+
+def test_chance_meetings_make_no_families(spark):
+    """Texts over a small vocabulary share many single shingles; only copies are candidates, and only their sets are sent."""
+    from millrace.llm import ngram_join
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(14)}" for _ in range(r.randrange(150, 250))) for _ in range(1500)]
+    rows = [*enumerate(texts), *((5000 + k, texts[k] + " one more") for k in range(20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    levels = ngram_join.sketch_levels(ngram_join.scan(df, 4))
+    family = {x.id for x in ngram_join.families(ngram_join.postings(df, 4, levels, 85, 100), 85, 100).collect()}
+    assert 40 <= len(family) < 60
+    sids = {x.sid for x in ngram_join.scan(df, 4).where("n > 0").selectExpr("lower(hex(sid)) sid").collect()}
+    members = spark.createDataFrame([(s,) for s in sids if s[:16] in family], "id string")
+    sent = ngram_join.member_sets(df, members, 4).collect()
+    assert {x.sid for x in sent} >= {x.id for x in members.collect()} and len(sent) < 80
+    near = {x.doc_id: x.component_id for x in ngram_join.near_duplicates(df, 4, 85, 100).collect()}
+    assert all(near[5000 + k] == near[k] == k for k in range(20))
